@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import exact_dedup
+from strandloom.llm import exact_dedup, near_dedup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(_documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir), keep="largest")
 
 
-QUERIES = {"op5_exact_dedup": op5_exact_dedup}
+QUERIES = {
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
