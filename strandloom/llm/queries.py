@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import exact_dedup, near_dedup
+from strandloom.llm import exact_dedup, near_dedup, sentencepiece_codec
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +20,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir), keep="largest")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    model = model or public_tokenizers.path("piece_bpe_32k.model")
+    return sentencepiece_codec.digests(sentencepiece_codec.encoded(_documents(spark, sf_dir), model))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_sentencepiece": op6_sentencepiece,
 }
 
 ORACLE_SQL = {
