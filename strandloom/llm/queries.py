@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import exact_dedup, near_dedup, sentencepiece_codec
+from strandloom.llm import exact_dedup, near_dedup, sentencepiece_codec, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,10 +25,16 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return sentencepiece_codec.digests(sentencepiece_codec.encoded(_documents(spark, sf_dir), model))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return toxicity.scored(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLE_SQL = {
