@@ -12,9 +12,10 @@ of their Jaccard similarity, and the share of agreeing coordinates concentrates.
 Bands of coordinates give candidates; a link needs 100 * intersection >= 75 *
 union on the full sets. Equal sets are one class from the start, so a group of
 copies is one candidate. A bucket's members are first compared with its
-smallest member, then, while members of different components remain, with
-members picked at random, and at last every pair that is still open is tested:
-no pair of a bucket within reach goes untested unless it is linked already.
+smallest member. Where members of several components remain, those outside the
+bucket's largest component are compared with all members, in cells of bounded
+size: no pair of a bucket goes untested unless it is linked already, and no
+pair is a row before it is found similar.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ THRESHOLD = 75  # percent
 #: Coordinates a band and bands: two sets at the threshold share no band with probability 3e-7.
 ROWS, BANDS = 4, 40
 COORDINATES = ROWS * BANDS
-#: Rounds with random partners before all open pairs are tested.
-RANDOM_ROUNDS = 6
+#: Members of one side of a cell, about.
+CELL = 256
 
 _ODD = np.random.default_rng(7).integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROUND = mix(np.arange(2 * COORDINATES, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
@@ -121,12 +122,62 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
 
-def _open(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with each member's component, of buckets that hold several components."""
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Elements cut to 32 bits; a cut set never has fewer elements in common than the full one, but for clashes within a set."""
+    for batch in batches:
+        cut = [np.unique((np.frombuffer(e.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for e in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], names=["id", "short"])
+
+
+def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 8192) -> np.ndarray:
+    """Sizes of the intersections of sets[rows] with sets[columns]."""
+    member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, element, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(seen > 1) - 1
+    keep = seen[element] > 1
+    member, element = member[keep], shared[element[keep]]
+    order = np.argsort(element, kind="stable")
+    member, element = member[order], element[order]
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for low in range(0, int(element[-1]) + 1 if len(element) else 0, width):
+        a, b = np.searchsorted(element, [low, low + width])
+        has = np.zeros((len(sets), width), np.float32)
+        has[member[a:b], element[a:b] - low] = 1
+        out += has[rows] @ has[columns].T
+    return out
+
+
+def _cell(table: pa.Table) -> pa.Table:
+    """Of a cell's (query, member) pairs of different components, each query's most similar member per component, if near the threshold."""
+    ids, n, component, query = (table.column(c).to_numpy() for c in ("id", "n", "component", "query"))
+    sets = [np.frombuffer(e.as_buffer(), np.uint32) for e in table.column("short")]
+    rows, columns = np.flatnonzero(query), np.flatnonzero(~query)
+    found: list[tuple[int, int]] = []
+    if len(rows) and len(columns):
+        common = _common(sets, rows, columns)
+        union = n[rows][:, None] + n[columns][None, :] - common
+        score = np.where(component[rows][:, None] == component[columns][None, :], -1.0, (common + 2) / np.maximum(union - 2, 1))
+        at, to = np.nonzero(score >= THRESHOLD / 100)
+        best: dict[tuple[int, int], tuple[float, int]] = {}
+        for i, j in zip(at.tolist(), to.tolist(), strict=True):
+            key = i, int(component[columns[j]])
+            best[key] = max(best.get(key, (-1.0, 0)), (float(score[i, j]), j))
+        found = [(rows[i], columns[j]) for (i, _), (_, j) in best.items()]
+    x, y = ([f[k] for f in found] for k in (0, 1))
+    return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64()), "na": pa.array(n[x], pa.int64()), "nb": pa.array(n[y], pa.int64())})
+
+
+def _open_pairs(rows: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) near the threshold among a bucket's members of different components."""
     now = rows.join(links.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = now.groupBy("band", "component").agg(F.count("*").cast("double").alias("c"))
-    still = parts.groupBy("band").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within")).where("all > 2 and all * all > within")
-    return now.join(still.select("band", ((F.col("all") * F.col("all") - F.col("within")) / 2).alias("pairs"), "all"), "band")
+    parts = now.groupBy("band", "component").agg(F.count("*").alias("c"))
+    still = parts.groupBy("band").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("kinds")).where("all > 2 and kinds > 1")
+    still = still.select("band", F.col("main.component").alias("main"), F.ceil(F.col("all") / CELL).alias("across"), F.ceil((F.col("all") - F.col("main.c")) / CELL).alias("down"))
+    left = now.join(still, "band").withColumn("h", F.xxhash64("id", "band"))
+    asks = left.where("component <> main").select("band", "id", "n", "component", F.lit(True).alias("query"), F.expr("pmod(h, down)").alias("i"), F.explode(F.expr("sequence(0L, across - 1)")).alias("j"))
+    held = left.select("band", "id", "n", "component", F.lit(False).alias("query"), F.explode(F.expr("sequence(0L, down - 1)")).alias("i"), F.expr("pmod(h, across)").alias("j"))
+    short = sets.mapInArrow(_short, "id long, short binary")
+    return asks.union(held).join(short, "id").groupBy("band", "i", "j").applyInArrow(_cell, "a long, b long, na long, nb long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,26 +210,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     edges = linked(rows.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")))
     links = components(edges)
-    total = None
-    for turn in range(RANDOM_ROUNDS + 1):
-        left = checkpointed(_open(rows.drop("hub"), links))
-        pairs = left.groupBy("band").agg(F.first("pairs").alias("p")).agg(F.sum("p")).first()[0] or 0
-        if not pairs:
-            break
-        total = total or rows.count()
-        last = pairs <= total or turn == RANDOM_ROUNDS
-        if last:
-            here, there = left.alias("l"), left.alias("r")
-            open_pairs = here.join(there, F.expr("l.band = r.band and l.id < r.id and l.component <> r.component"))
-            open_pairs = open_pairs.selectExpr("l.id as a", "r.id as b", "l.n as na", "r.n as nb")
-        else:
-            pick = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("h"), "id", "n", "component")).alias("hub")
-            open_pairs = left.join(left.groupBy("band").agg(pick), "band").where("hub.component <> component")
-            open_pairs = open_pairs.selectExpr("hub.id as a", "id as b", "hub.n as na", "n as nb")
-        edges = links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked(open_pairs))
-        links = components(edges)
-        if last:
-            break
+    edges = links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked(_open_pairs(rows.drop("hub"), links, sets)))
+    links = components(edges)
 
     classes = able.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("many")).join(links, "node", "left")
     classes = classes.where("many > 1 or component is not null").select("digest", F.coalesce("component", "node").alias("component"))
