@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import exact_dedup, near_dedup, sentencepiece_codec, toxicity
+from strandloom.llm import exact_dedup, mixing, near_dedup, sentencepiece_codec, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str, model: str | None = None
     return sentencepiece_codec.digests(sentencepiece_codec.encoded(_documents(spark, sf_dir), model))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(_documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return toxicity.scored(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -34,13 +38,74 @@ QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_mixing": op7_mixing,
     "op9_toxicity": op9_toxicity,
 }
 
+def _halved(levels: int) -> str:
+    """The tree's levels as one common table expression each."""
+    parts = []
+    for k in range(levels):
+        key = f"md5(concat_ws('|', source, block, pass::VARCHAR, '{k}', 'mix'))"
+        parts.append(f"""n{k + 1} AS (
+            SELECT source, block, pass, is_last, left_over, block_size,
+                   shard * 2 + CASE WHEN 2 * row_number() OVER (PARTITION BY shard ORDER BY {key}, source NULLS LAST, block, pass)
+                                         > count(*) OVER (PARTITION BY shard) + 1 THEN 1 ELSE 0 END AS shard
+            FROM n{k})""")
+    return ", ".join(parts)
+
+
+_MIXING_SQL = rf"""
+    WITH rows AS (
+        SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+               md5(concat_ws('|', doc_id::VARCHAR, 'mix')) AS key
+        FROM documents),
+    placed AS (SELECT *, key[1:2] AS block FROM rows),
+    sources AS (
+        SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank
+        FROM placed GROUP BY source),
+    weighed AS (
+        SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+               source_size * 3.0::DOUBLE AS most, sum(source_size) OVER ()::DOUBLE AS total FROM sources),
+    leveled AS (
+        SELECT *, (total - coalesce(sum(most) OVER (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                  / sum(weight) OVER (ORDER BY most / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
+    goals AS (
+        SELECT source, source_size, CASE WHEN level * weight > most THEN most
+               ELSE weight * max(CASE WHEN level * weight <= most THEN level END) OVER () END AS target FROM leveled),
+    blocks AS (SELECT source, block, sum(size)::BIGINT AS block_size FROM placed GROUP BY ALL),
+    aims AS (
+        SELECT *, least(floor(target / source_size), 3)::INT AS passes FROM goals WHERE source_size > 0),
+    ordered AS (
+        SELECT b.*, a.passes, a.target - a.passes * a.source_size
+               - (sum(block_size) OVER (PARTITION BY b.source ORDER BY md5(concat_ws('|', b.source, block, 'mix')), block) - block_size) AS left_over
+        FROM blocks b JOIN aims a ON b.source IS NOT DISTINCT FROM a.source),
+    n0 AS (
+        SELECT source, block, block_size, left_over, p.pass, p.pass = passes AS is_last, 0 AS shard
+        FROM ordered, (SELECT unnest(range(0, 4)) AS pass) p
+        WHERE p.pass < passes OR p.pass = passes AND left_over > 0),
+    {_halved(4)},
+    taken AS (
+        SELECT source, block, any_value(block_size) AS block_size, max(CASE WHEN is_last THEN left_over END) AS left_over,
+               max(CASE WHEN is_last THEN shard END) AS last_shard,
+               coalesce(list(shard) FILTER (NOT is_last), []) AS whole
+        FROM n4 GROUP BY source, block),
+    each AS (
+        SELECT p.*, t.left_over, t.last_shard, coalesce(t.whole, []) AS whole,
+               t.last_shard IS NOT NULL AND (t.left_over >= t.block_size
+                   OR sum(p.size) OVER (PARTITION BY p.source, p.block ORDER BY p.key, p.doc_id, p.size ROWS UNBOUNDED PRECEDING) - p.size / 2 <= t.left_over) AS within
+        FROM placed p LEFT JOIN taken t ON p.source IS NOT DISTINCT FROM t.source AND p.block = t.block),
+    sent AS (SELECT *, list_sort(CASE WHEN within THEN list_append(whole, last_shard) ELSE whole END) AS into FROM each)
+    SELECT s.doc_id, s.size, g.source_size, g.target, s.size * len(s.into) AS taken, len(s.into) AS copies,
+           array_to_string(s.into, ',') AS shards
+    FROM sent s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
+"""
+
 ORACLE_SQL = {
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
     """,
+    "op7_mixing": _MIXING_SQL,
 }
