@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strandloom.llm import exact_dedup, mixing, near_dedup, sentencepiece_codec, toxicity
+from strandloom.llm import exact_dedup, mixing, near_dedup, quality_rules, sentencepiece_codec, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(_documents(spark, sf_dir))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.verdicts(quality_rules.ledger(_documents(spark, sf_dir)))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_documents(spark, sf_dir), keep="largest")
 
@@ -36,6 +41,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
@@ -101,7 +107,31 @@ _MIXING_SQL = rf"""
     FROM sent s JOIN goals g ON s.source IS NOT DISTINCT FROM g.source
 """
 
+_QUALITY_SQL = r"""
+    WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    rows AS (
+        SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+               list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '[^\x20\x09-\x0D]')) AS lines,
+               length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+               (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+               (length(text) - length(regexp_replace(text, '\p{Lu}', '', 'g')))::BIGINT AS n_capitals
+        FROM texts),
+    windows AS (SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM rows)),
+    again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1),
+    covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(5) t(k) GROUP BY doc_id),
+    ledger AS (
+        SELECT doc_id, len(words)::BIGINT AS n_words, word_chars, n_symbols, n_capitals, len(lines) AS n_lines,
+               (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+        FROM rows LEFT JOIN covered USING (doc_id)),
+    bits AS (
+        SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (100 * n_symbols > 30 * n_words)::INT
+                   + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (word_chars > 25 * n_words)::INT + 32 * (100 * n_capitals > 60 * word_chars)::INT)::INT AS failed
+        FROM ledger)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, failed FROM bits
+"""
+
 ORACLE_SQL = {
+    "op4_quality_rules": _QUALITY_SQL,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
