@@ -26,18 +26,24 @@ _CODES[ord("A") : ord("Z") + 1] = _CODES[ord("a") : ord("z") + 1]
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows of df, kept in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names.
 
     On a cluster that setting must name a folder all executors share. Only a
     local session without it gets a temporary folder of its own.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandloom-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows of df, kept in the shared folder; lost executors cost no work done before."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -52,11 +58,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(blank, " +"), lambda w: w != "")
 
 
-def parted(df: DataFrame, minimum: int | None = None) -> DataFrame:
-    """df over at least as many partitions as the session runs tasks at once."""
-    return df.repartition(minimum) if minimum and df.rdd.getNumPartitions() < minimum else df
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A one-to-one scramble of 64-bit numbers (the splitmix64 finaliser)."""
     x = x + _GOLD
