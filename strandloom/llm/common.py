@@ -107,20 +107,21 @@ class Words:
         after[edge[edge > 0] - 1] = False
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, self.at)
-        self.hash = self._hashes()
+        self.hash = self.hashes(self.start, self.end)
 
     def __len__(self) -> int:
         return len(self.at) - 1
 
-    def _hashes(self) -> np.ndarray:
-        out, k = np.empty(len(self.start), np.uint64), 0
-        while k < len(self.start):
-            stop = max(k + 1, int(np.searchsorted(self.end, self.start[k] + _SEGMENT, "right")))
-            low, high = self.start[k], self.end[stop - 1]
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of non-empty byte ranges, given in order."""
+        out, k = np.empty(len(starts), np.uint64), 0
+        while k < len(starts):
+            stop = max(k + 1, int(np.searchsorted(ends, starts[k] + _SEGMENT, "right")))
+            low, high = starts[k], ends[stop - 1]
             up, down = _powers(int(high - low) + 1)
             sums = np.zeros(high - low + 1, np.uint64)
             np.cumsum(_CODES[self.data[low:high]] * up[: high - low], out=sums[1:])
-            a, b = self.start[k:stop] - low, self.end[k:stop] - low
+            a, b = starts[k:stop] - low, ends[k:stop] - low
             out[k:stop] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64) * _M2)
             k = stop
         return out

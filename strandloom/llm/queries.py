@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import exact_dedup, line_dedup, lm_score, mixing, near_dedup, quality_rules, sentencepiece_codec, toxicity
+from strandloom.llm import exact_dedup, license_scan, line_dedup, lm_score, mixing, near_dedup, pii, quality_rules, sentencepiece_codec, toxicity
 from strandloom.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -53,6 +53,14 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.summary(pii.detected(_documents(spark, sf_dir)))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scanned(_documents(spark, sf_dir)))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -61,5 +69,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_mixing": op7_mixing,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
+    "op10_license_scan": op10_license_scan,
 }
