@@ -39,7 +39,7 @@ def _bits(digests: np.ndarray) -> np.ndarray:
 
 
 def _matrix(digests: list[bytes]) -> np.ndarray:
-    wide = [(d + d * 4)[:16] if len(d) < 16 else d[:16] for d in digests]
+    wide = [(d * 16)[:16] for d in digests]
     return np.frombuffer(b"".join(wide), np.uint32).reshape(len(wide), 4)
 
 
