@@ -5,7 +5,8 @@ and LEAST_PAGES pages at least, is boilerplate there and goes from all of them.
 Built-in functions only. Pages are counted per (host, line) with map-side
 partial sums, so neither a large host nor a common line meets in one task. The
 boilerplate lines of one host are at most its mean number of lines a page
-divided by RATIO, whatever the host's size, so they travel as one small row.
+divided by RATIO, whatever the host's size, so they travel as one small row;
+a large host's pages meet them in as many parts as the host has shares.
 """
 
 from __future__ import annotations
@@ -13,11 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.common import BLANKS, checkpointed
+
 RATIO = 0.3
 LEAST_PAGES = 3
+#: A host with more than one in SHARES of all pages is split; there are at most SHARES such hosts.
+SHARES = 1000
 
 _HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
-_HIDDEN = (r"(?s)<!--.*?-->", r"(?is)<script\b.*?</script\s*>", r"(?is)<style\b.*?</style\s*>")
+_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _BREAKS = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 
@@ -29,9 +34,7 @@ def host_of(url: Column) -> Column:
 
 def text_of_html(html: Column) -> Column:
     """The text of a page, a line for each block element."""
-    text = html.cast("string")
-    for pattern in _HIDDEN:
-        text = F.regexp_replace(text, pattern, " ")
+    text = F.regexp_replace(html.cast("string"), _HIDDEN, " ")
     text = F.regexp_replace(F.regexp_replace(text, _BREAKS, "\n"), r"<[^>]*>", "")
     for name, plain in _ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(plain))
@@ -40,20 +43,15 @@ def text_of_html(html: Column) -> Column:
 
 def lines_of(text: Column) -> Column:
     """The lines of a text with blanks at their ends cut; lines without content are left out."""
-    cut = F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda line: F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
+    cut = F.transform(F.split(F.coalesce(text.cast("string"), F.lit("")), "\n"), lambda line: F.btrim(line, F.lit(BLANKS)))
     return F.filter(cut, lambda line: line != "")
 
 
-def frequencies(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pages by (host, line), and pages by host, of rows with host and lines."""
-    each = rows.select("host", F.explode(F.array_distinct("lines")).alias("line"))
-    return each.groupBy("host", "line").agg(F.count("*").alias("pages")), rows.groupBy("host").agg(F.count("*").alias("host_pages"))
-
-
-def boilerplate(rows: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(rows: DataFrame, by_host: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES) -> DataFrame:
     """One row per host with its number of pages and the array of its boilerplate lines."""
-    by_line, by_host = frequencies(rows)
-    common = by_line.where(F.col("pages") >= least).join(by_host, "host").where(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
+    each = rows.select("host", F.explode(F.array_distinct("lines")).alias("line"))
+    by_line = each.groupBy("host", "line").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+    common = by_line.join(by_host, "host").where(F.col("pages") > F.lit(ratio) * F.col("host_pages"))
     return by_host.join(common.groupBy("host").agg(F.collect_list("line").alias("common")), "host", "left")
 
 
@@ -68,7 +66,12 @@ def cleaned(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, id
     """
     content = text_of_html(F.col(text_col)) if html else F.col(text_col)
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), lines_of(content).alias("lines"))
-    sites = boilerplate(rows, ratio, least)
+    by_host = checkpointed(rows.groupBy("host").agg(F.count("*").alias("host_pages")))
+    share = F.lit(SHARES / max(1, by_host.agg(F.sum("host_pages")).first()[0] or 0)) * F.col("host_pages")
+    parts = F.broadcast(by_host.where(share > 1).select("host", F.ceil(share).alias("parts")))
+    sites = boilerplate(rows, by_host, ratio, least).join(parts, "host", "left")
+    sites = sites.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    rows = rows.join(parts, "host", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
     stay = F.filter("lines", lambda line: ~F.array_contains(F.col("common"), line))
-    out = rows.join(sites, "host").withColumn("stay", F.when(F.col("common").isNull(), F.col("lines")).otherwise(stay))
+    out = rows.join(sites, ["host", "part"]).withColumn("stay", F.when(F.col("common").isNull(), F.col("lines")).otherwise(stay))
     return out.select(F.col("id").alias(id_col), "host", "host_pages", F.size("lines").cast("long").alias("n_lines"), F.size("stay").cast("long").alias("n_kept"), F.array_join("stay", "\n").alias("text"))
