@@ -35,10 +35,12 @@ ROUNDS = 3
 #: Counts added to both sides of the ratio, and the part of the log ratio that a weight moves by.
 DAMPING, STEP, LEAF_STEP = 4.0, 0.4, 0.7
 BLOCK_DOCS = 8192
+#: Tokens that a task collects before it sends its requests.
+MOST_ASKED = 1 << 22
 
 END, START = np.uint64(0xE0D0E0D0E0D0E0D1), np.uint64(0x57A2757A2757A271)
 _BYTES = 2 << 20
-_TOKENS = 1 << 16
+_TOKENS, _SMALL = 1 << 16, 1 << 14
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -103,37 +105,40 @@ class Weights:
         self.narrow[row[~low] - FEATURES] += LEAF_STEP * step[~low]
 
 
-def _softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    np.exp(logits, out=logits)
-    logits /= logits.sum(1, keepdims=True)
-    return logits
+def _softmax(prior: np.ndarray, table: np.ndarray, rows: list[np.ndarray], spare: np.ndarray, out: np.ndarray) -> None:
+    """Into out: the softmax of the prior and the table's rows, summed. Log priors and damped log ratios stay far inside float range."""
+    out[:] = prior
+    for r in rows:
+        np.take(table, r, axis=0, out=spare[: len(r)], mode="clip")
+        out += spare[: len(r)]
+    np.exp(np.clip(out, -60, 60, out=out), out=out)
+    out /= out @ np.ones((CLASSES, 1), np.float32)
 
 
 def _predict(w: Weights, tokens: Tokens) -> Iterator[tuple[slice, list[np.ndarray], np.ndarray, list[np.ndarray], np.ndarray]]:
     """By batches of tokens: feature rows and class probabilities, feature rows and leaf probabilities within the true class."""
     wide, narrow = tokens.features()
+    spare = np.empty((_SMALL, CLASSES), np.float32)
     for low in range(0, len(tokens.hash), _TOKENS):
-        at = slice(low, low + _TOKENS)
+        at = slice(low, min(low + _TOKENS, len(tokens.hash)))
         kind = tokens.leaf[at] // CLASSES
-        rows = [f[at] for f in wide]
-        logits = w.wide[rows[0]]
-        for r in rows[1:]:
-            logits += w.wide[r]
-        logits += w.class_prior
-        leaf_rows = [f[at] * CLASSES + kind for f in narrow]
-        leaf_logits = w.leaf_prior[kind]
-        for r in leaf_rows:
-            leaf_logits += w.narrow[r]
-        yield at, rows, _softmax(logits), leaf_rows, _softmax(leaf_logits)
-
-
-def _sum_rows(rows: np.ndarray, p: np.ndarray, target: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    ordered = rows[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    expected[ordered[starts]] += np.add.reduceat(p[order], starts, axis=0)
-    observed += np.bincount(rows * CLASSES + target, minlength=observed.size).reshape(observed.shape)
+        rows, leaf_rows = [f[at] for f in wide], [f[at] * CLASSES + kind for f in narrow]
+        p, q = (np.empty((len(kind), CLASSES), np.float32) for _ in range(2))
+        for begin in range(0, len(kind), _SMALL):
+            part = slice(begin, begin + _SMALL)
+            _softmax(w.class_prior, w.wide, [r[part] for r in rows], spare, p[part])
+            _softmax(w.leaf_prior[kind[part]], w.narrow, [r[part] for r in leaf_rows], spare, q[part])
+        yield at, rows, p, leaf_rows, q
+
+
+def _add(rows: list[np.ndarray], p: np.ndarray, target: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> None:
+    """Add what the tokens observe and expect to tables of a row per class."""
+    by_class = np.ascontiguousarray(p.T, dtype=np.float64)
+    size = observed.shape[1]
+    for r in rows:
+        observed += np.bincount(target * size + r, minlength=observed.size).reshape(observed.shape)
+        for c in range(CLASSES):
+            expected[c] += np.bincount(r, by_class[c], size)
 
 
 _SUMS = [f"{kind}{c}" for kind in ("o", "e") for c in range(CLASSES)]
@@ -141,16 +146,15 @@ _SUMS = [f"{kind}{c}" for kind in ("o", "e") for c in range(CLASSES)]
 
 def _gradients(w) -> object:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, wanted = (np.zeros((FEATURES + LEAF_FEATURES * CLASSES, CLASSES)) for _ in range(2))
+        tables = [np.zeros((CLASSES, n)) for n in (FEATURES, LEAF_FEATURES * CLASSES) for _ in range(2)]
         for whole in batches:
             for batch in slices(whole, "text", _BYTES):
                 tokens = Tokens(batch.column(0))
                 for at, rows, p, leaf_rows, q in _predict(w.value, tokens):
                     kind, leaf = np.divmod(tokens.leaf[at], CLASSES)
-                    for r in rows:
-                        _sum_rows(r, p, kind, seen[:FEATURES], wanted[:FEATURES])
-                    for r in leaf_rows:
-                        _sum_rows(r, q, leaf, seen[FEATURES:], wanted[FEATURES:])
+                    _add(rows, p, kind, *tables[:2])
+                    _add(leaf_rows, q, leaf, *tables[2:])
+        seen, wanted = np.concatenate([tables[0], tables[2]], 1).T, np.concatenate([tables[1], tables[3]], 1).T
         row = np.flatnonzero(seen.any(1) | (wanted > 0).any(1))
         yield pa.RecordBatch.from_arrays([pa.array(row, pa.int32()), *(pa.array(t[row, c].astype(np.float32)) for t in (seen, wanted) for c in range(CLASSES))], names=["row", *_SUMS])
 
@@ -192,15 +196,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
 
 
 def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct tokens that each block's texts ask for."""
+    """The distinct tokens that each block's texts ask for, or some of them twice if a partition's blocks ask for very many."""
+    asked: dict[int, np.ndarray] = {}
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        for b, value in asked.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), b)), pa.array(value.view(np.int64))], names=["block", "token"])
+        asked.clear()
+
     for whole in batches:
-        for batch in slices(whole, "text", _BYTES * 8):
+        for batch in slices(whole, "text", _BYTES * 4):
             block = batch.column(0).to_numpy()
             tokens = Tokens(batch.column(1))
             owner = np.repeat(block, np.diff(tokens.first))
-            for b in np.unique(block):
-                value = np.unique(tokens.hash[owner == b]) if len(block) > 1 else np.unique(tokens.hash)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), b)), pa.array(value.view(np.int64))], names=["block", "token"])
+            for b in np.unique(block).tolist():
+                new = np.unique(tokens.hash if len(block) == 1 else tokens.hash[owner == b])
+                asked[b] = np.union1d(asked[b], new) if b in asked else new
+            if sum(map(len, asked.values())) > MOST_ASKED:
+                yield from sent()
+    yield from sent()
 
 
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", block_docs: int = BLOCK_DOCS) -> DataFrame:
@@ -214,8 +228,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
     blocks = max(1, -(-docs.count() // block_docs))
     key = F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).alias("block")
-    rows = docs.select(key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id")).repartition(blocks, "block")
-    asked = rows.select("block", "text").mapInArrow(_requests, "block long, token long").distinct()
+    rows = docs.select(key, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id")).repartition("block")
+    # All columns, so that the texts are dealt once for both uses.
+    asked = rows.mapInArrow(_requests, "block long, token long")
     known = asked.join(model.counts, "token").select("block", "token", "n")
     total, kinds = model.tokens, model.kinds
     sent = docs.sparkSession.sparkContext.broadcast(model.weights)
