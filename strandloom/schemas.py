@@ -1,0 +1,24 @@
+"""Schemas of the tables that sources give and operators take."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+_L, _I, _S, _D = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType()
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+GENOME = _struct(seq_id=_S, seq_ord=_I, length=_L, seq=T.BinaryType())
+WINDOW = _struct(seq_id=_S, strand=T.ByteType(), win_idx=_I, start=_L, seq=_S)
+#: Class probabilities by position: 0 intergenic, 1 to 3 coding by phase, 4 intron.
+CLASSES = ("p0", "p1", "p2", "p3", "p4")
+TRACK = _struct(seq_id=_S, strand=T.ByteType(), pos=_L, **dict.fromkeys(CLASSES, _D))
+GFF = _struct(line_no=_L, seqid=_S, source=_S, type=_S, start=_L, end=_L, score=_S, strand=_S, phase=_S, attributes=T.MapType(_S, _S))
+REGION = _struct(seq_id=_S, strand=T.ByteType(), region_start=_L, region_end=_L)
+SPAN = _struct(start=_L, end=_L)
+SCORED_SPAN = _struct(start=_L, end=_L, score=_D)
+GENE = _struct(seq_id=_S, strand=T.ByteType(), cds=T.ArrayType(SCORED_SPAN), introns=T.ArrayType(SPAN), cds_score=_D, first_cds=_L)
+SAMPLE = _struct(seq_id=_S, strand=T.ByteType(), win_idx=_I, seq=_S, **{n: T.ArrayType(T.ShortType()) for n in ("ann", "weight", "transition", "transition_mask", "phase")})
