@@ -1,6 +1,612 @@
-"""Queries over the provided tables, with the SQL that checks them."""
+"""Queries over the provided tables, one per operator, with the SQL that checks them."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandloom.functions import sequence as S
+from strandloom.operators import experts, genes, labels, metrics, packing, regions, runs, tiling
+from strandloom.plans import annotate as plan
+from strandloom.plans.scoring import CompositionScorer
+from strandloom.plans.views import DNA_SQL, FEATURES_SQL, SERIES_SQL, dna, features, probability_chunks, series, table
+from strandloom.sources import gff
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its name, with its SQL."""
+
+    def register(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLE_SQL[function.__name__] = sql
+        return function
+
+    return register
+
+
+_DNA = "dna AS (SELECT * FROM (" + DNA_SQL.replace("{flag}", ", 'g'").replace("{documents}", "documents") + ") WHERE length(seq) > 0)"
+_SERIES = "series AS (" + SERIES_SQL.replace("{events}", "events") + ")"
+_FEATURES = "features AS (" + FEATURES_SQL.replace("{lineitem}", "lineitem").replace("{orders}", "orders") + ")"
+
+WINDOW, FLANK = 240, 40
+
+# Sequence functions
+
+
+@query(f"WITH {_DNA} SELECT seq_id, length(seq) AS n, md5(reverse(translate(seq, 'ATGCatgc', 'TACGtacg'))) AS rc_md5 FROM dna")
+def q_revcomp(spark: SparkSession, d: str) -> DataFrame:
+    return dna(spark, d).select("seq_id", F.length("seq").cast("long").alias("n"), F.md5(S.reverse_complement(F.col("seq"))).alias("rc_md5"))
+
+
+@query("""
+    WITH letters AS (SELECT doc_id AS seq_id, regexp_replace(translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), '[^ACGTNMWRYKBSDHV]', '', 'g') AS s FROM documents WHERE text IS NOT NULL),
+    parts AS (SELECT *, length(regexp_replace(s, '[^NMWRYKBSDHV]', '', 'g')) / 4.0::DOUBLE AS q FROM letters)
+    SELECT seq_id, """ + ", ".join(f"length(regexp_replace(s, '[^{b}]', '', 'g')) + q AS w_{b.lower()}" for b in "ACGT") + " FROM parts")
+def q_onehot_counts(spark: SparkSession, d: str) -> DataFrame:
+    letters = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("seq_id"), F.regexp_replace(S.upper(F.col("text")), f"[^ACGT{S.AMBIGUOUS}]", "").alias("s"))
+    return letters.select("seq_id", *S.base_weights(F.col("s")))
+
+
+@query(f"""
+    WITH {_DNA} SELECT seq_id, left(seq, 3) = 'ATG' AS start_ok, right(seq, 3) IN ('TAA', 'TAG', 'TGA') AS stop_ok, length(seq) % 3 = 0 AS frame_ok,
+    right(seq, 3) = 'CAT' AS start_ok_reverse, left(seq, 3) IN ('TTA', 'CTA', 'TCA') AS stop_ok_reverse FROM dna""")
+def q_codon_checks(spark: SparkSession, d: str) -> DataFrame:
+    seq = F.col("seq")
+    return dna(spark, d).select("seq_id", S.starts_codon(seq).alias("start_ok"), S.stops_codon(seq).alias("stop_ok"), S.in_frame(seq).alias("frame_ok"), S.starts_codon(seq, True).alias("start_ok_reverse"), S.stops_codon(seq, True).alias("stop_ok_reverse"))
+
+
+@query("SELECT vec_id, i::INT AS i, CASE WHEN i % 2 = 0 THEN sin(vec_id * exp(-i * ln(10000.0::DOUBLE) / 8)) ELSE cos(vec_id * exp(-(i - 1) * ln(10000.0::DOUBLE) / 8)) END AS value FROM embeddings, range(8) t(i)")
+def q_positional_encoding(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "embeddings").select("vec_id", F.posexplode(S.positional_encoding(F.col("vec_id"), 8)).alias("i", "value"))
+    return rows
+
+
+# Tiling
+
+_TILES = f"""
+    {_DNA},
+    spans AS (SELECT seq_id, seq, length(seq) AS n, unnest(range(0, length(seq), {WINDOW})) AS start FROM dna),
+    tiles AS (SELECT seq_id, n, start, (start // {WINDOW})::INT AS win_idx, ceil(n / {WINDOW}.0)::INT AS n_win,
+        repeat('X', greatest(0, {FLANK} - start)) || substring(seq, greatest(start - {FLANK}, 0) + 1, least(start + {WINDOW + FLANK}, n) - greatest(start - {FLANK}, 0))
+        || repeat('X', greatest(0, start + {WINDOW + FLANK} - n)) AS tile FROM spans)"""
+
+
+@query(f"WITH {_TILES} SELECT seq_id, win_idx, start, md5(tile) AS tile_md5 FROM tiles")
+def q_tile_windows(spark: SparkSession, d: str) -> DataFrame:
+    return tiling.windows(dna(spark, d), WINDOW, FLANK).select("seq_id", "win_idx", "start", F.md5("seq").alias("tile_md5"))
+
+
+@query(f"WITH {_TILES} SELECT seq_id, n_win - 1 - win_idx AS win_idx, md5(reverse(translate(tile, 'ATGC', 'TACG'))) AS tile_md5 FROM tiles")
+def q_tile_reverse(spark: SparkSession, d: str) -> DataFrame:
+    both = tiling.both_strands(tiling.windows(dna(spark, d), WINDOW, FLANK), WINDOW)
+    return both.where("strand = -1").select("seq_id", "win_idx", F.md5("seq").alias("tile_md5"))
+
+
+@query(f"""
+    WITH {_TILES}, sides AS (SELECT seq_id, n, win_idx, n_win, unnest([1, -1]) AS strand FROM tiles),
+    raw AS (SELECT *, win_idx * {WINDOW} - CASE WHEN strand = -1 THEN n_win * {WINDOW} - n ELSE 0 END AS low FROM sides)
+    SELECT seq_id, strand::INT AS strand, win_idx, greatest(low, 0)::BIGINT AS first_pos, (least(low + {WINDOW}, n) - 1)::BIGINT AS last_pos FROM raw""")
+def q_unpad(spark: SparkSession, d: str) -> DataFrame:
+    both = tiling.both_strands(tiling.windows(dna(spark, d), WINDOW, FLANK), WINDOW)
+    low, high = tiling.kept_range(WINDOW)
+    return both.select("seq_id", F.col("strand").cast("int").alias("strand"), "win_idx", low.alias("first_pos"), high.alias("last_pos"))
+
+
+# Regions
+
+_BINS = f"""
+    {_DNA},
+    pos AS (SELECT seq_id, length(seq) AS n, unnest(range(0, length(seq))) AS pos FROM dna),
+    prob AS (SELECT seq_id, n, pos, CASE WHEN hot THEN 60 + pos % 30 ELSE pos % 4 END * 1.0::DOUBLE / (CASE WHEN hot THEN 1 ELSE 96 END + CASE WHEN hot THEN 60 + pos % 30 ELSE pos % 4 END) AS genic
+             FROM (SELECT *, ((pos // 150) * 7 + seq_id * 3) % 5 < 2 AS hot FROM pos)),
+    bins AS (SELECT seq_id, any_value(n) AS n, pos // 50 AS bin, avg(genic) AS mean, count(*) FILTER (genic > 0.5) AS n_high FROM prob GROUP BY seq_id, pos // 50)"""
+_ISLANDS = f"""
+    {_BINS},
+    edges AS (SELECT *, coalesce(lead(n_high) OVER w, 0) AS next_high, max(bin) OVER (PARTITION BY seq_id) AS last_bin FROM bins WINDOW w AS (PARTITION BY seq_id ORDER BY bin)),
+    good AS (SELECT *, bin - row_number() OVER (PARTITION BY seq_id ORDER BY bin) AS island FROM edges WHERE mean >= 0.1),
+    islands AS (SELECT seq_id, any_value(n) AS n, min(bin) AS a, max(bin) AS b, sum(n_high) AS high, arg_max(next_high, bin) AS closing, any_value(last_bin) AS last_bin FROM good GROUP BY seq_id, island)"""
+
+
+def _binned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    genome = dna(spark, d)
+    return regions.bins_of_chunks(probability_chunks(genome), ["seq_id"]), genome.select("seq_id", F.length("seq").cast("long").alias("length"))
+
+
+@query(f"WITH {_BINS} SELECT seq_id, bin, round(mean, 9) AS mean, n_high FROM bins")
+def q_bin_mean(spark: SparkSession, d: str) -> DataFrame:
+    return _binned(spark, d)[0].select("seq_id", "bin", F.round("mean", 9).alias("mean"), "n_high")
+
+
+@query(f"""
+    WITH {_ISLANDS} SELECT seq_id, a * 50 AS region_start, (CASE WHEN b = last_bin THEN n ELSE least((b + 2) * 50, n) END)::BIGINT AS region_end, b = last_bin AS is_open
+    FROM islands WHERE b = last_bin OR high + closing >= 1""")
+def q_regions(spark: SparkSession, d: str) -> DataFrame:
+    return regions.candidate_regions(*_binned(spark, d), ["seq_id"])
+
+
+@query(f"""
+    WITH {_SERIES}, bins AS (SELECT key, pos // 50 AS bin, avg(value / 100.0::DOUBLE) AS mean, count(*) FILTER (value / 100.0::DOUBLE > 0.9) AS n_high FROM series GROUP BY ALL)
+    SELECT key, bin, round(mean, 9) AS mean, n_high FROM bins WHERE mean >= 0.2 AND n_high >= 1""")
+def q_region_filter(spark: SparkSession, d: str) -> DataFrame:
+    track = series(spark, d).select("key", "pos", (F.col("value") / 100.0).alias("genic"))
+    return regions.bins(track, ["key"], most=0.9).where("mean >= 0.2 and n_high >= 1").select("key", "bin", F.round("mean", 9).alias("mean"), "n_high")
+
+
+@query(f"WITH {_SERIES} SELECT key, pos, round(sum(value) OVER (PARTITION BY key ORDER BY pos ROWS UNBOUNDED PRECEDING), 4) AS total FROM series")
+def q_prefix_sum(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window as W
+
+    order = W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    return series(spark, d).select("key", "pos", F.round(F.sum("value").over(order), 4).alias("total"))
+
+
+@query(f"WITH {_SERIES} SELECT key, pos // 50 AS bin, round(sum(value), 4) AS total, count(*) AS n FROM series GROUP BY ALL")
+def q_range_sum(spark: SparkSession, d: str) -> DataFrame:
+    return series(spark, d).groupBy("key", F.expr("pos div 50").alias("bin")).agg(F.round(F.sum("value"), 4).alias("total"), F.count("*").alias("n"))
+
+
+# Runs
+
+_GENES = f"""
+    {_SERIES},
+    genic AS (SELECT *, pos - row_number() OVER (PARTITION BY key ORDER BY pos) AS island FROM series WHERE {{kind}} <> 0),
+    owned AS (SELECT *, min(pos) OVER (PARTITION BY key, island) AS gene_start FROM genic)"""
+
+
+def _inner(kind: str, kinds: str) -> str:
+    return f"""
+    WITH {_GENES.replace("{kind}", kind)},
+    inner_runs AS (SELECT *, pos - row_number() OVER (PARTITION BY key, gene_start ORDER BY pos) AS part FROM owned WHERE {kind} IN ({kinds}))
+    SELECT key, gene_start, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM inner_runs GROUP BY key, gene_start, part"""
+
+
+@query("WITH " + _GENES.replace("{kind}", "class") + """ SELECT key, min(pos) AS start, max(pos) AS "end", count(*) AS n FROM owned GROUP BY key, island""")
+def q_gene_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.runs(series(spark, d), ["key"], F.col("class") != 0)
+
+
+@query(_inner("class", "1"))
+def q_cds_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.within_genes(series(spark, d), ["key"], [1])
+
+
+@query(_inner("class", "2"))
+def q_intron_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.within_genes(series(spark, d), ["key"], [2])
+
+
+@query(_inner("class4", "1, 2"))
+def q_exon_runs(spark: SparkSession, d: str) -> DataFrame:
+    return runs.within_genes(series(spark, d), ["key"], [1, 2], kind="class4")
+
+
+# Genes
+
+
+def _bases(spark: SparkSession, d: str) -> DataFrame:
+    rows = features(spark, d).select("gene_id", "child_no", "score", F.explode(F.sequence("start", "end")).alias("pos"))
+    phase = F.col("pos") % 3
+    p = [((F.col("pos") * k + F.col("gene_id")) % 100) / 100.0 for k in (3, 5, 7)]
+    return rows.withColumn("p", genes.phase_probability(phase, *p)).withColumn("base", F.when(F.col("pos") % 4 == 0, "a").otherwise("G"))
+
+
+_BASES = f"""
+    {_FEATURES},
+    bases AS (SELECT gene_id, child_no, unnest(range(start_pos, end_pos + 1)) AS pos FROM features),
+    scored AS (SELECT *, CASE pos % 3 WHEN 0 THEN ((pos * 3 + gene_id) % 100) / 100.0::DOUBLE WHEN 2 THEN ((pos * 7 + gene_id) % 100) / 100.0::DOUBLE ELSE ((pos * 5 + gene_id) % 100) / 100.0::DOUBLE END AS p FROM bases)"""
+
+
+@query(f"""
+    WITH {_BASES} SELECT gene_id, child_no, round(avg(p), 9) AS score, any_value(cds_score) AS cds_score, count(*) AS n
+    FROM scored JOIN (SELECT gene_id, round(avg(p), 9) AS cds_score FROM scored GROUP BY gene_id) USING (gene_id) GROUP BY gene_id, child_no""")
+def q_cds_score(spark: SparkSession, d: str) -> DataFrame:
+    each, whole = genes.coding_scores(_bases(spark, d), ["gene_id"], "child_no")
+    return each.join(whole, "gene_id").select("gene_id", "child_no", F.round("score", 9).alias("score"), F.round("cds_score", 9).alias("cds_score"), "n")
+
+
+@query(f"WITH {_BASES} SELECT gene_id, round(avg(CASE WHEN pos % 4 = 0 THEN 0 ELSE p END), 9) AS cds_score FROM scored GROUP BY gene_id")
+def q_cds_softmask(spark: SparkSession, d: str) -> DataFrame:
+    rows = _bases(spark, d).withColumn("p", genes.unmasked(F.col("base"), F.col("p")))
+    return genes.coding_scores(rows, ["gene_id"], "child_no")[1].select("gene_id", F.round("cds_score", 9).alias("cds_score"))
+
+
+@query(f"""
+    WITH {_FEATURES}, totals AS (SELECT gene_id, sum(end_pos - start_pos + 1)::BIGINT AS cds_length, sum(score * (end_pos - start_pos + 1)) / sum(end_pos - start_pos + 1) AS s, min(start_pos) AS first_cds, max(end_pos) AS last_cds FROM features GROUP BY gene_id)
+    SELECT gene_id, cds_length, round(s, 9) AS cds_score, first_cds, last_cds FROM totals WHERE cds_length >= 60 AND s >= 0.5 AND last_cds - first_cds + 1 >= 200""")
+def q_gene_filters(spark: SparkSession, d: str) -> DataFrame:
+    return genes.gene_filter(features(spark, d), ["gene_id"]).withColumn("cds_score", F.round("cds_score", 9))
+
+
+@query("""
+    SELECT c_custkey, CASE WHEN c_acctbal > 0 AND given <> 0 THEN given WHEN c_mktsegment = 'BUILDING' THEN 0.7 ELSE 0.65 END::DOUBLE AS least
+    FROM (SELECT *, CASE WHEN c_acctbal > 0 THEN c_custkey % 3 / 10.0 END AS given FROM customer)""")
+def q_lineage_threshold(spark: SparkSession, d: str) -> DataFrame:
+    given = F.when(F.col("c_acctbal") > 0, F.col("c_custkey") % 3 / 10.0)
+    lineage = F.when(F.col("c_mktsegment") == "BUILDING", "Mammalia").otherwise("Embryophyta")
+    return table(spark, d, "customer").select("c_custkey", genes.lineage_score(given, lineage).alias("least"))
+
+
+_GENE_ROWS = f"{_FEATURES}, gene_rows AS (SELECT gene_id, seq_id, strand, min(start_pos) AS first_cds, max(end_pos) AS last_cds FROM features GROUP BY ALL)"
+_NUMBERED = f"{_GENE_ROWS}, numbered AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY strand DESC, CASE WHEN strand = -1 THEN -place ELSE place END) AS gene_no FROM (SELECT *, first_cds * 100000 + gene_id AS place FROM gene_rows))"
+
+
+def _gene_rows(spark: SparkSession, d: str) -> DataFrame:
+    return features(spark, d).groupBy("gene_id", "seq_id", "strand").agg(F.min("start").alias("first_cds"), F.max("end").alias("last_cds"))
+
+
+def _numbered(spark: SparkSession, d: str) -> DataFrame:
+    # Genes may begin at one place here; the identifier tells them apart.
+    rows = _gene_rows(spark, d).withColumn("place", F.col("first_cds") * 100000 + F.col("gene_id"))
+    return genes.numbered(rows, first="place").drop("place")
+
+
+@query(f"WITH {_NUMBERED} SELECT seq_id, gene_id, gene_no FROM numbered")
+def q_gene_number(spark: SparkSession, d: str) -> DataFrame:
+    return _numbered(spark, d).select("seq_id", "gene_id", F.col("gene_no").cast("long").alias("gene_no"))
+
+
+_PHASES = """phases AS (SELECT *, row_number() OVER w AS part, CASE coalesce(sum(end_pos - start_pos + 1) OVER (PARTITION BY gene_id ORDER BY child_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS phase
+    FROM features WINDOW w AS (PARTITION BY gene_id ORDER BY child_no))"""
+
+
+@query(f"WITH {_FEATURES}, {_PHASES} SELECT gene_id, child_no, part, phase FROM phases")
+def q_cds_phase(spark: SparkSession, d: str) -> DataFrame:
+    return genes.cds_phases(features(spark, d), ["gene_id"], "child_no").select("gene_id", "child_no", F.col("part").cast("long").alias("part"), "phase")
+
+
+@query(f"""
+    WITH {_FEATURES} SELECT gene_id, child_no, CASE WHEN strand = -1 THEN 1000000 - end_pos ELSE start_pos + 1 END AS gff_start,
+    CASE WHEN strand = -1 THEN 1000000 - start_pos ELSE end_pos + 1 END AS gff_end FROM features""")
+def q_coord_flip(spark: SparkSession, d: str) -> DataFrame:
+    start, end = genes.to_forward(F.col("start"), F.col("end"), F.lit(1_000_000), F.col("strand"))
+    return features(spark, d).select("gene_id", "child_no", start.alias("gff_start"), end.alias("gff_end"))
+
+
+@query(f"""
+    WITH {_NUMBERED}, {_PHASES},
+    parts AS (SELECT p.*, n.gene_no, CASE WHEN p.strand = -1 THEN 1000000 - end_pos ELSE start_pos + 1 END AS a, CASE WHEN p.strand = -1 THEN 1000000 - start_pos ELSE end_pos + 1 END AS b,
+              p.seq_id || '_gene_' || gene_no AS gid FROM phases p JOIN numbered n USING (gene_id)),
+    lines AS (
+        SELECT any_value(seq_id) AS seq_id, gid, 'gene' AS type, min(a) AS a, max(b) AS b, any_value(strand) AS strand, '.' AS phase, 'ID=' || gid AS attributes FROM parts GROUP BY gid
+        UNION ALL SELECT any_value(seq_id), gid, 'mRNA', min(a), max(b), any_value(strand), '.', 'ID=' || gid || '.1;Parent=' || gid FROM parts GROUP BY gid
+        UNION ALL SELECT seq_id, gid, 'exon', a, b, strand, '.', 'ID=' || gid || '.1.exon' || part || ';Parent=' || gid || '.1' FROM parts
+        UNION ALL SELECT seq_id, gid, 'CDS', a, b, strand, phase::VARCHAR, 'ID=' || gid || '.1.cds' || part || ';Parent=' || gid || '.1' FROM parts)
+    SELECT concat_ws(chr(9), seq_id::VARCHAR, 'strandloom', type, a::VARCHAR, b::VARCHAR, '.', CASE WHEN strand = -1 THEN '-' ELSE '+' END, phase, attributes) AS value FROM lines""")
+def q_gff_rows(spark: SparkSession, d: str) -> DataFrame:
+    cds = genes.cds_phases(features(spark, d), ["gene_id"], "child_no").join(_numbered(spark, d).select("gene_id", "gene_no"), "gene_id")
+    cds = cds.select(F.col("seq_id").cast("string").alias("seq_id"), F.col("seq_id").alias("seq_ord"), F.lit(1_000_000).alias("length"), "strand", "gene_no", "start", "end", "part", "phase", F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("cds_score"))
+    return gff.to_lines(genes.gff_rows(cds)).select("value")
+
+
+@query("""
+    SELECT n_nationkey AS seq_id, strand::INT AS strand, count(s_suppkey) AS n FROM (SELECT n_nationkey, unnest([1, -1]) AS strand FROM nation)
+    LEFT JOIN supplier ON s_nationkey = n_nationkey AND strand = CASE WHEN s_acctbal > 4000 THEN 1 ELSE -1 END GROUP BY ALL""")
+def q_contig_outer(spark: SparkSession, d: str) -> DataFrame:
+    contigs = table(spark, d, "nation").select(F.col("n_nationkey").alias("seq_id"), F.lit(1).alias("length"))
+    found = table(spark, d, "supplier").select(F.col("s_nationkey").alias("seq_id"), F.when(F.col("s_acctbal") > 4000, 1).otherwise(-1).cast("byte").alias("strand"), "s_suppkey")
+    rows = genes.with_all_contigs(contigs, found)
+    return rows.groupBy("seq_id", F.col("strand").cast("int").alias("strand")).agg(F.count("s_suppkey").alias("n"))
+
+
+# GFF
+
+_GFF_LINES = """
+    lines AS (
+        SELECT o_orderkey * 10 AS line_no, concat_ws(chr(9), 'c' || (o_custkey % 40), 'src', 'gene', o_orderkey::VARCHAR, (o_orderkey + 500)::VARCHAR, '.', '+', '.', 'ID=g' || (o_orderkey % {genes}) || ';note=a=b;ID=g' || (o_orderkey % {genes})) AS value FROM orders
+        UNION ALL SELECT o_orderkey * 10 + 1, concat_ws(chr(9), 'c' || (o_custkey % 40), 'src', 'mRNA', o_orderkey::VARCHAR, (o_orderkey + 500)::VARCHAR, '.', '+', '.', 'ID=t' || o_orderkey || ';Parent=g' || (o_orderkey % {genes})) FROM orders
+        UNION ALL SELECT o_orderkey * 10 + 2, concat_ws(chr(9), 'c' || (o_custkey % 40), 'src', CASE WHEN o_orderkey % 3 = 0 THEN 'exon' WHEN o_orderkey % 3 = 1 THEN 'CDS' ELSE 'UTR' END, o_orderkey::VARCHAR, (o_orderkey + 90)::VARCHAR, '.', '+', '0', 'flag;Parent=t' || o_orderkey) FROM orders
+        UNION ALL SELECT o_orderkey * 10 + 3, CASE WHEN o_orderkey % 2 = 0 THEN '# ' || o_orderkey ELSE 'too' || chr(9) || 'short' END FROM orders)""".replace("{genes}", "700")
+
+
+def _gff_lines(spark: SparkSession, d: str) -> DataFrame:
+    o, tab = table(spark, d, "orders"), F.lit("\t")
+    key, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    contig = F.concat(F.lit("c"), (F.col("o_custkey") % 40).cast("string"))
+    gene = F.concat(F.lit("g"), (key % 700).cast("string"))
+
+    def line(kind, length: int, phase: str, attributes):
+        return F.concat_ws("\t", contig, F.lit("src"), kind, text, (key + length).cast("string"), F.lit("."), F.lit("+"), F.lit(phase), attributes)
+
+    part = F.when(key % 3 == 0, "exon").when(key % 3 == 1, "CDS").otherwise("UTR")
+    values = F.array(
+        line(F.lit("gene"), 500, ".", F.concat(F.lit("ID="), gene, F.lit(";note=a=b;ID="), gene)),
+        line(F.lit("mRNA"), 500, ".", F.concat(F.lit("ID=t"), text, F.lit(";Parent="), gene)),
+        line(part, 90, "0", F.concat(F.lit("flag;Parent=t"), text)),
+        F.when(key % 2 == 0, F.concat(F.lit("# "), text)).otherwise(F.concat(F.lit("too"), tab, F.lit("short"))),
+    )
+    return o.select(key, F.posexplode(values).alias("k", "value")).select((F.col("o_orderkey") * 10 + F.col("k")).alias("line_no"), "value")
+
+
+@query(f"""
+    WITH {_GFF_LINES} SELECT line_no, split_part(value, chr(9), 1) AS seqid, split_part(value, chr(9), 3) AS type, split_part(value, chr(9), 4)::BIGINT AS start, split_part(value, chr(9), 5)::BIGINT AS "end",
+    nullif(regexp_extract(split_part(value, chr(9), 9), '(^|;)ID=([^;]*)', 2), '') AS id, nullif(regexp_extract(value, 'note=([^;=]*)', 1), '') AS note, nullif(regexp_extract(value, 'Parent=([^;]*)', 1), '') AS parent
+    FROM lines WHERE value NOT LIKE '#%' AND len(string_split(value, chr(9))) >= 9""")
+def q_gff_parse(spark: SparkSession, d: str) -> DataFrame:
+    rows = gff.parse_lines(_gff_lines(spark, d))
+    return rows.select("line_no", "seqid", "type", "start", "end", *(F.try_element_at("attributes", F.lit(k)).alias(n) for k, n in (("ID", "id"), ("note", "note"), ("Parent", "parent"))))
+
+
+@query(f"""
+    WITH {_GFF_LINES},
+    rows AS (SELECT *, split_part(value, chr(9), 3) AS type, regexp_extract(value, 'ID=([^;]*)', 1) AS id, regexp_extract(value, 'Parent=([^;]*)', 1) AS parent FROM lines WHERE value NOT LIKE '#%' AND len(string_split(value, chr(9))) >= 9),
+    twice AS (SELECT id FROM rows WHERE type = 'gene' GROUP BY id HAVING count(*) > 1),
+    bad AS (SELECT line_no FROM rows WHERE type = 'gene' AND id IN (SELECT id FROM twice)
+            UNION ALL SELECT line_no FROM rows WHERE type = 'mRNA' AND parent IN (SELECT id FROM twice)
+            UNION ALL SELECT line_no FROM rows WHERE type IN ('exon', 'CDS') AND parent IN (SELECT id FROM rows WHERE type = 'mRNA' AND parent IN (SELECT id FROM twice)))
+    SELECT line_no, value FROM lines WHERE (value LIKE '#%' OR len(string_split(value, chr(9))) >= 9) AND line_no NOT IN (SELECT line_no FROM bad)""")
+def q_dup_gene_filter(spark: SparkSession, d: str) -> DataFrame:
+    return gff.without_repeated_genes(_gff_lines(spark, d))
+
+
+@query(f"""
+    WITH {_GFF_LINES}, rows AS (SELECT *, split_part(value, chr(9), 3) AS type, regexp_extract(value, 'ID=([^;]*)', 1) AS id, regexp_extract(value, 'Parent=([^;]*)', 1) AS parent FROM lines WHERE len(string_split(value, chr(9))) >= 9)
+    SELECT c.line_no, p.line_no AS parent_line FROM rows c JOIN rows p ON c.parent = p.id WHERE p.type = 'mRNA'""")
+def q_gff_children(spark: SparkSession, d: str) -> DataFrame:
+    rows = gff.parse_lines(_gff_lines(spark, d))
+    return gff.children(rows, rows.where("type = 'mRNA'")).select("line_no", "parent_line")
+
+
+# Labels
+
+
+@query(f"WITH {_FEATURES} SELECT gene_id, child_no, end_pos - start_pos + 1 AS length FROM features QUALIFY row_number() OVER (PARTITION BY gene_id ORDER BY end_pos - start_pos DESC, child_no) = 1")
+def q_longest_transcript(spark: SparkSession, d: str) -> DataFrame:
+    length = F.col("end") - F.col("start") + 1
+    return labels.longest_transcripts(features(spark, d), "gene_id", length, "child_no").select("gene_id", "child_no", length.alias("length"))
+
+
+@query(f"""
+    WITH RECURSIVE {_GENE_ROWS},
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY seq_id, strand ORDER BY gene_id) AS r FROM gene_rows),
+    fold AS (
+        SELECT seq_id, strand, gene_id, r, true AS accepted, last_cds AS until FROM ordered WHERE r = 1
+        UNION ALL SELECT o.seq_id, o.strand, o.gene_id, o.r, o.first_cds >= f.until, CASE WHEN o.first_cds >= f.until THEN o.last_cds ELSE f.until END
+        FROM fold f JOIN ordered o ON o.seq_id = f.seq_id AND o.strand = f.strand AND o.r = f.r + 1)
+    SELECT seq_id, strand::INT AS strand, gene_id, accepted FROM fold""")
+def q_overlap_accept(spark: SparkSession, d: str) -> DataFrame:
+    rows = labels.accepted(_gene_rows(spark, d), ["seq_id", "strand"], "first_cds", "last_cds", "gene_id")
+    return rows.select("seq_id", F.col("strand").cast("int").alias("strand"), "gene_id", "accepted")
+
+
+@query(f"""
+    WITH {_FEATURES},
+    marks AS (SELECT gene_id, unnest(range(min(start_pos), max(end_pos))) AS pos, 3 AS class, 0 AS r FROM features GROUP BY gene_id
+              UNION ALL SELECT gene_id, unnest(range(start_pos, end_pos)), 1, 1 FROM features
+              UNION ALL SELECT gene_id, unnest(range(start_pos, end_pos)), 2, 2 FROM features WHERE kind <> 'N'),
+    painted AS (SELECT gene_id, pos, arg_max(class, r) AS class FROM marks GROUP BY gene_id, pos)
+    SELECT gene_id, class, count(*) AS n, sum(pos)::BIGINT AS checksum FROM painted GROUP BY ALL""")
+def q_paint(spark: SparkSession, d: str) -> DataFrame:
+    parts = features(spark, d)
+    whole = parts.groupBy("gene_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    rows = labels.painted(whole, parts, parts.where("kind <> 'N'"), ["gene_id"])
+    return rows.groupBy("gene_id", "class").agg(F.count("*").alias("n"), F.sum("pos").alias("checksum"))
+
+
+@query(f"""
+    WITH {_FEATURES},
+    exons AS (SELECT *, lead(start_pos) OVER (PARTITION BY gene_id ORDER BY start_pos, child_no) AS after FROM features),
+    whole AS (SELECT gene_id, min(start_pos) AS a, max(end_pos) AS b FROM features GROUP BY gene_id),
+    coding AS (SELECT gene_id, min(start_pos) AS a, max(end_pos) AS b FROM features WHERE kind <> 'N' GROUP BY gene_id),
+    windows AS (SELECT gene_id, a - 1 AS x, a + 3 AS y, 16 AS value, 0 AS r FROM coding UNION ALL SELECT gene_id, b - 3, b + 1, 17, 1 FROM coding
+        UNION ALL SELECT gene_id, a - 1, a + 1, 18, 2 FROM whole UNION ALL SELECT gene_id, b - 1, b + 1, 19, 3 FROM whole
+        UNION ALL SELECT gene_id, end_pos - 1, end_pos + 2, 20, 4 FROM exons WHERE after IS NOT NULL UNION ALL SELECT gene_id, after - 2, after + 1, 21, 5 FROM exons WHERE after IS NOT NULL),
+    marks AS (SELECT gene_id, unnest(range(greatest(x, 0), y)) AS pos, value, r FROM windows)
+    SELECT gene_id, pos, arg_max(value, r) AS value FROM marks GROUP BY gene_id, pos""")
+def q_weights_last_writer(spark: SparkSession, d: str) -> DataFrame:
+    parts = features(spark, d)
+    whole = parts.groupBy("gene_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    windows = labels.transition_windows(whole, parts, parts.where("kind <> 'N'"), ["gene_id"], (16, 17, 18, 19, 20, 21))
+    return labels.last_written(windows, ["gene_id"]).select("gene_id", "pos", "value")
+
+
+@query(f"""
+    WITH {_FEATURES}, gaps AS (SELECT *, lead(start_pos) OVER (PARTITION BY gene_id ORDER BY start_pos, child_no) - end_pos AS gap FROM features)
+    SELECT gene_id, child_no, coalesce(gap BETWEEN 0 AND 30, false) AS short_intron, coalesce(gap < 0, false) AS overlap FROM gaps""")
+def q_error_masks(spark: SparkSession, d: str) -> DataFrame:
+    return labels.boundary_errors(features(spark, d), ["gene_id"]).select("gene_id", "child_no", "short_intron", "overlap")
+
+
+@query(f"""
+    WITH {_DNA}, parts AS (SELECT seq_id, i, substring(seq, i * 30 + 1, 10) AS s FROM dna, range(0, 4) t(i)),
+    spliced AS (SELECT seq_id, string_agg(s, '' ORDER BY i) AS s FROM parts GROUP BY seq_id)
+    SELECT seq_id, left(s, 3) <> 'ATG' AS bad_start, right(s, 3) NOT IN ('TAA', 'TAG', 'TGA') AS bad_stop, length(s) % 3 <> 0 AS bad_frame, length(s) AS cds_length FROM spliced""")
+def q_spliced_codons(spark: SparkSession, d: str) -> DataFrame:
+    parts = dna(spark, d).select("seq_id", "seq", F.explode(F.expr("sequence(0, 3)")).alias("start")).select("seq_id", "start", F.substring("seq", F.col("start") * 30 + 1, F.lit(10)).alias("seq"))
+    return labels.codon_errors(parts, ["seq_id"]).withColumn("cds_length", F.col("cds_length").cast("long"))
+
+
+@query(f"""
+    WITH {_FEATURES}, gaps AS (SELECT gene_id, end_pos + 1 AS start, lead(start_pos) OVER (PARTITION BY gene_id ORDER BY start_pos, child_no) - 1 AS "end" FROM features)
+    SELECT gene_id, start, "end" FROM gaps WHERE "end" >= start""")
+def q_intron_gap(spark: SparkSession, d: str) -> DataFrame:
+    return genes.introns(features(spark, d), ["gene_id"])
+
+
+@query(f"""
+    WITH {_SERIES}, steps AS (SELECT key, pos, class4 AS a, lead(class4) OVER (PARTITION BY key ORDER BY pos) AS b FROM series)
+    SELECT key, pos, CASE WHEN (a, b) IN ((0, 1), (1, 0), (1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)) THEN 1 ELSE 0 END AS transition FROM steps""")
+def q_state_transition(spark: SparkSession, d: str) -> DataFrame:
+    return labels.state_transitions(series(spark, d), ["key"], label="class4").select("key", "pos", "transition")
+
+
+@query(f"WITH {_SERIES}, steps AS (SELECT key, pos, weight AS a, lead(weight) OVER (PARTITION BY key ORDER BY pos) AS b FROM series) SELECT key, pos, CASE WHEN a <> 0 AND b <> 0 THEN 1 ELSE 0 END AS transition_mask FROM steps")
+def q_transition_mask(spark: SparkSession, d: str) -> DataFrame:
+    return labels.transition_mask(series(spark, d), ["key"]).select("key", "pos", "transition_mask")
+
+
+@query(f"""
+    WITH {_FEATURES}, bases AS (SELECT gene_id, child_no, strand, unnest(range(0, end_pos - start_pos + 1)) AS i, end_pos - start_pos + 1 AS n, child_no % 3 AS phase FROM features),
+    filled AS (SELECT *, ([0, 2, 1])[((CASE WHEN strand = -1 THEN n - 1 - i ELSE i END + CASE phase WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END) % 3) + 1] AS p FROM bases)
+    SELECT gene_id, child_no, string_agg(p::VARCHAR, '' ORDER BY i) AS phases FROM filled GROUP BY ALL""")
+def q_phase_fill(spark: SparkSession, d: str) -> DataFrame:
+    length = F.col("end") - F.col("start") + 1
+    index = F.sequence(F.lit(0).cast("long"), length - 1)
+    filled = F.transform(index, lambda i: labels.filled_phase(i, length, F.col("child_no") % 3, F.col("strand") == -1).cast("string"))
+    return features(spark, d).select("gene_id", "child_no", F.array_join(filled, "").alias("phases"))
+
+
+@query(f"""
+    WITH {_FEATURES}, sides AS (SELECT gene_id, sum(CASE WHEN kind = 'N' THEN end_pos - start_pos ELSE 0 END) AS u5, sum(CASE WHEN kind = 'R' THEN end_pos - start_pos ELSE 0 END) AS u3 FROM features GROUP BY gene_id),
+    totals AS (SELECT coalesce(sum(u5), 0) AS t5, coalesce(sum(u3), 0) AS t3, count(*) AS n FROM sides WHERE u5 > 0 AND u3 > 0)
+    SELECT CASE WHEN n = 0 THEN 500 ELSE trunc(t5 / n) END::BIGINT AS average_5, CASE WHEN n = 0 THEN 500 ELSE trunc(t3 / n) END::BIGINT AS average_3, n FROM totals""")
+def q_utr_average(spark: SparkSession, d: str) -> DataFrame:
+    length = F.col("end") - F.col("start")
+    rows = features(spark, d).select("gene_id", F.when(F.col("kind") == "N", length).otherwise(0).alias("utr_5"), F.when(F.col("kind") == "R", length).otherwise(0).alias("utr_3"))
+    return labels.average_utr(labels.utr_lengths(rows, ["gene_id"]))
+
+
+@query(f"WITH {_SERIES} SELECT key, pos // 4 AS win_idx, bool_or(class <> 0) AS genic, bool_or(weight <> 0) AS weighed, count(*) AS n FROM series GROUP BY ALL HAVING bool_or(class <> 0) AND bool_or(weight <> 0)")
+def q_window_discard(spark: SparkSession, d: str) -> DataFrame:
+    return labels.kept_windows(series(spark, d), ["key"], 4)
+
+
+# Metrics
+
+_TRUTH = "truth AS (SELECT doc_id, quality + toxic AS label, (n_chars % 3)::INT AS pred, doc_id % 5 AS weight FROM labels JOIN documents USING (doc_id))"
+
+
+def _truth(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", (F.col("n_chars") % 3).cast("int").alias("pred"))
+    return table(spark, d, "labels").join(docs, "doc_id").select("doc_id", (F.col("quality") + F.col("toxic")).alias("label"), "pred", (F.col("doc_id") % 5).alias("weight"))
+
+
+@query(f"WITH {_TRUTH} SELECT label, pred, count(*) AS n FROM truth WHERE weight <> 0 GROUP BY ALL")
+def q_confusion(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.confusion(_truth(spark, d), weight="weight")
+
+
+@query(f"WITH {_TRUTH} SELECT avg((label = pred)::INT::DOUBLE) AS accuracy, count(*) AS n FROM truth WHERE weight <> 0")
+def q_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.accuracy(metrics.confusion(_truth(spark, d), weight="weight"))
+
+
+_F1 = f"""{_TRUTH}, kept AS (SELECT * FROM truth WHERE weight <> 0), classes AS (SELECT label AS class FROM kept UNION SELECT pred FROM kept),
+    counts AS (SELECT class, (SELECT count(*) FROM kept WHERE label = class AND pred = class) AS tp, (SELECT count(*) FROM kept WHERE label <> class AND pred = class) AS fp, (SELECT count(*) FROM kept WHERE label = class AND pred <> class) AS fn FROM classes)"""
+
+
+@query(f"WITH {_F1} SELECT class, tp, fp, fn, 2.0::DOUBLE * tp / (2 * tp + fp + fn) AS f1 FROM counts")
+def q_f1(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.f1(metrics.confusion(_truth(spark, d), weight="weight"))
+
+
+@query(f"WITH {_F1} SELECT avg(2.0::DOUBLE * tp / (2 * tp + fp + fn)) AS macro_f1 FROM counts")
+def q_macro_f1(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.f1(metrics.confusion(_truth(spark, d), weight="weight")).agg(F.avg("f1").alias("macro_f1"))
+
+
+@query(f"""
+    WITH {_TRUTH}, p AS (SELECT *, (1 + doc_id % 97) / 100.0::DOUBLE AS p FROM truth), batches AS (SELECT doc_id // 32 AS batch, avg(-ln(p) * weight * (1 + label)) AS loss FROM p GROUP BY ALL)
+    SELECT round(avg(loss), 9) AS base, round(avg(loss) + 10 * avg(loss) + 10 * avg(loss), 9) AS total FROM batches""")
+def q_weighted_ce(spark: SparkSession, d: str) -> DataFrame:
+    rows = _truth(spark, d).withColumn("p", (1 + F.col("doc_id") % 97) / 100.0)
+    loss = metrics.weighted_cross_entropy(F.col("p"), F.col("weight"), 1 + F.col("label"))
+    mean = rows.groupBy(F.expr("doc_id div 32")).agg(loss.alias("loss")).agg(F.avg("loss").alias("loss"))
+    return mean.select(F.round("loss", 9).alias("base"), F.round(metrics.total_loss(F.col("loss"), F.col("loss"), F.col("loss")), 9).alias("total"))
+
+
+@query("""
+    WITH RECURSIVE epochs AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS epoch, value AS score FROM events),
+    fold AS (
+        SELECT key, epoch, score, score AS best, 0 AS streak, false AS stopped FROM epochs WHERE epoch = 1
+        UNION ALL SELECT e.key, e.epoch, e.score, CASE WHEN e.score > f.best + 0.5 THEN e.score ELSE f.best END, CASE WHEN e.score > f.best + 0.5 THEN 0 ELSE f.streak + 1 END,
+            f.stopped OR (e.score <= f.best + 0.5 AND f.streak + 1 >= 5)
+        FROM fold f JOIN epochs e ON e.key = f.key AND e.epoch = f.epoch + 1)
+    SELECT key, epoch, best, streak, stopped FROM fold""")
+def q_early_stop(spark: SparkSession, d: str) -> DataFrame:
+    scores = series(spark, d).select("key", (F.col("pos") + 1).alias("epoch"), F.col("value").alias("score"))
+    return metrics.early_stop(scores, 5, 0.5, ["key"]).select("key", "epoch", "best", "streak", "stopped")
+
+
+# Experts and packing
+
+_GATES = """
+    logits AS (SELECT vec_id, list_transform(range(0, 8), lambda b: list_sum(list_transform(embedding[b * 8 + 1:b * 8 + 8], lambda x: x::DOUBLE))) AS g, embedding FROM embeddings),
+    powers AS (SELECT *, list_transform(g, lambda x: exp(x - list_max(g))) AS p FROM logits),
+    gates AS (SELECT vec_id, embedding, list_transform(p, lambda x: x / list_sum(p)) AS gate FROM powers),
+    each AS (SELECT vec_id, i - 1 AS expert, gate[i] AS gate, row_number() OVER (PARTITION BY vec_id ORDER BY gate[i] DESC, i) AS r FROM gates, range(1, 9) t(i))"""
+
+
+def _gates(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    logits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.aggregate(F.slice(x, b * 8 + 1, 8), F.lit(0.0), lambda s, v: s + v))
+    return experts.softmax_column(table(spark, d, "embeddings").select("vec_id", x.alias("x"), logits.alias("g")), "g", "gate")
+
+
+@query(f"WITH {_GATES} SELECT vec_id, expert::INT AS expert, round(gate, 9) AS gate FROM each")
+def q_softmax(spark: SparkSession, d: str) -> DataFrame:
+    return _gates(spark, d).select("vec_id", F.posexplode("gate").alias("expert", "gate")).withColumn("gate", F.round("gate", 9))
+
+
+@query(f"WITH {_GATES} SELECT vec_id, (r - 1)::INT AS place, expert::INT AS expert, round(gate, 9) AS gate FROM each WHERE r <= 2")
+def q_topk_gate(spark: SparkSession, d: str) -> DataFrame:
+    rows = _gates(spark, d).select("vec_id", F.posexplode(experts.top_k(F.col("gate"))).alias("place", "t"))
+    return rows.select("vec_id", "place", F.col("t.expert").alias("expert"), F.round("t.gate", 9).alias("gate"))
+
+
+@query(f"""
+    WITH {_GATES}, picked AS (SELECT e.vec_id, e.gate, e.expert, embedding FROM each e JOIN gates g USING (vec_id) WHERE r <= 2),
+    parts AS (SELECT vec_id, k - 1 AS i, gate * (embedding[k]::DOUBLE * (expert + 1) + expert) AS y FROM picked, range(1, 65) t(k))
+    SELECT vec_id, i::INT AS i, round(sum(y), 7) AS y FROM parts GROUP BY ALL""")
+def q_moe_combine(spark: SparkSession, d: str) -> DataFrame:
+    out = experts.mixture(_gates(spark, d), "vec_id", "x", "gate", lambda x, e: F.transform(x, lambda v: v * (e + 1) + e))
+    return out.select("vec_id", F.posexplode("y").alias("i", "y")).withColumn("y", F.round("y", 7))
+
+
+@query(f"WITH {_GATES} SELECT vec_id, expert::INT AS best FROM each WHERE r = 1")
+def q_argmax(spark: SparkSession, d: str) -> DataFrame:
+    return _gates(spark, d).select("vec_id", S.argmax(F.col("gate")).alias("best"))
+
+
+_LPT_STEP = ", ".join(f"CASE WHEN list_position(f.loads, list_min(f.loads)) = {k} THEN f.loads[{k}] + o.size ELSE f.loads[{k}] END" for k in range(1, 6))
+
+
+@query(f"""
+    WITH RECURSIVE items AS (SELECT s_nationkey AS key, s_suppkey AS seq_ord, (s_suppkey * 7919 % 1000 + 1)::BIGINT AS size FROM supplier),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY size DESC, seq_ord) AS r, count(*) OVER (PARTITION BY key) AS n FROM items),
+    big AS (SELECT 9223372036854775807::BIGINT AS top),
+    fold AS (
+        SELECT key, seq_ord, size, r, 0 AS chunk_id, [size, CASE WHEN n >= 2 THEN 0 ELSE top END, CASE WHEN n >= 3 THEN 0 ELSE top END, CASE WHEN n >= 4 THEN 0 ELSE top END, CASE WHEN n >= 5 THEN 0 ELSE top END] AS loads FROM ordered, big WHERE r = 1
+        UNION ALL SELECT o.key, o.seq_ord, o.size, o.r, list_position(f.loads, list_min(f.loads)) - 1, [{_LPT_STEP}]
+        FROM fold f JOIN ordered o ON o.key = f.key AND o.r = f.r + 1)
+    SELECT key, seq_ord, size, chunk_id::INT AS chunk_id FROM fold""")
+def q_lpt_chunks(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("seq_ord"), (F.col("s_suppkey") * 7919 % 1000 + 1).alias("size"))
+    return packing.longest_first(items, 5, "size", "seq_ord", ["key"])
+
+
+@query("SELECT c_custkey AS item, list_sort(list_filter([c_custkey % 3, c_custkey % 5, c_custkey % 7], lambda x: x NOT IN (0, 1)))::VARCHAR AS rest FROM customer WHERE c_custkey % 3 <> c_custkey % 5 AND c_custkey % 5 <> c_custkey % 7 AND c_custkey % 3 <> c_custkey % 7")
+def q_set_difference(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = table(spark, d, "customer").where((k % 3 != k % 5) & (k % 5 != k % 7) & (k % 3 != k % 7))
+    rest = F.sort_array(F.array_except(F.array(k % 3, k % 5, k % 7), F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    return rows.select(k.alias("item"), F.concat(F.lit("["), F.array_join(rest.cast("array<string>"), ", "), F.lit("]")).alias("rest"))
+
+
+# Decoding and the whole plan: not for SQL; tests hold them against path enumeration and against each other
+
+
+def _genome(spark: SparkSession, d: str) -> DataFrame:
+    rows = dna(spark, d)
+    return rows.select("seq_id", F.col("seq_id").alias("seq_ord"), F.length("seq").cast("long").alias("length"), F.col("seq").cast("binary").alias("seq"))
+
+
+@query()
+def q_viterbi(spark: SparkSession, d: str) -> DataFrame:
+    from strandloom.operators import hmm
+
+    pieces = plan.predict(_genome(spark, d), CompositionScorer(), 4096, 128)
+    return hmm.annotate_regions(plan.candidates(pieces).withColumn("seq_id", F.col("seq_id").cast("string")), 12, 0.3, min_span=12)
+
+
+@query()
+def q_annotate(spark: SparkSession, d: str) -> DataFrame:
+    return plan.annotate(_genome(spark, d), CompositionScorer(), 4096, 128, min_cds_score=0.3, min_cds_length=30)
+
+
+@query()
+def q_write_gff(spark: SparkSession, d: str) -> DataFrame:
+    return gff.to_lines(q_annotate(spark, d)).select("seq_ord", "gene_no", "rank", "part", "value")

@@ -40,6 +40,6 @@ def mixture(tokens: DataFrame, key: str, x: str, gates: str, experts: Callable[[
     """
     picked = tokens.withColumn("__top", top_k(F.col(gates), k))
     parts = picked.withColumn("__parts", F.transform("__top", lambda t: F.transform(experts(F.col(x), t["expert"]), lambda v: v * t["gate"])))
-    width = F.sequence(F.lit(0), F.size(x) - 1)
-    y = F.transform(width, lambda i: F.aggregate(F.col("__parts"), F.lit(0.0), lambda s, part: s + F.get(part, i)))
+    zero = F.transform(x, lambda v: F.lit(0.0))
+    y = F.aggregate("__parts", zero, lambda total, part: F.zip_with(total, part, lambda a, b: a + b))
     return parts.select(key, y.alias("y"))

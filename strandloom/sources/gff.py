@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def attributes_of(text: Column) -> Column:
     """key=value pieces as a map: the value is what stands between the first and the second '='; of equal keys the last counts."""
     pieces = F.filter(F.split(text, ";"), lambda p: p.contains("="))
-    pairs = F.transform(pieces, lambda p: F.struct(F.split(F.trim(p), "=")[0].alias("key"), F.split(F.trim(p), "=")[1].alias("value")))
+    pairs = F.transform(pieces, lambda p: F.struct(F.split_part(F.trim(p), F.lit("="), F.lit(1)).alias("key"), F.split_part(F.trim(p), F.lit("="), F.lit(2)).alias("value")))
     last = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])) == 0)
     return F.map_from_entries(last)
 
@@ -19,8 +19,8 @@ def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
     cut = lines.where(~F.col(value).startswith("#")).select("line_no", F.split(F.trim(value), "\t").alias("c")).where("size(c) >= 9")
     c = F.col("c")
     names = ("seqid", "source", "type", "start", "end", "score", "strand", "phase")
-    fields = [c[k].cast("long" if n in ("start", "end") else "string").alias(n) for k, n in enumerate(names)]
-    return cut.select("line_no", *fields, attributes_of(c[8]).alias("attributes"))
+    fields = [F.get(c, F.lit(k)).try_cast("long" if n in ("start", "end") else "string").alias(n) for k, n in enumerate(names)]
+    return cut.select("line_no", *fields, attributes_of(F.get(c, F.lit(8))).alias("attributes"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
