@@ -190,28 +190,29 @@ def q_exon_runs(spark: SparkSession, d: str) -> DataFrame:
 def _bases(spark: SparkSession, d: str) -> DataFrame:
     rows = features(spark, d).select("gene_id", "child_no", "score", F.explode(F.sequence("start", "end")).alias("pos"))
     phase = F.col("pos") % 3
-    p = [((F.col("pos") * k + F.col("gene_id")) % 100) / 100.0 for k in (3, 5, 7)]
+    # Multiples of 1/128, so that sums are the same in any order.
+    p = [((F.col("pos") * k + F.col("gene_id")) % 128) / 128.0 for k in (3, 5, 7)]
     return rows.withColumn("p", genes.phase_probability(phase, *p)).withColumn("base", F.when(F.col("pos") % 4 == 0, "a").otherwise("G"))
 
 
 _BASES = f"""
     {_FEATURES},
     bases AS (SELECT gene_id, child_no, unnest(range(start_pos, end_pos + 1)) AS pos FROM features),
-    scored AS (SELECT *, CASE pos % 3 WHEN 0 THEN ((pos * 3 + gene_id) % 100) / 100.0::DOUBLE WHEN 2 THEN ((pos * 7 + gene_id) % 100) / 100.0::DOUBLE ELSE ((pos * 5 + gene_id) % 100) / 100.0::DOUBLE END AS p FROM bases)"""
+    scored AS (SELECT *, CASE pos % 3 WHEN 0 THEN ((pos * 3 + gene_id) % 128) / 128.0::DOUBLE WHEN 2 THEN ((pos * 7 + gene_id) % 128) / 128.0::DOUBLE ELSE ((pos * 5 + gene_id) % 128) / 128.0::DOUBLE END AS p FROM bases)"""
 
 
 @query(f"""
-    WITH {_BASES} SELECT gene_id, child_no, round(avg(p), 9) AS score, any_value(cds_score) AS cds_score, count(*) AS n
-    FROM scored JOIN (SELECT gene_id, round(avg(p), 9) AS cds_score FROM scored GROUP BY gene_id) USING (gene_id) GROUP BY gene_id, child_no""")
+    WITH {_BASES} SELECT gene_id, child_no, avg(p) AS score, any_value(cds_score) AS cds_score, count(*) AS n
+    FROM scored JOIN (SELECT gene_id, avg(p) AS cds_score FROM scored GROUP BY gene_id) USING (gene_id) GROUP BY gene_id, child_no""")
 def q_cds_score(spark: SparkSession, d: str) -> DataFrame:
     each, whole = genes.coding_scores(_bases(spark, d), ["gene_id"], "child_no")
-    return each.join(whole, "gene_id").select("gene_id", "child_no", F.round("score", 9).alias("score"), F.round("cds_score", 9).alias("cds_score"), "n")
+    return each.join(whole, "gene_id").select("gene_id", "child_no", "score", "cds_score", "n")
 
 
-@query(f"WITH {_BASES} SELECT gene_id, round(avg(CASE WHEN pos % 4 = 0 THEN 0 ELSE p END), 9) AS cds_score FROM scored GROUP BY gene_id")
+@query(f"WITH {_BASES} SELECT gene_id, avg(CASE WHEN pos % 4 = 0 THEN 0 ELSE p END) AS cds_score FROM scored GROUP BY gene_id")
 def q_cds_softmask(spark: SparkSession, d: str) -> DataFrame:
     rows = _bases(spark, d).withColumn("p", genes.unmasked(F.col("base"), F.col("p")))
-    return genes.coding_scores(rows, ["gene_id"], "child_no")[1].select("gene_id", F.round("cds_score", 9).alias("cds_score"))
+    return genes.coding_scores(rows, ["gene_id"], "child_no")[1].select("gene_id", "cds_score")
 
 
 @query(f"""
