@@ -52,7 +52,10 @@ ADDRESS = {"start": "off", "fade": {"on4": "on3", "on3": "on2", "on2": "on1", "o
 CLASSES = ("other", "insult", "threat", "target", "negation", "report", "quote")
 
 _TOKEN = re.compile(r"(?P<end>[.!?;:\n|]+)|(?P<quote>[\"“”«»„])|(?P<word>[^\W\d_]+(?:['’][^\W\d_]+)*)")
-_EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+#: The bytes that end a clause.
+_END = np.zeros(256, bool)
+_END[[ord(c) for c in ".!?;:\n|"]] = True
 
 
 def compose(*machines: dict) -> tuple[tuple, dict]:
@@ -83,16 +86,25 @@ class Lexicon:
         fixed = [(w, "threat", 3.0) for w in THREATS] + [(w, "target", 0.0) for w in TARGETS] + [(w, "negation", 0.0) for w in NEGATIONS] + [(w, "report", 0.0) for w in REPORTS]
         self.fixed = {w: (kind, weight) for w, kind, weight in fixed}
         self.entries = entries
+        #: How the words begin that an entry may fit, and those that may be a hit.
+        self.heads = {e.removeprefix("=")[: STEMS[0]] for e in entries}
+        self.loud = self.heads | {w[: STEMS[0]] for w in THREATS}
+
+    def hit(self, word: str) -> bool:
+        """Whether a lower-case word is an insult or a threat."""
+        return word[: STEMS[0]] in self.loud and self.read(word)[0] in ("insult", "threat")
 
     def read(self, word: str) -> tuple[str, float]:
         """A lower-case word's class and weight."""
+        if word[: STEMS[0]] not in self.heads:
+            return self.fixed.get(word, ("other", 0.0))
         weight = max([self.entries.get("=" + word, 0.0), *(self.entries.get(word[:k], 0.0) for k in STEMS if len(word) >= k)])
         return ("insult", weight) if weight > 0 else self.fixed.get(word, ("other", 0.0))
 
 
-def units(word: str) -> list[str]:
-    """What a word may enter the lexicon as: itself and its stems."""
-    return ["=" + word, *(word[:k] for k in STEMS if len(word) >= k)]
+def units(words: set[str]) -> set[str]:
+    """What a text's words may enter the lexicon as: themselves and their stems."""
+    return {"=" + w for w in words}.union(*({w[:k] for w in words if len(w) >= k} for k in STEMS))
 
 
 def clauses(text: str, lexicon: Lexicon) -> np.ndarray:
@@ -114,26 +126,37 @@ def clauses(text: str, lexicon: Lexicon) -> np.ndarray:
     return np.array([*most.values(), *np.log1p([*total.values()]), threat, np.log1p(matched + hit)])
 
 
-def _strip(raw: bytes) -> str:
-    return _EDGE.sub("", raw.decode("utf-8", "replace").lower())
-
-
 def _features(batch: pa.RecordBatch, lexicon: Lexicon) -> np.ndarray:
     """FEATURES of the texts in column 1; a text without an insult or a threat is all zeros.
 
-    Only distinct words of the batch are looked up; only texts with a hit are read as clauses.
+    Only distinct words of the batch are looked up, and only clauses with a hit
+    are read: others leave no outcome, and every clause begins anew.
     """
     words = Words(batch.column(1))
     _, first, back = np.unique(words.hash, return_index=True, return_inverse=True)
     raw = words.data.tobytes()
-    hits = np.zeros(len(first), bool)
+    loud = np.zeros(len(first), bool)
     for k, (a, b) in enumerate(zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)):
+        word = raw[a:b].decode("utf-8", "replace").lower()
         # A word may hold several runs of letters; each is read on its own.
-        hits[k] = any(lexicon.read(w)[0] in ("insult", "threat") for w in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", raw[a:b].decode("utf-8", "replace").lower()))
-    counts = np.concatenate([[0], np.cumsum(hits[back])]) if len(first) else np.zeros(len(words.hash) + 1)
+        loud[k] = lexicon.hit(word) if word.isalpha() else any(map(lexicon.hit, _LETTERS.findall(word)))
     out = np.zeros((len(words), len(FEATURES)))
-    for i in np.flatnonzero(counts[words.first[1:]] > counts[words.first[:-1]]):
-        out[i] = clauses(batch.column(1)[int(i)].as_py() or "", lexicon)
+    if not loud.any():
+        return out
+    hit = np.flatnonzero(loud[back])
+    owner = np.searchsorted(words.first, hit, "right") - 1
+    ends = np.concatenate([[-1], np.flatnonzero(_END[words.data]), [len(words.data)]])
+    low = np.maximum(ends[np.searchsorted(ends, words.start[hit]) - 1] + 1, words.at[owner])
+    high = np.minimum(ends[np.searchsorted(ends, words.end[hit])], words.at[owner + 1])
+    parts: dict[int, list[list[int]]] = {}
+    for i, a, b in zip(owner.tolist(), low.tolist(), high.tolist(), strict=True):
+        own = parts.setdefault(i, [])
+        if own and a < own[-1][1]:
+            own[-1][1] = max(b, own[-1][1])
+        else:
+            own.append([a, b])
+    for i, own in parts.items():
+        out[i] = clauses("\n".join(raw[a:b].decode("utf-8", "replace") for a, b in own), lexicon)
     return out
 
 
@@ -182,8 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         seen = (Counter(), Counter())
         for batch in batches:
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = set(re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", text.lower()))
-                seen[y].update({u for w in words for u in units(w)})
+                seen[y].update(units(set(_LETTERS.findall(text.lower()))))
         names = sorted(seen[0].keys() | seen[1].keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[n] for n in names], pa.int64()) for c in seen)], names=["unit", "n0", "n1"])
 
@@ -194,10 +216,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n0, n1 = total[0] + 1, total[1] + 1
     odds = F.log((F.col("n1") + 0.5) / n1) - F.log((F.col("n0") + 0.5) / n0)
     found = rows.mapInArrow(count, "unit string, n0 long, n1 long").groupBy("unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("odds", odds)
-    learned = found.where((F.col("n1") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc(F.col("odds") * F.col("n1")), "unit").limit(LEXICON_ENTRIES)
-    entries = {r["unit"]: float(r["odds"]) for r in learned.collect()}
-    against = {r["unit"] for r in found.where(F.col("unit").isin(list(prior))).where("n0 + n1 >= 4").select("unit").collect()}
-    entries = {w: p for w, p in prior.items() if w not in against} | entries
+    strong, fixed = (F.col("n1") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS), F.col("unit").isin(list(prior)) & (F.col("n0") + F.col("n1") >= 4)
+    picked = found.where(strong | fixed).orderBy(F.desc(fixed), F.desc(F.col("odds") * F.col("n1")), "unit").limit(LEXICON_ENTRIES + len(prior))
+    picked = picked.select("unit", "odds", strong.alias("strong"), fixed.alias("fixed")).collect()
+    learned = [(r["unit"], float(r["odds"])) for r in picked if r["strong"]]
+    against = {r["unit"] for r in picked if r["fixed"]}
+    entries = {w: p for w, p in prior.items() if w not in against} | dict(learned)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(entries)
