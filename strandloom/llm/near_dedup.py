@@ -122,13 +122,6 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
 
-def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Elements cut to 32 bits; a cut set never has fewer elements in common than the full one, but for clashes within a set."""
-    for batch in batches:
-        cut = [np.unique((np.frombuffer(e.as_buffer(), np.uint64) >> np.uint64(32)).astype(np.uint32)).tobytes() for e in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.binary())], names=["id", "short"])
-
-
 def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 8192) -> np.ndarray:
     """Sizes of the intersections of sets[rows] with sets[columns]."""
     member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -138,7 +131,7 @@ def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width
     member, element = member[keep], shared[element[keep]]
     order = np.argsort(element, kind="stable")
     member, element = member[order], element[order]
-    out = np.zeros((len(rows), len(columns)), np.float32)
+    out = np.zeros((len(rows), len(columns)))
     for low in range(0, int(element[-1]) + 1 if len(element) else 0, width):
         a, b = np.searchsorted(element, [low, low + width])
         has = np.zeros((len(sets), width), np.float32)
@@ -148,36 +141,35 @@ def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width
 
 
 def _cell(table: pa.Table) -> pa.Table:
-    """Of a cell's (query, member) pairs of different components, each query's most similar member per component, if near the threshold."""
-    ids, n, component, query = (table.column(c).to_numpy() for c in ("id", "n", "component", "query"))
-    sets = [np.frombuffer(e.as_buffer(), np.uint32) for e in table.column("short")]
+    """Of a cell's (query, member) pairs of different components, those that are similar on their full sets, one for each query and component.
+
+    Every pair is tested; the members of a component are linked already, so one link joins the query with all of them.
+    """
+    ids, component, query = (table.column(c).to_numpy() for c in ("id", "component", "query"))
+    sets = [np.frombuffer(e.as_buffer(), np.uint64) for e in table.column("elements")]
+    n = np.array([len(s) for s in sets])
     rows, columns = np.flatnonzero(query), np.flatnonzero(~query)
-    found: list[tuple[int, int]] = []
+    found: dict[tuple[int, int], int] = {}
     if len(rows) and len(columns):
         common = _common(sets, rows, columns)
         union = n[rows][:, None] + n[columns][None, :] - common
-        score = np.where(component[rows][:, None] == component[columns][None, :], -1.0, (common + 2) / np.maximum(union - 2, 1))
-        at, to = np.nonzero(score >= THRESHOLD / 100)
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for i, j in zip(at.tolist(), to.tolist(), strict=True):
-            key = i, int(component[columns[j]])
-            best[key] = max(best.get(key, (-1.0, 0)), (float(score[i, j]), j))
-        found = [(rows[i], columns[j]) for (i, _), (_, j) in best.items()]
-    x, y = ([f[k] for f in found] for k in (0, 1))
-    return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64()), "na": pa.array(n[x], pa.int64()), "nb": pa.array(n[y], pa.int64())})
-
-
-def _open_pairs(rows: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) near the threshold among a bucket's members of different components."""
+        similar = (100 * common >= THRESHOLD * union) & (component[rows][:, None] != component[columns][None, :])
+        for i, j in np.argwhere(similar).tolist():
+            found.setdefault((i, int(component[columns[j]])), j)
+    x, y = rows[[i for i, _ in found]], columns[list(found.values())]
+    return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64())})
+
+
+def _open_links(rows: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b), tested on the full sets, among a bucket's members of different components."""
     now = rows.join(links.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     parts = now.groupBy("band", "component").agg(F.count("*").alias("c"))
     still = parts.groupBy("band").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("kinds")).where("all > 2 and kinds > 1")
     still = still.select("band", F.col("main.component").alias("main"), F.ceil(F.col("all") / CELL).alias("across"), F.ceil((F.col("all") - F.col("main.c")) / CELL).alias("down"))
     left = now.join(still, "band").withColumn("h", F.xxhash64("id", "band"))
-    asks = left.where("component <> main").select("band", "id", "n", "component", F.lit(True).alias("query"), F.expr("pmod(h, down)").alias("i"), F.explode(F.expr("sequence(0L, across - 1)")).alias("j"))
-    held = left.select("band", "id", "n", "component", F.lit(False).alias("query"), F.explode(F.expr("sequence(0L, down - 1)")).alias("i"), F.expr("pmod(h, across)").alias("j"))
-    short = sets.mapInArrow(_short, "id long, short binary")
-    return asks.union(held).join(short, "id").groupBy("band", "i", "j").applyInArrow(_cell, "a long, b long, na long, nb long")
+    asks = left.where("component <> main").select("band", "id", "component", F.lit(True).alias("query"), F.expr("pmod(h, down)").alias("i"), F.explode(F.expr("sequence(0L, across - 1)")).alias("j"))
+    held = left.select("band", "id", "component", F.lit(False).alias("query"), F.explode(F.expr("sequence(0L, down - 1)")).alias("i"), F.expr("pmod(h, across)").alias("j"))
+    return asks.union(held).join(sets, "id").groupBy("band", "i", "j").applyInArrow(_cell, "a long, b long")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +202,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     edges = linked(rows.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")))
     links = components(edges)
-    edges = links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked(_open_pairs(rows.drop("hub"), links, sets)))
+    edges = links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_open_links(rows.drop("hub"), links, sets))
     links = components(edges)
 
     classes = able.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("many")).join(links, "node", "left")

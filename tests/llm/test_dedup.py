@@ -107,6 +107,36 @@ def test_cells_lose_no_pair(spark, monkeypatch):
     test_near_groups_in_a_family_around_the_threshold(spark)
 
 
+@pytest.mark.parametrize("query, decoy, link", [(9, (6, 0), (9, 3)), (395, (296, 0), (395, 131))], ids=["short", "long"])
+def test_cell_finds_a_link_beside_a_decoy_of_another_length(query, decoy, link):
+    """Sets of (shared with the query, own) elements: the decoy just misses the threshold, the other member of its component reaches it."""
+    import pyarrow as pa
+
+    own = [np.arange(query), np.r_[: decoy[0], 10_000 : 10_000 + decoy[1]], np.r_[: link[0], 20_000 : 20_000 + link[1]]]
+    table = pa.table({
+        "band": [1] * 3, "id": [5, 6, 7], "component": [5, 6, 6], "query": [True, False, False],
+        "elements": [s.astype(np.uint64).tobytes() for s in own],
+    })
+    got = near_dedup._cell(table)
+    assert list(zip(got["a"].to_pylist(), got["b"].to_pylist(), strict=True)) == [(5, 7)]
+
+
+def test_near_groups_of_families_of_different_lengths(spark):
+    rng = np.random.default_rng(11)
+    data = []
+    for family in range(6):
+        base = [f"f{family}w{k}" for k in range(60)]
+        for _ in range(60):
+            own = base[: int(rng.integers(42, 61))]
+            for at in rng.choice(len(own), int(rng.integers(0, 3)), replace=False):
+                own[at] = f"e{len(data)}_{at}"
+            data.append((len(data), " ".join(own)))
+    wanted = brute_components(sets(data))
+    got = near_dedup.groups(spark.createDataFrame(data, "doc_id long, text string").repartition(5)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == wanted
+    assert 6 < len(set(wanted.values())) < 360
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 60, 400, 5000])
 def test_sketch_fills_every_coordinate_and_estimates_similarity(n):
     rng = np.random.default_rng(n)
