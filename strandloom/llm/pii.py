@@ -1,14 +1,16 @@
 """Personal data: patterned identifiers, and terms that give them away.
 
 Emails, addresses, card and phone numbers are found by their patterns; these are
-the protected entities. Over the corpus, words near an entity are counted with
-it: a term discloses an entity if nearly all documents with the term have the
-entity, in several different texts, and knowing the term raises the entity's
-probability by LEAST_BITS bits. Such terms are spans too, wherever they stand,
-and are generalised, or removed above REMOVE_BITS.
-
-Candidates are terms that meet one entity in LEAST_TEXTS texts. A filter of fixed
-size tells tasks which words may be one; counts and joins behind it are exact.
+the protected entities. Over the corpus, the terms of whole texts are counted
+with each entity and with each kind of entity, a text and its exact copies once.
+A term discloses an entity, or that there is one of its kind, if nearly all texts
+with the term have it and knowing the term raises its probability by LEAST_BITS
+bits. Shares are drawn to the entity's share of all texts by SMOOTHING texts, so
+a single text proves nothing. Such terms are spans too, wherever they stand, and
+are generalised, or removed above REMOVE_BITS.
+
+A filter of fixed size tells tasks which words may be candidates, and which texts
+may be copies; counts and joins behind it are exact.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import Words, checkpointed, slices
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Words on either side of an entity that may disclose it.
-NEAR = 8
-LEAST_TEXTS, LEAST_SHARE, LEAST_BITS, REMOVE_BITS = 5, 0.9, 4.0, 16.0
+LEAST_SHARE, LEAST_BITS, REMOVE_BITS = 0.9, 4.0, 16.0
+#: Texts that the share of an entity in all texts counts as, beside those with a term.
+SMOOTHING = 0.2
 FILTER_BITS = 1 << 21
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -97,49 +99,42 @@ def _value(kind: int, text: str) -> int:
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: its entities, and the distinct (term, entity) pairs near them."""
+    """Per text: its entities, their values, and the distinct terms of a text that has entities, those inside an entity left out."""
     for whole in batches:
         for batch in slices(whole, "text"):
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(3).to_pylist()
             spans = [entities(t) for t in texts]
             some = [i for i, s in enumerate(spans) if s]
-            pairs: list[list[dict]] = [[] for _ in texts]
+            terms: list[np.ndarray | list] = [[] for _ in texts]
             known: list[list[int]] = [[] for _ in texts]
             if some:
                 words = Words(pa.array([texts[i] for i in some], pa.string()))
                 start, end, value = _terms(words)
                 for k, i in enumerate(some):
                     low, high = words.first[k], words.first[k + 1]
-                    seen = set()
-                    marks = [(len(texts[i][:a].encode()) + words.at[k], len(texts[i][:b].encode()) + words.at[k]) for _, a, b in spans[i]]
                     free = value[low:high].copy()
-                    for a, b in marks:
-                        free[(end[low:high] > a) & (start[low:high] < b)] = 0
-                    for (kind, x, y), (a, b) in zip(spans[i], marks, strict=True):
-                        entity = _value(kind, texts[i][x:y])
-                        left, right = np.searchsorted(start[low:high], a), np.searchsorted(start[low:high], b)
-                        near = np.concatenate([free[max(0, left - NEAR) : left], free[right : right + NEAR]])
-                        seen.update((int(t), entity) for t in np.unique(near[near != 0]).view(np.int64))
-                    pairs[i] = [{"term": t, "entity": e} for t, e in sorted(seen)]
+                    for _, x, y in spans[i]:
+                        a, b = (len(texts[i][:c].encode()) + words.at[k] for c in (x, y))
+                        free[np.searchsorted(end[low:high], a, "right") : np.searchsorted(start[low:high], b)] = 0
+                    terms[i] = np.unique(free[free != 0]).view(np.int64)
                     known[i] = sorted({_value(kind, texts[i][x:y]) for kind, x, y in spans[i]})
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
+                    *(batch.column(c) for c in range(3)),
                     pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in x] for x in spans], pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))),
                     pa.array(known, pa.list_(pa.int64())),
-                    pa.array(pairs, pa.list_(pa.struct([("term", pa.int64()), ("entity", pa.int64())]))),
+                    pa.array(terms, pa.list_(pa.int64())),
                 ],
-                names=["id", "key", "spans", "known", "pairs"],
+                names=["id", "key", "digest", "spans", "known", "terms"],
             )
 
 
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
-def _filter(terms: DataFrame) -> np.ndarray:
+def _filter(terms: DataFrame, column: str = "term") -> np.ndarray:
     """A filter of the terms; FILTER_BITS bits come to the driver, never more."""
-    at = F.pmod("term", F.lit(FILTER_BITS))
+    at = F.pmod(column, F.lit(FILTER_BITS))
     words = terms.select(at.alias("at")).groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at % 64 as int)))").alias("bits")).toPandas()
     out = np.zeros(FILTER_BITS // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
@@ -152,13 +147,36 @@ def _maybe(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, bits): the terms that disclose an entity, of rows (id, key, text) and their findings."""
+    """(term, bits): the terms that disclose an entity or a kind, of rows (digest, text) and their findings; rows of one digest count once."""
     spark = rows.sparkSession
-    counts = found.select("key", F.explode("pairs").alias("p")).groupBy("p.term", "p.entity").agg(F.count("*").alias("n"), F.countDistinct("key").alias("texts")).where(F.col("texts") >= LEAST_TEXTS)
-    counts = checkpointed(counts)
+    total = found.agg(F.countDistinct("digest")).first()[0]
+    have = found.where("size(known) > 0").groupBy("digest").agg(F.first(F.struct("spans", "known", "terms")).alias("r")).select("digest", "r.*")
+    have = checkpointed(have)
+
+    def rare(entities: DataFrame) -> DataFrame:
+        """How many texts have an entity, where that leaves LEAST_BITS bits to learn."""
+        return entities.groupBy("entity").agg(F.count("*").alias("with")).where(F.col("with") * 2**LEAST_BITS <= total)
+
+    # One text's share stays below LEAST_SHARE, so values and terms of one text need no count.
+    values = have.select("digest", F.explode("known").alias("entity"))
+    values = values.join(rare(values).where("with > 1"), "entity").join(have.select("digest", "terms"), "digest").select(F.explode("terms").alias("term"), "entity", "with")
+    kinds = have.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["kind"]))).alias("entity"), "terms")
+    kinds = kinds.join(F.broadcast(rare(kinds)), "entity").select(F.explode("terms").alias("term"), F.col("entity").cast("long"), "with")
+    counts = checkpointed(values.groupBy("term", "entity", "with").agg(F.count("*").alias("n")).union(kinds.groupBy("term", "entity", "with").agg(F.count("*").alias("n"))).where("n > 1"))
     if counts.isEmpty():
         return spark.createDataFrame([], "term long, bits double")
     bits = spark.sparkContext.broadcast(_filter(counts.select("term").distinct()))
+    copies = spark.sparkContext.broadcast(_filter(found.groupBy("digest").count().where("count > 1"), "digest"))
+
+    def dealt(again: bool):
+        """Rows that may, or cannot, have copies."""
+
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.mod(batch.column(0).to_numpy(), FILTER_BITS)
+                yield batch.filter(pa.array(((copies.value[at >> 6] >> (at & 63)) & 1).astype(bool) == again))
+
+        return rows.mapInArrow(pick, "digest long, text string")
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -166,17 +184,20 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
                 words = Words(batch.column(0))
                 value = _terms(words)[2]
                 hit = np.flatnonzero(_maybe(bits.value, value))
-                owner = np.searchsorted(words.first, hit, "right") - 1
-                pairs = np.unique(np.stack([owner.astype(np.int64), value[hit].view(np.int64)]), axis=1)
-                term, n = np.unique(pairs[1], return_counts=True)
+                owner, term = np.searchsorted(words.first, hit, "right") - 1, value[hit]
+                order = np.lexsort((owner, term))
+                owner, term = owner[order], term[order]
+                new = np.ones(len(term), bool)
+                new[1:] = (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])
+                term, n = np.unique(term[new].view(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(term, pa.int64()), pa.array(n, pa.int64())], names=["term", "docs"])
 
-    docs = rows.select("text").mapInArrow(frequency, "term long, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
-    per_entity = found.select(F.explode("known").alias("entity")).groupBy("entity").agg(F.count("*").alias("with"))
-    total = found.count()
-    joined = counts.join(docs, "term").where(F.col("n") >= LEAST_SHARE * F.col("docs")).join(per_entity, "entity")
-    gain = F.log2(F.col("n") / F.col("docs") * F.lit(float(total)) / F.col("with"))
-    return checkpointed(joined.groupBy("term").agg(F.max(gain).alias("bits")).where(F.col("bits") >= LEAST_BITS))
+    alone, again = dealt(False).select("text"), dealt(True).groupBy("digest").agg(F.first("text").alias("text")).select("text")
+    docs = alone.mapInArrow(frequency, "term long, docs long").union(again.mapInArrow(frequency, "term long, docs long")).groupBy("term").agg(F.sum("docs").alias("docs"))
+    base = F.col("with") / F.lit(float(total))
+    share = (F.col("n") + SMOOTHING * base) / (F.col("docs") + SMOOTHING)
+    joined = counts.join(docs, "term").where(share >= LEAST_SHARE)
+    return checkpointed(joined.groupBy("term").agg(F.max(F.log2(share / base)).alias("bits")).where(F.col("bits") >= LEAST_BITS))
 
 
 def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,9 +211,9 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("key"), text.alias("text"))
-    found = checkpointed(rows.mapInArrow(_find, f"id {kind}, key long, spans {_SPANS}, known array<long>, pairs array<struct<term:long,entity:long>>"))
-    terms = disclosing(rows.select("text"), found)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("key"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    found = checkpointed(rows.mapInArrow(_find, f"id {kind}, key long, digest long, spans {_SPANS}, known array<long>, terms array<long>"))
+    terms = disclosing(rows.select("digest", "text"), found)
     base = found.select("id", "key", "spans")
     if terms.isEmpty():
         return base.select(F.col("id").alias(id_col), "key", "spans", F.expr("cast(array() as array<double>)").alias("bits"))
