@@ -1,12 +1,14 @@
 """Licence notices: winnowed fingerprints pick candidates, banded alignment measures them.
 
 Templates are cut into runs of K words, hashed, and winnowed: of every WINDOW
-consecutive runs the least hash stays. These fingerprints are an inverted index
-from hash to (template, position), as large as the template list, which is
-bounded. A text looks up all its runs, so any text that holds a template, or
-WINDOW + K - 1 of its words in a row, hits the index. Hits of a template that
-lie within a band of diagonals are one candidate, and a local alignment of the
-template with the text inside that band gives the matched words and the span.
+consecutive runs the least hash stays. Templates of up to WINDOW + K - 1 words
+keep all their runs, and all pairs of words, so that one changed word hides
+none. These fingerprints are an inverted index from hash to (template,
+position), as large as the template list, which is bounded. A text looks up all
+its runs and pairs, so any text that holds a template, or WINDOW + K - 1 of its
+words in a row, hits the index. A local alignment of the template with the text
+in a band around a hit's diagonal gives the matched words and the span; the
+text on either side is aligned again until no hit is left.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import Words, mix, slices
 
 K, WINDOW, BAND = 3, 4, 8
+#: Words of the runs that short templates are indexed by besides.
+PAIR = 2
 #: Least share of a template's words that a match has, and least words.
 COVERAGE, LEAST_WORDS = 0.75, 3
 #: Most words over all templates: the index goes to every task.
@@ -71,10 +75,10 @@ class Normal:
         self.first = np.searchsorted(start, words.at)
         self.data, self.at = words.data, words.at
 
-    def runs(self) -> np.ndarray:
-        """A hash for the K words from each position; the last K - 1 of a text run into the next one."""
-        n = len(self.hash) - K + 1
-        return mix(sum((self.hash[k : n + k] * _ODD[k] for k in range(K)), start=np.uint64(0))) if n > 0 else np.zeros(0, np.uint64)
+    def runs(self, many: int = K) -> np.ndarray:
+        """A hash for the `many` words from each position; the last many - 1 of a text run into the next one."""
+        n = len(self.hash) - many + 1
+        return mix(sum((self.hash[k : n + k] * _ODD[k] for k in range(many)), start=np.uint64(0))) if n > 0 else np.zeros(0, np.uint64)
 
 
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -94,12 +98,15 @@ class Index:
         if len(words.hash) > MOST_TEMPLATE_WORDS:
             raise ValueError(f"templates have {len(words.hash)} words; {MOST_TEMPLATE_WORDS} are allowed")
         self.words = [words.hash[words.first[i] : words.first[i + 1]] for i in range(len(self.names))]
-        runs, rows = words.runs(), []
+        runs, pairs, rows = words.runs(), words.runs(PAIR), []
         for i, own in enumerate(self.words):
             if len(own) < K:
                 raise ValueError(f"template {self.names[i]} has under {K} words")
             low = words.first[i]
-            rows += [(int(runs[low + p]), i, int(p)) for p in winnow(runs[low : low + len(own) - K + 1])]
+            short = len(own) <= WINDOW + K - 1
+            rows += [(int(runs[low + p]), i, int(p)) for p in (range(len(own) - K + 1) if short else winnow(runs[low : low + len(own) - K + 1]))]
+            if short and len(own) > LEAST_WORDS:
+                rows += [(int(pairs[low + p]), i, p) for p in range(len(own) - PAIR + 1)]
         rows.sort()
         self.hash = np.array([r[0] for r in rows], np.uint64)
         self.template, self.place = (np.array([r[k] for r in rows]) for k in (1, 2))
@@ -129,22 +136,33 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return best[1:]
 
 
+def occurrences(template: np.ndarray, text: np.ndarray, places: np.ndarray, diagonals: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(matched, start, end) of all matches of a template near its hits; none overlaps another."""
+    order = np.argsort(diagonals, kind="stable")
+    todo = [(0, len(text), places[order], diagonals[order])]
+    while todo:
+        low, high, at, near = todo.pop()
+        matched, start, end = align(template, text[low:high], int(near[0]) - low)
+        if matched >= max(LEAST_WORDS, COVERAGE * len(template)):
+            yield matched, low + start, low + end
+            parts = [(low, low + start, np.ones(len(at), bool)), (low + end, high, np.ones(len(at), bool))]
+        else:
+            parts = [(low, high, near != near[0])]
+        for a, b, left in parts:
+            left &= (at < b) & (at + K > a)
+            if left.any() and b - a >= LEAST_WORDS:
+                todo.append((a, b, at[left], near[left]))
+
+
 def matches(words: Normal, index: Index, i: int, hits: np.ndarray, entry: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(template, matched, start, end in the text's words) of text i, the better of overlapping ones only."""
     text = words.hash[words.first[i] : words.first[i + 1]]
     found = []
-    template, diagonal = index.template[entry], hits - words.first[i] - index.place[entry]
-    order = np.lexsort((diagonal, template))
-    last = (-1, 0)
-    for k in order:
-        here = int(template[k]), int(diagonal[k])
-        if here[0] == last[0] and here[1] - last[1] <= BAND:
-            continue
-        last = here
-        own = index.words[here[0]]
-        matched, start, end = align(own, text, here[1])
-        if matched >= max(LEAST_WORDS, COVERAGE * len(own)):
-            found.append((matched / len(own) >= 1, matched, matched / len(own), here[0], start, end))
+    template, place = index.template[entry], hits - words.first[i]
+    diagonal = place - index.place[entry]
+    for name in np.unique(template).tolist():
+        own, mine = index.words[name], template == name
+        found += [(m >= len(own), m, m / len(own), name, start, end) for m, start, end in occurrences(own, text, place[mine], diagonal[mine])]
     kept: list[tuple[int, int, int, int]] = []
     for _, matched, _, name, start, end in sorted(found, key=lambda f: (-f[0], -f[1], -f[2], f[3], f[4])):
         if all(end <= a or start >= b for _, _, a, b in kept):
@@ -170,22 +188,23 @@ def scanned(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str
         for whole in batches:
             for batch in slices(whole, "text"):
                 words = Normal(batch.column(1))
-                runs = words.runs()
-                low = np.searchsorted(index.hash, runs)
-                hit = np.flatnonzero(index.hash[np.minimum(low, len(index.hash) - 1)] == runs)
+                hits, entries = [], []
+                for many in (K, PAIR):
+                    runs = words.runs(many)
+                    low, high = np.searchsorted(index.hash, runs), np.searchsorted(index.hash, runs, "right")
+                    hit = np.flatnonzero(high > low)
+                    hit = hit[hit + many <= words.first[np.searchsorted(words.first, hit, "right")]]
+                    each = high[hit] - low[hit]
+                    hits.append(np.repeat(hit, each))
+                    entries.append(np.repeat(low[hit] - np.cumsum(each) + each, each) + np.arange(each.sum()))
+                hit, entry = np.concatenate(hits), np.concatenate(entries)
                 owner = np.searchsorted(words.first, hit, "right") - 1
-                inside = hit + K <= words.first[owner + 1]
-                hit, owner = hit[inside], owner[inside]
+                order = np.argsort(owner, kind="stable")
+                hit, entry, owner = hit[order], entry[order], owner[order]
                 out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-                for i in np.unique(owner).tolist():
-                    places, entries = [], []
-                    for h in hit[owner == i].tolist():
-                        k = int(low[h])
-                        while k < len(index.hash) and index.hash[k] == runs[h]:
-                            places.append(h)
-                            entries.append(k)
-                            k += 1
-                    found = matches(words, index, i, np.array(places), np.array(entries))
+                some, begin, many = np.unique(owner, return_index=True, return_counts=True)
+                for i, x, y in zip(some.tolist(), begin.tolist(), (begin + many).tolist(), strict=True):
+                    found = matches(words, index, i, hit[x:y], entry[x:y])
                     if not found:
                         continue
                     a, b = int(words.at[i]), int(words.at[i + 1])

@@ -404,6 +404,20 @@ def test_licences_are_found_whole_and_edited(spark):
     assert not got[101] and not got[102] and not got[103] and not got[104]
 
 
+def test_licences_that_repeat_are_all_found(spark):
+    mit, short, long = (license_scan.TEMPLATES[n] for n in ("MIT", "Proprietary", "MIT/grant"))
+    data = [
+        (0, " ".join([short] * 2), ["Proprietary"] * 2), (1, " ".join([mit] * 2), ["MIT"] * 2), (2, " ".join([mit] * 40), ["MIT"] * 40),
+        (3, f"{short} {short} and {mit} {long} {short} {long}", ["Proprietary", "Proprietary", "MIT", "MIT/grant", "Proprietary", "MIT/grant"]),
+    ]
+    words = mit.split()
+    data += [(10 + k, f"lorem {' '.join([*words[:k], 'other', *words[k + 1:]])} ipsum", ["MIT"]) for k in range(len(words))]
+    got = {r["doc_id"]: r["matches"] for r in license_scan.scanned(spark.createDataFrame([d[:2] for d in data], "doc_id long, text string")).collect()}
+    for i, _, wanted in data:
+        assert [m["license"] for m in got[i]] == wanted, i
+    assert [m["start"] for m in got[2]] == [k * (len(mit) + 1) for k in range(40)]
+
+
 def test_licence_scan_of_awkward_rows(spark):
     assert license_scan.summary(license_scan.scanned(frame(spark))).count() == len(rows())
     assert license_scan.scanned(empty(spark)).count() == 0
