@@ -5,7 +5,8 @@ marks of reported speech, with a weight. Three small context transducers
 (negation, reported speech, address) are composed into one machine that reads
 the word classes of a clause and sends each insult or threat, with its weight,
 to the outcome of the state it is met in: plain, aimed at somebody, negated or
-reported. A text's score is a logistic function of the outcomes' weights.
+reported. Address is read in both directions, so that a target may stand before
+or behind. A text's score is a logistic function of the outcomes' weights.
 
 Insults and stems are weighted by their log odds in labelled texts; the
 logistic function is fitted to the same labelled rows. Both look at no more
@@ -107,23 +108,37 @@ def units(words: set[str]) -> set[str]:
     return {"=" + w for w in words}.union(*({w[:k] for w in words if len(w) >= k} for k in STEMS))
 
 
+def ahead(kinds: list[str]) -> list[str]:
+    """Of a clause's word classes, the state of the address transducer at each word when it reads from the end."""
+    out, state = [], ADDRESS["start"]
+    for kind in reversed(kinds):
+        out.append(state)
+        state = ADDRESS["on"].get(kind, ADDRESS["fade"].get(state, state))
+    return out[::-1]
+
+
 def clauses(text: str, lexicon: Lexicon) -> np.ndarray:
     """The outcomes of a text's clauses, as FEATURES."""
     most, total = dict.fromkeys(OUTCOMES, 0.0), dict.fromkeys(OUTCOMES, 0.0)
-    threat, matched, state, hit = 0.0, 0, START, False
+    threat, matched, parts = 0.0, 0, [[]]
     for token in _TOKEN.finditer(text.lower()):
         if token.lastgroup == "end":
-            matched, state, hit = matched + hit, START, False
-            continue
-        kind, weight = ("quote", 0.0) if token.lastgroup == "quote" else lexicon.read(token[0])
-        if kind == "insult" or kind == "threat" and state[2] != "off":
-            where, hit = outcome(state), True
-            if kind == "threat":
-                threat = max(threat, weight if where == "aimed" else 0.0)
-            else:
-                most[where], total[where] = max(most[where], weight), total[where] + weight
-        state = TABLE[state, kind]
-    return np.array([*most.values(), *np.log1p([*total.values()]), threat, np.log1p(matched + hit)])
+            parts.append([])
+        else:
+            parts[-1].append(("quote", 0.0) if token.lastgroup == "quote" else lexicon.read(token[0]))
+    for part in parts:
+        state, hit = START, False
+        for (kind, weight), behind in zip(part, ahead([kind for kind, _ in part]), strict=True):
+            address = state[2] if state[2] != "off" else behind
+            if kind == "insult" or kind == "threat" and address != "off":
+                where, hit = outcome((*state[:2], address)), True
+                if kind == "threat":
+                    threat = max(threat, weight if where == "aimed" else 0.0)
+                else:
+                    most[where], total[where] = max(most[where], weight), total[where] + weight
+            state = TABLE[state, kind]
+        matched += hit
+    return np.array([*most.values(), *np.log1p([*total.values()]), threat, np.log1p(matched)])
 
 
 def _features(batch: pa.RecordBatch, lexicon: Lexicon) -> np.ndarray:

@@ -358,6 +358,24 @@ def test_clause_grammar_tells_contexts_apart():
     assert x["threat"] == 3.0 and x["clauses"] > 0
 
 
+@pytest.mark.parametrize("text", ["i will kill you", "you i will kill", "wir töten dich", "dich töten wir", "tuer vous tous", "vous tuer tous", "voy a matar a usted", "a usted voy a matar"])
+def test_threats_meet_their_target_in_either_order(text):
+    x = dict(zip(toxicity.FEATURES, toxicity.clauses(text, toxicity.Lexicon({})), strict=True))
+    assert x["threat"] == 3.0 and x["clauses"] == math.log1p(1)
+
+
+def test_targets_behind_a_hit_count_within_four_words_of_its_clause():
+    lexicon = toxicity.Lexicon({"=idiot": 3.0})
+
+    def values(text):
+        return dict(zip(toxicity.FEATURES, toxicity.clauses(text, lexicon), strict=True))
+
+    assert values("idiot, you")["aimed_most"] == values("idiot a b c you")["aimed_most"] == 3.0
+    assert values("idiot a b c d you")["plain_most"] == values("idiot. you")["plain_most"] == 3.0
+    assert values("never an idiot like you")["negated_most"] == 3.0
+    assert values("i will not kill you")["threat"] == values("i kill time. you")["threat"] == values("to kill a b c d you")["threat"] == 0
+
+
 # Licences
 
 
