@@ -52,22 +52,25 @@ def painted(transcripts: DataFrame, exons: DataFrame, cds: DataFrame, keys: list
     return last_written(layers, keys, "class")
 
 
-def transition_windows(transcripts: DataFrame, exons: DataFrame, cds: DataFrame, keys: list[str], weights: tuple[int, ...] = (16,) * 6) -> DataFrame:
-    """Intervals of higher weight around the boundaries of forward transcripts, in the order they are written.
+def transition_windows(transcripts: DataFrame, exons: DataFrame, cds: DataFrame, keys: list[str], weights: tuple[int, ...] = (16,) * 6, strand: str | None = None) -> DataFrame:
+    """Intervals of higher weight around the boundaries of transcripts, in the order they are written.
 
     Start codon, stop codon, transcript start, transcript end, donors, acceptors.
+    `strand` names a column of all three tables; rows where it is below 0 have
+    their windows mirrored. Without it all rows are forward.
     """
-    first, last = cds.groupBy(*keys).agg(F.min("start").alias("a")), cds.groupBy(*keys).agg(F.max("end").alias("b"))
+    reverse = F.lit(False) if strand is None else F.coalesce(F.col(strand) < 0, F.lit(False))
+    ends = cds.groupBy(*keys).agg(F.min("start").alias("a"), F.max("end").alias("b"), F.bool_or(reverse).alias("r"))
+    whole = transcripts.select(*keys, F.col("start").alias("a"), F.col("end").alias("b"), reverse.alias("r"))
     inner = W.partitionBy(*keys).orderBy("start")
-    parts = exons.withColumn("after", F.lead("start").over(inner))
-    pieces = [
-        first.select(*keys, (F.col("a") - 1).alias("start"), (F.col("a") + 3).alias("end")),
-        last.select(*keys, (F.col("b") - 3).alias("start"), (F.col("b") + 1).alias("end")),
-        transcripts.select(*keys, (F.col("start") - 1).alias("start"), (F.col("start") + 1).alias("end")),
-        transcripts.select(*keys, (F.col("end") - 1).alias("start"), (F.col("end") + 1).alias("end")),
-        parts.where("after is not null").select(*keys, (F.col("end") - 1).alias("start"), (F.col("end") + 2).alias("end")),
-        parts.where("after is not null").select(*keys, (F.col("after") - 2).alias("start"), (F.col("after") + 1).alias("end")),
-    ]
+    gaps = exons.withColumn("r", reverse).withColumn("b", F.lead("start").over(inner)).where("b is not null").select(*keys, F.col("end").alias("a"), "b", "r")
+
+    def at(rows: DataFrame, left: tuple[int, int], right: tuple[int, int], first: bool) -> DataFrame:
+        """A window at the left boundary a or the right one b: at the first of the two in reading order, or the second."""
+        here = F.col("r") != F.lit(first)
+        return rows.select(*keys, *(F.when(here, F.col("a") + x).otherwise(F.col("b") + y).alias(n) for n, x, y in zip(("start", "end"), left, right, strict=True)))
+
+    pieces = [at(rows, left, right, first) for rows, left, right in ((ends, (-1, 3), (-3, 1)), (whole, (-1, 1), (-1, 1)), (gaps, (-1, 2), (-2, 1))) for first in (True, False)]
     out = None
     for rank, (piece, weight) in enumerate(zip(pieces, weights, strict=True)):
         rows = piece.select(*keys, F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(weight).alias("value"), F.lit(rank).alias("write_seq"))

@@ -104,6 +104,23 @@ def test_greedy_overlap(spark):
     assert [r["accepted"] for r in labels.accepted(rows, ["seq_id"]).orderBy("gene_no").collect()] == [True, False, True]
 
 
+def test_transition_windows_are_mirrored_on_the_reverse_strand(spark):
+    shape = "gene long, start long, end long, strand int"
+    whole = spark.createDataFrame([(g, 100, 400, s) for g, s in ((1, 1), (2, -1))], shape)
+    exons = spark.createDataFrame([(g, a, b, s) for g, s in ((1, 1), (2, -1)) for a, b in ((100, 180), (220, 300), (350, 400))], shape)
+    cds = spark.createDataFrame([(g, a, b, s) for g, s in ((1, 1), (2, -1)) for a, b in ((130, 180), (220, 300), (350, 380))], shape)
+
+    def run(**kwargs):
+        rows = labels.transition_windows(whole, exons, cds, ["gene"], (16, 17, 18, 19, 20, 21), **kwargs).collect()
+        assert all(r["write_seq"] == r["value"] - 16 for r in rows)
+        return {g: sorted((r["value"], r["start"], r["end"]) for r in rows if r["gene"] == g) for g in (1, 2)}
+
+    forward = [(16, 129, 133), (17, 377, 381), (18, 99, 101), (19, 399, 401), (20, 179, 182), (20, 299, 302), (21, 218, 221), (21, 348, 351)]
+    mirrored = [(16, 377, 381), (17, 129, 133), (18, 399, 401), (19, 99, 101), (20, 218, 221), (20, 348, 351), (21, 179, 182), (21, 299, 302)]
+    assert run() == {1: forward, 2: forward}
+    assert run(strand="strand") == {1: forward, 2: mirrored}
+
+
 def test_transitions_and_masks(spark):
     def run(values, function, **names):
         rows = spark.createDataFrame(list(enumerate(values)), f"pos long, {names['name']} int").withColumn("key", F.lit(1))
