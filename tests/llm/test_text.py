@@ -131,6 +131,66 @@ def test_encoding_equals_the_library_and_spans_tile_the_text(spark):
     assert sentencepiece_codec.encoded(empty(spark), MODEL).count() == 0
 
 
+@pytest.fixture(scope="module")
+def variants(tmp_path_factory):
+    """The model as it is; with a non-empty character map and squeezed blanks; and without byte pieces, with fixed and unused pieces."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    folder, kinds = tmp_path_factory.mktemp("models"), pb.ModelProto.SentencePiece
+    mapped, plain = pb.ModelProto(), pb.ModelProto()
+    for proto in (mapped, plain):
+        with open(MODEL, "rb") as file:
+            proto.ParseFromString(file.read())
+    spec = pb.ModelProto()
+    spec.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto())
+    mapped.normalizer_spec.precompiled_charsmap = spec.normalizer_spec.precompiled_charsmap
+    mapped.normalizer_spec.remove_extra_whitespaces = True
+    plain.trainer_spec.byte_fallback = False
+    for k, p in enumerate(plain.pieces):
+        if p.type == kinds.BYTE:
+            p.type = kinds.USER_DEFINED
+        if k % 7 == 3 and p.type == kinds.NORMAL and len(p.piece) > 1:
+            p.type = kinds.UNUSED
+    for word in ("ab", "abc", "#"):
+        plain.pieces.add(piece=word + "@", score=0.0, type=kinds.USER_DEFINED)
+    plain.normalizer_spec.precompiled_charsmap = spec.normalizer_spec.precompiled_charsmap
+    out = [MODEL]
+    for name, proto in (("mapped", mapped), ("plain", plain)):
+        (folder / name).write_bytes(proto.SerializeToString())
+        out.append(str(folder / name))
+    return out
+
+
+ODD = [
+    "", " ", "   x", "a  b\t▁c 漢字 \U0001f600 é\x00x", "ﬁ ½ Ａ１ ①② x² …", "e\u0301 q  r   ", "abc@ab@abcc@#@ <0x41> </s> <s>", "\u3000\u3000x\u3000y", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa",
+    "漢字漢字 漢 字", "x" * 70 + "漢" * 70, "¨ ´ ﷺ", "\n\n\r\n", "tabs\tand\x0bfeeds", "Ünïcödé ﬀ", "end ▁ ▁▁ ", "▁ x",
+]
+
+
+def test_own_encoding_and_decoding_equal_the_library_for_every_model(variants):
+    import sentencepiece
+
+    random.seed(3)
+    letters = "abcdefghijklmnopqrstuvwxyz  ▁éßñ漢ﬁ½0123<>@#\u0301\U0001f600"
+    texts = ODD + ["".join(random.choices(letters, k=random.randint(1, 80))) for _ in range(400)]
+    for path in variants:
+        library, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_codec.Codec(path)
+        for text in texts:
+            ids, begins, ends = own.encode(text.encode())
+            want = library.encode(text, return_type="proto")
+            assert ids.tolist() == [*(p.id for p in want.pieces), library.eos_id()], (path, text)
+            assert own.decode(ids) == library.decode(ids.tolist()), (path, text)
+            spans = [(p.begin, p.end) for p in want.pieces if not library.is_byte(p.id)]
+            mine = [(a, b) for i, a, b in zip(ids.tolist(), begins.tolist(), ends.tolist(), strict=True) if i != library.eos_id() and not library.is_byte(i)]
+            assert mine == spans, (path, text)
+    own = sentencepiece_codec.Codec(MODEL)
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for _ in range(300):
+        ids = [random.choice([random.randrange(3, 259), random.randrange(32000), 0, 2]) for _ in range(6)]
+        assert own.decode(np.array(ids)) == library.decode(ids), ids
+
+
 def compiled(table):
     """A character map with a double-array trie of the given prefixes, built naively."""
     forms, at = b"", {}
