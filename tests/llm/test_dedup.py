@@ -1,8 +1,9 @@
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import exact_dedup, line_dedup, near_dedup
 from strandloom.llm.common import Words, components
@@ -49,18 +50,38 @@ def test_exact_groups_match_brute_force(spark, keep, digest):
     for i, text, *_ in data:
         ids[text or ""].append(i)
     got = exact_dedup.groups(frame(spark), keep, digest=digest).collect()
-    wanted = set()
+    wanted = Counter()
     for i, text, *_ in data:
         named = [x for x in ids[text or ""] if x is not None]
         best = (min if keep == "smallest" else max)(named) if named else None
-        wanted.add((i, best, len(ids[text or ""]), i == best, hashlib.sha256((text or "").encode()).hexdigest()))
-    assert {tuple(r) for r in got} == wanted
-    assert len(got) == len(wanted)
-
-
-def test_exact_flushes_full_memtables(spark, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 3)
-    assert exact_dedup.groups(frame(spark)).where("kept").count() == len({r[1] or "" for r in rows()})
+        wanted[i, best, len(ids[text or ""]), i == best, hashlib.sha256((text or "").encode()).hexdigest()] += 1
+    assert Counter(tuple(r) for r in got) == wanted
+    assert max(wanted.values()) > 1
+    more = exact_dedup.groups(frame(spark), keep, digest=digest, memtable=3, fan_in=2, most_filter_bits=64).collect()
+    assert Counter(tuple(r) for r in more) == wanted
+
+
+def test_index_takes_lots_and_compacts_by_level(spark):
+    data = [(f"k{i:03}", f"text {i % 70}") for i in range(100)]
+    docs = spark.createDataFrame(data, "doc_id string, text string")
+    index = exact_dedup.MergeIndex(spark, "string", memtable=4, fan_in=3)
+    for lot in range(3):
+        index.insert(docs.where(F.col("doc_id").substr(2, 3).cast("int") % 3 == lot).repartition(2))
+    got = {(r["smallest"], r["largest"], r["n"]) for r in index.hits().collect()}
+    assert got == {(f"k{i:03}", f"k{i + 70:03}", 2) for i in range(30)}
+    assert len(index.levels) > 2 and not index.levels[0]
+    for level, paths in enumerate(index.levels):
+        assert not paths or index.runs(level).select("lot", "run").distinct().count() <= 3
+    index.insert(spark.createDataFrame([("a", "text 69"), ("z", "new")], "doc_id string, text string"))
+    assert ("a", "k069", 2) in {(r["smallest"], r["largest"], r["n"]) for r in index.hits().collect()}
+
+
+def test_filters_hold_what_was_added_and_little_else():
+    keys = [hashlib.sha256(bytes([k % 256, k // 256])).digest() for k in range(6000)]
+    one = exact_dedup.Filter(3000)
+    one.add(keys[:3000])
+    assert one.may_hold(keys[:3000]).all() and one.may_hold(keys[3000:]).mean() < 0.03
+    assert len(exact_dedup.Filter(10**6, 1 << 12).words) == 64
 
 
 def test_drop_copies_keeps_columns_and_nulls(spark):
