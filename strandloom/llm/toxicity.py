@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A lexicon transducer reads words as insults, threats, targets, negations or
-marks of reported speech, with a weight. Three small context transducers
-(negation, reported speech, address) are composed into one machine that reads
-the word classes of a clause and sends each insult or threat, with its weight,
-to the outcome of the state it is met in: plain, aimed at somebody, negated or
-reported. Address is read in both directions, so that a target may stand before
-or behind. A text's score is a logistic function of the outcomes' weights.
+marks of reported speech, each arc with a weight. Five machines (negation,
+reported speech, address, insults and threats) are composed into one that reads
+the classes of a clause. An insult is read as plain or, where somebody has been
+addressed, as aimed; an insult or a threat may also be read as the promise of a
+target behind it, and such a path lives only if the target comes. A threat
+without a target is no threat. An arc weighs the word's weight times the factor
+of its outcome, and a clause is scored by its best path. A text's score is a
+logistic function of the outcomes on its clauses' best paths.
 
 Insults and stems are weighted by their log odds in labelled texts; the
 logistic function is fitted to the same labelled rows. Both look at no more
@@ -19,20 +21,17 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import Words, slices
+from strandloom.llm.common import Words, checkpointed, slices
 
 #: Most labelled rows that the lexicon and the weights are learned from.
 LABELLED_ROWS = 40_000
-#: Most entries that the learned lexicon keeps, those with most evidence first.
-LEXICON_ENTRIES = 4_000
-#: Texts that an entry must come up in, and the least log odds that it must have.
+#: Texts that an entry must come up in, and the least log odds that it must have: this and LABELLED_ROWS bound the lexicon.
 LEAST_TEXTS, LEAST_ODDS = 4, 2.5
 #: Lengths of the stems (word beginnings) that may become entries.
 STEMS = (3, 4, 5, 6)
@@ -46,11 +45,30 @@ REPORTS = "said says say wrote writes called calls quoted claims claimed sagte s
 OUTCOMES = ("plain", "aimed", "negated", "reported")
 FEATURES = [f"{kind}_{what}" for what in ("most", "sum") for kind in OUTCOMES] + ["threat", "clauses"]
 
-#: Transducers by (state, class): the next state; a class that is missing leaves the state, and any step lets "near" states fade.
-NEGATION = {"start": "off", "fade": {"on3": "on2", "on2": "on1", "on1": "off"}, "on": {"negation": "on3"}}
+#: What an arc with an outcome multiplies a word's weight by.
+FACTORS = {"plain": 1.0, "aimed": 2.0, "negated": 0.5, "reported": 0.5}
+#: Words that a negation or an address carries over, and within which a promised target must come.
+NEGATED_WORDS, AIMED_WORDS = 3, 4
+
+
+def _fading(reach: int) -> dict[str, str]:
+    return {f"on{k}": f"on{k - 1}" if k > 1 else "off" for k in range(1, reach + 1)}
+
+
+def _promise(kind: str) -> dict:
+    """A machine that, once a word of the kind is read as a promise, dies unless a target comes within AIMED_WORDS words."""
+    waiting = {f"wait{k}": f"wait{k - 1}" if k > 1 else None for k in range(1, AIMED_WORDS + 1)}
+    on = {"target": dict.fromkeys(waiting, "off"), f"{kind}>": {"off": f"wait{AIMED_WORDS}"}}
+    return {"start": "off", "final": {"off"}, "fade": waiting, "on": on}
+
+
+#: Machines: "on" gives the next state by class (and state), "fade" that of any other class; a state in neither stays, None is dead.
+NEGATION = {"start": "off", "fade": _fading(NEGATED_WORDS), "on": {"negation": f"on{NEGATED_WORDS}"}}
 REPORT = {"start": "off", "fade": {}, "on": {"report": "on", "quote": "on"}}
-ADDRESS = {"start": "off", "fade": {"on4": "on3", "on3": "on2", "on2": "on1", "on1": "off"}, "on": {"target": "on4"}}
-CLASSES = ("other", "insult", "threat", "target", "negation", "report", "quote")
+ADDRESS = {"start": "off", "fade": _fading(AIMED_WORDS), "on": {"target": f"on{AIMED_WORDS}"}}
+INSULT, THREAT = _promise("insult"), _promise("threat")
+#: How a word of a class may be read; ">" marks the promise of a target.
+READINGS = {"insult": ("insult", "insult>"), "threat": ("other", "threat", "threat>")}
 
 _TOKEN = re.compile(r"(?P<end>[.!?;:\n|]+)|(?P<quote>[\"“”«»„])|(?P<word>[^\W\d_]+(?:['’][^\W\d_]+)*)")
 _LETTERS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -59,25 +77,67 @@ _END = np.zeros(256, bool)
 _END[[ord(c) for c in ".!?;:\n|"]] = True
 
 
-def compose(*machines: dict) -> tuple[tuple, dict]:
-    """The start state and the (state, class) -> state table of machines run side by side."""
-
-    def states(m: dict) -> set[str]:
-        return {m["start"], *m["fade"], *m["fade"].values(), *m["on"].values()}
-
-    table = {}
-    for state in product(*(sorted(states(m)) for m in machines)):
-        for kind in CLASSES:
-            table[state, kind] = tuple(m["on"].get(kind, m["fade"].get(s, s)) for m, s in zip(machines, state, strict=True))
-    return tuple(m["start"] for m in machines), table
+def _next(machine: dict, state: str, kind: str) -> str | None:
+    to = machine["on"].get(kind)
+    if isinstance(to, dict):
+        to = to.get(state)
+    return to if to is not None else machine["fade"].get(state, state)
 
 
-START, TABLE = compose(NEGATION, REPORT, ADDRESS)
+def _outcome(state: tuple, kind: str) -> tuple[bool, str | None]:
+    """Whether the reading is allowed in a state, and the outcome of an insult or a threat there."""
+    if kind.rstrip(">") not in READINGS:
+        return True, None
+    negated, reported, aimed = (s != "off" for s in state[:3])
+    if kind == "threat" and not aimed:
+        return False, None
+    return True, "reported" if reported else "negated" if negated else "aimed" if aimed or kind.endswith(">") else "plain"
 
 
-def outcome(state: tuple) -> str:
-    negated, reported, aimed = (s != "off" for s in state)
-    return "reported" if reported else "negated" if negated else "aimed" if aimed else "plain"
+def compose(*machines: dict) -> tuple[tuple, dict]:
+    """The start state and the arcs (state, class) -> (state, outcome) of the machines run side by side, for all states that can be reached."""
+    kinds = {"other", "insult", "insult>", "threat", "threat>", "target", "negation", "report", "quote"}
+    start = tuple(m["start"] for m in machines)
+    arcs, todo = {}, [start]
+    seen = {start}
+    while todo:
+        state = todo.pop()
+        for kind in kinds:
+            allowed, out = _outcome(state, kind)
+            to = tuple(_next(m, s, kind) for m, s in zip(machines, state, strict=True))
+            if allowed and None not in to:
+                arcs[state, kind] = to, out
+                if to not in seen:
+                    seen.add(to)
+                    todo.append(to)
+    return start, arcs
+
+
+START, ARCS = compose(NEGATION, REPORT, ADDRESS, INSULT, THREAT)
+
+
+def best_path(clause: list[tuple[str, float]]) -> list[tuple[str, str, float]]:
+    """(kind, outcome, weight) of the insults and threats on the best path of (class, weight) through the composed machine."""
+    paths: dict[tuple, tuple[float, tuple]] = {START: (0.0, ())}
+    for kind, weight in clause:
+        now: dict[tuple, tuple[float, tuple]] = {}
+        for state, (total, path) in paths.items():
+            for reading in READINGS.get(kind, (kind,)):
+                arc = ARCS.get((state, reading))
+                if arc is None:
+                    continue
+                to, out = arc
+                sum_ = total + weight * FACTORS[out] if out else total
+                if to not in now or sum_ > now[to][0]:
+                    # Paths share their beginnings, so a long clause costs no more for each word.
+                    now[to] = sum_, (path, (kind, out, weight)) if out else path
+        paths = now
+    final = [p for state, p in paths.items() if state[3] == state[4] == "off"]
+    out, path = [], max(final, key=lambda p: p[0])[1] if final else ()
+    while path:
+        path, step = path
+        out.append(step)
+    return out[::-1]
 
 
 class Lexicon:
@@ -108,15 +168,6 @@ def units(words: set[str]) -> set[str]:
     return {"=" + w for w in words}.union(*({w[:k] for w in words if len(w) >= k} for k in STEMS))
 
 
-def ahead(kinds: list[str]) -> list[str]:
-    """Of a clause's word classes, the state of the address transducer at each word when it reads from the end."""
-    out, state = [], ADDRESS["start"]
-    for kind in reversed(kinds):
-        out.append(state)
-        state = ADDRESS["on"].get(kind, ADDRESS["fade"].get(state, state))
-    return out[::-1]
-
-
 def clauses(text: str, lexicon: Lexicon) -> np.ndarray:
     """The outcomes of a text's clauses, as FEATURES."""
     most, total = dict.fromkeys(OUTCOMES, 0.0), dict.fromkeys(OUTCOMES, 0.0)
@@ -127,17 +178,13 @@ def clauses(text: str, lexicon: Lexicon) -> np.ndarray:
         else:
             parts[-1].append(("quote", 0.0) if token.lastgroup == "quote" else lexicon.read(token[0]))
     for part in parts:
-        state, hit = START, False
-        for (kind, weight), behind in zip(part, ahead([kind for kind, _ in part]), strict=True):
-            address = state[2] if state[2] != "off" else behind
-            if kind == "insult" or kind == "threat" and address != "off":
-                where, hit = outcome((*state[:2], address)), True
-                if kind == "threat":
-                    threat = max(threat, weight if where == "aimed" else 0.0)
-                else:
-                    most[where], total[where] = max(most[where], weight), total[where] + weight
-            state = TABLE[state, kind]
-        matched += hit
+        path = best_path(part) if any(kind in READINGS for kind, _ in part) else []
+        for kind, where, weight in path:
+            if kind == "threat":
+                threat = max(threat, weight if where == "aimed" else 0.0)
+            else:
+                most[where], total[where] = max(most[where], weight), total[where] + weight
+        matched += bool(path)
     return np.array([*most.values(), *np.log1p([*total.values()]), threat, np.log1p(matched)])
 
 
@@ -213,8 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     picked = known.orderBy(F.xxhash64("id"), "id").limit(most)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # The picked labels are at most `most` rows of two numbers.
-    rows = texts.join(F.broadcast(picked), "id").select("y", "text")
+    # The picked labels are at most `most` rows of two numbers; their texts are read from the documents once.
+    rows = checkpointed(texts.join(F.broadcast(picked), "id").select("y", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -232,8 +279,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     odds = F.log((F.col("n1") + 0.5) / n1) - F.log((F.col("n0") + 0.5) / n0)
     found = rows.mapInArrow(count, "unit string, n0 long, n1 long").groupBy("unit").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).withColumn("odds", odds)
     strong, fixed = (F.col("n1") >= LEAST_TEXTS) & (F.col("odds") >= LEAST_ODDS), F.col("unit").isin(list(prior)) & (F.col("n0") + F.col("n1") >= 4)
-    picked = found.where(strong | fixed).orderBy(F.desc(fixed), F.desc(F.col("odds") * F.col("n1")), "unit").limit(LEXICON_ENTRIES + len(prior))
-    picked = picked.select("unit", "odds", strong.alias("strong"), fixed.alias("fixed")).collect()
+    picked = found.where(strong | fixed).orderBy("unit").select("unit", "odds", strong.alias("strong"), fixed.alias("fixed")).collect()
     learned = [(r["unit"], float(r["odds"])) for r in picked if r["strong"]]
     against = {r["unit"] for r in picked if r["fixed"]}
     entries = {w: p for w, p in prior.items() if w not in against} | dict(learned)
