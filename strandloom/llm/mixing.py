@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-A source's documents fall into BLOCKS blocks by a hash of the identifier. Each
+A source's documents fall into blocks by a hash of the identifier. Each
 source gets a target in words: its weight's share of the total, at most CAP
 times its size, the excess shared anew by weight. A target is met by whole
 passes over the source and a last, partial pass over its blocks in a permuted
@@ -25,10 +25,10 @@ from strandloom.llm.common import checkpointed
 WEIGHTS = (5, 2, 1)
 #: A source is repeated at most so many times.
 CAP = 3
-#: Two hexadecimal digits of a hash: 256 blocks a source.
-BLOCK_DIGITS = 2
-#: Levels of the tree; twice as many shards for each.
-LEVELS = 4
+#: Hexadecimal digits of a hash that name a source's blocks, 256 to 65,536, by the words of a block if sources were equal.
+BLOCK_DIGITS, BLOCK_WORDS = (2, 4), 20_000_000
+#: Levels of the tree, twice as many shards for each, by the words of a shard.
+LEVELS, SHARD_WORDS = (4, 17), 200_000_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,10 +37,21 @@ def _key(*parts: Column | str) -> Column:
 
 
 def sized(docs: DataFrame, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """id, source, size (words), key (the document's place in its block) and block."""
-    key = F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(seed)))
-    size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(_WORD)).cast("long")
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key")).withColumn("block", F.substring("key", 1, BLOCK_DIGITS))
+    """id, source, size (words) and key, the document's place among the source's; rows without an identifier are placed by their text."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.md5(text)), F.lit(seed)))
+    size = F.regexp_count(text, F.lit(_WORD)).cast("long")
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), key.alias("key"))
+
+
+def scale(words: int, sources: int) -> tuple[int, int]:
+    """Block digits and tree levels for a corpus: blocks and shards of about the same words whatever its size, within limits."""
+    digits, levels = BLOCK_DIGITS[0], LEVELS[0]
+    while digits < BLOCK_DIGITS[1] and words > sources * 16**digits * BLOCK_WORDS:
+        digits += 1
+    while levels < LEVELS[1] and words > 2**levels * SHARD_WORDS:
+        levels += 1
+    return digits, levels
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
@@ -76,8 +87,11 @@ def _draws(blocks: DataFrame, goals: DataFrame, seed: str) -> DataFrame:
     return rows.select("source", "block", "block_size", "left", "passes", F.explode(passes).alias("pass")).withColumn("is_last", F.col("pass") == F.col("passes"))
 
 
-def split(draws: DataFrame, levels: int = LEVELS, seed: str = "mix") -> DataFrame:
-    """draws with shard, 0 to 2**levels - 1: each node's list permuted and halved by exact count."""
+def split(draws: DataFrame, levels: int = LEVELS[0], seed: str = "mix") -> DataFrame:
+    """draws with shard, 0 to 2**levels - 1: each node's list permuted and halved by exact count.
+
+    The root's list meets in one task: a row of a few numbers for each block and pass, no documents.
+    """
     now = draws.withColumn("shard", F.lit(0))
     for level in range(levels):
         order = W.partitionBy("shard").orderBy(_key("source", "block", "pass", F.lit(str(level)), F.lit(seed)), F.col("source").asc_nulls_last(), "block", "pass")
@@ -87,7 +101,7 @@ def split(draws: DataFrame, levels: int = LEVELS, seed: str = "mix") -> DataFram
 
 
 def mixture(
-    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: int = LEVELS, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, levels: int | None = None, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """One row per row of docs: id_col, size, source_size, target, taken, copies, shards.
 
@@ -99,6 +113,10 @@ def mixture(
     seed alone.
     """
     rows = checkpointed(sized(docs, seed, id_col, text_col, source_col))
+    words, sources = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.countDistinct(F.coalesce("source", F.lit("")))).first()
+    digits, fitting = scale(words, max(1, sources))
+    levels = fitting if levels is None else levels
+    rows = rows.withColumn("block", F.substring("key", 1, digits))
     blocks = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
     goals = checkpointed(targets(blocks.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights))
     shards = split(_draws(blocks, goals, seed), levels, seed)
@@ -121,21 +139,37 @@ def mixture(
     )
 
 
+def _named(docs: DataFrame, *names: str) -> list[str]:
+    """Names that docs has no column of."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options: object) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as the mixture takes it; all columns as they were.
+    """The mix itself: the rows of docs, each as often as the mixture takes it; all columns as they were, whatever their names.
 
     Rows that share identifier and number of words share the number of copies.
     """
+    key, n, size, copies, copy = _named(docs, "__key", "__n", "__size", "__copies", "__copy")
     plan = mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    plan = plan.groupBy(F.col(id_col).alias("__id"), F.col("size").alias("__size")).agg(F.max("copies").cast("int").alias("__copies")).where("__copies > 0")
-    size = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(_WORD)).cast("long")
-    rows = docs.withColumn("__n", size).join(plan, docs[id_col].eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
-
-
-def sharded(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: str = "mix") -> DataFrame:
-    """docs with a row per copy and its shard, one shard's rows together and shuffled locally, ready to be written."""
-    where = plan.select(F.col(id_col).alias("__id"), F.explode(F.split(F.col("shards"), ",")).alias("shard")).where("shard <> ''")
-    rows = docs.join(where, docs[id_col].eqNullSafe(F.col("__id"))).drop("__id").withColumn("shard", F.col("shard").cast("int"))
-    key = _key(F.col(id_col).cast("string"), F.col("shard").cast("string"), F.lit(seed))
-    return rows.repartition("shard", F.substring(key, 1, 1)).sortWithinPartitions("shard", key)
+    plan = plan.groupBy(F.col(id_col).alias(key), F.col("size").alias(size)).agg(F.max("copies").cast("int").alias(copies)).where(F.col(copies) > 0)
+    count = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(_WORD)).cast("long")
+    rows = docs.withColumn(n, count).join(plan, docs[id_col].eqNullSafe(F.col(key)) & (F.col(n) == F.col(size)))
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+
+
+def sharded(docs: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: str = "mix", shard_col: str = "shard") -> DataFrame:
+    """docs with a row per copy and its shard, one shard's rows together and shuffled locally, ready to be written.
+
+    A column of docs with shard_col's name gets underscores added to that of the shard.
+    """
+    key, shard = _named(docs, "__key", shard_col)
+    where = plan.select(F.col(id_col).alias(key), F.explode(F.split(F.col("shards"), ",")).alias(shard)).where(F.col(shard) != "")
+    rows = docs.join(where, docs[id_col].eqNullSafe(F.col(key))).drop(key).withColumn(shard, F.col(shard).cast("int"))
+    place = _key(F.col(id_col).cast("string"), F.col(shard).cast("string"), F.lit(seed))
+    return rows.repartition(shard, F.substring(place, 1, 1)).sortWithinPartitions(shard, place)

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.llm import license_scan, lm_score, mixing, pii, quality_rules, sentencepiece_codec, toxicity
 
@@ -22,8 +23,6 @@ MODEL = pytest.importorskip("public_tokenizers").path("piece_bpe_32k.model")
 def test_base_scores_match_brute_force(spark):
     data = rows()
     train = [r for r in data if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 != 2]
-    from pyspark.sql import functions as F
-
     docs = frame(spark)
     model = lm_score.fit(docs.where((F.crc32(F.col("doc_id").cast("string")) % 7 != 2)))
     got = lm_score.scored(docs, model, block_docs=7).collect()
@@ -283,6 +282,17 @@ def test_mixture_of_awkward_rows(spark):
     assert mixing.mixture(empty(spark)).count() == 0
     assert mixing.mixed(empty(spark)).count() == 0
     assert mixing.mixture(frame(spark).where("text is null")).where("taken > 0").count() == 0
+    clash = frame(spark).withColumns({n: F.lit(1) for n in ("__n", "__key", "__size", "__copies", "__copy", "shard", "key")})
+    assert mixing.mixed(clash).columns == clash.columns
+    assert mixing.sharded(clash, mixing.mixture(clash)).columns == [*clash.columns, "shard_"]
+    nameless = spark.createDataFrame([(None, f"a b {i}", "s") for i in range(200)], "doc_id long, text string, source string")
+    assert mixing.sized(nameless).select("key").distinct().count() == 200
+
+
+def test_blocks_and_shards_follow_the_size():
+    assert mixing.scale(10**6, 3) == (2, 4)
+    assert mixing.scale(10**11, 5) == (3, 9) and mixing.scale(10**13, 5) == (4, 16)
+    assert mixing.scale(10**18, 5) == (4, 17)
 
 
 # Personal data
@@ -436,6 +446,38 @@ def test_targets_behind_a_hit_count_within_four_words_of_its_clause():
     assert values("i will not kill you")["threat"] == values("i kill time. you")["threat"] == values("to kill a b c d you")["threat"] == 0
 
 
+def test_best_path_equals_the_best_of_all_readings():
+    """All sequences of readings, each checked against the rules in words, not against the machine."""
+    from itertools import product
+
+    def worth(clause, readings):
+        total, out = 0.0, []
+        for i, (kind, weight) in enumerate(clause):
+            if kind not in toxicity.READINGS or readings[i] == "other":
+                continue
+            before = any(k == "target" for k, _ in clause[max(0, i - 4) : i])
+            after = any(k == "target" for k, _ in clause[i + 1 : i + 5])
+            if readings[i].endswith(">") and not after or readings[i] == "threat" and not before:
+                return None
+            reported = any(k in ("report", "quote") for k, _ in clause[:i])
+            negated = any(k == "negation" for k, _ in clause[max(0, i - 3) : i])
+            where = "reported" if reported else "negated" if negated else "aimed" if before or readings[i].endswith(">") else "plain"
+            total += weight * toxicity.FACTORS[where]
+            out.append((kind, where, weight))
+        return total, out
+
+    random.seed(8)
+    kinds = ["other"] * 3 + ["insult", "threat", "target", "negation", "report", "quote"]
+    for _ in range(400):
+        clause = [(k, random.choice([1.0, 2.5]) if k in toxicity.READINGS else 0.0) for k in random.choices(kinds, k=random.randint(0, 7))]
+        every = [worth(clause, r) for r in product(*(toxicity.READINGS.get(k, (k,)) for k, _ in clause))]
+        best = max((v[0] for v in every if v), default=0.0)
+        got = toxicity.best_path(clause)
+        assert math.isclose(sum(w * toxicity.FACTORS[where] for _, where, w in got), best), clause
+        assert got in [v[1] for v in every if v]
+    assert len(toxicity.best_path([("insult", 1.0)] * 20_000)) == 20_000
+
+
 # Licences
 
 
