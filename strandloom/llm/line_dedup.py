@@ -1,7 +1,9 @@
 """Boilerplate lines by their frequency within a site.
 
-Pages are grouped by host; a line that more than RATIO of a host's pages contain,
-and LEAST_PAGES pages at least, is boilerplate there and goes from all of them.
+Pages are grouped by host; a line that more than RATIO of a host's pages contain
+is boilerplate there and goes from all of them. A line must repeat to count, so
+LEAST_PAGES is 2: a line on one page of a host with up to three is over the
+ratio without being anybody's boilerplate, and such hosts would lose all text.
 Built-in functions only. Pages are counted per (host, line) with map-side
 partial sums, so neither a large host nor a common line meets in one task. The
 boilerplate lines of one host are at most its mean number of lines a page
@@ -17,9 +19,10 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import BLANKS, checkpointed
 
 RATIO = 0.3
-LEAST_PAGES = 3
-#: A host with more than one in SHARES of all pages is split; there are at most SHARES such hosts.
-SHARES = 1000
+LEAST_PAGES = 2
+#: A host with more than one in so many of all pages is split, and there are at most so many such hosts:
+#: as many as parts of PART_PAGES pages, within these limits (names of 50,000 hosts are some megabytes).
+SHARES, PART_PAGES = (1000, 50_000), 10_000
 
 _HOST = r"(?i)^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
@@ -67,7 +70,8 @@ def cleaned(pages: DataFrame, ratio: float = RATIO, least: int = LEAST_PAGES, id
     content = text_of_html(F.col(text_col)) if html else F.col(text_col)
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), lines_of(content).alias("lines"))
     by_host = checkpointed(rows.groupBy("host").agg(F.count("*").alias("host_pages")))
-    share = F.lit(SHARES / max(1, by_host.agg(F.sum("host_pages")).first()[0] or 0)) * F.col("host_pages")
+    total = by_host.agg(F.sum("host_pages")).first()[0] or 1
+    share = F.lit(min(max(SHARES[0], total / PART_PAGES), SHARES[1]) / total) * F.col("host_pages")
     parts = F.broadcast(by_host.where(share > 1).select("host", F.ceil(share).alias("parts")))
     sites = boilerplate(rows, by_host, ratio, least).join(parts, "host", "left")
     sites = sites.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")

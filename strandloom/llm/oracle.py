@@ -102,7 +102,7 @@ _LINES_SQL = r"""
         FROM unescaped),
     hosts AS (SELECT host, count(*) AS host_pages FROM rows GROUP BY host),
     lines AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM rows) GROUP BY ALL),
-    common AS (SELECT host, list(line) AS common FROM lines JOIN hosts USING (host) WHERE n >= 3 AND n > 0.3::DOUBLE * host_pages GROUP BY host),
+    common AS (SELECT host, list(line) AS common FROM lines JOIN hosts USING (host) WHERE n >= 2 AND n > 0.3::DOUBLE * host_pages GROUP BY host),
     cleaned AS (
         SELECT page_id, host, lines, CASE WHEN common IS NULL THEN lines ELSE list_filter(lines, lambda line: NOT list_contains(common, line)) END AS stay
         FROM rows LEFT JOIN common USING (host))
