@@ -6,8 +6,10 @@ with each entity and with each kind of entity, a text and its exact copies once.
 A term discloses an entity, or that there is one of its kind, if nearly all texts
 with the term have it and knowing the term raises its probability by LEAST_BITS
 bits. Shares are drawn to the entity's share of all texts by SMOOTHING texts, so
-a single text proves nothing. Such terms are spans too, wherever they stand, and
-are generalised, or removed above REMOVE_BITS.
+a single text proves nothing. Such terms are spans too, wherever they stand; they
+are generalised to the kind of entity that they disclose, or removed above
+REMOVE_BITS. Of several entities the one that a term tells most about counts, of
+equals the later kind.
 
 A filter of fixed size tells tasks which words may be candidates, and which texts
 may be copies; counts and joins behind it are exact.
@@ -94,8 +96,9 @@ def _terms(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _value(kind: int, text: str) -> int:
+    """A hash of an entity whose last two bits are its kind."""
     plain = text.lower() if kind < 2 else "".join(c for c in text if c.isdigit())
-    return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True)
+    return int.from_bytes(hashlib.blake2b(f"{kind}:{plain}".encode(), digest_size=8).digest(), "little", signed=True) & -4 | kind
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +150,7 @@ def _maybe(bits: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, bits): the terms that disclose an entity or a kind, of rows (digest, text) and their findings; rows of one digest count once."""
+    """(term, bits, of): the terms that disclose an entity or a kind, with the entity's kind, of rows (digest, text) and their findings; rows of one digest count once."""
     spark = rows.sparkSession
     total = found.agg(F.countDistinct("digest")).first()[0]
     have = found.where("size(known) > 0").groupBy("digest").agg(F.first(F.struct("spans", "known", "terms")).alias("r")).select("digest", "r.*")
@@ -164,7 +167,7 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
     kinds = kinds.join(F.broadcast(rare(kinds)), "entity").select(F.explode("terms").alias("term"), F.col("entity").cast("long"), "with")
     counts = checkpointed(values.groupBy("term", "entity", "with").agg(F.count("*").alias("n")).union(kinds.groupBy("term", "entity", "with").agg(F.count("*").alias("n"))).where("n > 1"))
     if counts.isEmpty():
-        return spark.createDataFrame([], "term long, bits double")
+        return spark.createDataFrame([], "term long, bits double, of int")
     bits = spark.sparkContext.broadcast(_filter(counts.select("term").distinct()))
     copies = spark.sparkContext.broadcast(_filter(found.groupBy("digest").count().where("count > 1"), "digest"))
 
@@ -197,11 +200,13 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
     base = F.col("with") / F.lit(float(total))
     share = (F.col("n") + SMOOTHING * base) / (F.col("docs") + SMOOTHING)
     joined = counts.join(docs, "term").where(share >= LEAST_SHARE)
-    return checkpointed(joined.groupBy("term").agg(F.max(F.log2(share / base)).alias("bits")).where(F.col("bits") >= LEAST_BITS))
+    # The last two bits of an entity are its kind, and a kind is its own number.
+    most = F.max(F.struct(F.log2(share / base).alias("bits"), F.col("entity").bitwiseAND(F.lit(3)).cast("int").alias("of")))
+    return checkpointed(joined.groupBy("term").agg(most.alias("m")).select("term", "m.bits", "m.of").where(F.col("bits") >= LEAST_BITS))
 
 
 def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, spans (kind, start, end; code points, end exclusive), terms' bits in order.
+    """One row per row of docs: id_col, key, spans (kind, start, end; code points, end exclusive), and in order the terms' bits and the kinds that they disclose (of).
 
     Kinds are positions in KINDS; spans are by kind and start. Matches of one
     kind do not overlap; those of different kinds may. A null or empty text has
@@ -216,7 +221,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     terms = disclosing(rows.select("digest", "text"), found)
     base = found.select("id", "key", "spans")
     if terms.isEmpty():
-        return base.select(F.col("id").alias(id_col), "key", "spans", F.expr("cast(array() as array<double>)").alias("bits"))
+        return base.select(F.col("id").alias(id_col), "key", "spans", F.expr("cast(array() as array<double>)").alias("bits"), F.expr("cast(array() as array<int>)").alias("of"))
     bits = spark.sparkContext.broadcast(_filter(terms.select("term")))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,12 +240,16 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     # Rows that repeat give the same hits twice.
     seen = rows.select("key", "text").mapInArrow(hits, "key long, term long, start int, end int").distinct().join(terms, "term")
-    each = F.struct(F.lit(KINDS.index("term")).alias("kind"), F.col("start"), F.col("end"), F.col("bits"))
+    each = F.struct(F.lit(KINDS.index("term")).alias("kind"), F.col("start"), F.col("end"), F.col("bits"), F.col("of"))
     more = seen.groupBy("key").agg(F.sort_array(F.collect_list(each)).alias("more"))
     joined = base.join(more, "key", "left")
     plain = F.transform("more", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     none = F.expr(f"cast(array() as {_SPANS})")
-    return joined.select(F.col("id").alias(id_col), "key", F.concat("spans", F.coalesce(plain, none)).alias("spans"), F.coalesce(F.transform("more", lambda m: m["bits"]), F.expr("cast(array() as array<double>)")).alias("bits"))
+    bits, of = F.transform("more", lambda m: m["bits"]), F.transform("more", lambda m: m["of"])
+    return joined.select(
+        F.col("id").alias(id_col), "key", F.concat("spans", F.coalesce(plain, none)).alias("spans"),
+        F.coalesce(bits, F.expr("cast(array() as array<double>)")).alias("bits"), F.coalesce(of, F.expr("cast(array() as array<int>)")).alias("of"),
+    )
 
 
 def summary(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -256,28 +265,38 @@ def summary(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span replaced by its kind in brackets; terms above REMOVE_BITS are cut out. A null text stays null."""
-    spans = detected(docs, id_col, text_col).select("key", "spans", "bits").dropDuplicates(["key"])
+    """docs with every entity replaced by its kind in brackets, and every term by the kind that it discloses.
+
+    Terms above REMOVE_BITS are cut out. Where spans overlap, the one that
+    begins first counts, of these the longest. A null text stays null; all
+    columns as they were, whatever their names.
+    """
+    found = detected(docs, id_col, text_col).dropDuplicates(["key"]).select(F.col("key").alias("k"), F.struct("spans", "bits", "of").alias("found"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    joined = docs.withColumn("__key", F.xxhash64(id_col, text)).join(spans.withColumnRenamed("spans", "__spans").withColumnRenamed("bits", "__bits"), F.col("__key") == F.col("key")).drop("key", "__key")
+    # The columns of docs travel in one struct, so that none can clash.
+    rows = docs.select(F.xxhash64(id_col, text).alias("k"), F.struct(*docs.columns).alias("doc")).join(found, "k").select("doc", "found")
     names, at = docs.columns, docs.columns.index(text_col)
 
+    def put(k: int, one: dict) -> str:
+        term = k - (len(one["spans"]) - len(one["bits"]))
+        if term >= 0 and one["bits"][term] >= REMOVE_BITS:
+            return ""
+        return f"[{KINDS[one['of'][term] if term >= 0 else one['spans'][k]['kind']].upper()}]"
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for body, marks, weights in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True):
+            own, out = batch.column(0).flatten(), []
+            for body, one in zip(own[at].to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if body is None:
                     out.append(None)
                     continue
-                n = len(marks) - len(weights)
-                todo = sorted((m["start"], -m["end"], "" if k >= n and weights[k - n] >= REMOVE_BITS else f"[{KINDS[m['kind']].upper()}]") for k, m in enumerate(marks))
                 parts, done = [], 0
-                for start, end, put in todo:
+                for start, end, word in sorted((m["start"], -m["end"], put(k, one)) for k, m in enumerate(one["spans"])):
                     if start >= done:
-                        parts += [body[done:start], put]
+                        parts += [body[done:start], word]
                     done = max(done, -end)
                 out.append("".join([*parts, body[done:]]))
-            columns = [pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))]
+            columns = [pa.array(out, pa.string()) if k == at else own[k] for k in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.mapInArrow(cut, docs.schema)
+    return rows.mapInArrow(cut, docs.schema)
