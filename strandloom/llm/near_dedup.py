@@ -36,8 +36,8 @@ THRESHOLD = 75  # percent
 #: Coordinates a band and bands: two sets at the threshold share no band with probability 3e-7.
 ROWS, BANDS = 4, 40
 COORDINATES = ROWS * BANDS
-#: Members of one side of a cell, about.
-CELL = 256
+#: Elements of all sets on one side of a cell, about: a cell is bounded by bytes, however large its members are.
+CELL_ELEMENTS = 100_000
 
 _ODD = np.random.default_rng(7).integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROUND = mix(np.arange(2 * COORDINATES, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
@@ -163,9 +163,10 @@ def _cell(table: pa.Table) -> pa.Table:
 def _open_links(rows: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b), tested on the full sets, among a bucket's members of different components."""
     now = rows.join(links.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = now.groupBy("band", "component").agg(F.count("*").alias("c"))
-    still = parts.groupBy("band").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("main"), F.count("*").alias("kinds")).where("all > 2 and kinds > 1")
-    still = still.select("band", F.col("main.component").alias("main"), F.ceil(F.col("all") / CELL).alias("across"), F.ceil((F.col("all") - F.col("main.c")) / CELL).alias("down"))
+    parts = now.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("size"))
+    still = parts.groupBy("band").agg(F.sum("c").alias("all"), F.sum("size").alias("sizes"), F.max(F.struct("c", "component", "size")).alias("main"), F.count("*").alias("kinds"))
+    across, down = F.ceil(F.col("sizes") / CELL_ELEMENTS).alias("across"), F.ceil((F.col("sizes") - F.col("main.size")) / CELL_ELEMENTS).alias("down")
+    still = still.where("all > 2 and kinds > 1").select("band", F.col("main.component").alias("main"), across, down)
     left = now.join(still, "band").withColumn("h", F.xxhash64("id", "band"))
     asks = left.where("component <> main").select("band", "id", "component", F.lit(True).alias("query"), F.expr("pmod(h, down)").alias("i"), F.explode(F.expr("sequence(0L, across - 1)")).alias("j"))
     held = left.select("band", "id", "component", F.lit(False).alias("query"), F.explode(F.expr("sequence(0L, down - 1)")).alias("i"), F.expr("pmod(h, across)").alias("j"))
@@ -202,8 +203,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     edges = linked(rows.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")))
     links = components(edges)
-    edges = links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(_open_links(rows.drop("hub"), links, sets))
-    links = components(edges)
+    more = checkpointed(_open_links(rows.drop("hub"), links, sets))
+    if not more.isEmpty():
+        links = components(links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
     classes = able.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("many")).join(links, "node", "left")
     classes = classes.where("many > 1 or component is not null").select("digest", F.coalesce("component", "node").alias("component"))

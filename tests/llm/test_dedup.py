@@ -124,7 +124,7 @@ def test_near_groups_in_a_family_around_the_threshold(spark):
 
 
 def test_cells_lose_no_pair(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CELL", 4)
+    monkeypatch.setattr(near_dedup, "CELL_ELEMENTS", 800)
     test_near_groups_in_a_family_around_the_threshold(spark)
 
 
@@ -188,6 +188,9 @@ def test_words_hash_like_their_lower_case_text():
 
 
 def test_components_of_chains_and_stars(spark):
+    long = [(1000 + k, 1001 + k) for k in range(3000)]
+    got = {r["component"] for r in components(spark.createDataFrame(long, "a long, b long").repartition(3)).collect()}
+    assert got == {1000}
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (3, 2), (2, 3)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 140)}
