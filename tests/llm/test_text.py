@@ -338,8 +338,10 @@ def test_disclosing_terms_are_spans(spark):
         assert sum(s["kind"] == 4 for s in got[i]["spans"]) == 1
     assert [s["kind"] for s in got[400]["spans"]] == [4]
     assert all(not got[i]["spans"] for i in range(100, 300)) and not got[401]["spans"] and not got[402]["spans"]
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs).collect()}
-    assert "anna" not in clean[3] and "Zorbly" not in clean[3] and "[EMAIL]" in clean[3] and clean[401] is None and clean[150] == dict(data)[150]
+    clash = docs.withColumns({n: F.lit(1) for n in ("key", "__key", "spans", "bits", "of", "k", "doc", "found", "__spans")})
+    assert pii.sanitised(clash).columns == clash.columns
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(clash).collect()}
+    assert "anna" not in clean[3] and "Zorbly" not in clean[3] and clean[3].count("[EMAIL]") == 2 and clean[401] is None and clean[150] == dict(data)[150]
     table = {r["doc_id"]: r for r in pii.summary(pii.detected(docs)).collect()}
     assert table[402]["base_sha256"] == hashlib.sha256(b"").hexdigest() and table[402]["spans"] == ""
 
@@ -362,6 +364,60 @@ def test_terms_disclose_rare_values_and_kinds_from_anywhere_in_a_text(spark):
         assert terms == [w for w in body.split() if w.lower() in ("vintrel", "quorbal")], i
 
 
+def brute_terms(data):
+    """Term spans by their definition: every term against every entity and kind, over distinct texts."""
+    texts = sorted({t or "" for _, t in data})
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+
+    def terms(text, spans=()):
+        out = []
+        for m in word.finditer(text):
+            a, b = m.span()
+            for _ in range(4):
+                a += b > a + 1 and text[a].isascii() and not text[a].isalnum()
+                b -= b > a + 1 and text[b - 1].isascii() and not text[b - 1].isalnum()
+            t = text[a:b].translate(LOWER)
+            inside = any(len(text[:x].encode()) < len(text[:b].encode()) and a < y for _, x, y in spans)
+            if len(t.encode()) >= 3 and not re.search("[0-9]", t) and not inside:
+                out.append((t, a, b))
+        return out
+
+    have = {}
+    for text in texts:
+        spans = brute_spans(text)
+        known = {("kind", k) for k, _, _ in spans} | {(k, text[a:b].lower() if k < 2 else re.sub("[^0-9]", "", text[a:b])) for k, a, b in spans}
+        have[text] = known, {t for t, _, _ in terms(text, spans)}
+    docs = Counter(t for text in texts for t in {t for t, _, _ in terms(text)})
+    with_ = Counter(e for known, _ in have.values() for e in known)
+    both = Counter((t, e) for known, own in have.values() for e in known for t in own)
+    good = set()
+    for (t, e), n in both.items():
+        base = with_[e] / len(texts)
+        share = (n + pii.SMOOTHING * base) / (docs[t] + pii.SMOOTHING)
+        if n > 1 and with_[e] * 2**pii.LEAST_BITS <= len(texts) and share >= pii.LEAST_SHARE and math.log2(share / base) >= pii.LEAST_BITS:
+            good.add(t)
+    return [(i, [(4, a, b) for t, a, b in terms(text or "") if t in good]) for i, text in data], good
+
+
+def test_term_spans_equal_brute_force_with_copies_and_ties(spark):
+    random.seed(12)
+    filler = [f"v{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(120)]
+    people = [(f"Name{chr(97 + k)}el", f"p{k}@mail.example", f"+49 30 12345{k:02}") for k in range(6)]
+    data = []
+    for i in range(400):
+        w = random.choices(filler, k=random.randint(3, 30))
+        if i % 20 < 2:
+            name, mail, phone = people[i % 6]
+            w[1:1] = [f"({name})"] * random.randint(0, 2) + [mail] * (i % 3 > 0) + [phone] * (i % 3 < 2)
+        data.append((i, " ".join(w)))
+    data += [(1000 + k, data[k % 40][1]) for k in range(90)] + [(2000, None), (2001, ""), (3, data[3][1])]
+    wanted, good = brute_terms(data)
+    assert good
+    got = pii.detected(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    terms = [(r["doc_id"], tuple(tuple(s) for s in r["spans"] if s["kind"] == 4)) for r in got]
+    assert Counter(terms) == Counter((i, tuple(s)) for i, s in wanted)
+
+
 def test_detection_of_awkward_rows(spark):
     assert pii.detected(frame(spark)).count() == len(rows())
     assert pii.detected(empty(spark)).count() == 0
