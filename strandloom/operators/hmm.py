@@ -198,11 +198,15 @@ def annotate_regions(regions: DataFrame, min_length: int = 60, min_score: float
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         states = len(machine(min_intron).names)
         for batch in batches:
-            rows = sorted(batch.to_pylist(), key=lambda r: -len(r["seq"]))
+            lists, rows = batch.column(4), []
+            flat, inner, at = lists.values.values.to_numpy(zero_copy_only=False), lists.values.offsets.to_numpy(), lists.offsets.to_numpy()
+            for i, row in enumerate(batch.select(["seq_id", "strand", "region_start", "seq"]).to_pylist()):
+                rows.append(row | {"probs": flat[inner[at[i]] : inner[at[i + 1]]].reshape(-1, 5)})
+            rows.sort(key=lambda r: -len(r["seq"]))
             while rows:
                 many = max(1, budget // (2 * states * max(1, len(rows[0]["seq"]))))
                 now, rows = rows[:many], rows[many:]
-                p = [np.array(r["probs"], float).reshape(-1, 5) for r in now]
+                p = [r["probs"].astype(float) for r in now]
                 out = {k: [] for k in ("seq_id", "strand", "gene_start", "start", "end", "score", "cds_score")}
                 for r, own, path in zip(now, p, decode(p, [r["seq"] for r in now], min_intron), strict=True):
                     for gene in structures(path, own, min_length, min_score, min_intron, min_span):

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 ACCEPTED = ("mRNA", "V_gene_segment", "C_gene_segment", "J_gene_segment", "D_gene_segment")
@@ -21,35 +23,61 @@ def longest_transcripts(transcripts: DataFrame, gene: str, length: Column, order
 def accepted(genes: DataFrame, keys: list[str], start: str = "start", end: str = "end", order: str = "gene_no") -> DataFrame:
     """(keys, order, start, end, accepted): in file order, a gene is accepted unless it starts before the last accepted one ends.
 
-    A fold over each strand's genes in order; the spans of a strand's genes, some
-    tens of thousands at most, are one array.
+    What is accepted depends on all genes before, so a strand's genes, some tens
+    of thousands of three numbers, are one group.
     """
-    spans = genes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(start).alias("s"), F.col(end).alias("e")))).alias("spans"))
-    none = F.expr("cast(array() as array<struct<o:bigint,s:bigint,e:bigint,accepted:boolean>>)")
+    rows = genes.select(*keys, *(F.col(c).cast("long").alias(c) for c in (order, start, end)))
 
-    def step(state: Column, x: Column) -> Column:
-        good = x["s"] >= state["until"]
-        row = F.struct(x["o"].cast("long").alias("o"), x["s"].cast("long").alias("s"), x["e"].cast("long").alias("e"), good.alias("accepted"))
-        return F.struct(F.when(good, x["e"].cast("long")).otherwise(state["until"]).alias("until"), F.concat(state["rows"], F.array(row)).alias("rows"))
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        until, good = -(2**62), []
+        for a, b in zip(table[start].to_pylist(), table[end].to_pylist(), strict=True):
+            good.append(a >= until)
+            until = b if a >= until else until
+        return table.append_column("accepted", pa.array(good, pa.bool_()))
 
-    start_state = F.struct(F.lit(-(2**62)).cast("long").alias("until"), none.alias("rows"))
-    folded = spans.select(*keys, F.aggregate("spans", start_state, step, lambda s: s["rows"]).alias("rows"))
-    return folded.select(*keys, F.inline("rows")).toDF(*keys, order, start, end, "accepted")
+    return rows.groupBy(*keys).applyInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())]))
+
+
+def written(intervals: DataFrame, keys: list[str], value: str = "value", order: str = "write_seq", block: int = 1 << 14) -> DataFrame:
+    """(keys, start, end, value): what a track holds after half-open intervals are written in order, as disjoint spans.
+
+    Intervals are cut at multiples of `block`, so that a whole contig is no group
+    of its own, and within a block at each other's ends; the last writer of a
+    piece counts. Neighbouring spans may have the same value.
+    """
+    rows = intervals.where("end > start").select(*keys, "start", "end", F.col(value).alias("__value"), F.col(order).alias("__order"))
+    rows = rows.withColumn("__block", F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})")))
+    rows = rows.withColumn("start", F.greatest("start", F.col("__block") * block)).withColumn("end", F.least("end", (F.col("__block") + 1) * block))
+    inside = [*keys, "__block"]
+    cuts = rows.select(*inside, F.explode(F.array("start", "end")).alias("a")).distinct()
+    pieces = cuts.withColumn("b", F.lead("a").over(W.partitionBy(*inside).orderBy("a"))).where("b is not null")
+    held = pieces.join(rows, inside).where("start <= a and b <= end")
+    return held.groupBy(*inside, "a", "b").agg(F.max_by("__value", "__order").alias(value)).select(*keys, F.col("a").alias("start"), F.col("b").alias("end"), value)
 
 
 def last_written(intervals: DataFrame, keys: list[str], value: str = "value", order: str = "write_seq") -> DataFrame:
-    """(keys, pos, value): what a track holds after half-open intervals are written in order; one aggregation, partial per task."""
-    rows = intervals.where("end > start").select(*keys, value, order, F.explode(F.expr("sequence(start, end - 1)")).alias("pos"))
-    return rows.groupBy(*keys, "pos").agg(F.max_by(value, order).alias(value))
+    """(keys, pos, value): the spans of `written`, a row for each position."""
+    return written(intervals, keys, value, order).select(*keys, F.explode(F.expr("sequence(start, end - 1)")).alias("pos"), value)
 
 
 def painted(transcripts: DataFrame, exons: DataFrame, cds: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pos, class): 2 on coding bases, 1 on other exon bases, 3 on the rest of a transcript."""
-    layers = None
-    for frame, kind, rank in ((transcripts, 3, 0), (exons, 1, 1), (cds, 2, 2)):
-        layer = frame.select(*keys, "start", "end", F.lit(kind).alias("class"), F.lit(rank).alias("write_seq"))
-        layers = layer if layers is None else layers.unionByName(layer)
-    return last_written(layers, keys, "class")
+    """(keys, start, end, class) as disjoint spans: 2 on coding bases, 1 on other exon bases, 3 on the rest of a transcript.
+
+    Counts of open intervals of each kind, by position: one window, no join.
+    """
+    kinds = ("transcript", "exon", "coding")
+    edges = None
+    for k, frame in enumerate((transcripts, exons, cds)):
+        step = F.when(F.col("side") == 0, 1).otherwise(-1)
+        own = frame.where("end > start").select(*keys, F.posexplode(F.array("start", "end")).alias("side", "at"))
+        own = own.select(*keys, "at", *(step.alias(n) if n == kinds[k] else F.lit(0).alias(n) for n in kinds))
+        edges = own if edges is None else edges.unionByName(own)
+    steps = edges.groupBy(*keys, "at").agg(*(F.sum(n).alias(n) for n in kinds))
+    by = W.partitionBy(*keys).orderBy("at")
+    now = steps.select(*keys, F.col("at").alias("start"), F.lead("at").over(by).alias("end"), *(F.sum(n).over(by).alias(n) for n in kinds))
+    kind = F.when(F.col("coding") > 0, 2).when(F.col("exon") > 0, 1).when(F.col("transcript") > 0, 3)
+    return now.where("end is not null").select(*keys, "start", "end", kind.alias("class")).where("class is not null")
 
 
 def transition_windows(transcripts: DataFrame, exons: DataFrame, cds: DataFrame, keys: list[str], weights: tuple[int, ...] = (16,) * 6, strand: str | None = None) -> DataFrame:

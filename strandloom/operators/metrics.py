@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 
@@ -41,22 +43,36 @@ def total_loss(base: Column, transition: Column, phase: Column) -> Column:
 
 
 def early_stop(scores: DataFrame, patience: int, delta: float = 0.0, keys: list[str] | None = None, epoch: str = "epoch", score: str = "score") -> DataFrame:
-    """scores with best (the best score so far), streak (epochs in a row without a better one) and stopped.
+    """(keys, epoch, score) with best (the best score so far), streak (epochs in a row without a better one), improved and stopped.
 
-    An epoch is better if its score exceeds the best by more than delta. With a
-    delta the best depends on the epochs before in order, so each series, a few
-    hundred epochs, is folded as one array.
+    An epoch is better if its score exceeds the best by more than delta; those
+    are the ones (`improved`) whose state is kept as a checkpoint. The best
+    depends on the epochs before in order, so each series is one group.
     """
     keys = keys or []
-    series = scores.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(epoch).cast("long").alias("e"), F.col(score).cast("double").alias("s")))).alias("xs"))
-    shape = "array<struct<epoch:bigint,score:double,best:double,streak:int,stopped:boolean>>"
-
-    def step(state: Column, x: Column) -> Column:
-        better = state["best"].isNull() | (x["s"] > state["best"] + delta)
-        best = F.when(better, x["s"]).otherwise(state["best"])
-        streak = F.when(better, F.lit(0)).otherwise(state["streak"] + 1)
-        row = F.struct(x["e"].alias("epoch"), x["s"].alias("score"), best.alias("best"), streak.alias("streak"), (state["stopped"] | (streak >= patience)).alias("stopped"))
-        return F.struct(best.alias("best"), streak.alias("streak"), row["stopped"].alias("stopped"), F.concat(state["rows"], F.array(row)).alias("rows"))
-
-    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("streak"), F.lit(False).alias("stopped"), F.expr(f"cast(array() as {shape})").alias("rows"))
-    return series.select(*keys, F.inline(F.aggregate("xs", start, step, lambda s: s["rows"])))
+    rows = scores.select(*keys, F.col(epoch).cast("long").alias("epoch"), F.col(score).cast("double").alias("score"))
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("epoch")
+        best, streak, stopped, out = None, 0, False, []
+        for x in table["score"].to_pylist():
+            better = best is None or x > best + delta
+            best, streak = (x, 0) if better else (best, streak + 1)
+            stopped = stopped or streak >= patience
+            out.append((best, streak, better, stopped))
+        columns = list(zip(*out, strict=True))
+        for name, kind, values in zip(("best", "streak", "improved", "stopped"), (pa.float64(), pa.int32(), pa.bool_(), pa.bool_()), columns, strict=True):
+            table = table.append_column(name, pa.array(values, kind))
+        return table
+
+    more = [T.StructField("best", T.DoubleType()), T.StructField("streak", T.IntegerType()), T.StructField("improved", T.BooleanType()), T.StructField("stopped", T.BooleanType())]
+    return rows.groupBy(*keys).applyInArrow(fold, T.StructType([*rows.schema.fields, *more]))
+
+
+def checkpoint_metric(tasks: list[DataFrame]) -> DataFrame:
+    """(macro_f1): the mean of the tasks' macro F1, each over the classes of its confusion counts."""
+    macros = None
+    for counts in tasks:
+        one = f1(counts).agg(F.avg("f1").alias("macro"))
+        macros = one if macros is None else macros.union(one)
+    return macros.agg(F.avg("macro").alias("macro_f1"))

@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from heapq import heapify, heapreplace
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def longest_first(items: DataFrame, groups: int, size: str = "length", order: str = "seq_ord", keys: list[str] | None = None) -> DataFrame:
     """(keys, order, size, chunk_id): longest first, each to the group that is smallest so far, the first of equals.
 
-    For lists of contigs, thousands of rows at most; each list is folded as one
-    array. There are never more groups than items.
+    Each choice depends on all before, so a list of contigs, two numbers each,
+    is one group. There are never more groups than items.
     """
     keys = keys or []
-    lists = items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((-F.col(size)).cast("long").alias("down"), F.col(order).cast("long").alias("o")))).alias("xs"))
-    lists = lists.withColumn("k", F.least(F.lit(groups), F.size("xs")))
+    rows = items.select(*keys, F.col(order).cast("long").alias(order), F.col(size).cast("long").alias(size))
+
+    def deal(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(size, "descending"), (order, "ascending")])
+        loads = [(0, k) for k in range(min(groups, table.num_rows))]
+        heapify(loads)
+        chosen = []
+        for length in table[size].to_pylist():
+            load, k = loads[0]
+            heapreplace(loads, (load + length, k))
+            chosen.append(k)
+        return table.append_column("chunk_id", pa.array(chosen, pa.int32()))
+
+    return rows.groupBy(*keys).applyInArrow(deal, T.StructType([*rows.schema.fields, T.StructField("chunk_id", T.IntegerType())]))
 
-    def step(state: Column, x: Column) -> Column:
-        chosen = F.array_position(state["loads"], F.array_min(state["loads"]))
-        loads = F.transform(state["loads"], lambda load, i: F.when(i + 1 == chosen, load - x["down"]).otherwise(load))
-        row = F.struct(x["o"].alias("o"), (-x["down"]).alias("s"), (chosen - 1).cast("int").alias("chunk_id"))
-        return F.struct(loads.alias("loads"), F.concat(state["rows"], F.array(row)).alias("rows"))
 
-    start = F.struct(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.lit(0).cast("long")).alias("loads"), F.expr("cast(array() as array<struct<o:bigint,s:bigint,chunk_id:int>>)").alias("rows"))
-    return lists.select(*keys, F.inline(F.aggregate("xs", start, step, lambda s: s["rows"]))).toDF(*keys, order, size, "chunk_id")
+def chunk_totals(dealt: DataFrame, size: str = "length", keys: list[str] | None = None) -> DataFrame:
+    """(keys, chunk_id, n, total): items and their length in each group."""
+    return dealt.groupBy(*(keys or []), "chunk_id").agg(F.count("*").alias("n"), F.sum(size).alias("total"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators import genes, hmm, regions, tiling
+from strandloom.operators import genes, hmm, packing, regions, tiling
 from strandloom.plans.scoring import Scorer, scored
+from strandloom.session import stored
 from strandloom.sources.gff import write_gff
 
 WINDOW, FLANK = 30720, 5120
@@ -15,14 +16,39 @@ BLOCK = 8192
 
 
 def predict(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK) -> DataFrame:
-    """Scored pieces of both strands; write them as Parquet to predict and decode in two steps."""
+    """Scored pieces of both strands. Scoring is the dear step: store them before several steps read them."""
     tiles = tiling.both_strands(tiling.windows(genome, window, flank), window)
     return scored(tiles, scorer, window, flank)
 
 
+def genic_probability(p: Column) -> Column:
+    """The classes 1 to 4 of a base, added up; they need not sum to one with class 0."""
+    return p[1].cast("double") + p[2].cast("double") + p[3].cast("double") + p[4].cast("double")
+
+
+def write_predictions(pieces: DataFrame, contigs: DataFrame, path: str, chunks: int = 1) -> None:
+    """pieces as Parquet, a folder for each chunk of contigs; the contigs are dealt longest first. A second run replaces the first."""
+    dealt = packing.longest_first(contigs.select("seq_ord", "length"), chunks).select("seq_ord", "chunk_id")
+    of = contigs.select("seq_id", "seq_ord").join(dealt, "seq_ord").select("seq_id", "chunk_id")
+    pieces.join(of, "seq_id").write.mode("overwrite").partitionBy("chunk_id").parquet(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """All chunks that write_predictions, or another program, put into a folder."""
+    return spark.read.parquet(path).drop("chunk_id")
+
+
+def checked(found: DataFrame, contigs: DataFrame) -> DataFrame:
+    """found with the contigs' columns; a prediction for a contig that the genome lacks is an error."""
+    known = contigs.select(F.col("seq_id").cast("string").alias("seq_id"), "seq_ord", "length", F.lit(True).alias("__known"))
+    rows = found.join(known, "seq_id", "left")
+    message = F.concat(F.lit("no sequence in the genome for predictions of "), F.coalesce("seq_id", F.lit("null")))
+    return rows.withColumn("seq_ord", F.when(F.col("__known"), F.col("seq_ord")).otherwise(F.raise_error(message).cast("int"))).drop("__known")
+
+
 def _bins(pieces: DataFrame, most: float) -> DataFrame:
     """Bin means of pieces that may begin anywhere: a part of a bin each, summed over pieces."""
-    rows = pieces.select("seq_id", "strand", "start", F.transform("probs", lambda p: (1.0 - p[0]).cast("double")).alias("genic"))
+    rows = pieces.select("seq_id", "strand", "start", F.transform("probs", genic_probability).alias("genic"))
     rows = rows.withColumn("bin", F.explode(F.expr(f"sequence(start div {regions.BIN}, (start + size(genic) - 1) div {regions.BIN})")))
     low = F.greatest(F.col("bin") * regions.BIN - F.col("start"), F.lit(0)).cast("int")
     high = F.least((F.col("bin") + 1) * regions.BIN - F.col("start"), F.size("genic")).cast("int")
@@ -32,8 +58,8 @@ def _bins(pieces: DataFrame, most: float) -> DataFrame:
 
 
 def candidates(pieces: DataFrame, average: float = 0.1, most: float = 0.5) -> DataFrame:
-    """Regions with their sequence and probabilities, pieces put together."""
-    lengths = pieces.groupBy("seq_id", "strand").agg(F.first("length").alias("length"))
+    """Regions with their sequence and probabilities, pieces put together. pieces is read more than once."""
+    lengths = pieces.where("start = 0").select("seq_id", "strand", "length")
     found = regions.candidate_regions(_bins(pieces, most), lengths, ["seq_id", "strand"], average)
 
     def blocks(low, high):
@@ -55,17 +81,17 @@ def decode(pieces: DataFrame, contigs: DataFrame, average: float = 0.1, most: fl
     """Feature rows of all genes; contigs has seq_id, seq_ord and length."""
     found = candidates(pieces, average, most)
     found = found.repartition("seq_id", "strand", "region_start")
-    cds = hmm.annotate_regions(found.withColumn("seq_id", F.col("seq_id").cast("string")), min_cds_length, min_cds_score, min_intron)
+    # Decoding is dear too, and both the numbers and the rows come from it.
+    cds = stored(hmm.annotate_regions(found.withColumn("seq_id", F.col("seq_id").cast("string")), min_cds_length, min_cds_score, min_intron))
     key = ["seq_id", "strand", "gene_start"]
     cds = genes.cds_phases(cds, key)
     numbers = genes.numbered(cds.select(*key).distinct().withColumnRenamed("gene_start", "first_cds")).withColumnRenamed("first_cds", "gene_start")
-    rows = cds.join(numbers, key).join(contigs.select(F.col("seq_id").cast("string").alias("seq_id"), "seq_ord", "length"), "seq_id")
-    return genes.gff_rows(rows)
+    return genes.gff_rows(checked(cds.join(numbers, key), contigs))
 
 
 def annotate(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK, **thresholds: float) -> DataFrame:
-    """genome (seq_id, seq_ord, length, seq) to feature rows, in one plan."""
-    return decode(predict(genome, scorer, window, flank), genome.select("seq_id", "seq_ord", "length"), **thresholds)
+    """genome (seq_id, seq_ord, length, seq) to feature rows; every window is scored once."""
+    return decode(stored(predict(genome, scorer, window, flank)), genome.select("seq_id", "seq_ord", "length"), **thresholds)
 
 
 def annotate_to(genome: DataFrame, scorer: Scorer, path: str, **options: float) -> None:

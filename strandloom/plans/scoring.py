@@ -80,8 +80,3 @@ def scored(tiles: DataFrame, scorer: Scorer, window: int, flank: int, batch: int
 
     kinds = dict(rows.dtypes)
     return rows.mapInArrow(work, f"seq_id {kinds['seq_id']}, strand tinyint, length long, start long, seq string, probs array<array<float>>")
-
-
-def tracks_from_parquet(spark, path: str) -> DataFrame:
-    """External predictions with the columns of scored(); one folder, read whole."""
-    return spark.read.parquet(path)

@@ -5,22 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.session import stored
 
-def attributes_of(text: Column) -> Column:
-    """key=value pieces as a map: the value is what stands between the first and the second '='; of equal keys the last counts."""
-    pieces = F.filter(F.split(text, ";"), lambda p: p.contains("="))
-    pairs = F.transform(pieces, lambda p: F.struct(F.split_part(F.trim(p), F.lit("="), F.lit(1)).alias("key"), F.split_part(F.trim(p), F.lit("="), F.lit(2)).alias("value")))
-    last = F.filter(pairs, lambda p, i: F.size(F.filter(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"])) == 0)
-    return F.map_from_entries(last)
+
+_FIELDS = ("seqid", "source", "type", "start", "end", "score", "strand", "phase")
+
+
+def _pairs(text: Column) -> Column:
+    """The key=value pieces in order: the value is what stands between the first and the second '='."""
+    pieces = F.transform(F.filter(F.split(text, ";"), lambda p: p.contains("=")), lambda p: F.split(F.trim(p), "="))
+    return F.transform(pieces, lambda p: F.struct(p[0].alias("key"), p[1].alias("value")))
+
+
+def attribute(text: Column, key: str) -> Column:
+    """The value of one key; of equal keys the last counts."""
+    own = F.filter(F.split(text, ";"), lambda p: p.contains("=") & (F.trim(F.substring_index(p, "=", 1)) == key))
+    return F.get(F.split(F.trim(F.try_element_at(own, F.lit(-1))), "="), F.lit(1))
+
+
+def _cut(lines: DataFrame, value: str) -> DataFrame:
+    rows = lines.where(~F.col(value).startswith("#")).select("line_no", F.split(F.trim(value), "\t").alias("c")).where("size(c) >= 9")
+    fields = [F.get("c", F.lit(k)).try_cast("long" if n in ("start", "end") else "string").alias(n) for k, n in enumerate(_FIELDS)]
+    return rows.select("line_no", *fields, F.get("c", F.lit(8)).alias("text"))
 
 
 def parse_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """GFF rows of lines (line_no, value); comments, blank lines and lines of under nine columns are left out."""
-    cut = lines.where(~F.col(value).startswith("#")).select("line_no", F.split(F.trim(value), "\t").alias("c")).where("size(c) >= 9")
-    c = F.col("c")
-    names = ("seqid", "source", "type", "start", "end", "score", "strand", "phase")
-    fields = [F.get(c, F.lit(k)).try_cast("long" if n in ("start", "end") else "string").alias(n) for k, n in enumerate(names)]
-    return cut.select("line_no", *fields, attributes_of(F.get(c, F.lit(8))).alias("attributes"))
+    """GFF rows of lines (line_no, value) with a map of attributes; comments, blank lines and lines of under nine columns are left out."""
+    rows = _cut(lines, value).withColumn("pairs", _pairs(F.col("text")))
+    # Of equal keys the last counts: its place is the last one in the array of keys.
+    keys = rows.withColumn("keys", F.transform("pairs", lambda p: p["key"]))
+    last = F.filter("pairs", lambda p, i: F.size("pairs") - F.array_position(F.reverse("keys"), p["key"]) == i)
+    return keys.select("line_no", *_FIELDS, F.map_from_entries(last).alias("attributes"))
+
+
+def parse_links(lines: DataFrame, value: str = "value") -> DataFrame:
+    """GFF rows of lines with id and parent alone, which is all that joins need."""
+    return _cut(lines, value).select("line_no", *_FIELDS, attribute(F.col("text"), "ID").alias("id"), attribute(F.col("text"), "Parent").alias("parent"))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -28,6 +48,12 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), "value")
 
 
+def filter_gff(spark: SparkSession, path: str, out: str) -> None:
+    """without_repeated_genes from file to file; part files keep the order of lines."""
+    kept = without_repeated_genes(read_lines(spark, path))
+    kept.repartitionByRange("line_no").sortWithinPartitions("line_no").select("value").write.text(out)
+
+
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(read_lines(spark, path))
 
@@ -39,9 +65,8 @@ def children(features: DataFrame, parents: DataFrame) -> DataFrame:
     return own.join(above, "parent")
 
 
-def repeated_genes(features: DataFrame) -> DataFrame:
-    """(line_no) of genes whose ID another gene has too, of their mRNAs, and of those' exons and coding parts."""
-    rows = features.select("line_no", "type", F.try_element_at("attributes", F.lit("ID")).alias("id"), F.try_element_at("attributes", F.lit("Parent")).alias("parent"))
+def repeated_genes(rows: DataFrame) -> DataFrame:
+    """(line_no) of genes whose ID another gene has too, of their mRNAs, and of those' exons and coding parts; rows has line_no, type, id and parent."""
     genes = rows.where("type = 'gene' and id is not null")
     twice = genes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     transcripts = rows.where("type = 'mRNA'").join(twice.withColumnRenamed("id", "parent"), "parent", "left_semi")
@@ -51,7 +76,7 @@ def repeated_genes(features: DataFrame) -> DataFrame:
 
 def without_repeated_genes(lines: DataFrame) -> DataFrame:
     """lines (line_no, value) without those of repeated genes and without blank ones; comments stay."""
-    bad = repeated_genes(parse_lines(lines))
+    bad = repeated_genes(stored(parse_links(lines).select("line_no", "type", "id", "parent")))
     kept = lines.where(F.trim("value") != "")
     good = F.size(F.split(F.trim("value"), "\t")) >= 9
     return kept.where(F.col("value").startswith("#") | good).join(bad, "line_no", "left_anti")
