@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as S
 from strandloom.operators import experts, genes, labels, metrics, packing, regions, runs, tiling
 from strandloom.plans import annotate as plan
+from strandloom.plans import samples
 from strandloom.plans.scoring import CompositionScorer
-from strandloom.plans.views import DNA_SQL, FEATURES_SQL, SERIES_SQL, dna, features, probability_chunks, series, table
+from strandloom.plans.views import CONTIG_LENGTH, CONTIGS_SQL, DNA_SQL, FEATURES_SQL, MODEL_SQL, SERIES_SQL, dna, features, probability_chunks, series, table
+from strandloom.plans.views import model_rows as samples_view
 from strandloom.session import stored
 from strandloom.sources import gff
 
@@ -268,20 +270,48 @@ def q_coord_flip(spark: SparkSession, d: str) -> DataFrame:
     return features(spark, d).select("gene_id", "child_no", start.alias("gff_start"), end.alias("gff_end"))
 
 
-@query(f"""
-    WITH {_NUMBERED}, {_PHASES},
+_GFF_ROWS = f"""{_NUMBERED}, {_PHASES},
     parts AS (SELECT p.*, n.gene_no, CASE WHEN p.strand = -1 THEN 1000000 - end_pos ELSE start_pos + 1 END AS a, CASE WHEN p.strand = -1 THEN 1000000 - start_pos ELSE end_pos + 1 END AS b,
-              p.seq_id || '_gene_' || gene_no AS gid FROM phases p JOIN numbered n USING (gene_id)),
+              p.seq_id || '-g' || gene_no AS gid FROM phases p JOIN numbered n USING (gene_id)),
+    wholes AS (SELECT any_value(seq_id) AS seq_id, gid, any_value(gene_no) AS gene_no, any_value(strand) AS strand, min(a) AS a, max(b) AS b, count(*) AS n FROM parts GROUP BY gid),
     lines AS (
-        SELECT any_value(seq_id) AS seq_id, gid, 'gene' AS type, min(a) AS a, max(b) AS b, any_value(strand) AS strand, '.' AS phase, 'ID=' || gid AS attributes FROM parts GROUP BY gid
-        UNION ALL SELECT any_value(seq_id), gid, 'mRNA', min(a), max(b), any_value(strand), '.', 'ID=' || gid || '.1;Parent=' || gid FROM parts GROUP BY gid
-        UNION ALL SELECT seq_id, gid, 'exon', a, b, strand, '.', 'ID=' || gid || '.1.exon' || part || ';Parent=' || gid || '.1' FROM parts
-        UNION ALL SELECT seq_id, gid, 'CDS', a, b, strand, phase::VARCHAR, 'ID=' || gid || '.1.cds' || part || ';Parent=' || gid || '.1' FROM parts)
-    SELECT concat_ws(chr(9), seq_id::VARCHAR, 'strandloom', type, a::VARCHAR, b::VARCHAR, '.', CASE WHEN strand = -1 THEN '-' ELSE '+' END, phase, attributes) AS value FROM lines""")
-def q_gff_rows(spark: SparkSession, d: str) -> DataFrame:
+        SELECT seq_id, gene_no, 0 AS rank, 0 AS part, 'gene' AS type, a, b, strand, '.' AS score, '.' AS phase, 'ID=' || gid AS attributes FROM wholes
+        UNION ALL SELECT seq_id, gene_no, 1, 0, 'transcript', a, b, strand, '.', '.', 'ID=' || gid || '.t1;Parent=' || gid FROM wholes
+        UNION ALL SELECT seq_id, gene_no, 2, part, 'exon', a, b, strand, '.', '.', 'ID=' || gid || '.t1.exon.' || part || ';Parent=' || gid || '.t1' FROM parts
+        UNION ALL SELECT seq_id, gene_no, 3, part, 'CDS', a, b, strand, printf('%.2f', score), phase::VARCHAR, 'ID=' || gid || '.t1.CDS.' || part || ';Parent=' || gid || '.t1' FROM parts),
+    texts AS (SELECT *, concat_ws(chr(9), seq_id::VARCHAR, 'strandloom', type, a::VARCHAR, b::VARCHAR, score, CASE WHEN strand = -1 THEN '-' ELSE '+' END, phase, attributes) AS value FROM lines)"""
+
+
+def _stand_in_rows(spark: SparkSession, d: str) -> DataFrame:
     cds = genes.cds_phases(features(spark, d), ["gene_id"], "child_no").join(_numbered(spark, d).select("gene_id", "gene_no"), "gene_id")
-    cds = cds.select(F.col("seq_id").cast("string").alias("seq_id"), F.col("seq_id").alias("seq_ord"), F.lit(1_000_000).alias("length"), "strand", "gene_no", "start", "end", "part", "phase", F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("cds_score"))
-    return gff.to_lines(genes.gff_rows(cds)).select("value")
+    whole = features(spark, d).groupBy("gene_id").agg((F.count("*") * 0.125).alias("cds_score"))
+    cds = cds.join(whole, "gene_id").select(F.col("seq_id").cast("string").alias("seq_id"), F.col("seq_id").alias("seq_ord"), F.lit(1_000_000).alias("length"), "strand", "gene_no", "start", "end", "part", "phase", "score", "cds_score")
+    return genes.gff_rows(cds)
+
+
+@query(f"WITH {_GFF_ROWS} SELECT value FROM texts")
+def q_gff_rows(spark: SparkSession, d: str) -> DataFrame:
+    return gff.to_lines(_stand_in_rows(spark, d)).select("value")
+
+
+@query(f"""
+    WITH {_GFF_ROWS},
+    body AS (
+        SELECT seq_id, strand, 1 AS kind, gene_no, rank, part, 0 AS step, value FROM texts
+        UNION ALL SELECT seq_id, strand, 1, gene_no, -1, 0, unnest([0, 1]), unnest(['# Start gene g' || gene_no, '# The CDS score is ' || (n * 0.125::DOUBLE)::VARCHAR]) FROM wholes
+        UNION ALL SELECT seq_id, strand, 1, gene_no, 9, 0, unnest([0, 1]), unnest(['# End gene g' || gene_no, '###']) FROM wholes),
+    sides AS (SELECT seq_id, strand, any_value(name) AS name FROM (SELECT c.seq_id, unnest([1, -1]) AS strand, unnest(['forward', 'reverse']) AS name FROM (SELECT DISTINCT o_custkey % 50 AS seq_id FROM orders) c) GROUP BY ALL),
+    texts_of AS (
+        SELECT seq_id, strand, list_concat(list_concat(CASE WHEN strand = 1 THEN ['#', '# ----- prediction on sequence number ' || (seq_id + 1) || ' (length = 1000000, name = ' || seq_id || ') -----'] ELSE [] END,
+            ['#', '# Predicted genes for sequence number ' || (seq_id + 1) || ' on ' || name || ' strands']), CASE WHEN (seq_id, strand) IN (SELECT (seq_id, strand) FROM wholes) THEN [] ELSE ['# None', '###'] END) AS values FROM sides),
+    heads AS (SELECT seq_id, strand, 0 AS kind, 0 AS gene_no, 0 AS rank, 0 AS part, unnest(range(0, len(values))) AS step, unnest(values) AS value FROM texts_of)
+    SELECT seq_id AS seq_ord, CASE WHEN strand = -1 THEN 1 ELSE 0 END AS side, kind, gene_no, rank, part, step, value FROM body
+    UNION ALL SELECT seq_id, CASE WHEN strand = -1 THEN 1 ELSE 0 END, kind, gene_no, rank, part, step, value FROM heads""")
+def q_write_gff(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a file with its comments; some contigs have no gene."""
+    contigs = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("seq_ord")).distinct().select("seq_ord", F.col("seq_ord").cast("string").alias("seq_id"), F.lit(1_000_000).alias("length"))
+    lines = gff.file_lines(_stand_in_rows(spark, d), contigs)
+    return lines.select(*(F.col(c).cast("long").alias(c) for c in gff.ORDER), "value")
 
 
 @query("""
@@ -392,20 +422,133 @@ def q_paint(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""
     WITH {_FEATURES},
     exons AS (SELECT *, lead(start_pos) OVER (PARTITION BY gene_id ORDER BY start_pos, child_no) AS after FROM features),
-    whole AS (SELECT gene_id, min(start_pos) AS a, max(end_pos) AS b FROM features GROUP BY gene_id),
-    coding AS (SELECT gene_id, min(start_pos) AS a, max(end_pos) AS b FROM features WHERE kind <> 'N' GROUP BY gene_id),
-    windows AS (SELECT gene_id, a - 1 AS x, a + 3 AS y, 16 AS value, 0 AS r FROM coding UNION ALL SELECT gene_id, b - 3, b + 1, 17, 1 FROM coding
-        UNION ALL SELECT gene_id, a - 1, a + 1, 18, 2 FROM whole UNION ALL SELECT gene_id, b - 1, b + 1, 19, 3 FROM whole
-        UNION ALL SELECT gene_id, end_pos - 1, end_pos + 2, 20, 4 FROM exons WHERE after IS NOT NULL UNION ALL SELECT gene_id, after - 2, after + 1, 21, 5 FROM exons WHERE after IS NOT NULL),
+    whole AS (SELECT gene_id, min(start_pos) AS a, max(end_pos) AS b, any_value(strand) AS strand FROM features GROUP BY gene_id),
+    coding AS (SELECT gene_id, min(start_pos) AS a, max(end_pos) AS b, any_value(strand) AS strand FROM features WHERE kind <> 'N' GROUP BY gene_id),
+    windows AS (
+        SELECT gene_id, a - 1 AS x, a + 3 AS y, CASE WHEN strand = 1 THEN 16 ELSE 17 END AS value, CASE WHEN strand = 1 THEN 0 ELSE 1 END AS r FROM coding
+        UNION ALL SELECT gene_id, b - 3, b + 1, CASE WHEN strand = 1 THEN 17 ELSE 16 END, CASE WHEN strand = 1 THEN 1 ELSE 0 END FROM coding
+        UNION ALL SELECT gene_id, a - 1, a + 1, CASE WHEN strand = 1 THEN 18 ELSE 19 END, CASE WHEN strand = 1 THEN 2 ELSE 3 END FROM whole
+        UNION ALL SELECT gene_id, b - 1, b + 1, CASE WHEN strand = 1 THEN 19 ELSE 18 END, CASE WHEN strand = 1 THEN 3 ELSE 2 END FROM whole
+        UNION ALL SELECT gene_id, end_pos - 1, end_pos + 2, CASE WHEN strand = 1 THEN 20 ELSE 21 END, CASE WHEN strand = 1 THEN 4 ELSE 5 END FROM exons WHERE after IS NOT NULL
+        UNION ALL SELECT gene_id, after - 2, after + 1, CASE WHEN strand = 1 THEN 21 ELSE 20 END, CASE WHEN strand = 1 THEN 5 ELSE 4 END FROM exons WHERE after IS NOT NULL),
     marks AS (SELECT gene_id, unnest(range(greatest(x, 0), y)) AS pos, value, r FROM windows)
     SELECT gene_id, pos, arg_max(value, r) AS value FROM marks GROUP BY gene_id, pos""")
 def q_weights_last_writer(spark: SparkSession, d: str) -> DataFrame:
+    """Windows around boundaries on both strands: those of reverse genes are mirrored."""
     parts = features(spark, d)
-    whole = parts.groupBy("gene_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    windows = labels.transition_windows(whole, parts, parts.where("kind <> 'N'"), ["gene_id"], (16, 17, 18, 19, 20, 21))
+    whole = parts.groupBy("gene_id", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    windows = labels.transition_windows(whole, parts, parts.where("kind <> 'N'"), ["gene_id"], (16, 17, 18, 19, 20, 21), "strand")
     return labels.last_written(windows, ["gene_id"]).select("gene_id", "pos", "value")
 
 
+_MODELS = f"""{_FEATURES},
+    mrows AS ({MODEL_SQL.replace("{features}", "features")}),
+    contigs AS ({CONTIGS_SQL.replace("{features}", "features")}),
+    tx AS (SELECT m.*, g.line_no AS gene_line FROM mrows m JOIN mrows g ON m.parent = g.id AND g.type = 'gene' WHERE m.type = 'mRNA'
+           QUALIFY row_number() OVER (PARTITION BY g.line_no ORDER BY m.end_at - m.start_at DESC, m.line_no) = 1),
+    every_part AS (SELECT p.*, t.gene_line FROM mrows p JOIN tx t ON p.parent = t.id WHERE p.type IN ('exon', 'CDS')),
+    ordered AS (SELECT *, row_number() OVER (PARTITION BY seq_id, strand ORDER BY gene_line) AS r FROM tx WHERE gene_line IN (SELECT gene_line FROM every_part WHERE type = 'CDS')),
+    fold AS (
+        SELECT seq_id, strand, gene_line, r, true AS accepted, end_at AS until FROM ordered WHERE r = 1
+        UNION ALL SELECT o.seq_id, o.strand, o.gene_line, o.r, o.start_at >= f.until, CASE WHEN o.start_at >= f.until THEN o.end_at ELSE f.until END
+        FROM fold f JOIN ordered o ON o.seq_id = f.seq_id AND o.strand = f.strand AND o.r = f.r + 1),
+    taken AS (SELECT gene_line FROM fold WHERE accepted),
+    models AS (SELECT seq_id, strand, gene_line, start_at AS s, end_at AS e FROM ordered WHERE gene_line IN (SELECT gene_line FROM taken)),
+    parts AS (SELECT * FROM every_part WHERE gene_line IN (SELECT gene_line FROM taken)),
+    masks AS (SELECT seq_id, strand, line_no AS gene_line, start_at, end_at FROM mrows WHERE type IN ('gene', 'pseudogene') AND line_no NOT IN (SELECT gene_line FROM taken)),
+    every_end AS (SELECT gene_line, min(start_at) AS a, max(end_at) AS b FROM every_part WHERE type = 'CDS' GROUP BY gene_line),
+    marks AS (SELECT gene_line, unnest(range(start_at, end_at)) AS pos, 3 AS class, 0 AS r FROM tx
+              UNION ALL SELECT gene_line, unnest(range(start_at, end_at)), CASE type WHEN 'exon' THEN 1 ELSE 2 END, CASE type WHEN 'exon' THEN 1 ELSE 2 END FROM every_part),
+    painted AS (SELECT gene_line, pos, arg_max(class, r) AS class FROM marks GROUP BY gene_line, pos),
+    sides AS (SELECT gene_line, count(*) FILTER (pos < a) AS l, count(*) FILTER (pos >= b) AS r, any_value(strand) AS strand
+              FROM painted JOIN every_end USING (gene_line) JOIN tx USING (gene_line) WHERE class = 1 GROUP BY gene_line),
+    utr AS (SELECT coalesce(sum(CASE WHEN strand = 1 THEN l ELSE r END), 0)::BIGINT AS total_5, coalesce(sum(CASE WHEN strand = 1 THEN r ELSE l END), 0)::BIGINT AS total_3, count(*) AS n FROM sides WHERE l > 0 AND r > 0)"""
+
+_ERRORS = f"""{_MODELS},
+    means AS (SELECT CASE WHEN n = 0 THEN 50 ELSE total_5 // n END AS m5, CASE WHEN n = 0 THEN 50 ELSE total_3 // n END AS m3 FROM utr),
+    codons AS (
+        SELECT gene_line, left(c, 3) AS head, right(c, 3) AS tail, length(c) AS n
+        FROM (SELECT gene_line, string_agg(substring(seq, start_at + 1, end_at - start_at), '' ORDER BY start_at) AS c FROM parts JOIN contigs USING (seq_id) WHERE type = 'CDS' GROUP BY gene_line)),
+    whole AS (
+        SELECT m.*, a, b, n % 3 <> 0 AS bad_frame, CASE WHEN strand = 1 THEN m5 ELSE m3 END AS ml, CASE WHEN strand = 1 THEN m3 ELSE m5 END AS mr,
+               CASE WHEN strand = 1 THEN head <> 'ATG' ELSE head NOT IN ('TTA', 'CTA', 'TCA') END AS bad_left, CASE WHEN strand = 1 THEN tail NOT IN ('TAA', 'TAG', 'TGA') ELSE tail <> 'CAT' END AS bad_right
+        FROM models m JOIN every_end USING (gene_line) JOIN codons USING (gene_line), means),
+    next_part AS (SELECT *, lead(start_at) OVER w AS after, lead(end_at) OVER w AS after_end FROM parts WINDOW w AS (PARTITION BY gene_line, type ORDER BY start_at)),
+    raw AS (
+        SELECT gene_line, a - 2 * ml AS x, a AS y, 10 AS rank FROM whole WHERE a <= s
+        UNION ALL SELECT gene_line, b, b + 2 * mr, 11 FROM whole WHERE b >= e
+        UNION ALL SELECT gene_line, s, a, 13 FROM whole WHERE bad_left UNION ALL SELECT gene_line, b, e, 14 FROM whole WHERE bad_right
+        UNION ALL SELECT gene_line, a - 100, a, 15 FROM whole WHERE bad_frame UNION ALL SELECT gene_line, b, b + 100, 16 FROM whole WHERE bad_frame
+        UNION ALL SELECT gene_line, end_at, after, 12 FROM next_part WHERE type = 'exon' AND after - end_at BETWEEN 0 AND 30
+        UNION ALL SELECT gene_line, start_at, after_end, CASE type WHEN 'CDS' THEN 17 ELSE 18 END FROM next_part WHERE after < end_at),
+    errors AS (SELECT gene_line, greatest(x, 0) AS x, y, rank FROM raw WHERE y > greatest(x, 0))"""
+
+
+@query(f"WITH RECURSIVE {_MODELS} SELECT gene_line, start_at AS start, end_at AS \"end\" FROM masks")
+def q_feature_masks(spark: SparkSession, d: str) -> DataFrame:
+    return samples.gene_models(samples_view(spark, d)[1])[2].select("gene_line", "start", "end")
+
+
+@query(f"WITH RECURSIVE {_MODELS} SELECT total_5, total_3, n FROM utr")
+def q_utr_lengths(spark: SparkSession, d: str) -> DataFrame:
+    return samples.utr_totals(*samples.transcripts_of(samples_view(spark, d)[1], ("mRNA",)))
+
+
+@query(f"""
+    WITH RECURSIVE {_ERRORS},
+    bases AS (SELECT gene_line, x, y, rank FROM errors UNION ALL SELECT gene_line, pos, pos + 1, 19 FROM painted JOIN whole USING (gene_line) WHERE class = 1 AND pos >= a AND pos < b)
+    SELECT gene_line, rank, sum(y - x)::BIGINT AS bases, min(x) AS first, max(y) AS last FROM bases GROUP BY gene_line, rank""")
+def q_error_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Per gene and kind of error, how many bases its intervals mask and from where to where."""
+    genome, rows = samples_view(spark, d)
+    models, parts, _ = samples.gene_models(rows)
+    mean = labels.average_utr(samples.utr_totals(*samples.transcripts_of(rows, ("mRNA",))), 100).first()
+    wrong = samples.error_intervals(stored(models), stored(parts), genome, mean["average_5"], mean["average_3"], 100)
+    return wrong.groupBy("gene_line", "rank").agg(F.sum(F.col("end") - F.col("start")).alias("bases"), F.min("start").alias("first"), F.max("end").alias("last"))
+
+
+@query(f"""
+    WITH RECURSIVE {_ERRORS},
+    shifts AS (
+        SELECT gene_line, a - 1 AS x, a + 3 AS y, CASE WHEN strand = 1 THEN 16 ELSE 17 END AS value, CASE WHEN strand = 1 THEN 0 ELSE 1 END AS r FROM whole
+        UNION ALL SELECT gene_line, b - 3, b + 1, CASE WHEN strand = 1 THEN 17 ELSE 16 END, CASE WHEN strand = 1 THEN 1 ELSE 0 END FROM whole
+        UNION ALL SELECT gene_line, s - 1, s + 1, CASE WHEN strand = 1 THEN 18 ELSE 19 END, CASE WHEN strand = 1 THEN 2 ELSE 3 END FROM whole
+        UNION ALL SELECT gene_line, e - 1, e + 1, CASE WHEN strand = 1 THEN 19 ELSE 18 END, CASE WHEN strand = 1 THEN 3 ELSE 2 END FROM whole
+        UNION ALL SELECT gene_line, end_at - 1, end_at + 2, CASE WHEN strand = 1 THEN 20 ELSE 21 END, CASE WHEN strand = 1 THEN 4 ELSE 5 END FROM next_part WHERE type = 'exon' AND after IS NOT NULL
+        UNION ALL SELECT gene_line, after - 2, after + 1, CASE WHEN strand = 1 THEN 21 ELSE 20 END, CASE WHEN strand = 1 THEN 5 ELSE 4 END FROM next_part WHERE type = 'exon' AND after IS NOT NULL),
+    writes AS (
+        SELECT gene_line, greatest(x, 0) AS x, y, value, gene_line * 100 + r AS w FROM shifts UNION ALL SELECT gene_line, x, y, 0, gene_line * 100 + rank FROM errors
+        UNION ALL SELECT gene_line, pos, pos + 1, 0, gene_line * 100 + 19 FROM painted JOIN whole USING (gene_line) WHERE class = 1 AND pos >= a AND pos < b
+        UNION ALL SELECT gene_line, start_at, end_at, 0, gene_line * 100 FROM masks),
+    place AS (SELECT line_no AS gene_line, seq_id, strand FROM mrows WHERE type IN ('gene', 'pseudogene')),
+    weights AS (SELECT seq_id, strand, pos, arg_max(value, w) AS weight FROM (SELECT gene_line, unnest(range(x, y)) AS pos, value, w FROM writes) JOIN place USING (gene_line) GROUP BY ALL),
+    classes AS (SELECT seq_id, strand, pos, arg_max(class, gene_line) AS class FROM painted JOIN models USING (gene_line) GROUP BY ALL),
+    phases AS (
+        SELECT seq_id, strand, pos, arg_max(p, line_no) AS phase FROM (
+            SELECT seq_id, strand, line_no, pos, ([0, 2, 1])[(CASE WHEN strand = 1 THEN pos - start_at ELSE end_at - 1 - pos END + CASE phase WHEN 0 THEN 0 WHEN 2 THEN 1 ELSE 2 END) % 3 + 1] AS p
+            FROM (SELECT *, unnest(range(start_at, end_at)) AS pos FROM parts WHERE type = 'CDS')) GROUP BY ALL),
+    wins AS (SELECT DISTINCT seq_id, strand, pos // 1000 AS win FROM classes),
+    bases AS (
+        SELECT w.seq_id, w.strand, win, i, CASE WHEN pos < {CONTIG_LENGTH} THEN coalesce(weight, 1) ELSE 0 END AS weight, coalesce(class, 0) AS class, coalesce(phase, 3) AS phase
+        FROM (SELECT *, CASE WHEN strand = 1 THEN k ELSE 999 - k END AS i, win * 1000 + k AS pos FROM wins, range(0, 1000) t(k)) w
+        LEFT JOIN weights USING (seq_id, strand, pos) LEFT JOIN classes USING (seq_id, strand, pos) LEFT JOIN phases USING (seq_id, strand, pos)),
+    steps AS (SELECT *, lead(class) OVER o AS next_class, lead(weight) OVER o AS next_weight FROM bases WINDOW o AS (PARTITION BY seq_id, strand, win ORDER BY i)),
+    sums AS (
+        SELECT seq_id, strand, win, sum((i + 1) * class)::BIGINT AS ann, sum((i + 1) * weight)::BIGINT AS weight, sum((i + 1) * phase)::BIGINT AS phase,
+               sum((i + 1) * CASE WHEN (class, next_class) IN ((0, 1), (1, 0), (1, 2), (1, 3), (2, 1), (2, 3), (3, 1), (3, 2)) THEN 1 ELSE 0 END)::BIGINT AS transition,
+               sum((i + 1) * CASE WHEN weight <> 0 AND next_weight <> 0 THEN 1 ELSE 0 END)::BIGINT AS transition_mask
+        FROM steps GROUP BY ALL HAVING max(abs(weight)) > 0),
+    tiles AS (SELECT seq_id, win, repeat('X', greatest(0, 50 - win * 1000)) || substring(seq, greatest(win * 1000 - 50, 0) + 1, least(win * 1000 + 1050, {CONTIG_LENGTH}) - greatest(win * 1000 - 50, 0)) || repeat('X', greatest(0, win * 1000 + 1050 - {CONTIG_LENGTH})) AS tile
+              FROM (SELECT DISTINCT seq_id, win FROM wins) JOIN contigs USING (seq_id))
+    SELECT seq_id::VARCHAR AS seq_id, strand::INT AS strand, win::INT AS win_idx, md5(CASE WHEN strand = 1 THEN tile ELSE reverse(translate(tile, 'ATGC', 'TACG')) END) AS seq_md5, ann, weight, transition, transition_mask, phase
+    FROM sums JOIN tiles USING (seq_id, win)""")
+def q_label_samples(spark: SparkSession, d: str) -> DataFrame:
+    """Training windows with all their tracks; each array as the sum of its values times their places."""
+    rows = samples.samples(*samples_view(spark, d), 1000, 50, (16, 17, 18, 19, 20, 21), 100)
+    place = {n: F.aggregate(F.transform(n, lambda x, i: (i + 1).cast("long") * x), F.lit(0).cast("long"), lambda a, x: a + x).alias(n) for n in ("ann", "weight", "transition", "transition_mask", "phase")}
+    return rows.select("seq_id", "strand", "win_idx", F.md5("seq").alias("seq_md5"), *place.values())
+
+
 @query(f"""
     WITH {_FEATURES}, gaps AS (SELECT *, lead(start_pos) OVER (PARTITION BY gene_id ORDER BY start_pos, child_no) - end_pos AS gap FROM features)
     SELECT gene_id, child_no, coalesce(gap BETWEEN 0 AND 30, false) AS short_intron, coalesce(gap < 0, false) AS overlap FROM gaps""")
@@ -502,6 +645,17 @@ def q_macro_f1(spark: SparkSession, d: str) -> DataFrame:
     return metrics.f1(metrics.confusion(_truth(spark, d), weight="weight")).agg(F.avg("f1").alias("macro_f1"))
 
 
+@query(f"""
+    WITH {_TRUTH}, tasks AS (SELECT label, pred, weight, 0 AS task FROM truth UNION ALL SELECT (label > 0)::INT, (pred > 0)::INT, weight, 1 FROM truth UNION ALL SELECT label % 2, pred % 2, weight, 2 FROM truth),
+    kept AS (SELECT * FROM tasks WHERE weight <> 0), classes AS (SELECT DISTINCT task, c FROM (SELECT task, label AS c FROM kept UNION ALL SELECT task, pred FROM kept)),
+    f1 AS (SELECT c.task, 2.0::DOUBLE * count(*) FILTER (label = c AND pred = c) / (count(*) FILTER (label = c) + count(*) FILTER (pred = c)) AS f1 FROM classes c JOIN kept k ON k.task = c.task GROUP BY c.task, c.c)
+    SELECT round(avg(m), 9) AS macro_f1 FROM (SELECT avg(f1) AS m FROM f1 GROUP BY task)""")
+def q_checkpoint_metric(spark: SparkSession, d: str) -> DataFrame:
+    rows = _truth(spark, d)
+    tasks = [rows, *(rows.withColumn("label", f(F.col("label")).cast("int")).withColumn("pred", f(F.col("pred")).cast("int")) for f in (lambda c: c > 0, lambda c: c % 2))]
+    return metrics.checkpoint_metric([metrics.confusion(t, weight="weight") for t in tasks]).select(F.round("macro_f1", 9).alias("macro_f1"))
+
+
 @query(f"""
     WITH {_TRUTH}, p AS (SELECT *, (1 + doc_id % 97) / 100.0::DOUBLE AS p FROM truth), batches AS (SELECT doc_id // 32 AS batch, avg(-ln(p) * weight * (1 + label)) AS loss FROM p GROUP BY ALL)
     SELECT round(avg(loss), 9) AS base, round(avg(loss) + 10 * avg(loss) + 10 * avg(loss), 9) AS total FROM batches""")
@@ -611,6 +765,16 @@ def q_annotate(spark: SparkSession, d: str) -> DataFrame:
     return plan.annotate(_genome(spark, d), CompositionScorer(), 512, 128, min_cds_score=0.3, min_cds_length=30)
 
 
-@query()
-def q_write_gff(spark: SparkSession, d: str) -> DataFrame:
-    return gff.to_lines(q_annotate(spark, d)).select("seq_ord", "gene_no", "rank", "part", "value")
+# Storage
+
+
+@query("SELECT * FROM (SELECT s_nationkey AS key, count(*) AS n, sum(s_suppkey * 7919 % 1000 + 1)::BIGINT AS total FROM supplier GROUP BY ALL)")
+def q_chunk_totals(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("seq_ord"), (F.col("s_suppkey") * 7919 % 1000 + 1).alias("size"))
+    totals = packing.chunk_totals(packing.longest_first(items, 5, "size", "seq_ord", ["key"]), "size", ["key"])
+    return totals.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+@query(f"WITH {_DNA} SELECT seq_id, md5(reverse(translate(seq, 'ATGC', 'TACG'))) AS rc_md5 FROM dna")
+def q_revcomp_strict(spark: SparkSession, d: str) -> DataFrame:
+    return dna(spark, d).select("seq_id", F.md5(S.reverse_complement_strict(F.col("seq"))).alias("rc_md5"))

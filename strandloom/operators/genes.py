@@ -88,25 +88,41 @@ def gff_rows(cds: DataFrame, source: str = "strandloom") -> DataFrame:
     """Feature rows of genes, transcripts, exons and coding runs, in file order.
 
     cds has seq_id, seq_ord, length, strand, gene_no, start, end (strand-local,
-    0-based, inclusive), part, phase, score and cds_score.
+    0-based, inclusive), part, phase, score and cds_score. Coding runs alone
+    have a score in their line, with two digits; every row carries the gene's
+    cds_score for the comments around it.
     """
     start, end = to_forward(F.col("start"), F.col("end"), F.col("length"), F.col("strand"))
     rows = cds.select("seq_id", "seq_ord", "gene_no", "strand", "part", "phase", "score", "cds_score", start.alias("start"), end.alias("end"))
-    gene = F.concat_ws("_", "seq_id", F.lit("gene"), F.col("gene_no").cast("string"))
-    transcript = F.concat(gene, F.lit(".1"))
-    whole = rows.groupBy("seq_id", "seq_ord", "gene_no", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("cds_score").alias("score"))
-
-    def line(frame: DataFrame, kind: str, rank: int, phase: Column, attributes: Column) -> DataFrame:
-        part = F.col("part") if "part" in frame.columns else F.lit(0)
-        return frame.select("seq_id", "seq_ord", "gene_no", part.alias("part"), F.lit(rank).alias("rank"), F.lit(source).alias("source"), F.lit(kind).alias("type"), "start", "end", F.round("score", 4).alias("score"), F.when(F.col("strand") == -1, "-").otherwise("+").alias("strand"), phase.alias("phase"), attributes.alias("attributes"))
-
-    def label(key: str, value: Column) -> Column:
-        return F.concat(F.lit(key + "="), value)
-
-    part = F.col("part").cast("string")
+    gene = F.concat("seq_id", F.lit("-g"), F.col("gene_no").cast("string"))
+    transcript = F.concat(gene, F.lit(".t1"))
+    keys = ["seq_id", "seq_ord", "gene_no", "strand"]
+    whole = rows.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("cds_score").alias("cds_score"))
+    whole = whole.withColumn("part", F.lit(0))
+
+    def line(frame: DataFrame, kind: str, rank: int, attributes: Column, score: Column | None = None, phase: Column | None = None) -> DataFrame:
+        none = F.lit(".")
+        return frame.select(
+            "seq_id", "seq_ord", "gene_no", "part", F.lit(rank).alias("rank"), F.lit(source).alias("source"), F.lit(kind).alias("type"), "start", "end",
+            (none if score is None else score).alias("score"), F.when(F.col("strand") == -1, "-").otherwise("+").alias("strand"),
+            (none if phase is None else phase).alias("phase"), attributes.alias("attributes"), "cds_score",
+        )
+
+    def named(own: Column | None, above: Column | None) -> Column:
+        pairs = [F.concat(F.lit(f"{key}="), value) for key, value in (("ID", own), ("Parent", above)) if value is not None]
+        return F.concat_ws(";", *pairs)
+
+    part, two_digits = F.col("part").cast("string"), F.coalesce(F.format_string("%.2f", F.bround("score", 2)), F.lit("."))
     return (
-        line(whole, "gene", 0, F.lit("."), label("ID", gene))
-        .unionByName(line(whole, "mRNA", 1, F.lit("."), F.concat_ws(";", label("ID", transcript), label("Parent", gene))))
-        .unionByName(line(rows, "exon", 2, F.lit("."), F.concat_ws(";", label("ID", F.concat_ws(".exon", transcript, part)), label("Parent", transcript))))
-        .unionByName(line(rows, "CDS", 3, F.col("phase").cast("string"), F.concat_ws(";", label("ID", F.concat_ws(".cds", transcript, part)), label("Parent", transcript))))
+        line(whole, "gene", 0, named(gene, None))
+        .unionByName(line(whole, "transcript", 1, named(transcript, gene)))
+        .unionByName(line(rows, "exon", 2, named(F.concat(transcript, F.lit(".exon."), part), transcript)))
+        .unionByName(line(rows, "CDS", 3, named(F.concat(transcript, F.lit(".CDS."), part), transcript), two_digits, F.col("phase").cast("string")))
     )
+
+
+def state_class(state: Column, untranslated: bool = False) -> Column:
+    """A decoding state's name as 0 intergenic, 1 coding, 2 intron; with untranslated states 0, 1 untranslated, 2 coding, 3 intron."""
+    coding = F.lit(2 if untranslated else 1)
+    out = F.when(state == "intergenic", 0).when(state.contains("."), 3 if untranslated else 2)
+    return (out.when(state.endswith("_UTR"), 1) if untranslated else out).otherwise(coding)

@@ -107,9 +107,9 @@ def transition_windows(transcripts: DataFrame, exons: DataFrame, cds: DataFrame,
 
 
 def boundary_errors(parts: DataFrame, keys: list[str], order: str = "start") -> DataFrame:
-    """parts with what is wrong to the next one: a short intron between them, or an overlap."""
+    """parts with the next one's start (after) and end (after_end), and what is wrong: a short intron between them, or an overlap."""
     w = W.partitionBy(*keys).orderBy(order)
-    rows = parts.withColumn("after", F.lead("start").over(w))
+    rows = parts.withColumn("after", F.lead("start").over(w)).withColumn("after_end", F.lead("end").over(w))
     gap = F.col("after") - F.col("end")
     return rows.withColumn("short_intron", F.coalesce((gap >= 0) & (gap <= SHORT_INTRON), F.lit(False))).withColumn("overlap", F.coalesce(gap < 0, F.lit(False)))
 

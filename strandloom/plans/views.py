@@ -23,6 +23,21 @@ FEATURES_SQL = """
     JOIN {orders} o ON o_orderkey = l_orderkey
 """
 
+#: Genes, transcripts, exons and coding parts out of those children: some genes of a masked type, some transcripts of another type, some second transcripts.
+MODEL_SQL = """
+    SELECT gene_id * 100 AS line_no, seq_id, CASE WHEN gene_id % 11 = 0 THEN 'pseudogene' ELSE 'gene' END AS type, min(start_pos) AS start_at, max(end_pos) + 1 AS end_at, strand,
+           CAST(NULL AS INT) AS phase, concat('g', gene_id) AS id, CAST(NULL AS STRING) AS parent FROM {features} GROUP BY gene_id, seq_id, strand
+    UNION ALL SELECT gene_id * 100 + 1, seq_id, CASE WHEN gene_id % 13 = 0 THEN 'lnc_RNA' ELSE 'mRNA' END, min(start_pos), max(end_pos) + 1, strand, NULL, concat('t', gene_id), concat('g', gene_id) FROM {features} GROUP BY gene_id, seq_id, strand
+    UNION ALL SELECT gene_id * 100 + 2, seq_id, 'mRNA', min(start_pos), min(start_pos) + 50, strand, NULL, concat('u', gene_id), concat('g', gene_id) FROM {features} WHERE gene_id % 5 = 0 GROUP BY gene_id, seq_id, strand
+    UNION ALL SELECT gene_id * 100 + 10 + 2 * child_no, seq_id, 'exon', start_pos, end_pos + 1, strand, NULL, NULL, concat('t', gene_id) FROM {features}
+    UNION ALL SELECT gene_id * 100 + 11 + 2 * child_no, seq_id, 'CDS', start_pos + gene_id % 3, end_pos + 1, strand, CAST(child_no % 3 AS INT), NULL, concat('t', gene_id) FROM {features} WHERE kind <> 'N'
+"""
+#: Forty contigs, each the same stretch of letters over and over, begun at another letter.
+CONTIG_LENGTH = 449_700
+CONTIGS_SQL = f"""
+    SELECT seq_id, substring(repeat('ATGGCATTAACGCATCTAGGTCATTGACCATGTTACG', 12200), CAST(seq_id AS INT) % 37 + 1, {CONTIG_LENGTH}) AS seq FROM {{features}} GROUP BY seq_id
+"""
+
 DNA_SQL = """
     SELECT doc_id AS seq_id, regexp_replace(translate(text, 'acgt', 'ACGT'), '[^ACGT]', ''{flag}) AS seq FROM {documents}
 """
@@ -46,6 +61,14 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("start_pos", "start").withColumnRenamed("end_pos", "end")
 
 
+def model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(genome, features) for the label workflow."""
+    parts = view(spark, sf_dir, FEATURES_SQL, "lineitem", "orders")
+    rows = spark.sql(MODEL_SQL, features=parts).withColumnRenamed("start_at", "start").withColumnRenamed("end_at", "end")
+    contigs = spark.sql(CONTIGS_SQL, features=parts)
+    return contigs.select("seq_id", F.col("seq_id").alias("seq_ord"), F.lit(CONTIG_LENGTH).cast("long").alias("length"), F.col("seq").cast("binary").alias("seq")), rows
+
+
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, seq): the letters A, C, G and T of the documents; those without any are left out."""
     docs = table(spark, sf_dir, "documents")

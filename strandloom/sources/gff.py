@@ -88,18 +88,40 @@ def to_lines(rows: DataFrame) -> DataFrame:
     return rows.withColumn("value", F.concat_ws("\t", *fields))
 
 
-def write_gff(rows: DataFrame, contigs: DataFrame, path: str) -> None:
-    """Rows of operators.genes.gff_rows as text, in contig and gene order, a comment line for each contig and strand.
+ORDER = ("seq_ord", "side", "kind", "gene_no", "rank", "part", "step")
+
+
+def file_lines(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+    """(ORDER, value): rows of operators.genes.gff_rows as the lines of a file, with the comments around genes, strands and contigs.
 
-    Range partitioning on the sort key keeps the order over many part files.
+    Each contig and strand has a heading, and a note where it has no gene.
     """
-    body = to_lines(rows).select("seq_ord", F.when(F.col("strand") == "-", 1).otherwise(0).alias("side"), F.lit(1).alias("kind"), "gene_no", "rank", "part", "value")
-    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.lit("forward").alias("name")), F.struct(F.lit(1).alias("side"), F.lit("reverse").alias("name"))))
-    heads = contigs.select("seq_id", "seq_ord", sides.alias("s")).select("seq_id", "seq_ord", "s.side", "s.name")
-    counts = body.groupBy("seq_ord", "side").agg(F.countDistinct("gene_no").alias("n"))
-    heads = heads.join(counts, ["seq_ord", "side"], "left")
-    text = F.concat(F.lit("# "), F.col("seq_id"), F.lit(" "), F.col("name"), F.when(F.col("n").isNull(), ": None").otherwise(""))
-    heads = heads.select("seq_ord", "side", F.lit(0).alias("kind"), F.lit(0).alias("gene_no"), F.lit(0).alias("rank"), F.lit(0).alias("part"), text.alias("value"))
-    first = contigs.sparkSession.range(1).select(*(F.lit(-1).alias(c) for c in ("seq_ord", "side", "kind", "gene_no", "rank", "part")), F.lit("##gff-version 3").alias("value"))
-    every = first.unionByName(heads).unionByName(body)
-    every.orderBy("seq_ord", "side", "kind", "gene_no", "rank", "part").select("value").write.text(path)
+    side = F.when(F.col("strand") == "-", 1).otherwise(0).alias("side")
+
+    def at(kind: int, rank: int, step: int) -> list[Column]:
+        return [F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), F.lit(0).alias("part"), F.lit(step).alias("step")]
+
+    body = to_lines(rows).select("seq_ord", side, "gene_no", F.lit(1).alias("kind"), "rank", "part", F.lit(0).alias("step"), "value")
+    each = rows.where("rank = 0").select("seq_ord", side, F.col("gene_no"), F.concat(F.lit("g"), F.col("gene_no").cast("string")).alias("g"), F.col("cds_score").cast("string").alias("score"))
+    notes = ((-1, 0, F.concat(F.lit("# Start gene "), "g")), (-1, 1, F.concat(F.lit("# The CDS score is "), "score")), (9, 0, F.concat(F.lit("# End gene "), "g")), (9, 1, F.lit("###")))
+    for rank, step, text in notes:
+        body = body.unionByName(each.select("seq_ord", "side", "gene_no", *at(1, rank, step), text.alias("value")))
+
+    number = (F.col("seq_ord") + 1).cast("string")
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.lit("forward").alias("name")), F.struct(F.lit(1).alias("side"), F.lit("reverse").alias("name")))).alias("s")
+    heads = contigs.select("seq_id", "seq_ord", "length", sides).select("seq_id", "seq_ord", "length", "s.side", "s.name")
+    heads = heads.join(each.select("seq_ord", "side", F.lit(True).alias("some")).distinct(), ["seq_ord", "side"], "left")
+    title = F.concat(F.lit("# ----- prediction on sequence number "), number, F.lit(" (length = "), F.col("length").cast("string"), F.lit(", name = "), F.col("seq_id").cast("string"), F.lit(") -----"))
+    lines = F.concat(
+        F.when(F.col("side") == 0, F.array(F.lit("#"), title)).otherwise(F.array().cast("array<string>")),
+        F.array(F.lit("#"), F.concat(F.lit("# Predicted genes for sequence number "), number, F.lit(" on "), "name", F.lit(" strands"))),
+        F.when(F.col("some").isNull(), F.array(F.lit("# None"), F.lit("###"))).otherwise(F.array().cast("array<string>")),
+    )
+    heads = heads.select("seq_ord", "side", F.lit(0).alias("gene_no"), F.lit(0).alias("kind"), F.lit(0).alias("rank"), F.lit(0).alias("part"), F.posexplode(lines).alias("step", "value"))
+    return heads.unionByName(body).select(*ORDER, "value")
+
+
+def write_gff(rows: DataFrame, contigs: DataFrame, path: str) -> None:
+    """file_lines as text under a version line; range partitioning on the sort key keeps the order over many part files."""
+    first = contigs.sparkSession.range(1).select(*(F.lit(-1).alias(c) for c in ORDER), F.lit("##gff-version 3").alias("value"))
+    first.unionByName(file_lines(rows, contigs)).orderBy(*ORDER).select("value").write.text(path)
