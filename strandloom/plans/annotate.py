@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +25,6 @@ def predict(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int
     return scored(tiles, scorer, window, flank)
 
 
-def genic_probability(p: Column) -> Column:
-    """The classes 1 to 4 of a base, added up; they need not sum to one with class 0."""
-    return p[1].cast("double") + p[2].cast("double") + p[3].cast("double") + p[4].cast("double")
-
-
 def write_predictions(pieces: DataFrame, contigs: DataFrame, path: str, chunks: int = 1) -> None:
     """pieces as Parquet, a folder for each chunk of contigs; the contigs are dealt longest first. A second run replaces the first."""
     dealt = packing.longest_first(contigs.select("seq_ord", "length"), chunks).select("seq_ord", "chunk_id")
@@ -47,13 +46,28 @@ def checked(found: DataFrame, contigs: DataFrame) -> DataFrame:
 
 
 def _bins(pieces: DataFrame, most: float) -> DataFrame:
-    """Bin means of pieces that may begin anywhere: a part of a bin each, summed over pieces."""
-    rows = pieces.select("seq_id", "strand", "start", F.transform("probs", genic_probability).alias("genic"))
-    rows = rows.withColumn("bin", F.explode(F.expr(f"sequence(start div {regions.BIN}, (start + size(genic) - 1) div {regions.BIN})")))
-    low = F.greatest(F.col("bin") * regions.BIN - F.col("start"), F.lit(0)).cast("int")
-    high = F.least((F.col("bin") + 1) * regions.BIN - F.col("start"), F.size("genic")).cast("int")
-    part = F.slice("genic", low + 1, high - low)
-    rows = rows.select("seq_id", "strand", "bin", F.aggregate(part, F.lit(0.0), lambda a, x: a + x).alias("total"), (high - low).alias("n"), F.size(F.filter(part, lambda x: x > most)).alias("high"))
+    """Bin means of pieces that may begin anywhere: a part of a bin each, summed over pieces.
+
+    The genic probability is the sum of classes 1 to 4, which need not be one less that of class 0.
+    """
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(3)
+            flat, at = lists.values.values.to_numpy(zero_copy_only=False).reshape(-1, 5), lists.offsets.to_numpy()
+            genic = flat[:, 1:].sum(1, dtype=float)
+            piece = np.repeat(np.arange(batch.num_rows), np.diff(at))
+            place = batch.column(2).to_numpy()[piece] + np.arange(at[0], at[-1]) - at[piece]
+            if not len(place):
+                continue
+            number = place // regions.BIN
+            first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (piece[1:] != piece[:-1])]))
+            own = pa.array(piece[first])
+            genic = genic[at[0] : at[-1]]
+            sums = [pa.array(number[first]), pa.array(np.add.reduceat(genic, first)), pa.array(np.diff(np.append(first, len(place)))), pa.array(np.add.reduceat((genic > most).astype(np.int64), first))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *sums], names=["seq_id", "strand", "bin", "total", "n", "high"])
+
+    rows = pieces.select("seq_id", "strand", "start", "probs").mapInArrow(parts, f"seq_id {dict(pieces.dtypes)['seq_id']}, strand tinyint, bin long, total double, n long, high long")
     return rows.groupBy("seq_id", "strand", "bin").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("high").alias("n_high"))
 
 

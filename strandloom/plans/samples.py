@@ -180,10 +180,14 @@ def samples(genome: DataFrame, rows: DataFrame, window: int = WINDOW, flank: int
     named = rows.select("seq_id").distinct()
     tiles = tiling.windows(genome.join(named, "seq_id", "left_semi"), window, flank)
     tiles = tiles.select("seq_id", "length", "win_idx", "start", "seq", reverse_complement_strict(F.col("seq")).alias("turned"))
-    spans = tracks(rows, genome, weights, mask_length).where("end > start")
+    spans = stored(tracks(rows, genome, weights, mask_length).where("end > start"))
     spans = spans.withColumn("win_idx", F.explode(F.expr(f"sequence(start div {window}, (end - 1) div {window})"))).withColumn("win_idx", F.col("win_idx").cast("int"))
     here = F.col("win_idx").cast("long") * window
     spans = spans.select("seq_id", "win_idx", "strand", "track", F.greatest(F.col("start") - here, F.lit(0)).alias("low"), F.least(F.col("end") - here, F.lit(window)).alias("high"), "value", (F.col("anchor") - here).alias("anchor"), "write_seq")
+    if need_genes:
+        # Most windows of a genome have no label on either strand: only the others are shuffled.
+        genic = spans.where("track = 0").select("seq_id", "win_idx").distinct()
+        tiles, spans = (frame.join(genic, ["seq_id", "win_idx"], "left_semi") for frame in (tiles, spans))
 
     def build(key: tuple, tile: pa.Table, spans: pa.Table) -> pa.Table:
         out = {f.name: [] for f in SAMPLE.fields}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandloom.session import stored
+
 SERIES_SQL = """
     SELECT user_id AS key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos, value,
            CASE event_type WHEN 'view' THEN 0 WHEN 'error' THEN 2 ELSE 1 END AS class,
@@ -66,12 +68,16 @@ def model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     parts = view(spark, sf_dir, FEATURES_SQL, "lineitem", "orders")
     rows = spark.sql(MODEL_SQL, features=parts).withColumnRenamed("start_at", "start").withColumnRenamed("end_at", "end")
     contigs = spark.sql(CONTIGS_SQL, features=parts)
-    return contigs.select("seq_id", F.col("seq_id").alias("seq_ord"), F.lit(CONTIG_LENGTH).cast("long").alias("length"), F.col("seq").cast("binary").alias("seq")), rows
+    # Read many times over; as a view each window would build its whole contig again.
+    return stored(contigs.select("seq_id", F.col("seq_id").alias("seq_ord"), F.lit(CONTIG_LENGTH).cast("long").alias("length"), F.col("seq").cast("binary").alias("seq"))), stored(rows)
 
 
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq_id, seq): the letters A, C, G and T of the documents; those without any are left out."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # A table of one or two small files would be cleaned by one or two tasks.
+    if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        docs = docs.repartition(spark.sparkContext.defaultParallelism)
     return spark.sql(DNA_SQL.replace("{flag}", ""), documents=docs).where("length(seq) > 0")
 
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,9 +98,20 @@ def test_windows_are_scored_once_and_predictions_kept_by_chunk(spark, tmp_path):
             plan.decode(pieces, contigs.where("seq_id <> 'c1'"), **options).collect()
 
 
-def test_genic_probability_is_the_sum_of_the_genic_classes(spark):
-    rows = spark.createDataFrame([([0.5, 0.1, 0.2, 0.05, 0.05],)], "p array<float>")
-    assert rows.select(plan.genic_probability(F.col("p")).alias("g")).first()["g"] == pytest.approx(0.4)
+def test_bins_sum_the_genic_classes_over_pieces(spark):
+    rng, rows, whole = np.random.default_rng(1), [], {}
+    for seq_id, cuts in (("a", [0, 30, 30, 170, 260]), ("b", [0, 50, 99])):
+        p = rng.random((cuts[-1], 5)).astype(np.float32)
+        whole[seq_id] = p
+        rows += [(seq_id, 1, a, p[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:])]
+    pieces = spark.createDataFrame(rows, "seq_id string, strand byte, start long, probs array<array<float>>").repartition(2)
+    got = {(r["seq_id"], r["bin"]): r for r in plan._bins(pieces, 2.0).collect()}
+    for seq_id, p in whole.items():
+        genic = p[:, 1:].sum(1, dtype=float)
+        for k in range(0, len(p), 50):
+            r = got.pop((seq_id, k // 50))
+            assert r["mean"] == pytest.approx(genic[k : k + 50].mean()) and r["n_high"] == (genic[k : k + 50] > 2.0).sum()
+    assert not got
 
 
 def test_states_fall_into_three_or_four_classes(spark):

@@ -88,7 +88,7 @@ def test_annotation_finds_a_planted_gene_on_either_strand(spark, planted, tmp_pa
     back = gff.parse_lines(lines(spark, *text))
     assert back.count() == len(got)
     order = [v.split("\t")[2] for v in text if v.startswith("fwd\t")]
-    assert order == ["gene", "mRNA", "exon", "exon", "CDS", "CDS"]
+    assert order == ["gene", "transcript", "exon", "exon", "CDS", "CDS"]
 
 
 def test_two_steps_equal_one(spark, planted, tmp_path):
