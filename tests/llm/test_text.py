@@ -25,7 +25,7 @@ def test_base_scores_match_brute_force(spark):
     train = [r for r in data if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 != 2]
     docs = frame(spark)
     model = lm_score.fit(docs.where((F.crc32(F.col("doc_id").cast("string")) % 7 != 2)))
-    got = lm_score.scored(docs, model, block_docs=7).collect()
+    got = lm_score.scored(docs, model, block_bytes=4000).collect()
     assert len(got) == len(data)
 
     def tokens(text):
@@ -44,20 +44,83 @@ def test_base_scores_match_brute_force(spark):
     assert lm_score.scored(empty(spark), model).count() == 0
 
 
-def test_model_probabilities_sum_to_one_and_context_helps(spark):
+def brute_score(model, text):
+    """The model's log10 probability by its definition, token by token, with dictionaries and no batches."""
+    w, rows = model.weights, {r["token"]: r for r in model.counts.collect()}
+    t = lm_score.Tokens(pa.array([text]))
+    start, total = int(lm_score.START), 0.0
+    hashes = t.hash.tolist()
+
+    def mix(x):
+        return int(lm_score.mix(np.array([x % 2**64], np.uint64))[0])
+
+    for k, token in enumerate(hashes):
+        one, two, three = (hashes[k - j] if k >= j else start for j in (1, 2, 3))
+        one = mix(one)
+        skip, both = mix(two ^ 11), mix(one * 3 + two)
+        logits = [float(x) for x in w.class_prior]
+        for f in (one, both, skip, mix(three ^ 13)):
+            logits = [a + float(b) for a, b in zip(logits, w.wide[f % lm_score.FEATURES], strict=True)]
+        before = rows.get(np.uint64(hashes[k - 1]).view(np.int64).item()) if k else None
+        if before is not None and before["weights"] is not None:
+            logits = [a + b / lm_score.UNITS for a, b in zip(logits, np.frombuffer(before["weights"], np.int8).tolist(), strict=True)]
+        kind, leaf = divmod(int(t.leaf[k]), lm_score.CLASSES)
+        under = [float(x) for x in w.leaf_prior[kind]]
+        for f in (one >> 20, skip >> 20):
+            under = [a + float(b) for a, b in zip(under, w.narrow[f % lm_score.LEAF_FEATURES * lm_score.CLASSES + kind], strict=True)]
+        p, q = (np.exp(x) / np.exp(x).sum() for x in (np.array(logits), np.array(under)))
+        own = rows.get(np.uint64(token).view(np.int64).item())
+        total += math.log10(p[kind] * q[leaf] * ((own["n"] if own else 0) + 1) / w.mass[t.leaf[k]])
+    return total
+
+
+def test_scores_match_brute_force_and_context_helps(spark):
     random.seed(5)
     tongues = [["ab", "cd", "ef"], ["xy", "zw", "uv"]]
     data = [(i, " ".join(random.choices(tongues[i % 2], k=30))) for i in range(400)]
-    docs = spark.createDataFrame(data, "doc_id long, text string")
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
     model = lm_score.fit(docs)
-    w, counts = model.weights, {r["token"]: r["n"] for r in model.counts.collect()}
-    t = lm_score.Tokens(pa.array(["ab cd zz"]))
-    _, _, p, _, _ = next(lm_score._predict(w, t))
-    assert np.allclose(p.sum(1), 1, atol=1e-5)
-    assert sum(counts.values()) == model.tokens and len(counts) == model.kinds
-    got = lm_score.scored(docs, model).toPandas()
-    assert got["score"].sum() > 0.8 * got["base_score"].sum()
-    assert (got["score"] > got["base_score"]).mean() > 0.95
+    counts = {r["token"]: r for r in model.counts.collect()}
+    assert sum(r["n"] for r in counts.values()) == model.tokens and len(counts) == model.kinds
+    assert sum(r["weights"] is not None for r in counts.values()) == 6
+    assert model.gains == sorted(model.gains) and len(model.gains) > 1
+    extra = [(1000, "Zz new words ab ab"), (1001, None), (1002, ""), (1003, "ab"), (1003, "ab")]
+    every = docs.union(spark.createDataFrame(extra, "doc_id long, text string"))
+    got = lm_score.scored(every, model).toPandas()
+    assert len(got) == len(data) + len(extra)
+    text = dict(data + extra)
+    for r in got.itertuples():
+        if r.doc_id >= 1000 or r.doc_id % 40 == 0:
+            assert math.isclose(r.score, brute_score(model, text[r.doc_id] or ""), rel_tol=1e-4), r.doc_id
+    known = got[got["doc_id"] < 1000]
+    assert known["score"].sum() > 0.8 * known["base_score"].sum()
+    assert (known["score"] > known["base_score"]).mean() > 0.95
+
+
+def test_probabilities_sum_to_one_over_a_whole_vocabulary(spark):
+    """All words that may follow, and one for what is unknown in each leaf."""
+    model = lm_score.fit(frame(spark))
+    w = model.weights
+    tokens = {w_ for r in rows() for w_ in words_of((r[1] or "").translate(LOWER))}
+    n = Counter(w_ for r in rows() for w_ in words_of((r[1] or "").translate(LOWER)))
+    n[None] = len(rows())
+    leaf_of = {w_: int(lm_score.Tokens(pa.array([w_])).leaf[0]) for w_ in tokens} | {None: 0}
+    inside = Counter()
+    for w_, k in leaf_of.items():
+        inside[k] += (n[w_] + 1) / w.mass[k]
+    for k in range(lm_score.LEAVES):
+        assert math.isclose(inside[k] + 1 / w.mass[k], 1, rel_tol=1e-9)
+    t = lm_score.Tokens(pa.array([rows()[0][1]]))
+    _, _, p, _, q = next(lm_score._predict(w, t))
+    assert np.allclose(p.sum(1), 1, atol=1e-5) and np.allclose(q.sum(1), 1, atol=1e-5)
+
+
+def test_features_grow_with_the_corpus(spark):
+    def many(n):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit(f"w{k}_"), (F.col("id") / 10).cast("int")) for k in range(4))).alias("text"))
+        return lm_score.fit(docs).counts.where("weights is not null").count()
+
+    assert many(400) > 3 * many(100) > 0
 
 
 def test_model_of_nothing(spark):
