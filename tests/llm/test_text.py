@@ -674,6 +674,65 @@ def test_winnowing_covers_every_window(n):
 # Pipeline
 
 
+def brute_mix(docs):
+    """How often each of (identifier, text, source) is taken: targets by sharing again and again, whole passes, then blocks in permuted order."""
+    size = {i: len(words_of(t)) for i, t, _ in docs}
+    sources = sorted({s for _, _, s in docs}, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(sources)}
+    total = {s: sum(size[i] for i, _, x in docs if x == s) for s in sources}
+    target, left, open_ = dict.fromkeys(sources, 0.0), float(sum(total.values())), set(sources)
+    while open_ and left > 1e-9:
+        share = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if target[s] + share * weight[s] >= 3 * total[s]}
+        for s in full or open_:
+            more = 3 * total[s] - target[s] if s in full else share * weight[s]
+            target[s] += more
+            left -= more
+        open_ -= full
+        if not full:
+            break
+
+    def md5(*parts):
+        return hashlib.md5("|".join(p for p in parts if p is not None).encode()).hexdigest()
+
+    copies = {}
+    for s in sources:
+        own = [(md5(str(i), "mix"), i) for i, _, x in docs if x == s]
+        passes = min(3, int(target[s] // total[s])) if total[s] else 0
+        rest, taken = target[s] - passes * total[s], 0
+        for block in sorted({k[:2] for k, _ in own}, key=lambda b: (md5(s, b, "mix"), b)):
+            left_here, so_far = rest - taken, 0
+            here = sorted(x for x in own if x[0][:2] == block)
+            for _, i in here:
+                so_far += size[i]
+                inside = left_here > 0 and (left_here >= sum(size[j] for _, j in here) or so_far - size[i] / 2 <= left_here)
+                copies[i] = passes + inside if total[s] else 0
+            taken += so_far
+    return copies
+
+
+def brute_pipeline(docs, model):
+    """The rows of the whole pipeline, stage by stage in plain Python; only the fitted toxicity model is given."""
+    import sentencepiece
+
+    from .test_dedup import brute_components, sets
+
+    lexicon = toxicity.Lexicon(model.entries)
+    now = [(i, t or "", s) for i, t, _, s, _ in docs if model.score(toxicity.clauses(t or "", lexicon)) < 0.5]
+    last = {}
+    for i, t, _ in sorted(now, key=lambda r: r[0]):
+        last[t] = i
+    now = [r for r in now if last[r[1]] == r[0]]
+    group = brute_components(sets(now))
+    now = [r for r in now if group[r[0]] == r[0]]
+    copies, library = brute_mix(now), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    out = Counter()
+    for i, t, _ in now:
+        ids = library.encode(t, add_eos=True)
+        out[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest()] += copies[i]
+    return +out
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
@@ -699,7 +758,11 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert len(exact) == len({text[i] for i in toxic}) and set(exact) <= set(toxic)
     assert set(near) <= set(exact) and len(near) == len(set(near))
     assert set(mix) <= set(near) and len(pieces) == len(mix)
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(pieces)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    model = toxicity.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    wanted = brute_pipeline(docs, model)
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == wanted
+    assert len(wanted) > 100 and max(wanted.values()) > 1
 
 
 def test_every_operator_is_registered():
