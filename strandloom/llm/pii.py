@@ -33,6 +33,8 @@ LEAST_SHARE, LEAST_BITS, REMOVE_BITS = 0.9, 4.0, 16.0
 #: Texts that the share of an entity in all texts counts as, beside those with a term.
 SMOOTHING = 0.2
 FILTER_BITS = 1 << 21
+#: Text that a worker looks at in one go; its arrays are some thirty times as large.
+_BYTES = 2 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,7 +106,7 @@ def _value(kind: int, text: str) -> int:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: its entities, their values, and the distinct terms of a text that has entities, those inside an entity left out."""
     for whole in batches:
-        for batch in slices(whole, "text"):
+        for batch in slices(whole, "text", _BYTES):
             texts = batch.column(3).to_pylist()
             spans = [entities(t) for t in texts]
             some = [i for i, s in enumerate(spans) if s]
@@ -183,7 +185,7 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", _BYTES):
                 words = Words(batch.column(0))
                 value = _terms(words)[2]
                 hit = np.flatnonzero(_maybe(bits.value, value))
@@ -226,7 +228,7 @@ def detected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", _BYTES):
                 words = Words(batch.column(1))
                 start, end, value = _terms(words)
                 hit = np.flatnonzero(_maybe(bits.value, value))
