@@ -759,6 +759,21 @@ def q_viterbi(spark: SparkSession, d: str) -> DataFrame:
     return hmm.annotate_regions(plan.candidates(pieces).withColumn("seq_id", F.col("seq_id").cast("string")), 12, 0.3, min_span=12)
 
 
+@query()
+def q_viterbi_utr(spark: SparkSession, d: str) -> DataFrame:
+    from strandloom.operators import hmm_utr
+
+    pieces = stored(plan.predict(_genome(spark, d), CompositionScorer(), 512, 128))
+    # Four classes, the chance of a change and the places in a codon, made of five classes.
+    found = plan.candidates(pieces).select(
+        F.col("seq_id").cast("string").alias("seq_id"), "strand", "region_start", "seq",
+        F.transform("probs", lambda p: F.array(p[0] * 0.75, p[0] * 0.25, p[1] + p[2] + p[3], p[4])).alias("classes"),
+        F.transform("probs", lambda p: F.array(F.lit(1.0) - p[4] * 0.5, p[4] * 0.5 + p[0] * 0.02)).alias("changes"),
+        F.transform("probs", lambda p: F.slice(p, 2, 3)).alias("phases"),
+    )
+    return hmm_utr.annotate_regions(found, 12, 0.3)
+
+
 @query()
 def q_annotate(spark: SparkSession, d: str) -> DataFrame:
     # Most of these contigs have some hundred bases: larger windows would be mostly padding.
