@@ -36,8 +36,11 @@ THRESHOLD = 75  # percent
 #: Coordinates a band and bands: two sets at the threshold share no band with probability 3e-7.
 ROWS, BANDS = 4, 40
 COORDINATES = ROWS * BANDS
-#: Elements of all sets on one side of a cell, about: a cell is bounded by bytes, however large its members are.
-CELL_ELEMENTS = 100_000
+#: Elements of all sets on one side of a cell, about, and what a member counts beside its own: a cell is bounded
+#: in bytes however large its members are, and has at most some 2,300 of the smallest on a side.
+CELL_ELEMENTS, MEMBER = 150_000, 64
+#: Numbers in a table of members by shared elements.
+_TABLE = 1 << 24
 
 _ODD = np.random.default_rng(7).integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROUND = mix(np.arange(2 * COORDINATES, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
@@ -122,8 +125,9 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good))
 
 
-def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray, width: int = 8192) -> np.ndarray:
+def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[rows] with sets[columns]."""
+    width = max(64, _TABLE // len(sets))
     member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, element, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.cumsum(seen > 1) - 1
@@ -163,7 +167,7 @@ def _cell(table: pa.Table) -> pa.Table:
 def _open_links(rows: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b), tested on the full sets, among a bucket's members of different components."""
     now = rows.join(links.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    parts = now.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("size"))
+    parts = now.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum(F.col("n") + MEMBER).alias("size"))
     still = parts.groupBy("band").agg(F.sum("c").alias("all"), F.sum("size").alias("sizes"), F.max(F.struct("c", "component", "size")).alias("main"), F.count("*").alias("kinds"))
     across, down = F.ceil(F.col("sizes") / CELL_ELEMENTS).alias("across"), F.ceil((F.col("sizes") - F.col("main.size")) / CELL_ELEMENTS).alias("down")
     still = still.where("all > 2 and kinds > 1").select("band", F.col("main.component").alias("main"), across, down)

@@ -125,9 +125,17 @@ def test_near_groups_in_a_family_around_the_threshold(spark):
 
 def test_cells_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "CELL_ELEMENTS", 800)
+    monkeypatch.setattr(near_dedup, "MEMBER", 0)
     test_near_groups_in_a_family_around_the_threshold(spark)
 
 
+def test_many_small_sets_that_share_a_shingle(spark):
+    """Two shingles each, one of them everybody's: crowded buckets of small sets, and no link but between copies."""
+    data = [(i, f"one two three four five w{i if i != 7 else 3}") for i in range(6000)]
+    got = near_dedup.groups(spark.createDataFrame(data, "doc_id long, text string").repartition(5))
+    assert [tuple(r) for r in got.where("not kept").collect()] == [(7, 2, 3, False)]
+
+
 @pytest.mark.parametrize("query, decoy, link", [(9, (6, 0), (9, 3)), (395, (296, 0), (395, 131))], ids=["short", "long"])
 def test_cell_finds_a_link_beside_a_decoy_of_another_length(query, decoy, link):
     """Sets of (shared with the query, own) elements: the decoy just misses the threshold, the other member of its component reaches it."""
