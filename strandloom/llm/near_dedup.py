@@ -127,7 +127,6 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of sets[rows] with sets[columns]."""
-    width = max(64, _TABLE // len(sets))
     member = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     _, element, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = np.cumsum(seen > 1) - 1
@@ -135,8 +134,9 @@ def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np
     member, element = member[keep], shared[element[keep]]
     order = np.argsort(element, kind="stable")
     member, element = member[order], element[order]
-    out = np.zeros((len(rows), len(columns)))
-    for low in range(0, int(element[-1]) + 1 if len(element) else 0, width):
+    out, many = np.zeros((len(rows), len(columns))), int(element[-1]) + 1 if len(element) else 0
+    width = max(64, min(many, _TABLE // len(sets)))
+    for low in range(0, many, width):
         a, b = np.searchsorted(element, [low, low + width])
         has = np.zeros((len(sets), width), np.float32)
         has[member[a:b], element[a:b] - low] = 1
