@@ -19,7 +19,7 @@ def plain(rows):
 def test_query_equals_its_sql(spark, name):
     got = queries.QUERIES[name](spark, TABLES)
     with duckdb.connect() as db:
-        for table in ("documents", "pages"):
+        for table in ("documents", "pages", "conversations"):
             db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{TABLES}/{table}.parquet')")
         wanted = db.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
     assert plain(got.collect()) == plain(wanted)
