@@ -126,7 +126,7 @@ _REPAIR_SQL = r"""
     flagged AS (
         SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN again THEN 2
                        WHEN regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault,
-               row_number() OVER o AS at, left(role, 1) AS initial, coalesce(lag(left(role, 1)) OVER o || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS odd
+               row_number() OVER o AS pos, left(role, 1) AS initial, coalesce(lag(left(role, 1)) OVER o || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS odd
         FROM seen WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, again)),
     counts AS (
         SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 1) AS blank,
@@ -135,32 +135,32 @@ _REPAIR_SQL = r"""
     rules AS (
         SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (3, 'u', 2), (2, 'a', 3)) r(before, emits, after)),
     paths AS (
-        SELECT conv_id, at, state, way FROM (
-            SELECT conv_id, 0::BIGINT AS at, unnest([0, 2, 3]) AS state,
+        SELECT conv_id, pos, state, way FROM (
+            SELECT conv_id, 0::BIGINT AS pos, unnest([0, 2, 3]) AS state,
                    unnest([{'cost': 0::BIGINT, 'audit': '', 'text': ''}, {'cost': 3, 'audit': 'I', 'text': 'user:' || chr(10)}, {'cost': 6, 'audit': 'II', 'text': 'user:' || chr(10) || 'assistant:' || chr(10)}]) AS way
             FROM (SELECT DISTINCT conv_id FROM flagged))
         UNION ALL
         (WITH moved AS (
-            SELECT p.conv_id, f.at, p.state, {'cost': p.way.cost + 4, 'audit': p.way.audit || 'D', 'text': p.way.text} AS way
-            FROM paths p JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.at = p.at + 1
+            SELECT p.conv_id, f.pos, p.state, {'cost': p.way.cost + 4, 'audit': p.way.audit || 'D', 'text': p.way.text} AS way
+            FROM paths p JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos + 1
             UNION ALL
-            SELECT p.conv_id, f.at, r.after, {
+            SELECT p.conv_id, f.pos, r.after, {
                 'cost': p.way.cost + CASE WHEN f.fault = 3 THEN 3 ELSE 0 END + CASE WHEN f.initial = r.emits THEN 0 ELSE 3 END,
                 'audit': p.way.audit || CASE WHEN f.initial = r.emits THEN 'K' ELSE 'R' END,
                 'text': p.way.text || CASE WHEN f.initial = r.emits THEN f.role WHEN r.emits = 'u' THEN 'user' ELSE 'assistant' END || ':' || f.text || chr(10)} AS way
-            FROM paths p JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.at = p.at + 1
+            FROM paths p JOIN flagged f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.pos = p.pos + 1
             JOIN rules r ON r.before = p.state AND (r.emits <> 's' OR f.initial = 's') WHERE f.fault NOT IN (1, 2)),
         once AS (
             SELECT * FROM moved UNION ALL
-            SELECT conv_id, at, after, {'cost': way.cost + 3, 'audit': way.audit || 'I', 'text': way.text || CASE emits WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10)}
+            SELECT conv_id, pos, after, {'cost': way.cost + 3, 'audit': way.audit || 'I', 'text': way.text || CASE emits WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10)}
             FROM moved JOIN rules ON before = state AND emits <> 's'),
         twice AS (
             SELECT * FROM once UNION ALL
-            SELECT conv_id, at, after, {'cost': way.cost + 3, 'audit': way.audit || 'I', 'text': way.text || CASE emits WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10)}
+            SELECT conv_id, pos, after, {'cost': way.cost + 3, 'audit': way.audit || 'I', 'text': way.text || CASE emits WHEN 'u' THEN 'user:' ELSE 'assistant:' END || chr(10)}
             FROM once JOIN rules ON before = state AND emits <> 's')
-        SELECT conv_id, at, state, min(way) FROM twice GROUP BY conv_id, at, state)),
+        SELECT conv_id, pos, state, min(way) FROM twice GROUP BY conv_id, pos, state)),
     best AS (
-        SELECT p.conv_id, min(way) AS way FROM paths p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.at WHERE state IN (0, 3) GROUP BY p.conv_id)
+        SELECT p.conv_id, min(way) AS way FROM paths p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.pos WHERE state IN (0, 3) GROUP BY p.conv_id)
     SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
            coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0) AS cost, coalesce(way.audit, '') AS audit, sha256(coalesce(left(way.text, -1), '')) AS repaired_sha256
     FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
