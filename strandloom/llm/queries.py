@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import conversation_repair, exact_dedup, license_scan, line_dedup, lm_score, mixing, near_dedup, pii, quality_rules, sentencepiece_codec, toxicity
+from strandloom.llm import conversation_repair, exact_dedup, license_scan, line_dedup, lm_score, mixing, near_dedup, pii, quality_rules, sentencepiece_codec, toxicity, whitening
 from strandloom.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -66,6 +66,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("conv", "conv_id").withColumn("repaired_sha256", F.sha2("text", 256)).drop("text")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -78,4 +82,5 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
