@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.llm import conversation_repair, exact_dedup, license_scan, line_dedup, lm_score, mixing, near_dedup, pii, quality_rules, sentencepiece_codec, toxicity, whitening
+from strandloom.llm import conversation_repair, exact_dedup, html_extract, license_scan, line_dedup, lm_score, mixing, near_dedup, pii, quality_rules, sentencepiece_codec, toxicity, whitening
 from strandloom.llm.oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -61,6 +61,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scanned(_documents(spark, sf_dir)))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extracted(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("path")
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversation_repair.repaired(conversation_repair.spoiled(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
     return rows.withColumnRenamed("conv", "conv_id").withColumn("repaired_sha256", F.sha2("text", 256)).drop("text")
@@ -81,6 +85,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_license_scan": op10_license_scan,
+    "op11_html_extraction": op11_html_extraction,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
