@@ -184,7 +184,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     its own included; kept marks the rows that carry it. Texts without words,
     null texts and rows without an identifier are linked with nothing (a null
     identifier has a null component and stays). Rows that repeat an identifier
-    are returned each, and share a component as they share the identifier.
+    are returned each, and share a component as they share the identifier,
+    also where their texts differ. Identifiers are whole numbers.
     A table without rows gives none. Other columns are not read.
     """
     raw = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -205,17 +206,21 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
         return fit.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
+    # An identifier with several texts joins their classes.
+    named = able.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("many"))
+    several = able.groupBy("id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).where("low <> high").select("id")
+    tied = able.join(several, "id").join(named, "digest").select(F.col("id").alias("a"), F.col("node").alias("b"))
     edges = linked(rows.select(F.col("hub.id").alias("a"), F.col("id").alias("b"), F.col("hub.n").alias("na"), F.col("n").alias("nb")))
-    links = components(edges)
+    links = components(edges.union(tied))
     more = checkpointed(_open_links(rows.drop("hub"), links, sets))
     if not more.isEmpty():
         links = components(links.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
-    classes = able.groupBy("digest").agg(F.min("id").alias("node"), F.count("*").alias("many")).join(links, "node", "left")
+    classes = named.join(links, "node", "left")
     classes = classes.where("many > 1 or component is not null").select("digest", F.coalesce("component", "node").alias("component"))
     apart = seen.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    named = able.drop("bands").join(classes, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
-    return named.union(apart).select(
+    placed = able.drop("bands").join(classes, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
+    return placed.union(apart).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
     )
 

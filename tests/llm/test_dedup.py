@@ -107,6 +107,14 @@ def test_near_groups_match_brute_force(spark):
     assert near_dedup.drop_near_copies(frame(spark)).columns == frame(spark).columns
 
 
+def test_an_identifier_with_several_texts_is_one_document(spark):
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcde")
+    data = [(5, a), (5, b), (3, b), (7, a), (9, c), (9, d), (8, d.replace("d20", "x")), (2, c), (11, e), (11, a + " tail"), (4, e), (12, None), (12, c), (13, ""), (13, "")]
+    got = near_dedup.groups(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter({(5, 3): 2, (3, 3): 1, (7, 3): 1, (9, 2): 2, (8, 2): 1, (2, 2): 1, (11, 3): 2, (4, 3): 1, (12, 2): 1, (12, 12): 1, (13, 13): 2})
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
 def test_near_groups_in_a_family_around_the_threshold(spark):
     """One text with many edits: some pairs are links, others just miss, all share buckets."""
     rng = np.random.default_rng(3)
