@@ -52,6 +52,11 @@ def lineage_score(given: Column, lineage: Column) -> Column:
     return F.coalesce(F.nullif(given, F.lit(0.0)), table)
 
 
+def least_score(given: float | None, lineage: str) -> float:
+    """lineage_score for plans, where both are known beforehand."""
+    return given if given else LINEAGE_SCORES.get(lineage, LINEAGE_DEFAULT)
+
+
 def to_forward(start: Column, end: Column, length: Column, strand: Column) -> tuple[Column, Column]:
     """1-based inclusive coordinates on the forward strand, of 0-based inclusive strand-local ones."""
     back = strand == -1

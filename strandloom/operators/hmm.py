@@ -57,6 +57,16 @@ class Machine:
             for s in range(len(self.names)):
                 own = [a for a, b in self.edges[base] if b == s]
                 self.before[k, s, : len(own)] = own
+        #: By base, the edges in order of the state they lead to: where from, where each state's edges begin, and those states.
+        self.steps = []
+        for base in BASES:
+            pairs = sorted(self.edges[base], key=lambda ab: (ab[1], ab[0]))
+            to, begin = np.unique([b for _, b in pairs], return_index=True)
+            self.steps.append((np.array([a for a, _ in pairs]), begin, to))
+        place = [{state: begin for begin, state in zip(begins.tolist(), to.tolist(), strict=True)} for _, begins, to in self.steps]
+        #: Edges that pay more, as places in those of their base, with the state they lead to: into a start codon's bases, and a GC donor's second.
+        self.start_edges = {k: (place[k][self.number[s]], self.number[s]) for k, s in ((0, "start0"), (3, "start1"), (1, "start2"))}
+        self.donor_edges = [place[2][self.number[f"{g}.D1"]] for g in CODING]
 
     @staticmethod
     def _class(name: str) -> int:
@@ -100,13 +110,66 @@ def machine(min_intron: int = 1) -> Machine:
     return Machine(min_intron)
 
 
-def decode(probabilities: list[np.ndarray], sequences: list[str], min_intron: int = 1, floor: float = 0.0, n_as_g: bool = True) -> list[np.ndarray]:
+def _letters(sequence: str) -> np.ndarray:
+    """Numbers in BASES; -1 for letters other than A, C, G and T."""
+    code = np.full(256, -1, np.int8)
+    for k, b in enumerate(BASES[:4]):
+        code[[ord(b), ord(b.lower())]] = k
+    return code[np.frombuffer(sequence.encode("latin-1", "replace"), np.uint8)]
+
+
+def start_weight(emitted: np.ndarray) -> np.ndarray:
+    """What a base of a start codon pays beside its emission."""
+    return np.where(emitted < START_FLOOR, 10 * emitted, 0.0)
+
+
+def transfer(probabilities: np.ndarray, sequence: str, min_intron: int = 1, floor: float = 0.0, n_as_g: bool = True, carried: float = -np.inf, first: bool = False) -> np.ndarray:
+    """The best scores from each state before a sequence (rows) to each state at its end (columns).
+
+    A step of the decoder is linear in (max, +), so a region's best scores are
+    its pieces' tables multiplied in that algebra, in any grouping. carried is
+    the start weight of the last G before the sequence, as decode takes it; a
+    region's first piece stays at its first base, where the region begins.
+    """
+    m = machine(min_intron)
+    with np.errstate(divide="ignore"):
+        emit = np.log(np.maximum(probabilities.astype(float), floor))
+    letter = _letters(sequence)
+    base = np.where(letter >= 0, letter, 1 if n_as_g else 4)
+    paid = np.zeros(len(base))
+    for b, (_, state) in m.start_edges.items():
+        paid[base == b] = start_weight(emit[base == b, m.emits[state]])
+    seen = np.maximum.accumulate(np.where((letter == 1) & (np.arange(len(base)) >= first), np.arange(len(base)), -1))
+    last = np.where(seen >= 0, paid[np.maximum(seen, 0)], carried)
+    paid = np.where(base == 1, last, paid)
+    score, out = np.full((len(m.names), len(m.names)), -np.inf), np.empty((len(m.names), len(m.names)))
+    np.fill_diagonal(score, 0.0)
+    for t in range(1 if first else 0, len(base)):
+        b = int(base[t])
+        source, begin, to = m.steps[b]
+        value = score[source]
+        if b in m.start_edges:
+            value[m.start_edges[b][0]] += paid[t]
+        elif b == 2:
+            value[m.donor_edges] += 1000 * emit[t, 4]
+        out.fill(-np.inf)
+        out[to] = np.maximum.reduceat(value, begin, axis=0) + emit[t, m.emits[to]][:, None]
+        score, out = out, score
+    return score.T.copy()
+
+
+def decode(
+    probabilities: list[np.ndarray], sequences: list[str], min_intron: int = 1, floor: float = 0.0, n_as_g: bool = True,
+    entries: list[np.ndarray] | None = None, ends: list[int] | None = None, carried: list[float] | None = None,
+) -> list[np.ndarray]:
     """The most likely states of each region; probabilities are (length, 5).
 
     A region begins and ends intergenic. A start codon's bases pay ten times
     their emission where it is under 0.1, a GC donor a thousand times. Letters
     other than A, C, G and T read as G, with the start weight of the G before
-    (n_as_g), or as a base that no special edge takes.
+    (n_as_g), or as a base that no special edge takes. Of a piece within a
+    region, entries are the states' scores before it and carried is the start
+    weight of the last G there; ends is the state that a piece ends in.
     """
     m = machine(min_intron)
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
@@ -117,23 +180,22 @@ def decode(probabilities: list[np.ndarray], sequences: list[str], min_intron: in
     emit = np.full((size, n, 5), -np.inf)
     base = np.full((size, n), 1, np.int8)
     known = np.zeros((size, n), bool)
-    code = np.full(256, -1, np.int8)
-    for k, b in enumerate(BASES[:4]):
-        code[[ord(b), ord(b.lower())]] = k
     with np.errstate(divide="ignore"):
         for column, i in enumerate(order):
             emit[: len(sequences[i]), column] = np.log(np.maximum(probabilities[i].astype(float), floor))
-            own = code[np.frombuffer(sequences[i].encode("latin-1", "replace"), np.uint8)]
+            own = _letters(sequences[i])
             known[: len(own), column] = own >= 0
             base[: len(own), column] = np.where(own >= 0, own, 1 if n_as_g else 4)
     number = m.number
     starts = [(0, number["start0"]), (3, number["start1"]), (1, number["start2"])]
     d1 = np.array([number[f"{g}.D1"] for g in CODING])
-    g_weight = np.full(n, -np.inf)
+    g_weight = np.full(n, -np.inf) if carried is None else np.array([carried[i] for i in order], float)
     score = np.full((n, states), -np.inf)
     score[:, 0] = 0
+    if entries is not None:
+        score[:] = [entries[i] for i in order]
     back = np.zeros((size, n, states), np.int16)
-    for t in range(1, size):
+    for t in range(1 if entries is None else 0, size):
         live = int(np.searchsorted(-lengths, -t, "left"))
         b, e = base[t, :live], emit[t, :live][:, m.emits]
         before = m.before[b]
@@ -141,7 +203,7 @@ def decode(probabilities: list[np.ndarray], sequences: list[str], min_intron: in
         value = np.where(before >= 0, score[at[:, None, None], np.maximum(before, 0)], -np.inf)
         for k, state in starts:
             own = e[:, state]
-            paid = np.where(own < START_FLOOR, 10 * own, 0.0)
+            paid = start_weight(own)
             if k == 1:
                 g_weight[:live] = np.where(known[t, :live] & (b == 1), paid, g_weight[:live])
                 paid = g_weight[:live]
@@ -156,34 +218,58 @@ def decode(probabilities: list[np.ndarray], sequences: list[str], min_intron: in
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     for column, i in enumerate(order):
         path = np.zeros(lengths[column], np.int64)
+        path[-1:] = 0 if ends is None else ends[i]
         for t in range(lengths[column] - 1, 0, -1):
             path[t - 1] = max(back[t, column, path[t]], 0)
         out[i] = path
     return out
 
 
-def structures(states: np.ndarray, probabilities: np.ndarray, min_length: int, min_score: float, min_intron: int, min_span: int = 200) -> list[dict]:
-    """The genes of a decoded region that pass the filters: coding runs with scores, introns, and the gene's score."""
+Run = tuple[int, int, int, float]  # kind, first and last position, sum of the emitted probabilities
+
+
+def runs_of(states: np.ndarray, probabilities: np.ndarray, min_intron: int) -> list[Run]:
+    """The runs of equal kinds of a decoded sequence."""
     m = machine(min_intron)
     kind = m.kind[states]
     p = probabilities[np.arange(len(states)), m.emits[states]].astype(float)
     edge = np.flatnonzero(np.diff(np.concatenate([[-1], kind, [-1]])))
-    runs = [(int(kind[a]), int(a), int(b) - 1) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return [(int(kind[a]), int(a), int(b) - 1, float(p[a:b].sum())) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def gene_of(runs: list[Run], min_length: int, min_score: float, min_span: int) -> dict | None:
+    """The gene that neighbouring runs of coding bases and introns make; None where it does not pass the filters."""
+    cds = [(a, b, total) for kind, a, b, total in runs if kind == 1]
+    length = sum(b - a + 1 for a, b, _ in cds)
+    if not cds or length < min_length or cds[-1][1] - cds[0][0] + 1 < min_span:
+        return None
+    score = sum(total for _, _, total in cds) / length
+    if score < min_score:
+        return None
+    return {"cds": [(a, b, total / (b - a + 1)) for a, b, total in cds], "introns": [(a, b) for kind, a, b, _ in runs if kind == 2], "cds_score": float(score)}
+
+
+def structures(states: np.ndarray, probabilities: np.ndarray, min_length: int, min_score: float, min_intron: int, min_span: int = 200) -> list[dict]:
+    """The genes of a decoded region that pass the filters: coding runs with scores, introns, and the gene's score."""
     genes, now = [], []
-    for run in [*runs, (0, 0, 0)]:
+    for run in [*runs_of(states, probabilities, min_intron), (0, 0, 0, 0.0)]:
         if run[0]:
             now.append(run)
             continue
-        cds = [(a, b) for k, a, b in now if k == 1]
-        length = sum(b - a + 1 for a, b in cds)
-        if cds and length >= min_length and cds[-1][1] - cds[0][0] + 1 >= min_span:
-            score = sum(p[a : b + 1].sum() for a, b in cds) / length
-            if score >= min_score:
-                genes.append({"cds": [(a, b, float(p[a : b + 1].mean())) for a, b in cds], "introns": [(a, b) for k, a, b in now if k == 2], "cds_score": float(score)})
+        gene = gene_of(now, min_length, min_score, min_span)
+        genes += [gene] if gene else []
         now = []
     return genes
 
 
+GENE_KINDS = (pa.string(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+
+
+def gene_rows(seq_id: str, strand: int, shift: int, gene: dict) -> list[tuple]:
+    """A gene's coding runs as rows of GENES."""
+    return [(seq_id, strand, shift + gene["cds"][0][0], shift + a, shift + b, score, gene["cds_score"]) for a, b, score in gene["cds"]]
+
+
 GENES = "seq_id string, strand tinyint, gene_start long, start long, end long, score double, cds_score double"
 
 
@@ -210,11 +296,9 @@ def annotate_regions(regions: DataFrame, min_length: int = 60, min_score: float
                 out = {k: [] for k in ("seq_id", "strand", "gene_start", "start", "end", "score", "cds_score")}
                 for r, own, path in zip(now, p, decode(p, [r["seq"] for r in now], min_intron), strict=True):
                     for gene in structures(path, own, min_length, min_score, min_intron, min_span):
-                        for a, b, score in gene["cds"]:
-                            row = (r["seq_id"], r["strand"], r["region_start"] + gene["cds"][0][0], r["region_start"] + a, r["region_start"] + b, score, gene["cds_score"])
+                        for row in gene_rows(r["seq_id"], r["strand"], r["region_start"], gene):
                             for key, value in zip(out, row, strict=True):
                                 out[key].append(value)
-                kinds = (pa.string(), pa.int8(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), GENE_KINDS, strict=True)], names=list(out))
 
     return regions.select("seq_id", "strand", "region_start", "seq", "probs").mapInArrow(work, GENES)

@@ -6,23 +6,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.operators import genes, hmm, packing, regions, tiling
+from strandloom.operators import genes, hmm, packing, regions, spans, tiling
 from strandloom.plans.scoring import Scorer, scored
 from strandloom.session import stored
+from strandloom.sources.fasta_ranges import PIECE, windows_of_pieces
 from strandloom.sources.gff import write_gff
 
 WINDOW, FLANK = 30720, 5120
+#: Bases of a region that one task decodes alone: 26 MB of backward pointers.
+WHOLE = 1 << 18
+#: Least coding score where neither a score nor a lineage is given.
+LEAST_SCORE = 0.5
 #: Blocks in which regions look for the scored pieces that they overlap.
 BLOCK = 8192
 
 
-def predict(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK) -> DataFrame:
-    """Scored pieces of both strands. Scoring is the dear step: store them before several steps read them."""
-    tiles = tiling.both_strands(tiling.windows(genome, window, flank), window)
-    return scored(tiles, scorer, window, flank)
+def predict(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE) -> DataFrame:
+    """Scored pieces of both strands. Scoring is the dear step: store them before several steps read them.
+
+    genome has whole contigs (seq_id, seq), or pieces of `piece` bases (seq_id, seq_ord, length, start, seq) of contigs of any length.
+    """
+    cut = windows_of_pieces(genome, window, flank, piece) if "start" in genome.columns else tiling.windows(genome, window, flank)
+    return scored(tiling.both_strands(cut, window), scorer, window, flank)
+
+
+def contigs_of(genome: DataFrame) -> DataFrame:
+    """(seq_id, seq_ord, length) of contigs or of pieces of them; a contig's first piece begins at 0."""
+    rows = genome.where("start = 0") if "start" in genome.columns else genome
+    return rows.select(F.col("seq_id").cast("string").alias("seq_id"), "seq_ord", "length")
 
 
 def write_predictions(pieces: DataFrame, contigs: DataFrame, path: str, chunks: int = 1) -> None:
@@ -71,10 +85,14 @@ def _bins(pieces: DataFrame, most: float) -> DataFrame:
     return rows.groupBy("seq_id", "strand", "bin").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("high").alias("n_high"))
 
 
-def candidates(pieces: DataFrame, average: float = 0.1, most: float = 0.5) -> DataFrame:
-    """Regions with their sequence and probabilities, pieces put together. pieces is read more than once."""
+def found_regions(pieces: DataFrame, average: float = 0.1, most: float = 0.5) -> DataFrame:
+    """(seq_id, strand, region_start, region_end, is_open) of scored pieces."""
     lengths = pieces.where("start = 0").select("seq_id", "strand", "length")
-    found = regions.candidate_regions(_bins(pieces, most), lengths, ["seq_id", "strand"], average)
+    return regions.candidate_regions(_bins(pieces, most), lengths, ["seq_id", "strand"], average)
+
+
+def parts_of(found: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(seq_id, strand, region_start, region_end, start, seq, probs): what scored pieces have of the regions that they overlap."""
 
     def blocks(low, high):
         return F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK)))
@@ -86,29 +104,53 @@ def candidates(pieces: DataFrame, average: float = 0.1, most: float = 0.5) -> Da
     met = met.where(F.col("block") == F.greatest(F.floor(F.col("start") / BLOCK), F.floor(F.col("region_start") / BLOCK)))
     low, high = F.greatest("start", "region_start"), F.least("piece_end", "region_end")
     at, n = (low - F.col("start") + 1).cast("int"), (high - low).cast("int")
-    parts = met.select("seq_id", "strand", "region_start", "region_end", F.struct(low.alias("low"), F.substring(F.col("seq"), at, n).alias("seq"), F.slice("probs", at, n).alias("probs")).alias("part"))
-    whole = parts.groupBy("seq_id", "strand", "region_start", "region_end").agg(F.array_sort(F.collect_list("part"), lambda a, b: F.when(a["low"] < b["low"], -1).otherwise(1)).alias("parts"))
+    return met.select("seq_id", "strand", "region_start", "region_end", low.alias("start"), F.substring(F.col("seq"), at, n).alias("seq"), F.slice("probs", at, n).alias("probs"))
+
+
+def whole_regions(parts: DataFrame) -> DataFrame:
+    """Regions with their sequence and probabilities, their parts put together."""
+    part = F.struct("start", "seq", "probs")
+    whole = parts.groupBy("seq_id", "strand", "region_start", "region_end").agg(F.array_sort(F.collect_list(part), lambda a, b: F.when(a["start"] < b["start"], -1).otherwise(1)).alias("parts"))
     return whole.select("seq_id", "strand", "region_start", "region_end", F.array_join(F.transform("parts", lambda p: p["seq"]), "").alias("seq"), F.flatten(F.transform("parts", lambda p: p["probs"])).alias("probs"))
 
 
-def decode(pieces: DataFrame, contigs: DataFrame, average: float = 0.1, most: float = 0.5, min_cds_length: int = 60, min_cds_score: float = 0.5, min_intron: int = 1) -> DataFrame:
-    """Feature rows of all genes; contigs has seq_id, seq_ord and length."""
-    found = candidates(pieces, average, most)
-    found = found.repartition("seq_id", "strand", "region_start")
+def candidates(pieces: DataFrame, average: float = 0.1, most: float = 0.5) -> DataFrame:
+    """Regions with their sequence and probabilities. pieces is read more than once."""
+    return whole_regions(parts_of(found_regions(pieces, average, most), pieces))
+
+
+def decode(
+    pieces: DataFrame, contigs: DataFrame, average: float = 0.1, most: float = 0.5, min_cds_length: int = 60, min_cds_score: float | None = None, min_intron: int = 1,
+    lineage: str | None = None, whole: int = WHOLE,
+) -> DataFrame:
+    """Feature rows of all genes; contigs has seq_id, seq_ord and length.
+
+    Regions of at most `whole` bases are decoded as one row each, longer ones in
+    the pieces that they overlap. The least coding score, where none or 0 is
+    given, is the lineage's, and without a lineage LEAST_SCORE.
+    """
+    score = genes.least_score(min_cds_score, lineage) if lineage else LEAST_SCORE if min_cds_score is None else min_cds_score
+    found = stored(found_regions(pieces, average, most).withColumn("seq_id", F.col("seq_id").cast("string")))
+    held = pieces.withColumn("seq_id", F.col("seq_id").cast("string"))
+    size = F.col("region_end") - F.col("region_start")
+    short = whole_regions(parts_of(found.where(size <= whole), held)).repartition("seq_id", "strand", "region_start")
+    cds = hmm.annotate_regions(short, min_cds_length, score, min_intron)
+    if not found.where(size > whole).isEmpty():
+        parts = stored(parts_of(found.where(size > whole), held))
+        cds = cds.unionByName(spans.annotate_pieces(parts, min_cds_length, score, min_intron))
     # Decoding is dear too, and both the numbers and the rows come from it.
-    cds = stored(hmm.annotate_regions(found.withColumn("seq_id", F.col("seq_id").cast("string")), min_cds_length, min_cds_score, min_intron))
+    cds = stored(cds)
     key = ["seq_id", "strand", "gene_start"]
     cds = genes.cds_phases(cds, key)
     numbers = genes.numbered(cds.select(*key).distinct().withColumnRenamed("gene_start", "first_cds")).withColumnRenamed("first_cds", "gene_start")
     return genes.gff_rows(checked(cds.join(numbers, key), contigs))
 
 
-def annotate(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK, **thresholds: float) -> DataFrame:
-    """genome (seq_id, seq_ord, length, seq) to feature rows; every window is scored once."""
-    return decode(stored(predict(genome, scorer, window, flank)), genome.select("seq_id", "seq_ord", "length"), **thresholds)
+def annotate(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE, **thresholds: float | str | None) -> DataFrame:
+    """genome (seq_id, seq_ord, length, seq), or pieces of one, to feature rows; every window is scored once."""
+    return decode(stored(predict(genome, scorer, window, flank, piece)), contigs_of(genome), **thresholds)
 
 
-def annotate_to(genome: DataFrame, scorer: Scorer, path: str, **options: float) -> None:
+def annotate_to(genome: DataFrame, scorer: Scorer, path: str, **options: float | str | None) -> None:
     """annotate, written as GFF3 text."""
-    contigs = genome.select(F.col("seq_id").cast("string").alias("seq_id"), "seq_ord", "length")
-    write_gff(annotate(genome, scorer, **options), contigs, path)
+    write_gff(annotate(genome, scorer, **options), contigs_of(genome), path)

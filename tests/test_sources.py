@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from strandloom.plans import annotate as plan
 from strandloom.plans.scoring import CompositionScorer, DenseScorer
-from strandloom.sources import fasta, gff
+from strandloom.sources import fasta, fasta_ranges, gff
 from strandloom.streaming.annotate import annotate_stream, contig_stream
 
 from .test_hmm import gene
@@ -99,6 +99,18 @@ def test_two_steps_equal_one(spark, planted, tmp_path):
     assert sorted(map(str, two.collect())) == sorted(map(str, plan.annotate(genome, Planted(seq, p), 700, 400).collect()))
 
 
+def test_long_regions_and_pieces_of_contigs_give_the_same_genes(spark, planted, tmp_path):
+    seq, p, forward, backward = planted
+    (tmp_path / "g.fa").write_text("".join(f">{name}\n" + "\n".join(s[k : k + 60] for k in range(0, len(s), 60)) + "\n" for name, s in (("fwd", forward), ("none", "TC" * 150), ("rev", backward))))
+    whole = plan.annotate(fasta.read_fasta(spark, str(tmp_path / "g.fa")), Planted(seq, p), 100, 400).collect()
+    assert sum(r["type"] == "gene" for r in whole) == 2
+    pieces = fasta_ranges.read_pieces(spark, str(tmp_path / "g.fa"), 400, 128)
+    for genome, rest in ((pieces, {}), (pieces, {"whole": 50}), (fasta.read_fasta(spark, str(tmp_path / "g.fa")), {"whole": 50})):
+        assert sorted(map(str, plan.annotate(genome, Planted(seq, p), 100, 400, piece=400, **rest).collect())) == sorted(map(str, whole))
+    assert plan.annotate(pieces, Planted(seq, p), 100, 400, piece=400, lineage="Mammalia", min_cds_score=0.95).collect() == []
+    assert len(plan.annotate(pieces, Planted(seq, p), 100, 400, piece=400, lineage="Mammalia", min_cds_score=0.0).collect()) == len(whole)
+
+
 def test_streaming_annotation(spark, planted, tmp_path):
     seq, p, forward, _ = planted
     (tmp_path / "in").mkdir()
