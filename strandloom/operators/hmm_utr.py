@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,12 @@ class Machine:
         #: By context, the states before a state, lowest first, and whether the class changes; -1 fills up.
         self.contexts = [(base, donor, end) for base in "ACGT" for donor in ("", *SPLICE) for end in ("", "AG", "AC")]
         tables = [self._before(*c) for c in self.contexts]
+        #: By context, the edges in order of the state they lead to: where from, whether the class changes, where each state's edges begin, and those states.
+        self.steps = []
+        for table in tables:
+            edges = [(s, a, change) for s, own in enumerate(table) for a, change in sorted(own.items())]
+            to, begin = np.unique([s for s, _, _ in edges], return_index=True)
+            self.steps.append((np.array([a for _, a, _ in edges]), np.array([int(c) for _, _, c in edges]), begin, to))
         width = max(len(v) for t in tables for v in t)
         self.before = np.full((len(tables), len(self.names), width), -1)
         self.changed = np.zeros(self.before.shape, bool)
@@ -124,8 +131,10 @@ def machine(min_intron: int = 1, cut_codons: bool = False) -> Machine:
     return Machine(min_intron, cut_codons)
 
 
-def contexts(sequence: str) -> np.ndarray:
-    """The number of each base's context in a machine's table; letters other than A, C, G and T open no codon, as C does not."""
+def contexts(sequence: str, left: str = "", right: str = "") -> np.ndarray:
+    """The number of each base's context in a machine's table, with what is beside a piece; letters other than A, C, G and T open no codon, as C does not."""
+    if left or right:
+        return contexts(left + sequence + right)[len(left) : len(left) + len(sequence)]
     text = sequence.upper()
     data = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
     base = np.full(256, 1)
@@ -144,16 +153,52 @@ def coding_probabilities(classes: np.ndarray, phases: np.ndarray) -> np.ndarray:
     return (np.maximum(phases[:, :3], FLOOR) + np.maximum(classes[:, 2:3], FLOOR)) / 2
 
 
-def emissions(m: Machine, classes: np.ndarray, phases: np.ndarray) -> np.ndarray:
+def _by_class(classes: np.ndarray, phases: np.ndarray) -> np.ndarray:
+    """Logarithms by base of the six probabilities that states emit."""
     floored = np.maximum(classes.astype(float), FLOOR)
-    columns = np.concatenate([coding_probabilities(classes.astype(float), phases.astype(float)), floored[:, [0, 1, 3]]], 1)
-    return np.log(columns)[:, m.emits] * m.times
+    return np.log(np.concatenate([coding_probabilities(classes.astype(float), phases.astype(float)), floored[:, [0, 1, 3]]], 1))
+
+
+def emissions(m: Machine, classes: np.ndarray, phases: np.ndarray) -> np.ndarray:
+    return _by_class(classes, phases)[:, m.emits] * m.times
+
 
+class Beside(NamedTuple):
+    """What a piece of a region has beside it: the last two bases and the chances of the last base before it, and the first base after it."""
 
-def decode(classes: list[np.ndarray], changes: list[np.ndarray], phases: list[np.ndarray], sequences: list[str], min_intron: int = 1, cut_codons: bool = False) -> list[np.ndarray]:
+    left: str = ""
+    right: str = ""
+    changes: tuple[float, float] = (1.0, 1.0)
+
+
+def transfer(classes: np.ndarray, changes: np.ndarray, phases: np.ndarray, sequence: str, min_intron: int = 1, cut_codons: bool = False, beside: Beside | None = None, first: bool = False) -> np.ndarray:
+    """The best scores from each state before a sequence (rows) to each state at its end (columns); a region's first piece stays at its first base."""
+    m = machine(min_intron, cut_codons)
+    beside = beside or Beside()
+    emit, context, closed = _by_class(classes, phases), contexts(sequence, beside.left, beside.right), float(np.log(FLOOR))
+    step = np.log(np.maximum(np.concatenate([[beside.changes], changes[:-1, :2]]).astype(float), FLOOR))
+    score, out = np.full((len(m.names), len(m.names)), -np.inf), np.empty((len(m.names), len(m.names)))
+    np.fill_diagonal(score, 0.0)
+    for t in range(1 if first else 0, len(sequence)):
+        source, change, begin, to = m.steps[context[t]]
+        value = score[source] + step[t, change][:, None]
+        out[:] = score.max(0) + closed
+        out[to] = np.maximum(out[to], np.maximum.reduceat(value, begin, axis=0))
+        out += (emit[t, m.emits] * m.times)[:, None]
+        score, out = out, score
+    return score.T.copy()
+
+
+def decode(
+    classes: list[np.ndarray], changes: list[np.ndarray], phases: list[np.ndarray], sequences: list[str], min_intron: int = 1, cut_codons: bool = False,
+    entries: list[np.ndarray] | None = None, ends: list[int] | None = None, beside: list[Beside] | None = None,
+) -> list[np.ndarray]:
     """The most likely states of each region; classes (length, 4), changes (length, 2: stay, change) and phases (length, 3 or more).
 
-    A region begins and ends intergenic. The chances of a change at a base are those of the step that leaves it.
+    A region begins and ends intergenic. The chances of a change at a base are
+    those of the step that leaves it. Of a piece within a region, entries are
+    the states' scores before it, ends the state that it ends in, and beside
+    what its first and last bases need.
     """
     m = machine(min_intron, cut_codons)
     order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
@@ -161,20 +206,23 @@ def decode(classes: list[np.ndarray], changes: list[np.ndarray], phases: list[np
     if not len(order) or not lengths[0]:
         return [np.zeros(0, np.int64) for _ in sequences]
     n, size, states, closed = len(order), int(lengths[0]), len(m.names), float(np.log(FLOOR))
-    emit = [emissions(m, classes[i], phases[i]) for i in order]
-    step = np.zeros((size, n, 2))
-    context = np.zeros((size, n), np.int64)
+    # Six numbers a base, whatever the number of states, and the chances of the step onto a base.
+    emit, step, context = np.zeros((size, n, 6)), np.zeros((size, n, 2)), np.zeros((size, n), np.int64)
     for column, i in enumerate(order):
-        step[: lengths[column], column] = np.log(np.maximum(changes[i][:, :2].astype(float), FLOOR))
-        context[: lengths[column], column] = contexts(sequences[i])
+        own = beside[i] if beside else Beside()
+        emit[: lengths[column], column] = _by_class(classes[i], phases[i])
+        step[: lengths[column], column] = np.log(np.maximum(np.concatenate([[own.changes], changes[i][:-1, :2]]).astype(float), FLOOR))
+        context[: lengths[column], column] = contexts(sequences[i], own.left, own.right)
     score = np.full((n, states), -np.inf)
     score[:, 0] = 0
+    if entries is not None:
+        score[:] = [entries[i] for i in order]
     back = np.zeros((size, n, states), np.int16)
-    for t in range(1, size):
+    for t in range(1 if entries is None else 0, size):
         live = int(np.searchsorted(-lengths, -t, "left"))
         at, now = np.arange(live), context[t, :live]
         before, changed = m.before[now], m.changed[now]
-        weight = np.where(changed, step[t - 1, :live, 1, None, None], step[t - 1, :live, 0, None, None])
+        weight = np.where(changed, step[t, :live, 1, None, None], step[t, :live, 0, None, None])
         value = np.where(before >= 0, score[at[:, None, None], np.maximum(before, 0)] + weight, -np.inf)
         best = value.argmax(2)
         allowed = np.take_along_axis(value, best[:, :, None], 2)[:, :, 0]
@@ -184,43 +232,70 @@ def decode(classes: list[np.ndarray], changes: list[np.ndarray], phases: list[np
         # Of equals, the lower number.
         use = (forced > allowed) | ((forced == allowed) & (first < came))
         back[t, :live] = np.where(use, first, came)
-        score[:live] = np.where(use, forced, allowed) + np.stack([emit[c][t] for c in range(live)])
+        score[:live] = np.where(use, forced, allowed) + emit[t, :live][:, m.emits] * m.times
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     for column, i in enumerate(order):
         path = np.zeros(lengths[column], np.int64)
+        path[-1:] = 0 if ends is None else ends[i]
         for t in range(lengths[column] - 1, 0, -1):
             path[t - 1] = back[t, column, path[t]]
         out[i] = path
     return out
 
 
-def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]]).astype(np.int8)))
-    return [(int(a), int(b) - 1) for a, b in zip(edge[::2], edge[1::2], strict=True)]
-
-
-def structures(states: np.ndarray, coding: np.ndarray, sequence: str, min_length: int, min_score: float, min_intron: int = 1, cut_codons: bool = False) -> list[dict]:
-    """The genes of a decoded region that pass the filters: exons, coding runs with scores, introns, and the gene's score.
+def runs_of(states: np.ndarray, coding: np.ndarray, sequence: str, min_intron: int = 1, cut_codons: bool = False) -> list[tuple[int, int, int, float]]:
+    """The runs of equal kinds of a decoded sequence: kind, first and last position, and the sum of a coding run's probabilities.
 
-    coding holds coding_probabilities. A lower-case coding base counts nothing in a score's sum, but in its length.
+    coding holds coding_probabilities. A lower-case coding base adds nothing to a sum.
     """
     m = machine(min_intron, cut_codons)
     kind = m.kind[states]
     upper = np.array([not c.islower() for c in sequence], bool)
     p = np.where((kind == 2) & upper, coding[np.arange(len(states)), np.minimum(m.emits[states], 2)], 0.0)
-    genes = []
-    for low, high in _runs(kind > 0):
-        own = kind[low : high + 1]
-        exons, cds, introns = ([(low + a, low + b) for a, b in _runs(mask)] for mask in ((own == 1) | (own == 2), own == 2, own == 3))
-        length = sum(b - a + 1 for a, b in cds)
-        if not cds or length < min_length:
+    edge = np.flatnonzero(np.diff(np.concatenate([[-1], kind, [-1]])))
+    return [(int(kind[a]), int(a), int(b) - 1, float(p[a:b].sum())) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+
+def gene_of(runs: list[tuple[int, int, int, float]], min_length: int, min_score: float) -> dict | None:
+    """The gene that neighbouring runs make: exons, coding runs with scores, introns, and the gene's score; None where it does not pass the filters.
+
+    An exon is what untranslated and coding runs make that touch.
+    """
+    cds = [(a, b, total) for kind, a, b, total in runs if kind == 2]
+    length = sum(b - a + 1 for a, b, _ in cds)
+    if not cds or length < min_length:
+        return None
+    score = float(sum(total for _, _, total in cds) / length)
+    if score < min_score:
+        return None
+    exons: list[tuple[int, int]] = []
+    for kind, a, b, _ in runs:
+        if kind != 3:
+            touches = exons and exons[-1][1] + 1 == a
+            exons[-1 if touches else len(exons) :] = [(exons[-1][0] if touches else a, b)]
+    introns = [(a, b, None) for kind, a, b, _ in runs if kind == 3]
+    return {"exon": [(a, b, None) for a, b in exons], "CDS": [(a, b, total / (b - a + 1)) for a, b, total in cds], "intron": introns, "cds_score": score}
+
+
+def structures(states: np.ndarray, coding: np.ndarray, sequence: str, min_length: int, min_score: float, min_intron: int = 1, cut_codons: bool = False) -> list[dict]:
+    """The genes of a decoded region that pass the filters."""
+    genes, now = [], []
+    for run in [*runs_of(states, coding, sequence, min_intron, cut_codons), (0, 0, 0, 0.0)]:
+        if run[0]:
+            now.append(run)
             continue
-        score = float(sum(p[a : b + 1].sum() for a, b in cds) / length)
-        if score >= min_score:
-            genes.append({"exon": [(a, b, None) for a, b in exons], "CDS": [(a, b, float(p[a : b + 1].mean())) for a, b in cds], "intron": [(a, b, None) for a, b in introns], "cds_score": score})
+        gene = gene_of(now, min_length, min_score)
+        genes += [gene] if gene else []
+        now = []
     return genes
 
 
+def part_rows(seq_id: str, strand: int, shift: int, gene: dict) -> list[tuple]:
+    """A gene's exons, coding runs and introns as rows of PARTS."""
+    return [(seq_id, strand, shift + gene["CDS"][0][0], kind, shift + a, shift + b, score, gene["cds_score"]) for kind in ("exon", "CDS", "intron") for a, b, score in gene[kind]]
+
+
+PART_KINDS = (pa.string(), pa.int8(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 PARTS = "seq_id string, strand tinyint, gene_start long, type string, start long, end long, score double, cds_score double"
 
 
@@ -240,22 +315,20 @@ def annotate_regions(regions: DataFrame, min_length: int = 60, min_score: float
         return [flat[inner[a] : inner[b]].reshape(b - a, -1) if b > a else np.zeros((0, 4)) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int8(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
         names = ("seq_id", "strand", "gene_start", "type", "start", "end", "score", "cds_score")
         states = len(machine(min_intron, cut_codons).names)
         for batch in batches:
             rows = list(zip(*(batch.column(c).to_pylist() for c in range(4)), *(arrays(batch.column(c)) for c in range(4, 7)), strict=True))
             rows.sort(key=lambda r: -len(r[3]))
             while rows:
-                # Two bytes a base and state to go back, eight to emit.
-                many = max(1, budget // (10 * states * max(1, len(rows[0][3]))))
+                # Two bytes a base and state to go back, and eight numbers a base.
+                many = max(1, budget // ((2 * states + 72) * max(1, len(rows[0][3]))))
                 now, rows = rows[:many], rows[many:]
                 paths = decode(*([r[k] for r in now] for k in (4, 5, 6, 3)), min_intron, cut_codons)
                 out = []
                 for (seq_id, strand, start, seq, classes, _, phases), path in zip(now, paths, strict=True):
                     for gene in structures(path, coding_probabilities(classes.astype(float), phases.astype(float)), seq, min_length, min_score, min_intron, cut_codons):
-                        first = start + gene["CDS"][0][0]
-                        out += [(seq_id, strand, first, kind, start + a, start + b, score, gene["cds_score"]) for kind in ("exon", "CDS", "intron") for a, b, score in gene[kind]]
-                yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*out, strict=True) if out else [()] * len(kinds), kinds, strict=True)], names=list(names))
+                        out += part_rows(seq_id, strand, start, gene)
+                yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(zip(*out, strict=True) if out else [()] * len(PART_KINDS), PART_KINDS, strict=True)], names=list(names))
 
     return regions.select("seq_id", "strand", "region_start", "seq", "classes", "changes", "phases").mapInArrow(work, PARTS)

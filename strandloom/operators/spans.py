@@ -18,15 +18,16 @@ at most two a piece; fragments that touch are chained and make one gene.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strandloom.operators import hmm
+from strandloom.operators import hmm, hmm_utr
 from strandloom.session import stored
 
 FAN = 64
@@ -37,6 +38,114 @@ KEYS = ["seq_id", "strand", "region_start"]
 _RUNS = "array<struct<kind:int,start:bigint,end:bigint,total:double>>"
 
 
+Run = tuple[int, int, int, float]  # kind, first and last position, sum of probabilities
+
+
+class Model(Protocol):
+    """A decoder, as far as pieces need it. A row is a piece: seq, its tracks as arrays by base, what beside() gave it, and `first`."""
+
+    tracks: tuple[str, ...]
+    schema: str
+    kinds: tuple[pa.DataType, ...]
+
+    def own(self) -> dict[str, Column]:
+        """Narrow columns of a piece that its neighbours ask for."""
+
+    def beside(self, order: WindowSpec) -> dict[str, Column]:
+        """What a piece needs of the pieces before and behind it, of their own() columns."""
+
+    def bytes_per_base(self) -> int: ...
+
+    def table(self, row: dict) -> np.ndarray: ...
+
+    def paths(self, rows: list[dict], ends: list[int], entries: list[np.ndarray] | None) -> list[np.ndarray]: ...
+
+    def runs(self, row: dict, path: np.ndarray) -> list[Run]: ...
+
+    def gene(self, seq_id: str, strand: int, runs: list[Run]) -> list[tuple]:
+        """The rows of schema that a gene's runs make; none where it does not pass the filters."""
+
+
+class CodonModel:
+    """The decoder of operators.hmm over five class probabilities a base (probs)."""
+
+    tracks, schema, kinds = ("probs",), hmm.GENES, hmm.GENE_KINDS
+
+    def __init__(self, min_length: int = 60, min_score: float = 0.5, min_intron: int = 1, min_span: int = 200) -> None:
+        self.filters, self.min_intron = (min_length, min_score, min_span), min_intron
+
+    def own(self) -> dict[str, Column]:
+        """The probability of a start codon's G at the piece's last G."""
+        m = hmm.machine()
+        # The base at which a region begins takes no step.
+        skip = F.when(F.col("start") == F.col("region_start"), 1).otherwise(0)
+        letters = F.upper(F.col("seq"))
+        at = F.length("seq") - F.instr(F.reverse(letters), "G") + 1
+        place = F.element_at(F.get("probs", (at - 1).cast("int")), int(m.emits[m.number["start2"]]) + 1)
+        return {"g": F.when(F.contains(letters, F.lit("G")) & (at > skip), place).cast("double")}
+
+    def beside(self, order: WindowSpec) -> dict[str, Column]:
+        return {"carried": F.last("g", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))}
+
+    def bytes_per_base(self) -> int:
+        return 2 * len(hmm.machine(self.min_intron).names) + 48
+
+    def _weight(self, row: dict) -> float:
+        with np.errstate(divide="ignore"):
+            return -np.inf if row["carried"] is None else float(hmm.start_weight(np.log(row["carried"])))
+
+    def table(self, row: dict) -> np.ndarray:
+        return hmm.transfer(row["probs"], row["seq"], self.min_intron, carried=self._weight(row), first=row["first"])
+
+    def paths(self, rows: list[dict], ends: list[int], entries: list[np.ndarray] | None) -> list[np.ndarray]:
+        within = {} if entries is None else {"entries": entries, "carried": [self._weight(r) for r in rows]}
+        return hmm.decode([r["probs"] for r in rows], [r["seq"] for r in rows], self.min_intron, ends=ends, **within)
+
+    def runs(self, row: dict, path: np.ndarray) -> list[Run]:
+        return hmm.runs_of(path, row["probs"], self.min_intron)
+
+    def gene(self, seq_id: str, strand: int, runs: list[Run]) -> list[tuple]:
+        gene = hmm.gene_of(runs, *self.filters)
+        return hmm.gene_rows(seq_id, strand, 0, gene) if gene else []
+
+
+class UntranslatedModel:
+    """The decoder of operators.hmm_utr over probabilities of classes, of changes and of places in the codon."""
+
+    tracks, schema, kinds = ("classes", "changes", "phases"), hmm_utr.PARTS, hmm_utr.PART_KINDS
+
+    def __init__(self, min_length: int = 60, min_score: float = 0.5, min_intron: int = 1, cut_codons: bool = False) -> None:
+        self.filters, self.machine = (min_length, min_score), (min_intron, cut_codons)
+
+    def own(self) -> dict[str, Column]:
+        return {"tail": F.right("seq", F.lit(2)), "head": F.left("seq", F.lit(1)), "leaving": F.slice(F.element_at("changes", -1), 1, 2).cast("array<double>")}
+
+    def beside(self, order: WindowSpec) -> dict[str, Column]:
+        none = F.lit("")
+        left = F.right(F.concat(F.coalesce(F.lag("tail", 2).over(order), none), F.coalesce(F.lag("tail").over(order), none)), F.lit(2))
+        return {"left": left, "right": F.coalesce(F.lead("head").over(order), none), "before": F.lag("leaving").over(order)}
+
+    def bytes_per_base(self) -> int:
+        return 2 * len(hmm_utr.machine(*self.machine).names) + 72
+
+    def _beside(self, row: dict) -> hmm_utr.Beside:
+        return hmm_utr.Beside(row["left"], row["right"], tuple(row["before"] or (1.0, 1.0)))
+
+    def table(self, row: dict) -> np.ndarray:
+        return hmm_utr.transfer(row["classes"], row["changes"], row["phases"], row["seq"], *self.machine, beside=self._beside(row), first=row["first"])
+
+    def paths(self, rows: list[dict], ends: list[int], entries: list[np.ndarray] | None) -> list[np.ndarray]:
+        columns = ([r[k] for r in rows] for k in (*self.tracks, "seq"))
+        return hmm_utr.decode(*columns, *self.machine, entries=entries, ends=ends, beside=[self._beside(r) for r in rows])
+
+    def runs(self, row: dict, path: np.ndarray) -> list[Run]:
+        return hmm_utr.runs_of(path, hmm_utr.coding_probabilities(row["classes"], row["phases"]), row["seq"], *self.machine)
+
+    def gene(self, seq_id: str, strand: int, runs: list[Run]) -> list[tuple]:
+        gene = hmm_utr.gene_of(runs, *self.filters)
+        return hmm_utr.part_rows(seq_id, strand, 0, gene) if gene else []
+
+
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The (max, +) product of two tables."""
     out = np.empty((a.shape[0], b.shape[1]))
@@ -108,45 +217,16 @@ def _given(pieces: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return pieces.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on)
 
 
-def _numbered(pieces: DataFrame) -> DataFrame:
-    """(KEYS, start, piece, last, carried) of pieces: a piece's number, whether it is its region's last, and the probability that the start codon's G before it had."""
-    state = hmm.machine().number["start2"]
-    column = int(hmm.machine().emits[state]) + 1
-    # The base at which a region begins takes no step.
-    skip = F.when(F.col("start") == F.col("region_start"), 1).otherwise(0)
-    at = F.length("seq") - F.instr(F.reverse(F.upper("seq")), "G") + 1
-    found = F.when(F.contains(F.upper("seq"), F.lit("G")) & (at > skip), F.element_at(F.get("probs", (at - 1).cast("int")), column)).cast("double")
-    order = W.partitionBy(*KEYS).orderBy("start")
-    rows = pieces.select(*KEYS, "start", found.alias("g"))
-    before = F.last("g", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    return rows.select(*KEYS, "start", (F.row_number().over(order) - 1).cast("long").alias("piece"), F.lead("start").over(order).isNull().alias("last"), before.alias("carried"))
-
-
-def _probabilities(column: pa.Array) -> list[np.ndarray]:
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    """The rows' arrays by base; those of a row have one length."""
     at, inner = column.offsets.to_numpy(), column.values.offsets.to_numpy()
     flat = column.values.values.to_numpy(zero_copy_only=False)
     return [flat[inner[a] : inner[b]].reshape(b - a, -1).astype(float) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _weight(carried: float | None) -> float:
-    with np.errstate(divide="ignore"):
-        return -np.inf if carried is None else float(hmm.start_weight(np.log(carried)))
-
-
-def _genes_of_path(path: np.ndarray, probabilities: np.ndarray, start: int, min_intron: int) -> Iterator[list[dict]]:
-    """Runs between intergenic ones, at their places in the contig."""
-    now: list[dict] = []
-    for kind, a, b, total in [*hmm.runs_of(path, probabilities, min_intron), (0, 0, 0, 0.0)]:
-        if kind:
-            now.append({"kind": kind, "start": start + a, "end": start + b, "total": total})
-        elif now:
-            yield now
-            now = []
-
-
-def joined(runs: list[dict]) -> list[hmm.Run]:
+def joined(runs: list[dict]) -> list[Run]:
     """A gene's runs in order, those of one kind that touch as one."""
-    out: list[hmm.Run] = []
+    out: list[Run] = []
     for r in runs:
         if out and out[-1][0] == r["kind"] and out[-1][2] + 1 == r["start"]:
             kind, a, _, total = out[-1]
@@ -171,64 +251,69 @@ def chained(genes: DataFrame) -> DataFrame:
     return whole.unionByName(parts.select(*KEYS, F.flatten(F.transform("parts", lambda p: p["runs"])).alias("runs")))
 
 
-def annotate_pieces(pieces: DataFrame, min_length: int = 60, min_score: float = 0.5, min_intron: int = 1, min_span: int = 200, budget: int = 32 << 20, fan: int = FAN) -> DataFrame:
-    """hmm.annotate_regions over regions in pieces (seq_id, strand, region_start, start, seq, probs), which follow each other without a gap.
+_PARTS = pa.schema([
+    ("seq_id", pa.string()), ("strand", pa.int8()), ("region_start", pa.int64()), ("left", pa.bool_()), ("right", pa.bool_()),
+    ("runs", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("total", pa.float64())]))),
+])
+
+
+def annotate_pieces(pieces: DataFrame, model: Model, budget: int = 32 << 20, fan: int = FAN) -> DataFrame:
+    """The rows of a model's genes over regions in pieces (seq_id string, strand, region_start, start, seq, the model's tracks), which follow each other without a gap.
 
     Positions are 0-based, strand-local, ends inclusive. pieces is read three
     times. Genes may begin in one piece and end in another.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in pieces.schema}
-    keys = ", ".join(f"{k} {kinds[k]}" for k in KEYS)
-    numbered = stored(_numbered(pieces))
-    wide = _given(pieces, numbered, [*KEYS, "start"]).select(*KEYS, "start", "piece", "last", "carried", "seq", "probs")
+    keys, narrow = "seq_id string, strand tinyint, region_start bigint", [*KEYS, "start"]
+    order = W.partitionBy(*KEYS).orderBy("start")
+    known = pieces.select(*narrow, *(c.alias(k) for k, c in model.own().items()))
+    beside = model.beside(order)
+    numbered = stored(known.select(*narrow, (F.row_number().over(order) - 1).cast("long").alias("piece"), F.lead("start").over(order).isNull().alias("last"), *(c.alias(k) for k, c in beside.items())))
+    small = [*narrow, "piece", "last", *beside]
+    wide = _given(pieces, numbered, narrow).select(*small, "seq", *model.tracks)
+
+    def rows_of(batch: pa.RecordBatch, more: tuple[str, ...] = ()) -> list[dict]:
+        rows = batch.select([*small, *more, "seq"]).to_pylist()
+        tracks = {k: _arrays(batch.column(k)) for k in model.tracks}
+        return [r | {"first": r["piece"] == 0} | {k: tracks[k][i] for k in tracks} for i, r in enumerate(rows)]
 
     def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                [p] = _probabilities(row.column("probs"))
-                table = hmm.transfer(p, row.column("seq")[0].as_py(), min_intron, carried=_weight(row.column("carried")[0].as_py()), first=row.column("piece")[0].as_py() == 0)
-                yield pa.RecordBatch.from_arrays([*(row.column(k) for k in (*KEYS, "piece")), pa.array([table.tobytes()])], names=[*KEYS, "piece", "table"])
+                yield pa.RecordBatch.from_arrays([*(row.column(k) for k in (*KEYS, "piece")), pa.array([model.table(rows_of(row)[0]).tobytes()])], names=[*KEYS, "piece", "table"])
 
     ends = stored(path_ends(stored(wide.mapInArrow(tabled, f"{keys}, piece bigint, table binary")), fan))
 
+    def found(row: dict, path: np.ndarray) -> Iterator[dict]:
+        """What stands between intergenic runs, at its place in the contig."""
+        now: list[dict] = []
+        for kind, a, b, total in [*model.runs(row, path), (0, 0, 0, 0.0)]:
+            if kind:
+                now.append({"kind": kind, "start": row["start"] + a, "end": row["start"] + b, "total": total})
+            elif now:
+                left, right = row["piece"] > 0 and now[0]["start"] == row["start"], not row["last"] and now[-1]["end"] == row["start"] + len(path) - 1
+                yield {k: row[k] for k in KEYS} | {"left": left, "right": right, "runs": now}
+                now = []
+
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states = len(hmm.machine(min_intron).names)
         for whole in batches:
             longest = max(map(len, whole.column("seq").to_pylist()), default=0)
-            many = max(1, budget // (2 * states * max(1, longest)))
+            many = max(1, budget // (model.bytes_per_base() * max(1, longest)))
             for begin in range(0, whole.num_rows, many):
-                batch = whole.slice(begin, many)
-                rows = batch.select([*KEYS, "start", "piece", "last", "carried", "seq", "entry", "leave"]).to_pylist()
-                p = _probabilities(batch.column("probs"))
-                out = []
-                for first in (True, False):
-                    own = [i for i, r in enumerate(rows) if (r["piece"] == 0) == first]
-                    within = {} if first else {"entries": [np.frombuffer(rows[i]["entry"], float) for i in own], "carried": [_weight(rows[i]["carried"]) for i in own]}
-                    paths = hmm.decode([p[i] for i in own], [rows[i]["seq"] for i in own], min_intron, ends=[rows[i]["leave"] for i in own], **within)
-                    for i, path in zip(own, paths, strict=True):
-                        r = rows[i]
-                        edge = r["start"] + len(path) - 1
-                        for runs in _genes_of_path(path, p[i], r["start"], min_intron):
-                            out.append({k: r[k] for k in KEYS} | {"left": r["piece"] > 0 and runs[0]["start"] == r["start"], "right": not r["last"] and runs[-1]["end"] == edge, "runs": runs})
-                yield pa.RecordBatch.from_pylist(out, batch_schema)
-
-    batch_schema = pa.schema([
-        ("seq_id", pa.string()), ("strand", pa.int8()), ("region_start", pa.int64()), ("left", pa.bool_()), ("right", pa.bool_()),
-        ("runs", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("total", pa.float64())]))),
-    ])
-    parts = stored(_given(wide, ends, [*KEYS, "piece"]).mapInArrow(decoded, f"{keys}, left boolean, right boolean, runs {_RUNS}"))
-    return chained(parts).mapInArrow(_finished(min_length, min_score, min_span), hmm.GENES)
+                rows, out = rows_of(whole.slice(begin, many), ("entry", "leave")), []
+                for own in ([r for r in rows if r["first"]], [r for r in rows if not r["first"]]):
+                    entries = None if own and own[0]["first"] else [np.frombuffer(r["entry"], float) for r in own]
+                    for row, path in zip(own, model.paths(own, [r["leave"] for r in own], entries), strict=True):
+                        out += found(row, path)
+                yield pa.RecordBatch.from_pylist(out, _PARTS)
 
+    parts = stored(_given(wide, ends, [*KEYS, "piece"]).mapInArrow(decoded, f"{keys}, left boolean, right boolean, runs {_RUNS}"))
 
-def _finished(min_length: int, min_score: float, min_span: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [field.split()[0] for field in model.schema.split(", ")]
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                gene = hmm.gene_of(joined(r["runs"]), min_length, min_score, min_span)
-                out += hmm.gene_rows(r["seq_id"], r["strand"], 0, gene) if gene else []
-            columns = zip(*out, strict=True) if out else [()] * len(hmm.GENE_KINDS)
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(columns, hmm.GENE_KINDS, strict=True)], names=["seq_id", "strand", "gene_start", "start", "end", "score", "cds_score"])
-
-    return finish
+            out = [row for r in batch.to_pylist() for row in model.gene(r["seq_id"], r["strand"], joined(r["runs"]))]
+            columns = zip(*out, strict=True) if out else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(columns, model.kinds, strict=True)], names=names)
+
+    return chained(parts).mapInArrow(finished, model.schema)

@@ -137,7 +137,7 @@ def decode(
     cds = hmm.annotate_regions(short, min_cds_length, score, min_intron)
     if not found.where(size > whole).isEmpty():
         parts = stored(parts_of(found.where(size > whole), held))
-        cds = cds.unionByName(spans.annotate_pieces(parts, min_cds_length, score, min_intron))
+        cds = cds.unionByName(spans.annotate_pieces(parts, spans.CodonModel(min_cds_length, score, min_intron)))
     # Decoding is dear too, and both the numbers and the rows come from it.
     cds = stored(cds)
     key = ["seq_id", "strand", "gene_start"]

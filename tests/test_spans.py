@@ -3,6 +3,7 @@ import pytest
 
 from strandloom.operators import hmm, spans
 
+from . import test_hmm_utr as older
 from .test_hmm import dense_viterbi, gene, random_case
 
 SCHEMA = "seq_id string, strand tinyint, region_start long, start long, seq string, probs array<array<double>>"
@@ -59,7 +60,7 @@ def test_genes_of_regions_in_pieces_equal_those_of_whole_regions(spark, size, fa
     whole = [r for r in regions() if r[0]] if size > 1 else [(a, b, c, s[:600], p[:600]) for a, b, c, s, p in regions()[:1]]
     wanted = hmm.annotate_regions(spark.createDataFrame(whole, "seq_id string, strand tinyint, region_start long, seq string, probs array<array<double>>")).collect()
     cut = [(i, s, at, at + k, seq[k : k + size], p[k : k + size]) for i, s, at, seq, p in whole for k in range(0, len(seq), size)]
-    got = spans.annotate_pieces(spark.createDataFrame(cut, SCHEMA).repartition(5), fan=fan).collect()
+    got = spans.annotate_pieces(spark.createDataFrame(cut, SCHEMA).repartition(5), spans.CodonModel(), fan=fan).collect()
 
     def plain(rows):
         return sorted((*r[:5], round(r["score"], 9), round(r["cds_score"], 9)) for r in rows)
@@ -67,5 +68,39 @@ def test_genes_of_regions_in_pieces_equal_those_of_whole_regions(spark, size, fa
     assert plain(got) == plain(wanted) and (len(wanted) > 20 or size == 1)
 
 
+@pytest.mark.parametrize("cut_codons", [False, True])
+def test_two_pieces_of_the_older_model_give_the_same_path_at_every_cut(cut_codons):
+    for seed, letters in enumerate(("ACGT", "AGT", "ACGTNa")):
+        seq, classes, changes, phases = older.random_case(50, seed, letters)
+        wanted = older.hmm.decode([classes], [changes], [phases], [seq], 2, cut_codons)[0]
+        for cut in range(1, len(seq)):
+            beside = older.hmm.Beside(seq[max(0, cut - 2) : cut], "", tuple(changes[cut - 1]))
+            scores = older.hmm.transfer(classes[:cut], changes[:cut], phases[:cut], seq[:cut], 2, cut_codons, older.hmm.Beside(right=seq[cut]), first=True)[0]
+            behind = older.hmm.transfer(classes[cut:], changes[cut:], phases[cut:], seq[cut:], 2, cut_codons, beside)
+            end = int((scores + behind[:, 0]).argmax())
+            left = older.hmm.decode([classes[:cut]], [changes[:cut]], [phases[:cut]], [seq[:cut]], 2, cut_codons, ends=[end], beside=[older.hmm.Beside(right=seq[cut])])[0]
+            right = older.hmm.decode([classes[cut:]], [changes[cut:]], [phases[cut:]], [seq[cut:]], 2, cut_codons, [scores], [0], [beside])[0]
+            assert list(left) + list(right) == list(wanted)
+
+
+@pytest.mark.parametrize("size", [1, 7, 40, 4000])
+def test_genes_of_the_older_model_in_pieces_equal_those_of_whole_regions(spark, size):
+    whole = []
+    for r in range(1 if size == 1 else 3):
+        parts = [older.gene(s, at)[:4] for s, at in ((("GT", "AG"), 15 + r), (("AT", "AC"), 17), (("GC", "AG"), 16))][: 1 if size == 1 else 3]
+        seq = "".join(p[0] for p in parts)
+        whole.append((f"c{r}", -1 if r else 1, 50 * r, seq if r else seq[:30].lower() + seq[30:], *(np.concatenate([p[k] for p in parts]).tolist() for k in (1, 2, 3))))
+    tracks = "seq string, classes array<array<double>>, changes array<array<double>>, phases array<array<double>>"
+    wanted = older.hmm.annotate_regions(spark.createDataFrame(whole, f"seq_id string, strand tinyint, region_start long, {tracks}"), 30, 0.2).collect()
+    cut = [(i, s, at, at + k, seq[k : k + size], *(x[k : k + size] for x in xs)) for i, s, at, seq, *xs in whole for k in range(0, len(seq), size)]
+    pieces = spark.createDataFrame(cut, f"seq_id string, strand tinyint, region_start long, start long, {tracks}").repartition(5)
+    got = spans.annotate_pieces(pieces, spans.UntranslatedModel(30, 0.2), fan=5).collect()
+
+    def plain(rows):
+        return sorted((*r[:6], round(r["score"] or 0, 9), round(r["cds_score"], 9)) for r in rows)
+
+    assert plain(got) == plain(wanted) and len(wanted) >= 5
+
+
 def test_no_pieces_give_no_genes(spark):
-    assert spans.annotate_pieces(spark.createDataFrame([], SCHEMA)).collect() == []
+    assert spans.annotate_pieces(spark.createDataFrame([], SCHEMA), spans.CodonModel()).collect() == []
