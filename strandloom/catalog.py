@@ -9,7 +9,7 @@ from strandloom.functions import sequence as S
 from strandloom.operators import experts, genes, labels, metrics, packing, regions, runs, tiling
 from strandloom.plans import annotate as plan
 from strandloom.plans import samples
-from strandloom.plans.scoring import CompositionScorer
+from strandloom.plans.scoring import CompositionScorer, CompositionTracks
 from strandloom.plans.views import CONTIG_LENGTH, CONTIGS_SQL, DNA_SQL, FEATURES_SQL, MODEL_SQL, SERIES_SQL, dna, features, probability_chunks, series, table
 from strandloom.plans.views import model_rows as samples_view
 from strandloom.session import stored
@@ -324,6 +324,40 @@ def q_contig_outer(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("seq_id", F.col("strand").cast("int").alias("strand")).agg(F.count("s_suppkey").alias("n"))
 
 
+_UTR_PARTS = f"""{_FEATURES},
+    moved AS (SELECT gene_id, seq_id, strand, start_pos + gene_id * 1000000 AS s, end_pos + gene_id * 1000000 AS e, score, kind FROM features),
+    coding AS (SELECT *, s + gene_id % 3 AS c FROM moved WHERE kind <> 'N'),
+    firsts AS (SELECT gene_id, seq_id, strand, min(c) AS first_cds, count(*) * 0.125::DOUBLE AS cds_score FROM coding GROUP BY ALL),
+    numbers AS (SELECT *, row_number() OVER (PARTITION BY seq_id ORDER BY strand DESC, CASE WHEN strand = -1 THEN -first_cds ELSE first_cds END) AS gene_no, seq_id || '-g' || row_number() OVER (PARTITION BY seq_id ORDER BY strand DESC, CASE WHEN strand = -1 THEN -first_cds ELSE first_cds END) AS gid FROM firsts),
+    spans AS (
+        SELECT gene_id, 2 AS rank, 'exon' AS type, row_number() OVER (PARTITION BY gene_id ORDER BY s) AS part, s, e, '.' AS score, '.' AS phase FROM moved
+        UNION ALL SELECT gene_id, 3, 'CDS', row_number() OVER w, c, e, printf('%.2f', score), CASE coalesce(sum(e - c + 1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 3 WHEN 0 THEN '0' WHEN 1 THEN '2' ELSE '1' END
+        FROM coding WINDOW w AS (PARTITION BY gene_id ORDER BY c)),
+    placed AS (SELECT n.*, rank, type, part, score, phase, CASE WHEN strand = -1 THEN 10000000000000 - e ELSE s + 1 END AS a, CASE WHEN strand = -1 THEN 10000000000000 - s ELSE e + 1 END AS b FROM spans JOIN numbers n USING (gene_id)),
+    lines AS (
+        SELECT seq_id, gene_no, strand, rank, part, type, a, b, score, phase, 'ID=' || gid || '.t1.' || type || '.' || part || ';Parent=' || gid || '.t1' AS attributes FROM placed
+        UNION ALL SELECT seq_id, gene_no, strand, unnest([0, 1]), 0, unnest(['gene', 'transcript']), min(a), max(b), '.', '.', unnest(['ID=' || gid, 'ID=' || gid || '.t1;Parent=' || gid]) FROM placed WHERE rank = 2 GROUP BY seq_id, gene_no, strand, gid)"""
+
+
+@query(f"""
+    WITH {_UTR_PARTS}
+    SELECT seq_id AS seq_ord, gene_no, rank, part, concat_ws(chr(9), seq_id::VARCHAR, 'strandloom', type, a::VARCHAR, b::VARCHAR, score, CASE WHEN strand = -1 THEN '-' ELSE '+' END, phase, attributes) AS value FROM lines
+    UNION ALL SELECT seq_id, gene_no, -1, unnest([0, 1, 2]), unnest(['# Start gene g' || gene_no, '# The CDS score is ' || cds_score::VARCHAR, '# The intron score is 0']) FROM numbers
+    UNION ALL SELECT seq_id, gene_no, 9, unnest([0, 1]), unnest(['# End gene g' || gene_no, '###']) FROM numbers""")
+def q_annotate_utr_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of genes with untranslated exons, and their comments, from exons and coding runs as the older decoder gives them."""
+    far = F.col("gene_id") * 1_000_000
+    moved = features(spark, d).withColumns({"start": F.col("start") + far, "end": F.col("end") + far})
+    coding = moved.where("kind <> 'N'").withColumn("start", F.col("start") + F.col("gene_id") % 3)
+    firsts = coding.groupBy("gene_id").agg(F.min("start").alias("gene_start"), (F.count("*") * 0.125).alias("cds_score"))
+    both = moved.withColumns({"type": F.lit("exon"), "score": F.lit(None).cast("double")}).unionByName(coding.withColumn("type", F.lit("CDS")))
+    parts = both.join(firsts, "gene_id").select(F.col("seq_id").cast("string").alias("seq_id"), F.col("strand").cast("byte").alias("strand"), "gene_start", "type", "start", "end", "score", "cds_score")
+    contigs = moved.select(F.col("seq_id").cast("string").alias("seq_id"), F.col("seq_id").cast("int").alias("seq_ord"), F.lit(10_000_000_000_000).alias("length")).distinct()
+    lines = gff.file_lines(plan.untranslated_rows(stored(parts), contigs), contigs, intron_score=True).where("kind = 1")
+    number = F.when(F.col("rank").isin(-1, 9), F.col("step")).otherwise(F.col("part"))
+    return lines.select(*(F.col(c).cast("long").alias(c) for c in ("seq_ord", "gene_no", "rank")), number.cast("long").alias("part"), "value")
+
+
 # GFF
 
 _GFF_LINES = """
@@ -780,6 +814,17 @@ def q_annotate(spark: SparkSession, d: str) -> DataFrame:
     return plan.annotate(_genome(spark, d), CompositionScorer(), 512, 128, min_cds_score=0.3, min_cds_length=30)
 
 
+@query()
+def q_annotate_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """q_annotate with every region decoded in the pieces that it overlaps."""
+    return plan.annotate(_genome(spark, d), CompositionScorer(), 512, 128, min_cds_score=0.3, min_cds_length=30, whole=0)
+
+
+@query()
+def q_annotate_utr(spark: SparkSession, d: str) -> DataFrame:
+    return plan.annotate_tracks(_genome(spark, d), CompositionTracks(), "Fungi", 512, 128, min_cds_score=0.2, min_cds_length=12)
+
+
 # Storage
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+#: States of untranslated bases before and behind the coding ones, by this library's names and by their usual ones.
+UNTRANSLATED = ("before", "behind", "five_UTR", "three_UTR")
 #: Least coding score by lineage where none is given.
 LINEAGE_SCORES = {"Mammalia": 0.7}
 LINEAGE_DEFAULT = 0.65
@@ -16,10 +18,6 @@ def phase_probability(phase: Column, p1: Column, p2: Column, p3: Column) -> Colu
     return F.when(phase == 0, p1).when(phase == 2, p3).when(phase == 1, p2)
 
 
-def blended_phase(phase_p: Column, coding_p: Column) -> Column:
-    return 0.5 * phase_p + 0.5 * coding_p
-
-
 def unmasked(base: Column, p: Column, coefficient: float = 0.0) -> Column:
     """p, times the coefficient for soft-masked (lower-case) bases."""
     return F.when(base.rlike("^[a-z]$"), p * coefficient).otherwise(p)
@@ -89,20 +87,23 @@ def with_all_contigs(contigs: DataFrame, genes: DataFrame, contig: str = "seq_id
     return strands.join(genes, [contig, "strand"], "left")
 
 
-def gff_rows(cds: DataFrame, source: str = "strandloom") -> DataFrame:
+def gff_rows(cds: DataFrame, source: str = "strandloom", exons: DataFrame | None = None) -> DataFrame:
     """Feature rows of genes, transcripts, exons and coding runs, in file order.
 
     cds has seq_id, seq_ord, length, strand, gene_no, start, end (strand-local,
     0-based, inclusive), part, phase, score and cds_score. Coding runs alone
     have a score in their line, with two digits; every row carries the gene's
-    cds_score for the comments around it.
+    cds_score for the comments around it. Without exons (the same columns but
+    phase and score) coding runs are the exons; a gene reaches from its first to
+    its last exon.
     """
     start, end = to_forward(F.col("start"), F.col("end"), F.col("length"), F.col("strand"))
     rows = cds.select("seq_id", "seq_ord", "gene_no", "strand", "part", "phase", "score", "cds_score", start.alias("start"), end.alias("end"))
+    spans = rows if exons is None else exons.select("seq_id", "seq_ord", "gene_no", "strand", "part", "cds_score", start.alias("start"), end.alias("end"))
     gene = F.concat("seq_id", F.lit("-g"), F.col("gene_no").cast("string"))
     transcript = F.concat(gene, F.lit(".t1"))
     keys = ["seq_id", "seq_ord", "gene_no", "strand"]
-    whole = rows.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("cds_score").alias("cds_score"))
+    whole = spans.groupBy(*keys).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("cds_score").alias("cds_score"))
     whole = whole.withColumn("part", F.lit(0))
 
     def line(frame: DataFrame, kind: str, rank: int, attributes: Column, score: Column | None = None, phase: Column | None = None) -> DataFrame:
@@ -121,13 +122,13 @@ def gff_rows(cds: DataFrame, source: str = "strandloom") -> DataFrame:
     return (
         line(whole, "gene", 0, named(gene, None))
         .unionByName(line(whole, "transcript", 1, named(transcript, gene)))
-        .unionByName(line(rows, "exon", 2, named(F.concat(transcript, F.lit(".exon."), part), transcript)))
+        .unionByName(line(spans, "exon", 2, named(F.concat(transcript, F.lit(".exon."), part), transcript)))
         .unionByName(line(rows, "CDS", 3, named(F.concat(transcript, F.lit(".CDS."), part), transcript), two_digits, F.col("phase").cast("string")))
     )
 
 
 def state_class(state: Column, untranslated: bool = False) -> Column:
-    """A decoding state's name as 0 intergenic, 1 coding, 2 intron; with untranslated states 0, 1 untranslated, 2 coding, 3 intron."""
+    """A decoding state's name as 0 intergenic, 1 coding, 2 intron; of the older model 0, 1 untranslated, 2 coding, 3 intron."""
     coding = F.lit(2 if untranslated else 1)
     out = F.when(state == "intergenic", 0).when(state.contains("."), 3 if untranslated else 2)
-    return (out.when(state.endswith("_UTR"), 1) if untranslated else out).otherwise(coding)
+    return (out.when(state.isin(*UNTRANSLATED), 1) if untranslated else out).otherwise(coding)

@@ -45,8 +45,3 @@ def kept_range(window: int) -> tuple[Column, Column]:
     shift = F.when(F.col("strand") == -1, extra).otherwise(F.lit(0))
     low = F.col("win_idx") * window - shift
     return F.greatest(low, F.lit(0)).cast("long"), (F.least(low + window, F.col("length")) - 1).cast("long")
-
-
-def core(values: Column, window: int, flank: int) -> Column:
-    """A scored window's values without those of the flanks."""
-    return F.slice(values, flank + 1, window)

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from strandloom.operators import genes, hmm, packing, regions, spans, tiling
-from strandloom.plans.scoring import Scorer, scored
+from strandloom.operators import genes, hmm, hmm_utr, packing, regions, spans, tiling
+from strandloom.plans.scoring import Scorer, TrackScorer, scored
 from strandloom.session import stored
 from strandloom.sources.fasta_ranges import PIECE, windows_of_pieces
 from strandloom.sources.gff import write_gff
@@ -59,21 +60,23 @@ def checked(found: DataFrame, contigs: DataFrame) -> DataFrame:
     return rows.withColumn("seq_ord", F.when(F.col("__known"), F.col("seq_ord")).otherwise(F.raise_error(message).cast("int"))).drop("__known")
 
 
-def _bins(pieces: DataFrame, most: float) -> DataFrame:
+def _bins(pieces: DataFrame, most: float, track: str = "probs") -> DataFrame:
     """Bin means of pieces that may begin anywhere: a part of a bin each, summed over pieces.
 
-    The genic probability is the sum of classes 1 to 4, which need not be one less that of class 0.
+    The genic probability is the sum of all classes but 0, however many there
+    are, which need not be one less that of class 0.
     """
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
-            flat, at = lists.values.values.to_numpy(zero_copy_only=False).reshape(-1, 5), lists.offsets.to_numpy()
+            inner, at = lists.values.offsets.to_numpy(), lists.offsets.to_numpy()
+            if at[0] == at[-1]:
+                continue
+            flat = lists.values.values.to_numpy(zero_copy_only=False).reshape(-1, inner[1] - inner[0])
             genic = flat[:, 1:].sum(1, dtype=float)
             piece = np.repeat(np.arange(batch.num_rows), np.diff(at))
             place = batch.column(2).to_numpy()[piece] + np.arange(at[0], at[-1]) - at[piece]
-            if not len(place):
-                continue
             number = place // regions.BIN
             first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (piece[1:] != piece[:-1])]))
             own = pa.array(piece[first])
@@ -81,37 +84,41 @@ def _bins(pieces: DataFrame, most: float) -> DataFrame:
             sums = [pa.array(number[first]), pa.array(np.add.reduceat(genic, first)), pa.array(np.diff(np.append(first, len(place)))), pa.array(np.add.reduceat((genic > most).astype(np.int64), first))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *sums], names=["seq_id", "strand", "bin", "total", "n", "high"])
 
-    rows = pieces.select("seq_id", "strand", "start", "probs").mapInArrow(parts, f"seq_id {dict(pieces.dtypes)['seq_id']}, strand tinyint, bin long, total double, n long, high long")
+    rows = pieces.select("seq_id", "strand", "start", track).mapInArrow(parts, f"seq_id {dict(pieces.dtypes)['seq_id']}, strand tinyint, bin long, total double, n long, high long")
     return rows.groupBy("seq_id", "strand", "bin").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("high").alias("n_high"))
 
 
-def found_regions(pieces: DataFrame, average: float = 0.1, most: float = 0.5) -> DataFrame:
+def found_regions(pieces: DataFrame, average: float = 0.1, most: float = 0.5, track: str = "probs") -> DataFrame:
     """(seq_id, strand, region_start, region_end, is_open) of scored pieces."""
     lengths = pieces.where("start = 0").select("seq_id", "strand", "length")
-    return regions.candidate_regions(_bins(pieces, most), lengths, ["seq_id", "strand"], average)
+    return regions.candidate_regions(_bins(pieces, most, track), lengths, ["seq_id", "strand"], average)
 
 
-def parts_of(found: DataFrame, pieces: DataFrame) -> DataFrame:
-    """(seq_id, strand, region_start, region_end, start, seq, probs): what scored pieces have of the regions that they overlap."""
+def parts_of(found: DataFrame, pieces: DataFrame, tracks: tuple[str, ...] = ("probs",)) -> DataFrame:
+    """(seq_id, strand, region_start, region_end, start, seq, tracks): what scored pieces have of the regions that they overlap."""
 
     def blocks(low, high):
         return F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK)))
 
     asks = found.withColumn("block", blocks(F.col("region_start"), F.col("region_end") - 1))
-    held = pieces.withColumn("piece_end", F.col("start") + F.size("probs")).withColumn("block", blocks(F.col("start"), F.col("start") + F.size("probs") - 1))
+    held = pieces.withColumn("piece_end", F.col("start") + F.size(tracks[0])).withColumn("block", blocks(F.col("start"), F.col("start") + F.size(tracks[0]) - 1))
     met = asks.join(held, ["seq_id", "strand", "block"]).where("start < region_end and piece_end > region_start")
     # A pair meets in every block that both are in; only the first counts.
     met = met.where(F.col("block") == F.greatest(F.floor(F.col("start") / BLOCK), F.floor(F.col("region_start") / BLOCK)))
     low, high = F.greatest("start", "region_start"), F.least("piece_end", "region_end")
     at, n = (low - F.col("start") + 1).cast("int"), (high - low).cast("int")
-    return met.select("seq_id", "strand", "region_start", "region_end", low.alias("start"), F.substring(F.col("seq"), at, n).alias("seq"), F.slice("probs", at, n).alias("probs"))
+    return met.select("seq_id", "strand", "region_start", "region_end", low.alias("start"), F.substring(F.col("seq"), at, n).alias("seq"), *(F.slice(t, at, n).alias(t) for t in tracks))
 
 
-def whole_regions(parts: DataFrame) -> DataFrame:
-    """Regions with their sequence and probabilities, their parts put together."""
-    part = F.struct("start", "seq", "probs")
+def whole_regions(parts: DataFrame, tracks: tuple[str, ...] = ("probs",)) -> DataFrame:
+    """Regions with their sequence and tracks, their parts put together."""
+    part = F.struct("start", "seq", *tracks)
     whole = parts.groupBy("seq_id", "strand", "region_start", "region_end").agg(F.array_sort(F.collect_list(part), lambda a, b: F.when(a["start"] < b["start"], -1).otherwise(1)).alias("parts"))
-    return whole.select("seq_id", "strand", "region_start", "region_end", F.array_join(F.transform("parts", lambda p: p["seq"]), "").alias("seq"), F.flatten(F.transform("parts", lambda p: p["probs"])).alias("probs"))
+
+    def each(name: str) -> Column:
+        return F.transform("parts", lambda p: p[name])
+
+    return whole.select("seq_id", "strand", "region_start", "region_end", F.array_join(each("seq"), "").alias("seq"), *(F.flatten(each(t)).alias(t) for t in tracks))
 
 
 def candidates(pieces: DataFrame, average: float = 0.1, most: float = 0.5) -> DataFrame:
@@ -130,20 +137,68 @@ def decode(
     given, is the lineage's, and without a lineage LEAST_SCORE.
     """
     score = genes.least_score(min_cds_score, lineage) if lineage else LEAST_SCORE if min_cds_score is None else min_cds_score
-    found = stored(found_regions(pieces, average, most).withColumn("seq_id", F.col("seq_id").cast("string")))
+    model = spans.CodonModel(min_cds_length, score, min_intron)
+    found = found_regions(pieces, average, most)
+    cds = _decoded(found, pieces, model, lambda short: hmm.annotate_regions(short, min_cds_length, score, min_intron), whole)
+    return genes.gff_rows(checked(_placed(genes.cds_phases(cds, GENE), _numbers(cds)), contigs))
+
+
+GENE = ["seq_id", "strand", "gene_start"]
+
+
+def _decoded(found: DataFrame, pieces: DataFrame, model: spans.Model, at_once: Callable[[DataFrame], DataFrame], whole: int) -> DataFrame:
+    """The model's rows of the regions found: of short ones by at_once, of longer ones in pieces. Stored, as decoding is dear and read more than once."""
+    found = stored(found.withColumn("seq_id", F.col("seq_id").cast("string")))
     held = pieces.withColumn("seq_id", F.col("seq_id").cast("string"))
     size = F.col("region_end") - F.col("region_start")
-    short = whole_regions(parts_of(found.where(size <= whole), held)).repartition("seq_id", "strand", "region_start")
-    cds = hmm.annotate_regions(short, min_cds_length, score, min_intron)
+    rows = at_once(whole_regions(parts_of(found.where(size <= whole), held, model.tracks), model.tracks).repartition("seq_id", "strand", "region_start"))
     if not found.where(size > whole).isEmpty():
-        parts = stored(parts_of(found.where(size > whole), held))
-        cds = cds.unionByName(spans.annotate_pieces(parts, spans.CodonModel(min_cds_length, score, min_intron)))
-    # Decoding is dear too, and both the numbers and the rows come from it.
-    cds = stored(cds)
-    key = ["seq_id", "strand", "gene_start"]
-    cds = genes.cds_phases(cds, key)
-    numbers = genes.numbered(cds.select(*key).distinct().withColumnRenamed("gene_start", "first_cds")).withColumnRenamed("first_cds", "gene_start")
-    return genes.gff_rows(checked(cds.join(numbers, key), contigs))
+        rows = rows.unionByName(spans.annotate_pieces(stored(parts_of(found.where(size > whole), held, model.tracks)), model))
+    return stored(rows)
+
+
+def _numbers(rows: DataFrame) -> DataFrame:
+    """(GENE, gene_no): genes by their first coding base within their contig."""
+    return genes.numbered(rows.select(*GENE).distinct().withColumnRenamed("gene_start", "first_cds")).withColumnRenamed("first_cds", "gene_start")
+
+
+def _placed(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    return rows.join(numbers, GENE)
+
+
+#: The older model's tracks.
+TRACKS = spans.UntranslatedModel.tracks
+
+
+def predict_tracks(genome: DataFrame, scorer: TrackScorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE) -> DataFrame:
+    """predict, for a scorer of the older model's tracks."""
+    cut = windows_of_pieces(genome, window, flank, piece) if "start" in genome.columns else tiling.windows(genome, window, flank)
+    return scored(tiling.both_strands(cut, window), scorer, window, flank, tracks=TRACKS)
+
+
+def decode_tracks(
+    pieces: DataFrame, contigs: DataFrame, lineage: str, average: float = 0.1, most: float = 0.5, min_cds_length: int = 60, min_cds_score: float | None = None, min_intron: int = 1,
+    cut_codons: bool = False, whole: int = WHOLE,
+) -> DataFrame:
+    """decode, by the older model: genes reach over their untranslated regions, exons have lines of their own. Write them with intron_score."""
+    score = genes.least_score(min_cds_score, lineage)
+    model = spans.UntranslatedModel(min_cds_length, score, min_intron, cut_codons)
+    found = found_regions(pieces, average, most, TRACKS[0])
+    parts = _decoded(found, pieces, model, lambda short: hmm_utr.annotate_regions(short, min_cds_length, score, min_intron, cut_codons), whole)
+    return untranslated_rows(parts, contigs)
+
+
+def untranslated_rows(parts: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Feature rows of genes given as exons and coding runs (hmm_utr.PARTS)."""
+    numbers = _numbers(parts)
+    cds = genes.cds_phases(parts.where("type = 'CDS'"), GENE)
+    exons = parts.where("type = 'exon'").withColumn("part", F.row_number().over(W.partitionBy(*GENE).orderBy("start")))
+    return genes.gff_rows(checked(_placed(cds, numbers), contigs), exons=checked(_placed(exons, numbers), contigs))
+
+
+def annotate_tracks(genome: DataFrame, scorer: TrackScorer, lineage: str, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE, **thresholds: float | None) -> DataFrame:
+    """annotate, by the older model."""
+    return decode_tracks(stored(predict_tracks(genome, scorer, window, flank, piece)), contigs_of(genome), lineage, **thresholds)
 
 
 def annotate(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE, **thresholds: float | str | None) -> DataFrame:

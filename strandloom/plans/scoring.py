@@ -19,6 +19,27 @@ class Scorer(Protocol):
     def score(self, windows: list[str]) -> np.ndarray: ...
 
 
+class TrackScorer(Protocol):
+    """Given windows as a Scorer gets them, the older model's tracks: four classes, the chances to stay and to change behind a base, and places in a codon."""
+
+    def score(self, windows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]: ...
+
+
+class CompositionTracks:
+    """A deterministic stand-in for the older model: CompositionScorer's classes, half of what is intergenic near a gene as untranslated, changes where classes do."""
+
+    def __init__(self, reach: int = 45) -> None:
+        self.inner = CompositionScorer(reach)
+
+    def score(self, windows: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p = self.inner.score(windows)
+        beside = np.minimum(p[:, :, 0], 1 - p[:, :, 0])
+        classes = np.stack([p[:, :, 0] - beside / 2, beside / 2, p[:, :, 1:4].sum(2), p[:, :, 4]], 2)
+        turn = np.minimum(np.abs(np.diff(p[:, :, 0], axis=1, append=p[:, -1:, 0])) + beside / 10 + 0.01, 0.5)
+        places = np.concatenate([p[:, :, 1:4], p[:, :, :1] + p[:, :, 4:]], 2)
+        return classes, np.stack([1 - turn, turn], 2), places
+
+
 class CompositionScorer:
     """A deterministic scorer for tests and benches: bases in GC-rich stretches are coding, with phases by turns of three."""
 
@@ -59,24 +80,34 @@ class DenseScorer:
         return powers / powers.sum(2, keepdims=True)
 
 
-def scored(tiles: DataFrame, scorer: Scorer, window: int, flank: int, batch: int = 32) -> DataFrame:
-    """(seq_id, strand, length, start, seq, probs): the contig's own bases of each window on its strand, flanks and padding cut off."""
+def _nested(values: list[np.ndarray]) -> pa.Array:
+    """Matrices as a list of lists each."""
+    flat, width = np.concatenate([v.ravel() for v in values]), values[0].shape[1]
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(v) for v in values)]), pa.int32()), inner)
+
+
+def scored(tiles: DataFrame, scorer: Scorer | TrackScorer, window: int, flank: int, batch: int = 32, tracks: tuple[str, ...] = ("probs",)) -> DataFrame:
+    """(seq_id, strand, length, start, seq, tracks): the contig's own bases of each window on its strand, flanks and padding cut off.
+
+    A scorer of several tracks gives an array for each.
+    """
     low, high = kept_range(window)
     extra = F.ceil(F.col("length") / window) * window - F.col("length")
     skip = F.when((F.col("strand") == -1) & (F.col("win_idx") == 0), extra).otherwise(0)
     rows = tiles.select("seq_id", "strand", "length", low.alias("start"), (high - low + 1).alias("n"), (skip + flank).cast("long").alias("skip"), "seq")
+    kept = ("seq_id", "strand", "length", "start")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, batch):
                 part = whole.slice(at, batch)
                 seqs = part.column("seq").to_pylist()
-                p = scorer.score(seqs).astype(np.float32)
+                found = scorer.score(seqs)
+                found = [p.astype(np.float32) for p in (found if isinstance(found, tuple) else (found,))]
                 cut = [(int(s), int(s) + int(n)) for s, n in zip(part.column("skip").to_pylist(), part.column("n").to_pylist(), strict=True)]
-                flat = np.concatenate([p[i, a:b].ravel() for i, (a, b) in enumerate(cut)])
-                inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, 5), pa.int32()), pa.array(flat))
-                outer = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(b - a for a, b in cut)]), pa.int32()), inner)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("seq_id", "strand", "length", "start")), pa.array([s[a:b] for s, (a, b) in zip(seqs, cut, strict=True)]), outer], names=["seq_id", "strand", "length", "start", "seq", "probs"])
+                columns = [_nested([p[i, a:b] for i, (a, b) in enumerate(cut)]) for p in found]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([s[a:b] for s, (a, b) in zip(seqs, cut, strict=True)]), *columns], names=[*kept, "seq", *tracks])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(work, f"seq_id {kinds['seq_id']}, strand tinyint, length long, start long, seq string, probs array<array<float>>")
+    return rows.mapInArrow(work, f"seq_id {kinds['seq_id']}, strand tinyint, length long, start long, seq string, " + ", ".join(f"{t} array<array<float>>" for t in tracks))

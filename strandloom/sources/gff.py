@@ -91,10 +91,11 @@ def to_lines(rows: DataFrame) -> DataFrame:
 ORDER = ("seq_ord", "side", "kind", "gene_no", "rank", "part", "step")
 
 
-def file_lines(rows: DataFrame, contigs: DataFrame) -> DataFrame:
+def file_lines(rows: DataFrame, contigs: DataFrame, intron_score: bool = False) -> DataFrame:
     """(ORDER, value): rows of operators.genes.gff_rows as the lines of a file, with the comments around genes, strands and contigs.
 
-    Each contig and strand has a heading, and a note where it has no gene.
+    Each contig and strand has a heading, and a note where it has no gene. The
+    older model's files note an intron score for each gene, which it leaves at 0.
     """
     side = F.when(F.col("strand") == "-", 1).otherwise(0).alias("side")
 
@@ -103,7 +104,8 @@ def file_lines(rows: DataFrame, contigs: DataFrame) -> DataFrame:
 
     body = to_lines(rows).select("seq_ord", side, "gene_no", F.lit(1).alias("kind"), "rank", "part", F.lit(0).alias("step"), "value")
     each = rows.where("rank = 0").select("seq_ord", side, F.col("gene_no"), F.concat(F.lit("g"), F.col("gene_no").cast("string")).alias("g"), F.col("cds_score").cast("string").alias("score"))
-    notes = ((-1, 0, F.concat(F.lit("# Start gene "), "g")), (-1, 1, F.concat(F.lit("# The CDS score is "), "score")), (9, 0, F.concat(F.lit("# End gene "), "g")), (9, 1, F.lit("###")))
+    notes = [(-1, 0, F.concat(F.lit("# Start gene "), "g")), (-1, 1, F.concat(F.lit("# The CDS score is "), "score")), (9, 0, F.concat(F.lit("# End gene "), "g")), (9, 1, F.lit("###"))]
+    notes += [(-1, 2, F.lit("# The intron score is 0"))] if intron_score else []
     for rank, step, text in notes:
         body = body.unionByName(each.select("seq_ord", "side", "gene_no", *at(1, rank, step), text.alias("value")))
 
@@ -121,7 +123,7 @@ def file_lines(rows: DataFrame, contigs: DataFrame) -> DataFrame:
     return heads.unionByName(body).select(*ORDER, "value")
 
 
-def write_gff(rows: DataFrame, contigs: DataFrame, path: str) -> None:
+def write_gff(rows: DataFrame, contigs: DataFrame, path: str, intron_score: bool = False) -> None:
     """file_lines as text under a version line; range partitioning on the sort key keeps the order over many part files."""
     first = contigs.sparkSession.range(1).select(*(F.lit(-1).alias(c) for c in ORDER), F.lit("##gff-version 3").alias("value"))
-    first.unionByName(file_lines(rows, contigs)).orderBy(*ORDER).select("value").write.text(path)
+    first.unionByName(file_lines(rows, contigs, intron_score)).orderBy(*ORDER).select("value").write.text(path)

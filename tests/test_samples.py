@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators import genes, hmm
+from strandloom.operators import genes, hmm, hmm_utr
 from strandloom.plans import annotate as plan
 from strandloom.plans import samples
 from strandloom.plans.scoring import CompositionScorer
@@ -115,9 +115,7 @@ def test_bins_sum_the_genic_classes_over_pieces(spark):
 
 
 def test_states_fall_into_three_or_four_classes(spark):
-    names = [*hmm.machine(2).names, "five_UTR", "three_UTR"]
-    rows = spark.createDataFrame([(n,) for n in names], "state string")
-    three = {r["state"]: r["c"] for r in rows.select("state", genes.state_class(F.col("state")).alias("c")).collect()}
-    assert [three[n] for n in hmm.machine(2).names] == hmm.machine(2).kind.tolist()
-    four = {r["state"]: r["c"] for r in rows.select("state", genes.state_class(F.col("state"), True).alias("c")).collect()}
-    assert (four["intergenic"], four["five_UTR"], four["three_UTR"], four["CDS0"]) == (0, 1, 1, 2) and four[next(n for n in names if "." in n)] == 3
+    for machine, untranslated in ((hmm.machine(2), False), (hmm_utr.machine(2, True), True)):
+        rows = spark.createDataFrame([(n,) for n in machine.names], "state string")
+        got = {r["state"]: r["c"] for r in rows.select("state", genes.state_class(F.col("state"), untranslated).alias("c")).collect()}
+        assert [got[n] for n in machine.names] == machine.kind.tolist()

@@ -8,6 +8,7 @@ from strandloom.sources import fasta, fasta_ranges, gff
 from strandloom.streaming.annotate import annotate_stream, contig_stream
 
 from .test_hmm import gene
+from .test_hmm_utr import gene as older_gene
 
 
 def test_fasta(spark, tmp_path):
@@ -111,6 +112,43 @@ def test_long_regions_and_pieces_of_contigs_give_the_same_genes(spark, planted,
     assert len(plan.annotate(pieces, Planted(seq, p), 100, 400, piece=400, lineage="Mammalia", min_cds_score=0.0).collect()) == len(whole)
 
 
+class PlantedTracks:
+    """The tracks of a known gene of the older model where its sequence is, on either strand."""
+
+    def __init__(self, seq, *tracks):
+        self.seq, self.tracks = seq, tracks
+
+    def score(self, windows):
+        away = ([0.94, 0.02, 0.02, 0.02], [0.95, 0.05], [0.02, 0.02, 0.02, 0.94])
+        out = tuple(np.tile(a, (len(windows), len(windows[0]), 1)) for a in away)
+        for k, w in enumerate(windows):
+            if (j := w.find(self.seq)) >= 0:
+                for own, track in zip(out, self.tracks):
+                    own[k, j : j + len(self.seq)] = track
+        return out
+
+
+def test_the_older_plan_writes_genes_with_untranslated_exons(spark, tmp_path):
+    seq, classes, changes, phases, _ = older_gene()
+    turned = seq[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    pad, n = "TC" * 60, len(seq) - 8
+    rows = [("fwd", 0, len(seq) + 240, (pad + seq + pad).encode()), ("rev", 1, len(seq) + 240, (pad + turned + pad).encode())]
+    genome = spark.createDataFrame(rows, "seq_id string, seq_ord int, length long, seq binary")
+    scorer = PlantedTracks(seq, classes, changes, phases)
+    got = plan.annotate_tracks(genome, scorer, "Fungi", 4096, 400, min_cds_length=30).collect()
+    for rest in ({"whole": 20}, {"window": 100, "whole": 20}):
+        again = plan.annotate_tracks(genome, scorer, "Fungi", **{"window": 4096, "flank": 400, "min_cds_length": 30, **rest}).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))
+    assert plan.annotate_tracks(genome, scorer, "Mammalia", 4096, 400, min_cds_length=30, min_cds_score=0.99).collect() == []
+    for name, strand in (("fwd", "+"), ("rev", "-")):
+        own = {k: sorted((r["start"], r["end"]) for r in got if r["seq_id"] == name and r["type"] == k and r["strand"] == strand) for k in ("gene", "exon", "CDS")}
+        assert own["gene"] == [(125, 124 + n)] and [len(own[k]) for k in ("exon", "CDS")] == [2, 2]
+        assert own["exon"][0][0] == 125 and own["exon"][1][1] == 124 + n and own["CDS"][0][0] == 131 and own["CDS"][1][1] == 118 + n
+    gff.write_gff(plan.annotate_tracks(genome, scorer, "Fungi", 4096, 400, min_cds_length=30), plan.contigs_of(genome), str(tmp_path / "out"), intron_score=True)
+    text = [r["value"] for part in sorted((tmp_path / "out").glob("part-*")) for r in spark.read.text(str(part)).collect()]
+    assert text.count("# The intron score is 0") == 2 and text[text.index("# The intron score is 0") - 1].startswith("# The CDS score is 0.9")
+
+
 def test_streaming_annotation(spark, planted, tmp_path):
     seq, p, forward, _ = planted
     (tmp_path / "in").mkdir()
