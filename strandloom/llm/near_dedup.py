@@ -40,7 +40,7 @@ COORDINATES = ROWS * BANDS
 #: in bytes however large its members are, and has at most some 2,300 of the smallest on a side.
 CELL_ELEMENTS, MEMBER = 150_000, 64
 #: Numbers in a table of members by shared elements.
-_TABLE = 1 << 24
+_TABLE = 1 << 22
 
 _ODD = np.random.default_rng(7).integers(1, 2**62, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ROUND = mix(np.arange(2 * COORDINATES, dtype=np.uint64) * np.uint64(0x5851F42D4C957F2D))
@@ -134,7 +134,8 @@ def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np
     member, element = member[keep], shared[element[keep]]
     order = np.argsort(element, kind="stable")
     member, element = member[order], element[order]
-    out, many = np.zeros((len(rows), len(columns))), int(element[-1]) + 1 if len(element) else 0
+    kind = np.float32 if max(map(len, sets)) < 1 << 24 else np.float64  # exact for such counts
+    out, many = np.zeros((len(rows), len(columns)), kind), int(element[-1]) + 1 if len(element) else 0
     width = max(64, min(many, _TABLE // len(sets)))
     for low in range(0, many, width):
         a, b = np.searchsorted(element, [low, low + width])
@@ -145,23 +146,30 @@ def _common(sets: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np
 
 
 def _cell(table: pa.Table) -> pa.Table:
-    """Of a cell's (query, member) pairs of different components, those that are similar on their full sets, one for each query and component.
+    """Of a cell's (query, member) pairs that are similar on their full sets, as many as join the components that they link, and no more.
 
-    Every pair is tested; the members of a component are linked already, so one link joins the query with all of them.
+    Every pair is tested. The members of a component are linked already, and
+    what one query links is one component from then on, so a cell gives fewer
+    links than it has members, however many of its pairs are similar.
     """
     ids, component, query = (table.column(c).to_numpy() for c in ("id", "component", "query"))
     sets = [np.frombuffer(e.as_buffer(), np.uint64) for e in table.column("elements")]
     n = np.array([len(s) for s in sets])
     rows, columns = np.flatnonzero(query), np.flatnonzero(~query)
-    found: dict[tuple[int, int], int] = {}
+    x, y = [], []
     if len(rows) and len(columns):
         common = _common(sets, rows, columns)
-        union = n[rows][:, None] + n[columns][None, :] - common
-        similar = (100 * common >= THRESHOLD * union) & (component[rows][:, None] != component[columns][None, :])
-        for i, j in np.argwhere(similar).tolist():
-            found.setdefault((i, int(component[columns[j]])), j)
-    x, y = rows[[i for i, _ in found]], columns[list(found.values())]
-    return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64())})
+        group = np.unique(component, return_inverse=True)[1]
+        for i, shared in zip(rows, common, strict=True):
+            shared = shared.astype(np.int64)
+            similar = columns[100 * shared >= THRESHOLD * (n[i] + n[columns] - shared)]
+            others, first = np.unique(group[similar], return_index=True)
+            apart = others != group[i]
+            if apart.any():
+                x += [i] * int(apart.sum())
+                y += similar[first[apart]].tolist()
+                group[np.isin(group, others)] = group[i]
+    return pa.table({"a": pa.array(ids[np.array(x, np.int64)], pa.int64()), "b": pa.array(ids[np.array(y, np.int64)], pa.int64())})
 
 
 def _open_links(rows: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
