@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.operators import experts, genes, labels, metrics, packing, regions, runs, tiling
+from strandloom.operators import blocks, experts, genes, labels, metrics, packing, regions, runs, tiling
 from strandloom.plans import annotate as plan
 from strandloom.plans import samples
 from strandloom.plans.scoring import CompositionScorer, CompositionTracks
 from strandloom.plans.views import CONTIG_LENGTH, CONTIGS_SQL, DNA_SQL, FEATURES_SQL, MODEL_SQL, SERIES_SQL, dna, features, probability_chunks, series, table
 from strandloom.plans.views import model_rows as samples_view
 from strandloom.session import stored
-from strandloom.sources import gff
+from strandloom.sources import fasta, fasta_ranges, gff
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -141,10 +141,7 @@ def q_region_filter(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_SERIES} SELECT key, pos, round(sum(value) OVER (PARTITION BY key ORDER BY pos ROWS UNBOUNDED PRECEDING), 4) AS total FROM series")
 def q_prefix_sum(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
-    order = W.partitionBy("key").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    return series(spark, d).select("key", "pos", F.round(F.sum("value").over(order), 4).alias("total"))
+    return blocks.running_sum(series(spark, d), ["key"], "value", "total").select("key", "pos", F.round("total", 4).alias("total"))
 
 
 @query(f"WITH {_SERIES} SELECT key, pos // 50 AS bin, round(sum(value), 4) AS total, count(*) AS n FROM series GROUP BY ALL")
@@ -416,6 +413,34 @@ def q_gff_children(spark: SparkSession, d: str) -> DataFrame:
     return gff.children(rows, rows.where("type = 'mRNA'")).select("line_no", "parent_line")
 
 
+_TREE_SQL = """
+    WITH RECURSIVE features AS (SELECT c_custkey AS n, [x for x in list_distinct([c_custkey // 3, c_custkey // 5]) if x > 0] AS parents FROM customer WHERE c_custkey > 0),
+    links AS (SELECT n, unnest(parents) AS up FROM features),
+    reach AS (SELECT n, up, 1 AS depth FROM links UNION SELECT r.n, l.up, r.depth + 1 FROM reach r JOIN links l ON l.n = r.up),
+    nearest AS (SELECT n, up, min(depth) AS depth FROM reach GROUP BY ALL),
+    roots AS (SELECT n FROM features WHERE len(parents) = 0)"""
+
+
+def _tree_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of features with up to two parents each, some with a percent-coded comma in their names."""
+    n = F.col("c_custkey")
+    name = lambda x: F.concat(F.lit("f"), x.cast("string"), F.when(x % 10 == 0, "%2C").otherwise(""))
+    parents = F.filter(F.array_distinct(F.array(F.expr("c_custkey div 3"), F.expr("c_custkey div 5"))), lambda x: x > 0)
+    above = F.when(F.size(parents) > 0, F.concat(F.lit(";Parent="), F.array_join(F.transform(parents, name), ","))).otherwise("")
+    fields = [F.lit("c"), F.lit("src"), F.lit("part"), n.cast("string"), (n + 9).cast("string"), F.lit("."), F.lit("+"), F.lit(".")]
+    return table(spark, d, "customer").where("c_custkey > 0").select(n.alias("line_no"), F.concat_ws("\t", *fields, F.concat(F.lit("ID="), name(n), above)).alias("value"))
+
+
+@query(f"{_TREE_SQL} SELECT n AS line_no, 'f' || up || CASE WHEN up % 10 = 0 THEN '%2C' ELSE '' END AS ancestor, depth::BIGINT AS depth FROM nearest")
+def q_gff_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    return gff.ancestors(gff.parse_links(_tree_lines(spark, d))).select("line_no", "ancestor", "depth")
+
+
+@query(f"{_TREE_SQL} SELECT f.n AS line_no, coalesce(r.up, f.n) AS root_line, coalesce(r.depth, 0)::BIGINT AS depth FROM features f LEFT JOIN (SELECT * FROM nearest WHERE up IN (FROM roots)) r ON r.n = f.n")
+def q_gff_trees(spark: SparkSession, d: str) -> DataFrame:
+    return gff.trees(gff.parse_links(_tree_lines(spark, d))).select("line_no", "root_line", "depth")
+
+
 # Labels
 
 
@@ -825,6 +850,18 @@ def q_annotate_utr(spark: SparkSession, d: str) -> DataFrame:
     return plan.annotate_tracks(_genome(spark, d), CompositionTracks(), "Fungi", 512, 128, min_cds_score=0.2, min_cds_length=12)
 
 
+FASTA_PIECE = 256
+
+
+@query(f"""
+    WITH {_DNA} SELECT seq_id::VARCHAR AS seq_id, length(seq) AS length, unnest(range(0, length(seq), {FASTA_PIECE})) AS start, md5(substring(seq, unnest(range(0, length(seq), {FASTA_PIECE})) + 1, {FASTA_PIECE})) AS piece_md5 FROM dna""")
+def q_fasta_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The sequences written as FASTA and read back by ranges of bytes, in pieces."""
+    folder = fasta.write_fasta(dna(spark, d).select(F.col("seq_id").cast("string").alias("seq_id"), "seq"))
+    pieces = fasta_ranges.read_pieces(spark, folder, FASTA_PIECE, 1 << 20)
+    return pieces.select("seq_id", "length", "start", F.md5("seq").alias("piece_md5"))
+
+
 # Storage
 
 

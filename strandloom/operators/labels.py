@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from strandloom.operators import blocks
+
 ACCEPTED = ("mRNA", "V_gene_segment", "C_gene_segment", "J_gene_segment", "D_gene_segment")
 MASKED = ("pseudogene", "cDNA_match", "ncRNA_gene")
 SHORT_INTRON = 30
@@ -130,16 +132,17 @@ def state_transitions(series: DataFrame, keys: list[str], pos: str = "pos", labe
     0 intergenic, 1 untranslated, 2 coding, 3 intron. Allowed are steps between
     neighbours 0-1, 1-2, 2-3 and 1-3; the last position is 0.
     """
-    following = F.lead(label).over(W.partitionBy(*keys).orderBy(pos))
+    following = F.col("__following")
     low, high = F.least(F.col(label), following), F.greatest(F.col(label), following)
     allowed = (low != high) & ~((low == 0) & (high > 1))
-    return series.withColumn("transition", F.coalesce(allowed, F.lit(False)).cast("int"))
+    rows = blocks.with_next(series, keys, {"__following": label}, pos)
+    return rows.withColumn("transition", F.coalesce(allowed, F.lit(False)).cast("int")).drop("__following")
 
 
 def transition_mask(series: DataFrame, keys: list[str], pos: str = "pos", weight: str = "weight") -> DataFrame:
     """series with transition_mask: 0 where this or the next weight is 0, and at the last position."""
-    following = F.lead(weight).over(W.partitionBy(*keys).orderBy(pos))
-    return series.withColumn("transition_mask", F.coalesce((F.col(weight) != 0) & (following != 0), F.lit(False)).cast("int"))
+    rows = blocks.with_next(series, keys, {"__following": weight}, pos)
+    return rows.withColumn("transition_mask", F.coalesce((F.col(weight) != 0) & (F.col("__following") != 0), F.lit(False)).cast("int")).drop("__following")
 
 
 def filled_phase(index: Column, length: Column, phase: Column, reverse: Column) -> Column:

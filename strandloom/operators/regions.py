@@ -1,14 +1,15 @@
 """Candidate regions: bins of genic probability, runs of bins over a threshold.
 
 Bins are small and fixed, so a track is cut down by their size before anything
-is ordered: the window functions see a fiftieth of the positions.
+is ordered, and runs of bins are found block by block.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
+
+from strandloom.operators import blocks
 
 BIN = 50
 
@@ -30,17 +31,17 @@ def bins_of_chunks(chunks: DataFrame, keys: list[str], most: float = 0.5) -> Dat
     return rows.select(*keys, F.expr(f"(start + at) div {BIN}").alias("bin"), mean.alias("mean"), F.size(F.filter(part, lambda x: x > most)).cast("long").alias("n_high"))
 
 
-def candidate_regions(binned: DataFrame, lengths: DataFrame, keys: list[str], average: float = 0.1) -> DataFrame:
+def candidate_regions(binned: DataFrame, lengths: DataFrame, keys: list[str], average: float = 0.1, size: int = blocks.BLOCK) -> DataFrame:
     """(keys, region_start, region_end, is_open): runs of bins with a mean of `average` or more.
 
     A run that a bin below the average ends takes that bin in, and needs a
     position above the maximum in it. A run that reaches the contig's end is
     open; it ends there and needs none. `lengths` has keys and length.
     """
-    order = W.partitionBy(*keys).orderBy("bin")
-    rows = binned.withColumn("next_high", F.lead("n_high").over(order)).withColumn("last_bin", F.max("bin").over(W.partitionBy(*keys)))
-    good = rows.where(F.col("mean") >= average).withColumn("island", F.col("bin") - F.row_number().over(order))
-    runs = good.groupBy(*keys, "island").agg(F.min("bin").alias("first"), F.max("bin").alias("last"), F.sum("n_high").alias("high"), F.max_by("next_high", "bin").alias("closing"), F.first("last_bin").alias("last_bin"))
+    last = binned.groupBy(*keys).agg(F.max("bin").alias("last_bin"))
+    good = blocks.runs(binned.where(F.col("mean") >= average), keys, "bin", {"high": F.sum("n_high")}, size)
+    behind = binned.select(*keys, (F.col("bin") - 1).alias("end"), F.col("n_high").alias("closing"))
+    runs = good.join(behind, [*keys, "end"], "left").join(last, keys).select(*keys, F.col("start").alias("first"), F.col("end").alias("last"), "high", F.coalesce("closing", F.lit(0)).alias("closing"), "last_bin")
     runs = runs.withColumn("is_open", F.col("last") == F.col("last_bin")).where("is_open or high + closing >= 1")
     end = F.when(F.col("is_open"), F.col("length")).otherwise(F.least((F.col("last") + 2) * BIN, F.col("length")))
     return runs.join(lengths.select(*keys, "length"), keys).select(*keys, (F.col("first") * BIN).alias("region_start"), end.cast("long").alias("region_end"), "is_open")

@@ -4,24 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from strandloom.operators import blocks
 
-def runs(series: DataFrame, keys: list[str], wanted: Column, pos: str = "pos") -> DataFrame:
+
+def runs(series: DataFrame, keys: list[str], wanted: Column, pos: str = "pos", size: int = blocks.BLOCK) -> DataFrame:
     """(keys, start, end, n): maximal runs of adjacent positions where `wanted` holds; ends are inclusive."""
-    rows = series.where(wanted)
-    island = F.col(pos) - F.row_number().over(W.partitionBy(*keys).orderBy(pos))
-    return rows.withColumn("island", island).groupBy(*keys, "island").agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count("*").alias("n")).drop("island")
+    return blocks.runs(series.where(wanted), keys, pos, size=size)
 
 
-def genes(series: DataFrame, keys: list[str], pos: str = "pos", kind: str = "class") -> DataFrame:
+def genes(series: DataFrame, keys: list[str], pos: str = "pos", kind: str = "class", size: int = blocks.BLOCK) -> DataFrame:
     """series with gene_start: the first position of the run of classes other than 0 that a position is in; others are left out."""
-    rows = series.where(F.col(kind) != 0)
-    island = F.col(pos) - F.row_number().over(W.partitionBy(*keys).orderBy(pos))
-    rows = rows.withColumn("island", island)
-    return rows.withColumn("gene_start", F.min(pos).over(W.partitionBy(*keys, "island"))).drop("island")
+    return blocks.with_run_start(series.where(F.col(kind) != 0), keys, "gene_start", pos, size)
 
 
-def within_genes(series: DataFrame, keys: list[str], kinds: list[int], pos: str = "pos", kind: str = "class") -> DataFrame:
+def within_genes(series: DataFrame, keys: list[str], kinds: list[int], pos: str = "pos", kind: str = "class", size: int = blocks.BLOCK) -> DataFrame:
     """(keys, gene_start, start, end, n): runs, inside each gene, of positions whose class is one of `kinds`."""
-    return runs(genes(series, keys, pos, kind), [*keys, "gene_start"], F.col(kind).isin(*kinds), pos)
+    return runs(genes(series, keys, pos, kind, size), [*keys, "gene_start"], F.col(kind).isin(*kinds), pos, size)

@@ -19,6 +19,7 @@ from strandloom.functions.sequence import reverse_complement_strict
 from strandloom.operators import labels, tiling
 from strandloom.session import stored
 from strandloom.sources.fasta import chunks
+from strandloom.sources.gff import with_each_parent
 
 KEYS = ["seq_id", "strand", "gene_line"]
 WINDOW, FLANK, MASK_LENGTH = 20480, 10240, 1000
@@ -27,10 +28,10 @@ WRITES = 100
 
 
 def feature_rows(links: DataFrame) -> DataFrame:
-    """Features of sources.gff.parse_links rows; only those on a strand count."""
+    """Features of sources.gff.parse_links rows, once for each of their parents; only those on a strand count."""
     strand = F.when(F.col("strand") == "+", 1).when(F.col("strand") == "-", -1)
     phase = F.col("phase").try_cast("int").alias("phase")
-    return links.select("line_no", F.col("seqid").alias("seq_id"), "type", (F.col("start") - 1).alias("start"), "end", strand.alias("strand"), phase, "id", "parent").where("strand is not null")
+    return with_each_parent(links).select("line_no", F.col("seqid").alias("seq_id"), "type", (F.col("start") - 1).alias("start"), "end", strand.alias("strand"), phase, "id", "parent").where("strand is not null")
 
 
 def transcripts_of(rows: DataFrame, types: tuple[str, ...] = labels.ACCEPTED) -> tuple[DataFrame, DataFrame]:

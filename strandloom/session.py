@@ -26,18 +26,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the folder of spark.checkpoint.dir: computed once, and read by column.
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the folder of spark.checkpoint.dir.
 
     On a cluster that setting must name a folder all executors share. Only a
     local session without it gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="strandloom-")
-    path = f"{folder}/stored-{uuid.uuid4().hex}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows of df as a Parquet table in the folder of spark.checkpoint.dir: computed once, and read by column."""
+    spark = df.sparkSession
+    path = new_folder(spark, "stored")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from strandloom.session import new_folder
+
 EXTENSIONS = (".fasta", ".fna", ".fa")
 
 
@@ -35,6 +37,14 @@ def read_fasta(spark: SparkSession, path: str, unique: bool = True) -> DataFrame
     return rows.join(order.drop("seq_id"), ["file", "place"]).select("seq_id", "seq_ord", F.octet_length("seq").cast("long").alias("length"), "seq")
 
 
+def write_fasta(genome: DataFrame, path: str | None = None, width: int = 60) -> str:
+    """genome (seq_id, seq) as FASTA text with lines of `width` bases, many files in a folder; gives the folder, a new one where none is named."""
+    path = path or new_folder(genome.sparkSession, "fasta")
+    lines = F.regexp_replace(F.col("seq").cast("string"), f"(.{{{width}}})(?!$)", "$1\n")
+    genome.select(F.concat(F.lit(">"), F.col("seq_id").cast("string"), F.lit("\n"), lines)).write.text(path)
+    return path
+
+
 def chunks(genome: DataFrame, size: int = 1 << 20) -> DataFrame:
     """(seq_id, seq_ord, length, start, seq): contigs cut into binary pieces, for storage and for work on long ones."""
     starts = genome.where("length > 0").select("seq_id", "seq_ord", "length", "seq", F.explode(F.expr(f"sequence(0L, length - 1, {size}L)")).alias("start"))

@@ -30,6 +30,8 @@ from strandloom.sources.fasta import EXTENSIONS
 
 #: A piece holds 32 windows of the annotation plan.
 RANGE, PIECE = 16 << 20, 32 * 30720
+#: Files of a folder that are read; Spark's text writer names its own .txt.
+READ = (*EXTENSIONS, ".txt")
 #: Bytes of a header line; a longer one is an error.
 HEADER = 1 << 16
 #: Ranges of which all tasks get the narrow row; more are joined by key.
@@ -103,9 +105,9 @@ class RangeReader(DataSourceReader):
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
         files = [info] if info.type == fs.FileType.File else sorted(system.get_file_info(fs.FileSelector(path, recursive=True)), key=lambda f: f.path)
-        files = [f for f in files if f.type == fs.FileType.File and f.path.lower().endswith(EXTENSIONS)]
+        files = [f for f in files if f.type == fs.FileType.File and f.path.lower().endswith(READ)]
         if not files:
-            raise ValueError(f"{self.path}: no file that ends in {', '.join(EXTENSIONS)}")
+            raise ValueError(f"{self.path}: no file that ends in {', '.join(READ)}")
         scheme = self.path.split("://")[0] + "://" if "://" in self.path and not self.path.startswith("file:") else ""
         return [ByteRange(scheme + f.path, at, min(at + self.size, f.size)) for f in files for at in range(0, f.size, self.size)]
 

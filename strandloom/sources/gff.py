@@ -58,13 +58,65 @@ def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(read_lines(spark, path))
 
 
+def with_each_parent(rows: DataFrame) -> DataFrame:
+    """rows with one row for each name in `parent`, a list with commas; features without one keep a null.
+
+    Names stay percent-coded as the file has them, so a comma within a name (%2C) parts nothing.
+    """
+    names = F.filter(F.split(F.col("parent"), ","), lambda p: p != "")
+    return rows.withColumn("parent", F.explode_outer(F.when(F.size(names) > 0, F.array_distinct(names))))
+
+
 def children(features: DataFrame, parents: DataFrame) -> DataFrame:
-    """Features whose Parent attribute is the ID of one of `parents`, with its line number and identifier."""
-    own = features.withColumn("parent", F.try_element_at("attributes", F.lit("Parent")))
+    """Features of which one of the Parent attribute's names is the ID of one of `parents`, with its line number and identifier; a row for each such parent."""
+    own = with_each_parent(features.withColumn("parent", F.try_element_at("attributes", F.lit("Parent"))))
     above = parents.select(F.try_element_at("attributes", F.lit("ID")).alias("parent"), F.col("line_no").alias("parent_line"))
     return own.join(above, "parent")
 
 
+def _closure(links: DataFrame, most_rounds: int) -> DataFrame:
+    """(node, up, depth) of links (node, up): all that a node reaches and the fewest steps to it.
+
+    A round joins what is reached with itself, so paths double in length. A node
+    that reaches itself is an error.
+    """
+    reach = stored(links.distinct().withColumn("depth", F.lit(1).cast("long")))
+    state = reach.agg(F.count("*"), F.sum("depth")).first()
+    for _ in range(most_rounds):
+        loop = reach.where("node = up").first()
+        if loop is not None:
+            raise ValueError(f"{loop['node']} is its own ancestor")
+        further = reach.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"))
+        longer = reach.join(further, "up").select("node", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        reach = stored(reach.unionByName(longer).groupBy("node", "up").agg(F.min("depth").alias("depth")))
+        before, state = state, reach.agg(F.count("*"), F.sum("depth")).first()
+        if state == before:
+            return reach
+    raise ValueError(f"features nest deeper than {2**most_rounds} levels")
+
+
+def ancestors(rows: DataFrame, most_rounds: int = 12) -> DataFrame:
+    """(line_no, ancestor, depth) of rows (line_no, id, parent): every feature with all identifiers above it, and the fewest steps to each.
+
+    Features may have several parents, and an identifier several lines. Parents
+    that no feature is named by count as ancestors. A feature above itself is an
+    error; features without parents have no rows.
+    """
+    each = with_each_parent(rows.select("line_no", "id", "parent")).where("parent is not null")
+    reach = _closure(each.where("id is not null").select(F.col("id").alias("node"), F.col("parent").alias("up")), most_rounds)
+    direct = each.select("line_no", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
+    above = each.join(reach.withColumnRenamed("node", "parent"), "parent").select("line_no", F.col("up").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+    return direct.unionByName(above).groupBy("line_no", "ancestor").agg(F.min("depth").alias("depth"))
+
+
+def trees(rows: DataFrame, most_rounds: int = 12) -> DataFrame:
+    """(line_no, root_line, depth): every feature with the lines of the parentless features above it; such a feature is its own root at depth 0."""
+    roots = rows.where(F.coalesce("parent", F.lit("")) == "")
+    named = roots.where("id is not null").select(F.col("id").alias("ancestor"), F.col("line_no").alias("root_line"))
+    below = ancestors(rows, most_rounds).join(named, "ancestor").groupBy("line_no", "root_line").agg(F.min("depth").alias("depth"))
+    return below.unionByName(roots.select("line_no", F.col("line_no").alias("root_line"), F.lit(0).cast("long").alias("depth")))
+
+
 def repeated_genes(rows: DataFrame) -> DataFrame:
     """(line_no) of genes whose ID another gene has too, of their mRNAs, and of those' exons and coding parts; rows has line_no, type, id and parent."""
     genes = rows.where("type = 'gene' and id is not null")

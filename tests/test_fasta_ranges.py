@@ -52,7 +52,7 @@ def test_a_header_without_an_end_is_an_error():
 def test_pieces_equal_whole_contigs_cut(spark, tmp_path, byte_range, size):
     (tmp_path / "1.fa").write_text(TEXT)
     (tmp_path / "2.fna").write_text("ACGT\n>e\n" + "GATTACA" * 9)
-    (tmp_path / "no.txt").write_text(">z\nA")
+    (tmp_path / "no.csv").write_text(">z\nA")
     got = fasta_ranges.read_pieces(spark, str(tmp_path), size, byte_range)
     wanted = fasta.chunks(fasta.read_fasta(spark, str(tmp_path) + "/*.f*"), size)
     columns = ["seq_id", "length", "start", "seq"]
@@ -61,6 +61,13 @@ def test_pieces_equal_whole_contigs_cut(spark, tmp_path, byte_range, size):
     assert order == ["a", "b", "c", "d", "e"]
 
 
+def test_written_sequences_come_back(spark, tmp_path):
+    rows = [("a", "ACGT" * 45), ("b", "A" * 60), ("c", "C" * 61), ("d", "G")]
+    folder = fasta.write_fasta(spark.createDataFrame(rows, "seq_id string, seq string").repartition(3))
+    got = fasta_ranges.read_pieces(spark, folder, 1000, 50)
+    assert {(r["seq_id"], bytes(r["seq"]).decode()) for r in got.collect()} == set(rows)
+
+
 def test_repeated_identifiers_and_missing_files_are_errors(spark, tmp_path):
     (tmp_path / "1.fa").write_text(">a\nAC\n>b\nG\n>a\nT")
     with pytest.raises(PySparkException, match="repeated sequence identifier a"):

@@ -45,6 +45,28 @@ def test_repeated_genes_go_with_their_parts(spark):
     assert kept == {0, 4, 6, 7, 8}
 
 
+def test_trees_of_any_depth_with_several_parents(spark):
+    def line(name, parents):
+        attributes = [f"ID={name}"] * bool(name) + [f"Parent={parents}"] * bool(parents)
+        return "\t".join(["c", "s", "x", "1", "9", ".", "+", ".", ";".join(attributes)])
+
+    text = [line("g", ""), line("h", ""), line("t", "g,h"), line("u", "t"), line("", "u,g"), line("", "nobody"), line("v%2Cw", "u"), line("", "v%2Cw,v"), line("u", "h"), line("", "")]
+    rows = gff.parse_links(lines(spark, *text))
+    got = {(r["line_no"], r["ancestor"]): r["depth"] for r in gff.ancestors(rows).collect()}
+    assert got == {
+        (2, "g"): 1, (2, "h"): 1, (3, "t"): 1, (3, "g"): 2, (3, "h"): 2, (4, "u"): 1, (4, "g"): 1, (4, "t"): 2, (4, "h"): 2, (5, "nobody"): 1,
+        (6, "u"): 1, (6, "t"): 2, (6, "h"): 2, (6, "g"): 3, (7, "v%2Cw"): 1, (7, "v"): 1, (7, "u"): 2, (7, "t"): 3, (7, "h"): 3, (7, "g"): 4, (8, "h"): 1,
+    }
+    roots = {(r["line_no"], r["root_line"], r["depth"]) for r in gff.trees(rows).collect()}
+    assert {(0, 0, 0), (1, 1, 0), (9, 9, 0), (4, 0, 1), (4, 1, 2), (7, 0, 4), (7, 1, 3)} <= roots and not any(a == 5 for a, _, _ in roots)
+    both = gff.children(gff.parse_lines(lines(spark, *text)), gff.parse_lines(lines(spark, *text)))
+    assert {(r["line_no"], r["parent_line"]) for r in both.collect()} >= {(2, 0), (2, 1), (4, 0), (4, 3), (4, 8)}
+    deep = [line(f"d{k}", f"d{k - 1}" if k else "") for k in range(40)]
+    assert gff.ancestors(gff.parse_links(lines(spark, *deep))).count() == 40 * 39 // 2
+    with pytest.raises(ValueError, match="own ancestor"):
+        gff.ancestors(gff.parse_links(lines(spark, line("a", "b"), line("b", "c"), line("c", "a"))))
+
+
 class Planted:
     """Scores by the sequence's own truth: upper-case letters map to the classes of a known gene, either strand."""
 
