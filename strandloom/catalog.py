@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.operators import blocks, experts, genes, labels, metrics, packing, regions, runs, tiling
+from strandloom.operators import blocks, experts, genes, intervals, labels, metrics, packing, regions, runs, tiling
 from strandloom.plans import annotate as plan
 from strandloom.plans import samples
 from strandloom.plans.scoring import CompositionScorer, CompositionTracks
@@ -115,7 +115,7 @@ _ISLANDS = f"""
 
 
 def _binned(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    bins = regions.bins_of_chunks(probability_chunks(dna(spark, d)), ["seq_id", "length"])
+    bins = stored(regions.bins_of_chunks(probability_chunks(dna(spark, d)), ["seq_id", "length"]))
     return bins.drop("length"), bins.groupBy("seq_id").agg(F.first("length").alias("length"))
 
 
@@ -441,6 +441,22 @@ def q_gff_trees(spark: SparkSession, d: str) -> DataFrame:
     return gff.trees(gff.parse_links(_tree_lines(spark, d))).select("line_no", "root_line", "depth")
 
 
+@query(f"""
+    WITH {_FEATURES}, moved AS (SELECT gene_id, child_no, seq_id, start_pos + gene_id * 1000000 AS a, end_pos + gene_id * 1000000 AS b FROM features),
+    spans AS (SELECT gene_id AS span, seq_id, min(a) AS low, max(b) AS high FROM moved GROUP BY ALL UNION ALL SELECT -1 - gene_id // 100, seq_id, min(a), max(b) FROM moved GROUP BY ALL UNION ALL SELECT NULL, seq_id, 0, max(b) FROM moved GROUP BY ALL)
+    SELECT gene_id, child_no, span, least(b, high) - greatest(a, low) AS shared FROM moved m JOIN spans s ON s.seq_id = m.seq_id AND a < high AND low < b""")
+def q_interval_overlaps(spark: SparkSession, d: str) -> DataFrame:
+    """Features against the spans of genes, of a hundred genes, and of whole contigs."""
+    far = F.col("gene_id") * 1_000_000
+    parts = features(spark, d).select("gene_id", "child_no", "seq_id", (F.col("start") + far).alias("start"), (F.col("end") + far).alias("end"))
+    hundred, none = F.expr("-1 - gene_id div 100"), F.lit(None).cast("long")
+    ends = (F.min("start").alias("low"), F.max("end").alias("high"))
+    spans = parts.groupBy(F.col("gene_id").alias("span"), "seq_id").agg(*ends).unionByName(parts.groupBy(hundred.alias("span"), "seq_id").agg(*ends))
+    spans = spans.unionByName(parts.groupBy("seq_id").agg(F.lit(0).cast("long").alias("low"), F.max("end").alias("high")).withColumn("span", none))
+    pairs = intervals.overlapping(parts, spans, ["seq_id"])
+    return pairs.select("gene_id", "child_no", "span", (F.least("end", "high") - F.greatest("start", "low")).alias("shared"))
+
+
 # Labels
 
 
@@ -781,15 +797,17 @@ def q_argmax(spark: SparkSession, d: str) -> DataFrame:
 _LPT_STEP = ", ".join(f"CASE WHEN list_position(f.loads, list_min(f.loads)) = {k} THEN f.loads[{k}] + o.size ELSE f.loads[{k}] END" for k in range(1, 6))
 
 
-@query(f"""
-    WITH RECURSIVE items AS (SELECT s_nationkey AS key, s_suppkey AS seq_ord, (s_suppkey * 7919 % 1000 + 1)::BIGINT AS size FROM supplier),
+_LPT_FOLD = f"""
+    items AS (SELECT s_nationkey AS key, s_suppkey AS seq_ord, (s_suppkey * 7919 % 1000 + 1)::BIGINT AS size FROM supplier),
     ordered AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY size DESC, seq_ord) AS r, count(*) OVER (PARTITION BY key) AS n FROM items),
     big AS (SELECT 9223372036854775807::BIGINT AS top),
     fold AS (
         SELECT key, seq_ord, size, r, 0 AS chunk_id, [size, CASE WHEN n >= 2 THEN 0 ELSE top END, CASE WHEN n >= 3 THEN 0 ELSE top END, CASE WHEN n >= 4 THEN 0 ELSE top END, CASE WHEN n >= 5 THEN 0 ELSE top END] AS loads FROM ordered, big WHERE r = 1
         UNION ALL SELECT o.key, o.seq_ord, o.size, o.r, list_position(f.loads, list_min(f.loads)) - 1, [{_LPT_STEP}]
-        FROM fold f JOIN ordered o ON o.key = f.key AND o.r = f.r + 1)
-    SELECT key, seq_ord, size, chunk_id::INT AS chunk_id FROM fold""")
+        FROM fold f JOIN ordered o ON o.key = f.key AND o.r = f.r + 1)"""
+
+
+@query(f"WITH RECURSIVE {_LPT_FOLD} SELECT key, seq_ord, size, chunk_id::INT AS chunk_id FROM fold")
 def q_lpt_chunks(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("seq_ord"), (F.col("s_suppkey") * 7919 % 1000 + 1).alias("size"))
     return packing.longest_first(items, 5, "size", "seq_ord", ["key"])
@@ -865,11 +883,10 @@ def q_fasta_pieces(spark: SparkSession, d: str) -> DataFrame:
 # Storage
 
 
-@query("SELECT * FROM (SELECT s_nationkey AS key, count(*) AS n, sum(s_suppkey * 7919 % 1000 + 1)::BIGINT AS total FROM supplier GROUP BY ALL)")
+@query(f"WITH RECURSIVE {_LPT_FOLD} SELECT key, chunk_id::INT AS chunk_id, count(*) AS n, sum(size)::BIGINT AS total FROM fold GROUP BY ALL")
 def q_chunk_totals(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "supplier").select(F.col("s_nationkey").alias("key"), F.col("s_suppkey").alias("seq_ord"), (F.col("s_suppkey") * 7919 % 1000 + 1).alias("size"))
-    totals = packing.chunk_totals(packing.longest_first(items, 5, "size", "seq_ord", ["key"]), "size", ["key"])
-    return totals.groupBy("key").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    return packing.chunk_totals(packing.longest_first(items, 5, "size", "seq_ord", ["key"]), "size", ["key"])
 
 
 @query(f"WITH {_DNA} SELECT seq_id, md5(reverse(translate(seq, 'ATGC', 'TACG'))) AS rc_md5 FROM dna")

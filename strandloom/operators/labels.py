@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from strandloom.operators import blocks
+from strandloom.operators.intervals import containing
 
 ACCEPTED = ("mRNA", "V_gene_segment", "C_gene_segment", "J_gene_segment", "D_gene_segment")
 MASKED = ("pseudogene", "cDNA_match", "ncRNA_gene")
@@ -41,21 +42,17 @@ def accepted(genes: DataFrame, keys: list[str], start: str = "start", end: str =
     return rows.groupBy(*keys).applyInArrow(fold, T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())]))
 
 
-def written(intervals: DataFrame, keys: list[str], value: str = "value", order: str = "write_seq", block: int = 1 << 14) -> DataFrame:
+def written(intervals: DataFrame, keys: list[str], value: str = "value", order: str = "write_seq") -> DataFrame:
     """(keys, start, end, value): what a track holds after half-open intervals are written in order, as disjoint spans.
 
-    Intervals are cut at multiples of `block`, so that a whole contig is no group
-    of its own, and within a block at each other's ends; the last writer of a
-    piece counts. Neighbouring spans may have the same value.
+    Intervals cut each other at their ends; the last writer of a piece counts.
+    Neighbouring spans may have the same value. Keys are not null.
     """
-    rows = intervals.where("end > start").select(*keys, "start", "end", F.col(value).alias("__value"), F.col(order).alias("__order"))
-    rows = rows.withColumn("__block", F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})")))
-    rows = rows.withColumn("start", F.greatest("start", F.col("__block") * block)).withColumn("end", F.least("end", (F.col("__block") + 1) * block))
-    inside = [*keys, "__block"]
-    cuts = rows.select(*inside, F.explode(F.array("start", "end")).alias("a")).distinct()
-    pieces = cuts.withColumn("b", F.lead("a").over(W.partitionBy(*inside).orderBy("a"))).where("b is not null")
-    held = pieces.join(rows, inside).where("start <= a and b <= end")
-    return held.groupBy(*inside, "a", "b").agg(F.max_by("__value", "__order").alias(value)).select(*keys, F.col("a").alias("start"), F.col("b").alias("end"), value)
+    rows = intervals.where("end > start").select(*keys, F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col(value).alias("__value"), F.col(order).alias("__order"))
+    cuts = rows.select(*keys, F.explode(F.array("start", "end")).alias("a")).distinct()
+    pieces = blocks.with_next(cuts, keys, {"b": "a"}, "a").where("b is not null")
+    held = containing(pieces, rows, keys, "a")
+    return held.groupBy(*keys, "a", "b").agg(F.max_by("__value", "__order").alias(value)).select(*keys, F.col("a").alias("start"), F.col("b").alias("end"), value)
 
 
 def last_written(intervals: DataFrame, keys: list[str], value: str = "value", order: str = "write_seq") -> DataFrame:

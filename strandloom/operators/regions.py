@@ -35,7 +35,7 @@ def candidate_regions(binned: DataFrame, lengths: DataFrame, keys: list[str], av
     """(keys, region_start, region_end, is_open): runs of bins with a mean of `average` or more.
 
     A run that a bin below the average ends takes that bin in, and needs a
-    position above the maximum in it. A run that reaches the contig's end is
+    position above the maximum in it. binned is read three times. A run that reaches the contig's end is
     open; it ends there and needs none. `lengths` has keys and length.
     """
     last = binned.groupBy(*keys).agg(F.max("bin").alias("last_bin"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strandloom.operators import genes, hmm, hmm_utr, packing, regions, spans, tiling
+from strandloom.operators import genes, hmm, hmm_utr, intervals, packing, regions, spans, tiling
 from strandloom.plans.scoring import Scorer, TrackScorer, scored
 from strandloom.session import stored
 from strandloom.sources.fasta_ranges import PIECE, windows_of_pieces
@@ -21,8 +21,6 @@ WINDOW, FLANK = 30720, 5120
 WHOLE = 1 << 18
 #: Least coding score where neither a score nor a lineage is given.
 LEAST_SCORE = 0.5
-#: Blocks in which regions look for the scored pieces that they overlap.
-BLOCK = 8192
 
 
 def predict(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE) -> DataFrame:
@@ -91,20 +89,15 @@ def _bins(pieces: DataFrame, most: float, track: str = "probs") -> DataFrame:
 def found_regions(pieces: DataFrame, average: float = 0.1, most: float = 0.5, track: str = "probs") -> DataFrame:
     """(seq_id, strand, region_start, region_end, is_open) of scored pieces."""
     lengths = pieces.where("start = 0").select("seq_id", "strand", "length")
-    return regions.candidate_regions(_bins(pieces, most, track), lengths, ["seq_id", "strand"], average)
+    return regions.candidate_regions(stored(_bins(pieces, most, track)), lengths, ["seq_id", "strand"], average)
 
 
 def parts_of(found: DataFrame, pieces: DataFrame, tracks: tuple[str, ...] = ("probs",)) -> DataFrame:
     """(seq_id, strand, region_start, region_end, start, seq, tracks): what scored pieces have of the regions that they overlap."""
-
-    def blocks(low, high):
-        return F.explode(F.sequence(F.floor(low / BLOCK), F.floor(high / BLOCK)))
-
-    asks = found.withColumn("block", blocks(F.col("region_start"), F.col("region_end") - 1))
-    held = pieces.withColumn("piece_end", F.col("start") + F.size(tracks[0])).withColumn("block", blocks(F.col("start"), F.col("start") + F.size(tracks[0]) - 1))
-    met = asks.join(held, ["seq_id", "strand", "block"]).where("start < region_end and piece_end > region_start")
-    # A pair meets in every block that both are in; only the first counts.
-    met = met.where(F.col("block") == F.greatest(F.floor(F.col("start") / BLOCK), F.floor(F.col("region_start") / BLOCK)))
+    key = ["seq_id", "strand"]
+    spans = pieces.select(*key, "start", (F.col("start") + F.size(tracks[0])).alias("piece_end"))
+    pairs = intervals.overlapping(found.select(*key, "region_start", "region_end"), spans, key, ("region_start", "region_end"), ("start", "piece_end"))
+    met = pairs.join(pieces.select(*key, "start", "seq", *tracks), [*key, "start"])
     low, high = F.greatest("start", "region_start"), F.least("piece_end", "region_end")
     at, n = (low - F.col("start") + 1).cast("int"), (high - low).cast("int")
     return met.select("seq_id", "strand", "region_start", "region_end", low.alias("start"), F.substring(F.col("seq"), at, n).alias("seq"), *(F.slice(t, at, n).alias(t) for t in tracks))

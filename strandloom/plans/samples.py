@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.functions.sequence import reverse_complement_strict
-from strandloom.operators import labels, tiling
+from strandloom.operators import intervals, labels, tiling
 from strandloom.session import stored
 from strandloom.sources.fasta import chunks
 from strandloom.sources.gff import with_each_parent
@@ -79,13 +79,14 @@ def _painted(models: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def coding_sequence(parts: DataFrame, genome: DataFrame, size: int = 1 << 16) -> DataFrame:
-    """Coding parts with their sequence: an equi-join with pieces of contigs, not with whole ones."""
-    cds = parts.where("type = 'CDS' and end > start").select(*KEYS, "start", "end", F.explode(F.expr(f"sequence(start div {size}, (end - 1) div {size})")).alias("piece"))
-    held = chunks(genome, size).select("seq_id", F.expr(f"start div {size}").alias("piece"), F.col("start").alias("low"), "seq")
-    met = cds.join(held, ["seq_id", "piece"])
+    """Coding parts with their sequence: an equi-join with pieces of contigs, not with whole ones. A coding base beyond its contig has no letter."""
+    cds = parts.where("type = 'CDS' and end > start").select(*KEYS, "start", "end").distinct()
+    held = chunks(genome, size).select("seq_id", F.col("start").alias("low"), "seq")
+    spans = genome.where("length > 0").select("seq_id", F.explode(F.expr(f"sequence(0L, length - 1, {size}L)")).alias("low"), "length").select("seq_id", "low", F.least(F.col("low") + size, F.col("length")).alias("high"))
+    met = intervals.overlapping(cds, spans, ["seq_id"]).join(held, ["seq_id", "low"])
     first = F.greatest("start", "low")
     letters = F.upper(F.substring(F.col("seq"), (first - F.col("low") + 1).cast("int"), (F.least(F.col("end"), F.col("low") + size) - first).cast("int")).cast("string"))
-    each = met.groupBy(*KEYS, "start", "end").agg(F.sort_array(F.collect_list(F.struct(F.col("piece").alias("p"), letters.alias("s")))).alias("xs"))
+    each = met.groupBy(*KEYS, "start", "end").agg(F.sort_array(F.collect_list(F.struct(F.col("low").alias("p"), letters.alias("s")))).alias("xs"))
     return each.select(*KEYS, "start", F.array_join(F.transform("xs", lambda x: x["s"]), "").alias("seq"))
 
 
