@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from strandloom.functions import sequence as S
 from strandloom.operators import blocks, experts, genes, intervals, labels, metrics, packing, regions, runs, tiling
 from strandloom.plans import annotate as plan
-from strandloom.plans import samples
+from strandloom.plans import samples, training
 from strandloom.plans.scoring import CompositionScorer, CompositionTracks
 from strandloom.plans.views import CONTIG_LENGTH, CONTIGS_SQL, DNA_SQL, FEATURES_SQL, MODEL_SQL, SERIES_SQL, dna, features, probability_chunks, series, table
 from strandloom.plans.views import model_rows as samples_view
-from strandloom.session import stored
+from strandloom.session import new_folder, stored
 from strandloom.sources import fasta, fasta_ranges, gff
 
 QUERIES: dict = {}
@@ -789,6 +789,21 @@ def q_moe_combine(spark: SparkSession, d: str) -> DataFrame:
     return out.select("vec_id", F.posexplode("y").alias("i", "y")).withColumn("y", F.round("y", 7))
 
 
+@query(f"""
+    WITH {_GATES}, weights AS (SELECT e AS expert, k, list_transform(range(64), lambda j: ((e + 1) * (3 * k + 5 * j) % 11 - 5) / 16.0::DOUBLE) AS w, (e - k) / 8.0::DOUBLE AS b FROM range(8) x(e), range(8) y(k)),
+    picked AS (SELECT e.vec_id, e.gate, e.expert, embedding::DOUBLE[] AS x FROM each e JOIN gates g USING (vec_id) WHERE r <= 2),
+    parts AS (SELECT vec_id, k, gate * (list_inner_product(w, x) + b) AS y FROM picked JOIN weights USING (expert))
+    SELECT vec_id, k::INT AS i, round(sum(y), 7) AS y FROM parts GROUP BY ALL""")
+def q_moe_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens sent to experts with weight matrices of their own."""
+    e, k = F.col("expert"), F.sequence(F.lit(0), F.lit(7))
+    w = F.transform(k, lambda k: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: ((e + 1) * (3 * k + 5 * j) % 11 - 5) / 16.0))
+    layer = F.struct(w.alias("w"), F.transform(k, lambda k: (e - k) / 8.0).alias("b"))
+    networks = spark.range(8).select(F.col("id").cast("int").alias("expert")).select("expert", F.array(layer).alias("layers"))
+    out = experts.dispatched(_gates(spark, d), networks, "vec_id", "x", "gate")
+    return out.select("vec_id", F.posexplode("y").alias("i", "y")).withColumn("y", F.round("y", 7))
+
+
 @query(f"WITH {_GATES} SELECT vec_id, expert::INT AS best FROM each WHERE r = 1")
 def q_argmax(spark: SparkSession, d: str) -> DataFrame:
     return _gates(spark, d).select("vec_id", S.argmax(F.col("gate")).alias("best"))
@@ -880,6 +895,22 @@ def q_fasta_pieces(spark: SparkSession, d: str) -> DataFrame:
     return pieces.select("seq_id", "length", "start", F.md5("seq").alias("piece_md5"))
 
 
+@query()
+def q_train_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds on windows of the documents' letters, whose labels follow from each base and the next."""
+    tiles = tiling.windows(dna(spark, d), WINDOW, FLANK)
+    place = F.sequence(F.lit(1), F.lit(WINDOW))
+    letters = F.transform(place, lambda i: F.substring(F.col("seq"), i + FLANK, F.lit(2)))
+    ann = F.transform(letters, lambda two: F.when(two.isin("CG", "GC", "CC", "GG"), 2).when(two.startswith("T"), 1).otherwise(0).cast("short"))
+    rows = tiles.withColumn("ann", ann).withColumn("weight", F.transform(letters, lambda two: F.when(two.startswith("X"), 0).otherwise(1).cast("short")))
+    step = F.transform("ann", lambda a, i: (F.coalesce(F.get("ann", i + 1), a) != a).cast("short"))
+    phase = F.transform("ann", lambda a, i: F.when(a == 2, i % 3).otherwise(3).cast("short"))
+    rows = stored(rows.select("seq_id", F.lit(1).alias("strand"), "win_idx", "seq", "ann", "weight", step.alias("transition"), F.col("weight").alias("transition_mask"), phase.alias("phase")))
+    held, used = samples.split(rows, 0.2, 1)
+    done = training.train(used, held, new_folder(spark, "training"), FLANK, 4, 3, 0.02)
+    return done.select("round", F.round("loss", 6).alias("loss"), F.round("macro_f1", 6).alias("macro_f1"), "improved", "stopped")
+
+
 # Storage
 
 

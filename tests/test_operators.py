@@ -1,5 +1,8 @@
 import math
 
+import numpy as np
+import pytest
+
 from strandloom.functions import sequence as S
 from strandloom.operators import experts, genes, labels, metrics, packing, regions, runs, tiling
 from pyspark.sql import functions as F
@@ -165,3 +168,24 @@ def test_mixture_of_experts(spark):
     assert all(math.isclose(a, b) for a, b in zip(got[1] + got[2], [1.1, 2.2, 0.0, 2.0], strict=True))
     soft = experts.softmax_column(rows, "g", "p").where("id = 1").first()["p"]
     assert math.isclose(sum(soft), 1) and soft == sorted(soft, reverse=True)
+
+
+@pytest.mark.parametrize("part", [4, 4096])
+def test_tokens_meet_their_experts_networks(spark, part):
+    """Most tokens go to one expert; two layers each."""
+    r = np.random.default_rng(8)
+    tokens = [(i, r.standard_normal(5).tolist(), r.dirichlet([20, 1, 1, 1]).tolist()) for i in range(60)]
+    layers = [[(r.standard_normal((7, 5)), r.standard_normal(7)), (r.standard_normal((3, 7)), r.standard_normal(3))] for _ in range(4)]
+    rows = [(e, [(w.tolist(), b.tolist()) for w, b in own]) for e, own in enumerate(layers)]
+    networks = spark.createDataFrame(rows, f"expert int, layers {experts.LAYERS}")
+    table = spark.createDataFrame(tokens, "i long, x array<double>, g array<double>").repartition(3)
+    got = {r["i"]: r["y"] for r in experts.dispatched(table, networks, "i", "x", "g", 3, part).collect()}
+    for i, x, g in tokens:
+        wanted = np.zeros(3)
+        for e in sorted(range(4), key=lambda e: (-g[e], e))[:3]:
+            (w1, b1), (w2, b2) = layers[e]
+            wanted += g[e] * (w2 @ np.maximum(w1 @ np.array(x) + b1, 0) + b2)
+        assert np.allclose(got[i], wanted)
+    assert len(got) == 60 and experts.dispatched(table.limit(0), networks, "i", "x", "g").count() == 0
+    with pytest.raises(Exception, match="no weights of expert 0"):
+        experts.dispatched(table, networks.where("expert > 0"), "i", "x", "g").collect()
