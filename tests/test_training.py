@@ -75,7 +75,7 @@ def test_confusions_match_a_count_by_hand(spark, tables):
 
 
 def test_loss_falls_and_a_resumed_run_equals_an_unbroken_one(spark, tables, tmp_path):
-    options = dict(flank=FLANK, reach=REACH, rate=0.005, patience=3)
+    options = dict(flank=FLANK, reach=REACH, rate=0.01, patience=9)
     whole = training.train(*tables, str(tmp_path / "a"), rounds=5, **options).orderBy("round").collect()
     assert [r["round"] for r in whole] == list(range(5)) and all(a["loss"] > b["loss"] for a, b in zip(whole, whole[1:]))
     training.train(*tables, str(tmp_path / "b"), rounds=2, **options)
