@@ -1,7 +1,6 @@
 import numpy as np
 import pytest
 
-from strandloom.operators import metrics
 from strandloom.plans import training
 
 FLANK, REACH = 4, 2
@@ -85,7 +84,6 @@ def test_loss_falls_and_a_resumed_run_equals_an_unbroken_one(spark, tables, tmp_
     assert resumed == whole
     one, two = (training.load(spark, str(tmp_path / x), 4, REACH) for x in "ab")
     assert (one[0].weights == two[0].weights).all() and (one[1] == two[1]).all()
-    assert metrics.accuracy(training.confusions(tables[1], one[0], FLANK).where("task = 0")).first()["accuracy"] > 0.6
 
 
 def test_training_stops_once_nothing_gets_better(spark, tables, tmp_path):
