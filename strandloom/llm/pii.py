@@ -6,7 +6,10 @@ with each entity and with each kind of entity, a text and its exact copies once.
 A term discloses an entity, or that there is one of its kind, if nearly all texts
 with the term have it and knowing the term raises its probability by LEAST_BITS
 bits. Shares are drawn to the entity's share of all texts by SMOOTHING texts, so
-a single text proves nothing. Such terms are spans too, wherever they stand; they
+a single text proves nothing. So many pairs of terms and entities are looked at
+that some look like that by chance: the chance of a pair's counts if term and
+entity had nothing to do with each other, times the number of pairs, is at most
+MOST_FALSE. Such terms are spans too, wherever they stand; they
 are generalised to the kind of entity that they disclose, or removed above
 REMOVE_BITS. Of several entities the one that a term tells most about counts, of
 equals the later kind.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,9 @@ KINDS = ("email", "ip", "card", "phone", "term")
 LEAST_SHARE, LEAST_BITS, REMOVE_BITS = 0.9, 4.0, 16.0
 #: Texts that the share of an entity in all texts counts as, beside those with a term.
 SMOOTHING = 0.2
+#: Terms that would pass for disclosing by chance in the whole corpus, at the most. The chance of n of a term's d texts
+#: having an entity is bounded by exp(-d * divergence of n/d from the entity's share) (Chernoff), the pairs by terms times entities of each text.
+MOST_FALSE = 0.5
 FILTER_BITS = 1 << 21
 #: Text that a worker looks at in one go; its arrays are some thirty times as large.
 _BYTES = 2 << 20
@@ -158,14 +165,19 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
     have = found.where("size(known) > 0").groupBy("digest").agg(F.first(F.struct("spans", "known", "terms")).alias("r")).select("digest", "r.*")
     have = checkpointed(have)
 
-    def rare(entities: DataFrame) -> DataFrame:
+    def rare(entities: DataFrame, *more) -> DataFrame:
         """How many texts have an entity, where that leaves LEAST_BITS bits to learn."""
-        return entities.groupBy("entity").agg(F.count("*").alias("with")).where(F.col("with") * 2**LEAST_BITS <= total)
+        return entities.groupBy("entity").agg(F.count("*").alias("with"), *more).where(F.col("with") * 2**LEAST_BITS <= total)
 
-    # One text's share stays below LEAST_SHARE, so values and terms of one text need no count.
+    kinds_of = F.array_distinct(F.transform("spans", lambda s: s["kind"]))
+    pairs = have.agg(F.sum(F.size("terms").cast("long") * (F.size("known") + F.size(kinds_of)))).first()[0] or 1
+    # One text's share stays below LEAST_SHARE, so values and terms of one text need no count. Values that stand in the same
+    # texts have the same counts with every term: the last of them, by kind, stands for all, so a list of contacts is one value.
     values = have.select("digest", F.explode("known").alias("entity"))
-    values = values.join(rare(values).where("with > 1"), "entity").join(have.select("digest", "terms"), "digest").select(F.explode("terms").alias("term"), "entity", "with")
-    kinds = have.select(F.explode(F.array_distinct(F.transform("spans", lambda s: s["kind"]))).alias("entity"), "terms")
+    place = F.sum(F.xxhash64(F.lit(1), "digest").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(2), "digest"))
+    shared = rare(values, *(c.alias(f"p{k}") for k, c in enumerate(place))).where("with > 1").groupBy("with", "p0", "p1").agg(F.max_by("entity", F.struct(F.col("entity").bitwiseAND(F.lit(3)), "entity")).alias("entity"))
+    values = values.join(shared.select("entity", "with"), "entity").join(have.select("digest", "terms"), "digest").select(F.explode("terms").alias("term"), "entity", "with")
+    kinds = have.select(F.explode(kinds_of).alias("entity"), "terms")
     kinds = kinds.join(F.broadcast(rare(kinds)), "entity").select(F.explode("terms").alias("term"), F.col("entity").cast("long"), "with")
     counts = checkpointed(values.groupBy("term", "entity", "with").agg(F.count("*").alias("n")).union(kinds.groupBy("term", "entity", "with").agg(F.count("*").alias("n"))).where("n > 1"))
     if counts.isEmpty():
@@ -201,7 +213,10 @@ def disclosing(rows: DataFrame, found: DataFrame) -> DataFrame:
     docs = alone.mapInArrow(frequency, "term long, docs long").union(again.mapInArrow(frequency, "term long, docs long")).groupBy("term").agg(F.sum("docs").alias("docs"))
     base = F.col("with") / F.lit(float(total))
     share = (F.col("n") + SMOOTHING * base) / (F.col("docs") + SMOOTHING)
-    joined = counts.join(docs, "term").where(share >= LEAST_SHARE)
+    own = F.col("n") / F.col("docs")
+    apart = own * F.log(own / base) + F.when(own < 1, (1 - own) * F.log((1 - own) / (1 - base))).otherwise(0.0)
+    sure = F.lit(log(pairs)) - F.col("docs") * apart <= log(MOST_FALSE)
+    joined = counts.join(docs, "term").where((share >= LEAST_SHARE) & sure)
     # The last two bits of an entity are its kind, and a kind is its own number.
     most = F.max(F.struct(F.log2(share / base).alias("bits"), F.col("entity").bitwiseAND(F.lit(3)).cast("int").alias("of")))
     return checkpointed(joined.groupBy("term").agg(most.alias("m")).select("term", "m.bits", "m.of").where(F.col("bits") >= LEAST_BITS))
