@@ -20,7 +20,7 @@ BLOCK = 1 << 16
 def block_of(pos: str | Column, size: int) -> Column:
     """The block that a position is in; negative positions are in negative ones."""
     at = F.col(pos) if isinstance(pos, str) else pos
-    return F.floor((at - F.pmod(at, F.lit(size))) / size).cast("long")
+    return F.call_function("div", at - F.pmod(at, F.lit(size)), F.lit(size).cast("long"))
 
 
 def _edge(start: str, end: str, size: int) -> Column:

@@ -40,9 +40,13 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows of df as a Parquet table in the folder of spark.checkpoint.dir: computed once, and read by column."""
+#: Writer options for rows of some hundred kilobytes: readers take a row group's rows at once, so groups stay small.
+WIDE = {"parquet.block.size": 4 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 4}
+
+
+def stored(df: DataFrame, wide: bool = False) -> DataFrame:
+    """The rows of df as a Parquet table in the folder of spark.checkpoint.dir: computed once, and read by column; `wide` for long rows."""
     spark = df.sparkSession
     path = new_folder(spark, "stored")
-    df.write.parquet(path)
+    df.write.options(**(WIDE if wide else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -144,7 +144,7 @@ def read_pieces(spark: SparkSession, path: str, size: int = PIECE, byte_range: i
     repeated identifier is an error.
     """
     spark.dataSource.register(FastaRanges)
-    rows = stored(spark.read.format("fasta_ranges").option("range", byte_range).load(path))
+    rows = stored(spark.read.format("fasta_ranges").option("range", byte_range).load(path), wide=True)
     n = F.octet_length("seq").cast("long")
     each = rows.groupBy("file", "range", "segment", "seq_id").agg(F.sum(n).alias("n"))
     by_range = each.groupBy("file", "range").agg(F.max("segment").alias("headers"), F.max_by("seq_id", "segment").alias("name"), F.max_by("n", "segment").alias("tail"))

@@ -68,11 +68,13 @@ def test_regions_by_blocks_equal_regions_in_one(spark):
 
 def test_a_long_key_is_spread_over_tasks(spark):
     n, size = 400_000, 1 << 12
-    rows = spark.range(n).select(F.lit("k").alias("key"), F.col("id").alias("pos"), (F.col("id") % 7).alias("value"))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(n).select(F.concat(F.lit("k"), F.col("id") % 1).alias("key"), F.col("id").alias("pos"), (F.col("id") % 7).alias("value"))
     summed = blocks.running_sum(rows, ["key"], "value", "total", size=size)
     assert summed.where("pos = 399999").first()["total"] == sum(k % 7 for k in range(n))
-    assert summed.select(F.spark_partition_id().alias("p")).distinct().count() == 4
-    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # A window holds a block: of one key's positions, those of different blocks are dealt out apart.
+    dealt = rows.withColumn("b", blocks.block_of("pos", size)).repartition(4, "key", "b").select(F.spark_partition_id().alias("p"), "b").distinct().groupBy("p").count().collect()
+    assert len(dealt) == 4 and sum(r["count"] for r in dealt) == -(-n // size)
+    plan = summed._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in plan and "__block" in plan
     [one] = runs.runs(rows, ["key"], F.lit(True), size=size).collect()
-    assert tuple(one) == ("k", 0, n - 1, n)
+    assert tuple(one) == ("k0", 0, n - 1, n)
