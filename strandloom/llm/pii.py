@@ -41,7 +41,7 @@ SMOOTHING = 0.2
 MOST_FALSE = 0.5
 FILTER_BITS = 1 << 21
 #: Text that a worker looks at in one go; its arrays are some thirty times as large.
-_BYTES = 2 << 20
+_BYTES = 1 << 20
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
