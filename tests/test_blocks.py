@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandloom.operators import blocks, regions, runs
 
-SIZES = [1, 2, 3, 8, 1 << 16]
+SIZES = [1, 3, 1 << 16]
 
 
 def series(n=400, keys=("a", "b", "c"), seed=1):

@@ -55,7 +55,7 @@ def regions(seed=5):
     return out
 
 
-@pytest.mark.parametrize("size, fan", [(64, 2), (200, 3), (10_000, 64), (1, 8)])
+@pytest.mark.parametrize("size, fan", [(64, 2), (10_000, 64), (1, 8)])
 def test_genes_of_regions_in_pieces_equal_those_of_whole_regions(spark, size, fan):
     whole = [r for r in regions() if r[0]] if size > 1 else [(a, b, c, s[:600], p[:600]) for a, b, c, s, p in regions()[:1]]
     wanted = hmm.annotate_regions(spark.createDataFrame(whole, "seq_id string, strand tinyint, region_start long, seq string, probs array<array<double>>")).collect()
@@ -83,7 +83,7 @@ def test_two_pieces_of_the_older_model_give_the_same_path_at_every_cut(cut_codon
             assert list(left) + list(right) == list(wanted)
 
 
-@pytest.mark.parametrize("size", [1, 7, 40, 4000])
+@pytest.mark.parametrize("size", [1, 7, 4000])
 def test_genes_of_the_older_model_in_pieces_equal_those_of_whole_regions(spark, size):
     whole = []
     for r in range(1 if size == 1 else 3):
