@@ -191,12 +191,12 @@ def untranslated_rows(parts: DataFrame, contigs: DataFrame) -> DataFrame:
 
 def annotate_tracks(genome: DataFrame, scorer: TrackScorer, lineage: str, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE, **thresholds: float | None) -> DataFrame:
     """annotate, by the older model."""
-    return decode_tracks(stored(predict_tracks(genome, scorer, window, flank, piece), wide=True), contigs_of(genome), lineage, **thresholds)
+    return decode_tracks(stored(predict_tracks(genome, scorer, window, flank, piece), wide=window > 4096), contigs_of(genome), lineage, **thresholds)
 
 
 def annotate(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE, **thresholds: float | str | None) -> DataFrame:
     """genome (seq_id, seq_ord, length, seq), or pieces of one, to feature rows; every window is scored once."""
-    return decode(stored(predict(genome, scorer, window, flank, piece), wide=True), contigs_of(genome), **thresholds)
+    return decode(stored(predict(genome, scorer, window, flank, piece), wide=window > 4096), contigs_of(genome), **thresholds)
 
 
 def annotate_to(genome: DataFrame, scorer: Scorer, path: str, **options: float | str | None) -> None:
