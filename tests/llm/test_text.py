@@ -409,6 +409,18 @@ def test_disclosing_terms_are_spans(spark):
     assert table[402]["base_sha256"] == hashlib.sha256(b"").hexdigest() and table[402]["spans"] == ""
 
 
+def test_counts_of_each_kind_wherever_its_spans_stand(spark):
+    """Spans are in one array by kind: a count must go by their kind, not by their place."""
+    texts = ["a@b.cc d@e.ff g@h.ii", "10.0.0.1 +49 (30) 1234567", "4111 1111 1111 1111", "a@b.cc 1.2.3.4", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = {r["doc_id"]: r for r in pii.summary(pii.detected(docs)).collect()}
+    for i, text in enumerate(texts):
+        spans = brute_spans(text)
+        assert [table[i][f"n_{name}"] for name in pii.KINDS[:4]] == [sum(s[0] == k for s in spans) for k in range(4)], text
+        plain = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
+        assert table[i]["base_sha256"] == hashlib.sha256(plain.encode()).hexdigest()
+
+
 def test_terms_disclose_rare_values_and_kinds_from_anywhere_in_a_text(spark):
     random.seed(2)
     filler = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}x" for k in range(200)]
