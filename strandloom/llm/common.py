@@ -17,7 +17,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[ord(c) for c in BLANKS]] = True
-_SEGMENT = 1 << 20
+#: Bytes hashed in one go; a worker keeps tables of twice as many powers.
+_SEGMENT = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -130,7 +131,7 @@ class Words:
         return self.hash[self.first[i] : self.first[i + 1]]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes of text, so that arrays stay small."""
     if batch.num_rows == 0:
         return
