@@ -77,21 +77,26 @@ def children(features: DataFrame, parents: DataFrame) -> DataFrame:
 def _closure(links: DataFrame, most_rounds: int) -> DataFrame:
     """(node, up, depth) of links (node, up): all that a node reaches and the fewest steps to it.
 
-    A round joins what is reached with itself, so paths double in length. A node
-    that reaches itself is an error.
+    A round knows all pairs of up to k steps and adds those of up to 2 * k: a
+    shortest path of more than k steps is one of exactly k and one of at most k
+    behind it, so only pairs of exactly k steps are joined. A node that reaches
+    itself is an error.
     """
     reach = stored(links.distinct().withColumn("depth", F.lit(1).cast("long")))
-    state = reach.agg(F.count("*"), F.sum("depth")).first()
-    for _ in range(most_rounds):
+    for n in range(most_rounds + 1):
         loop = reach.where("node = up").first()
         if loop is not None:
             raise ValueError(f"{loop['node']} is its own ancestor")
+        ends = reach.where(F.col("depth") == 2**n)
+        if ends.isEmpty():
+            return reach
         further = reach.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("depth").alias("more"))
-        longer = reach.join(further, "up").select("node", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        longer = ends.join(further, "up").select("node", F.col("far").alias("up"), (F.col("depth") + F.col("more")).alias("depth"))
+        if n == most_rounds:
+            if longer.isEmpty():
+                return reach
+            break
         reach = stored(reach.unionByName(longer).groupBy("node", "up").agg(F.min("depth").alias("depth")))
-        before, state = state, reach.agg(F.count("*"), F.sum("depth")).first()
-        if state == before:
-            return reach
     raise ValueError(f"features nest deeper than {2**most_rounds} levels")
 
 
@@ -102,11 +107,15 @@ def ancestors(rows: DataFrame, most_rounds: int = 12) -> DataFrame:
     that no feature is named by count as ancestors. A feature above itself is an
     error; features without parents have no rows.
     """
-    each = with_each_parent(rows.select("line_no", "id", "parent")).where("parent is not null")
+    each = stored(with_each_parent(rows.select("line_no", "id", "parent")).where("parent is not null"))
     reach = _closure(each.where("id is not null").select(F.col("id").alias("node"), F.col("parent").alias("up")), most_rounds)
-    direct = each.select("line_no", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
-    above = each.join(reach.withColumnRenamed("node", "parent"), "parent").select("line_no", F.col("up").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-    return direct.unionByName(above).groupBy("line_no", "ancestor").agg(F.min("depth").alias("depth"))
+    # A line that alone has its identifier has that one's ancestors; others have those of their own parents.
+    alone = each.where("id is not null").groupBy(F.col("id").alias("node")).agg(F.min("line_no").alias("line_no"), F.max("line_no").alias("last")).where("line_no = last").drop("last")
+    rest = each.join(alone, "line_no", "left_anti")
+    direct = rest.select("line_no", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
+    above = rest.join(reach.withColumnRenamed("node", "parent"), "parent").select("line_no", F.col("up").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
+    shared = direct.unionByName(above).groupBy("line_no", "ancestor").agg(F.min("depth").alias("depth"))
+    return reach.join(alone, "node").select("line_no", F.col("up").alias("ancestor"), "depth").unionByName(shared)
 
 
 def trees(rows: DataFrame, most_rounds: int = 12) -> DataFrame:
