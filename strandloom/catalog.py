@@ -240,9 +240,10 @@ def _gene_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _numbered(spark: SparkSession, d: str) -> DataFrame:
-    # Genes may begin at one place here; the identifier tells them apart.
+    # Genes may begin at one place here; the identifier tells them apart. From identifiers of 100,000 on places may be equal
+    # all the same: the SQL leaves their order open, here the identifier decides, so that reruns agree.
     rows = _gene_rows(spark, d).withColumn("place", F.col("first_cds") * 100000 + F.col("gene_id"))
-    return genes.numbered(rows, first="place").drop("place")
+    return genes.numbered(rows, first="place", ties=("gene_id",)).drop("place")
 
 
 @query(f"WITH {_NUMBERED} SELECT seq_id, gene_id, gene_no FROM numbered")

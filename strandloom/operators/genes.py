@@ -61,9 +61,9 @@ def to_forward(start: Column, end: Column, length: Column, strand: Column) -> tu
     return F.when(back, length - end).otherwise(start + 1), F.when(back, length - start).otherwise(end + 1)
 
 
-def numbered(genes: DataFrame, contig: str = "seq_id", first: str = "first_cds") -> DataFrame:
-    """genes with gene_no within the contig: forward strand first, by position, then the reverse strand from its far end."""
-    order = W.partitionBy(contig).orderBy(F.desc("strand"), F.when(F.col("strand") == -1, -F.col(first)).otherwise(F.col(first)))
+def numbered(genes: DataFrame, contig: str = "seq_id", first: str = "first_cds", ties: tuple[str, ...] = ()) -> DataFrame:
+    """genes with gene_no within the contig: forward strand first, by position, then the reverse strand from its far end; genes that begin at one place by `ties`."""
+    order = W.partitionBy(contig).orderBy(F.desc("strand"), F.when(F.col("strand") == -1, -F.col(first)).otherwise(F.col(first)), *ties)
     return genes.withColumn("gene_no", F.row_number().over(order))
 
 
