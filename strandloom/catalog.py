@@ -667,9 +667,8 @@ def q_transition_mask(spark: SparkSession, d: str) -> DataFrame:
     SELECT gene_id, child_no, string_agg(p::VARCHAR, '' ORDER BY i) AS phases FROM filled GROUP BY ALL""")
 def q_phase_fill(spark: SparkSession, d: str) -> DataFrame:
     length = F.col("end") - F.col("start") + 1
-    index = F.sequence(F.lit(0).cast("long"), length - 1)
-    filled = F.transform(index, lambda i: labels.filled_phase(i, length, F.col("child_no") % 3, F.col("strand") == -1).cast("string"))
-    return features(spark, d).select("gene_id", "child_no", F.array_join(filled, "").alias("phases"))
+    filled = labels.filled_phases(length, F.col("child_no") % 3, F.col("strand") == -1)
+    return features(spark, d).select("gene_id", "child_no", filled.alias("phases"))
 
 
 @query(f"""

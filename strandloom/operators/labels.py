@@ -150,6 +150,14 @@ def filled_phase(index: Column, length: Column, phase: Column, reverse: Column)
     return F.element_at(turn, ((step + at) % 3 + 1).cast("int"))
 
 
+def filled_phases(length: Column, phase: Column, reverse: Column) -> Column:
+    """filled_phase of all bases of a coding part as one string: a stretch of turns from the right one on, turned around on the reverse strand."""
+    turns = "".join(map(str, PHASES))
+    at = F.array_position(F.array(*map(F.lit, PHASES)), phase.cast("int")).cast("int")
+    stretch = F.substring(F.repeat(F.lit(turns), F.ceil(length / len(turns)).cast("int") + 1), at, length.cast("int"))
+    return F.when(reverse, F.reverse(stretch)).otherwise(stretch)
+
+
 def utr_lengths(exon_bases: DataFrame, keys: list[str]) -> DataFrame:
     """(total_5, total_3, n) over genes that have untranslated bases on both sides; rows have keys, utr_5 and utr_3."""
     each = exon_bases.groupBy(*keys).agg(F.sum("utr_5").alias("utr_5"), F.sum("utr_3").alias("utr_3")).where("utr_5 > 0 and utr_3 > 0")
