@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandloom.operators.lattice import Lattice
+
 #: N stands for any other letter.
 BASES = "AGCTN"
 STOP_CODONS = ("TAA", "TAG", "TGA")
@@ -57,6 +59,7 @@ class Machine:
             for s in range(len(self.names)):
                 own = [a for a, b in self.edges[base] if b == s]
                 self.before[k, s, : len(own)] = own
+        self.lattice = Lattice(self.before)
         #: By base, the edges in order of the state they lead to: where from, where each state's edges begin, and those states.
         self.steps = []
         for base in BASES:
@@ -177,51 +180,48 @@ def decode(
     if not len(order) or not lengths[0]:
         return [np.zeros(0, np.int64) for _ in sequences]
     n, size, states = len(order), int(lengths[0]), len(m.names)
-    emit = np.full((size, n, 5), -np.inf)
+    begin = 1 if entries is None else 0
+    starts = [m.number[f"start{k}"] for k in range(3)]
+    emit = np.full((size, 5, n), -np.inf)
     base = np.full((size, n), 1, np.int8)
-    known = np.zeros((size, n), bool)
-    with np.errstate(divide="ignore"):
+    # What the steps into a start codon's bases and into a GC donor's second cost beside the emission.
+    more = np.zeros((size, 4, n))
+    with np.errstate(divide="ignore", invalid="ignore"):
         for column, i in enumerate(order):
-            emit[: len(sequences[i]), column] = np.log(np.maximum(probabilities[i].astype(float), floor))
-            own = _letters(sequences[i])
-            known[: len(own), column] = own >= 0
-            base[: len(own), column] = np.where(own >= 0, own, 1 if n_as_g else 4)
-    number = m.number
-    starts = [(0, number["start0"]), (3, number["start1"]), (1, number["start2"])]
-    d1 = np.array([number[f"{g}.D1"] for g in CODING])
-    g_weight = np.full(n, -np.inf) if carried is None else np.array([carried[i] for i in order], float)
-    score = np.full((n, states), -np.inf)
-    score[:, 0] = 0
-    if entries is not None:
-        score[:] = [entries[i] for i in order]
-    back = np.zeros((size, n, states), np.int16)
-    for t in range(1 if entries is None else 0, size):
+            here = slice(0, lengths[column])
+            own, letter = np.log(np.maximum(probabilities[i].astype(float), floor)), _letters(sequences[i])
+            on = np.where(letter >= 0, letter, 1 if n_as_g else 4)
+            emit[here, :, column], base[here, column] = own, on
+            paid = [start_weight(own[:, m.emits[state]]) for state in starts]
+            seen = np.maximum.accumulate(np.where((letter == 1) & (np.arange(len(letter)) >= begin), np.arange(len(letter)), -1))
+            paid[2] = np.where(seen >= 0, paid[2][np.maximum(seen, 0)], -np.inf if carried is None else carried[i])
+            for k, b in enumerate((0, 3, 1)):
+                more[here, k, column] = np.where(on == b, paid[k], 0.0)
+            more[here, 3, column] = np.where(on == 2, 1000 * own[:, 4], 0.0)
+    steps, rows = m.lattice, m.lattice.row
+    start_rows, donor_rows, emits = rows[starts], rows[[m.number[f"{g}.D1"] for g in CODING]], m.emits[m.lattice.state]
+    scores = np.full((size + 1 - begin, states, n), -np.inf)
+    if entries is None:
+        scores[0, rows[0]] = 0
+    else:
+        scores[0] = np.array([entries[i] for i in order], float).T[steps.state]
+    # scores[t + 1 - begin] are those behind the base t.
+    for t in range(begin, size):
+        live = int(np.searchsorted(-lengths, -t, "left"))
+        value = steps.best(scores[t - begin, :, :live], base[t, :live])
+        value[start_rows] += more[t, :3, :live]
+        value[donor_rows] += more[t, 3, :live]
+        value += np.take(emit[t, :, :live], emits, axis=0)
+        scores[t + 1 - begin, :, :live] = value
+    path = np.zeros((size, n), np.int64)
+    path[lengths - 1, np.arange(n)] = 0 if ends is None else [ends[i] for i in order]
+    for t in range(size - 1, 0, -1):
         live = int(np.searchsorted(-lengths, -t, "left"))
-        b, e = base[t, :live], emit[t, :live][:, m.emits]
-        before = m.before[b]
-        at = np.arange(live)
-        value = np.where(before >= 0, score[at[:, None, None], np.maximum(before, 0)], -np.inf)
-        for k, state in starts:
-            own = e[:, state]
-            paid = start_weight(own)
-            if k == 1:
-                g_weight[:live] = np.where(known[t, :live] & (b == 1), paid, g_weight[:live])
-                paid = g_weight[:live]
-            rows = b == k
-            value[rows, state, 0] += paid[rows]
-        rows = np.flatnonzero(b == 2)
-        with np.errstate(invalid="ignore"):
-            value[rows[:, None], d1[None, :], 0] += 1000 * e[rows[:, None], d1[None, :]]
-        best = value.argmax(2)
-        back[t, :live] = np.take_along_axis(before, best[:, :, None], 2)[:, :, 0]
-        score[:live] = np.take_along_axis(value, best[:, :, None], 2)[:, :, 0] + e
+        came, _ = steps.came(scores[t - begin, :, :live], base[t, :live], path[t, :live])
+        path[t - 1, :live] = np.maximum(came, 0)
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     for column, i in enumerate(order):
-        path = np.zeros(lengths[column], np.int64)
-        path[-1:] = 0 if ends is None else ends[i]
-        for t in range(lengths[column] - 1, 0, -1):
-            path[t - 1] = max(back[t, column, path[t]], 0)
-        out[i] = path
+        out[i] = path[: lengths[column], column].copy()
     return out
 
 
@@ -277,7 +277,7 @@ def annotate_regions(regions: DataFrame, min_length: int = 60, min_score: float
     """A row per coding run of the genes in `regions` (seq_id, strand, region_start, seq, probs: an array of five-number arrays).
 
     Positions are 0-based, strand-local, ends inclusive. Regions of a batch are
-    decoded side by side while their backward pointers fit the budget; a failing
+    decoded side by side while their scores fit the budget; a failing
     region fails the job.
     """
 
@@ -290,7 +290,8 @@ def annotate_regions(regions: DataFrame, min_length: int = 60, min_score: float
                 rows.append(row | {"probs": flat[inner[at[i]] : inner[at[i + 1]]].reshape(-1, 5)})
             rows.sort(key=lambda r: -len(r["seq"]))
             while rows:
-                many = max(1, budget // (2 * states * max(1, len(rows[0]["seq"]))))
+                # The scores of all states and ten numbers a base.
+                many = max(1, budget // (8 * (states + 10) * max(1, len(rows[0]["seq"]))))
                 now, rows = rows[:many], rows[many:]
                 p = [r["probs"].astype(float) for r in now]
                 out = {k: [] for k in ("seq_id", "strand", "gene_start", "start", "end", "score", "cds_score")}

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandloom.operators.lattice import Lattice
+
 FLOOR = 1e-64
 #: Donor and acceptor of the kinds of introns.
 SPLICE = {"GT": "AG", "GC": "AG", "AT": "AC"}
@@ -75,6 +77,7 @@ class Machine:
             for s, own in enumerate(table):
                 for k, (a, change) in enumerate(sorted(own.items())):
                     self.before[c, s, k], self.changed[c, s, k] = a, change
+        self.lattice = Lattice(self.before, self.changed)
 
     def _before(self, base: str, donor: str, end: str) -> list[dict[int, bool]]:
         out: list[dict[int, bool]] = [{} for _ in self.names]
@@ -206,40 +209,50 @@ def decode(
     if not len(order) or not lengths[0]:
         return [np.zeros(0, np.int64) for _ in sequences]
     n, size, states, closed = len(order), int(lengths[0]), len(m.names), float(np.log(FLOOR))
-    # Six numbers a base, whatever the number of states, and the chances of the step onto a base.
-    emit, step, context = np.zeros((size, n, 6)), np.zeros((size, n, 2)), np.zeros((size, n), np.int64)
+    begin = 1 if entries is None else 0
+    # Seven numbers a base, whatever the number of states, and the chances of the step onto a base.
+    emit, step, context = np.zeros((size, 7, n)), np.zeros((size, 2, n)), np.zeros((size, n), np.int64)
     for column, i in enumerate(order):
-        own = beside[i] if beside else Beside()
-        emit[: lengths[column], column] = _by_class(classes[i], phases[i])
-        step[: lengths[column], column] = np.log(np.maximum(np.concatenate([[own.changes], changes[i][:-1, :2]]).astype(float), FLOOR))
-        context[: lengths[column], column] = contexts(sequences[i], own.left, own.right)
-    score = np.full((n, states), -np.inf)
-    score[:, 0] = 0
-    if entries is not None:
-        score[:] = [entries[i] for i in order]
-    back = np.zeros((size, n, states), np.int16)
-    for t in range(1 if entries is None else 0, size):
+        own, here = beside[i] if beside else Beside(), slice(0, lengths[column])
+        emit[here, :6, column] = _by_class(classes[i], phases[i])
+        step[here, :, column] = np.log(np.maximum(np.concatenate([[own.changes], changes[i][:-1, :2]]).astype(float), FLOOR))
+        context[here, column] = contexts(sequences[i], own.left, own.right)
+    emit[:, 6] = emit[:, INTRON] * RARE
+    steps = m.lattice
+    emits = np.where(m.times == RARE, 6, m.emits)[steps.state]
+    scores, most = np.full((size + 1 - begin, states, n), -np.inf), np.full((size + 1 - begin, n), -np.inf)
+    if entries is None:
+        scores[0, steps.row[0]] = 0
+    else:
+        scores[0] = np.array([entries[i] for i in order], float).T[steps.state]
+    # scores[t + 1 - begin] are those behind the base t, most the best of them.
+    most[0] = scores[0].max(0)
+    both = np.empty((2 * states, n))
+    for t in range(begin, size):
+        live = int(np.searchsorted(-lengths, -t, "left"))
+        before = scores[t - begin, :, :live]
+        np.add(before, step[t, 0, :live], out=both[:states, :live])
+        np.add(before, step[t, 1, :live], out=both[states:, :live])
+        value = steps.best(both[:, :live], context[t, :live])
+        np.maximum(value, most[t - begin, :live] + closed, out=value)
+        value += np.take(emit[t, :, :live], emits, axis=0)
+        scores[t + 1 - begin, :, :live] = value
+        most[t + 1 - begin, :live] = value.max(0)
+    path = np.zeros((size, n), np.int64)
+    path[lengths - 1, np.arange(n)] = 0 if ends is None else [ends[i] for i in order]
+    for t in range(size - 1, 0, -1):
         live = int(np.searchsorted(-lengths, -t, "left"))
-        at, now = np.arange(live), context[t, :live]
-        before, changed = m.before[now], m.changed[now]
-        weight = np.where(changed, step[t, :live, 1, None, None], step[t, :live, 0, None, None])
-        value = np.where(before >= 0, score[at[:, None, None], np.maximum(before, 0)] + weight, -np.inf)
-        best = value.argmax(2)
-        allowed = np.take_along_axis(value, best[:, :, None], 2)[:, :, 0]
-        came = np.take_along_axis(before, best[:, :, None], 2)[:, :, 0]
-        first = score[:live].argmax(1)[:, None]
-        forced = score[at, first[:, 0]][:, None] + closed
-        # Of equals, the lower number.
-        use = (forced > allowed) | ((forced == allowed) & (first < came))
-        back[t, :live] = np.where(use, first, came)
-        score[:live] = np.where(use, forced, allowed) + emit[t, :live][:, m.emits] * m.times
+        came, allowed = steps.came(scores[t - begin, :, :live], context[t, :live], path[t, :live], step[t, :, :live])
+        forced = most[t - begin, :live] + closed
+        some = np.flatnonzero(forced >= allowed)
+        if len(some):
+            # Of equals, the lower number.
+            first = scores[t - begin][steps.row][:, some].argmax(0)
+            came[some] = np.where((forced[some] > allowed[some]) | (first < came[some]), first, came[some])
+        path[t - 1, :live] = came
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
     for column, i in enumerate(order):
-        path = np.zeros(lengths[column], np.int64)
-        path[-1:] = 0 if ends is None else ends[i]
-        for t in range(lengths[column] - 1, 0, -1):
-            path[t - 1] = back[t, column, path[t]]
-        out[i] = path
+        out[i] = path[: lengths[column], column].copy()
     return out
 
 
@@ -321,8 +334,8 @@ def annotate_regions(regions: DataFrame, min_length: int = 60, min_score: float
             rows = list(zip(*(batch.column(c).to_pylist() for c in range(4)), *(arrays(batch.column(c)) for c in range(4, 7)), strict=True))
             rows.sort(key=lambda r: -len(r[3]))
             while rows:
-                # Two bytes a base and state to go back, and eight numbers a base.
-                many = max(1, budget // ((2 * states + 72) * max(1, len(rows[0][3]))))
+                # The scores of all states and twelve numbers a base.
+                many = max(1, budget // (8 * (states + 12) * max(1, len(rows[0][3]))))
                 now, rows = rows[:many], rows[many:]
                 paths = decode(*([r[k] for r in now] for k in (4, 5, 6, 3)), min_intron, cut_codons)
                 out = []

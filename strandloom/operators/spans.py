@@ -9,7 +9,7 @@ scores kept at every piece's edge: with them a piece is decoded on its own,
 backward pointers and all, and no task ever holds more than a few pieces or FAN
 tables.
 
-A piece's path is the whole region's path there, but for ties: where two paths
+A region of one piece is decoded as it is. A piece's path is the whole region's path there, but for ties: where two paths
 score the same up to rounding, the pieces may take the other one.
 
 Genes that end within a piece are whole. Those that reach an edge are fragments,
@@ -88,7 +88,7 @@ class CodonModel:
         return {"carried": F.last("g", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))}
 
     def bytes_per_base(self) -> int:
-        return 2 * len(hmm.machine(self.min_intron).names) + 48
+        return 8 * (len(hmm.machine(self.min_intron).names) + 10)
 
     def _weight(self, row: dict) -> float:
         with np.errstate(divide="ignore"):
@@ -126,7 +126,7 @@ class UntranslatedModel:
         return {"left": left, "right": F.coalesce(F.lead("head").over(order), none), "before": F.lag("leaving").over(order)}
 
     def bytes_per_base(self) -> int:
-        return 2 * len(hmm_utr.machine(*self.machine).names) + 72
+        return 8 * (len(hmm_utr.machine(*self.machine).names) + 12)
 
     def _beside(self, row: dict) -> hmm_utr.Beside:
         return hmm_utr.Beside(row["left"], row["right"], tuple(row["before"] or (1.0, 1.0)))
@@ -282,7 +282,10 @@ def annotate_pieces(pieces: DataFrame, model: Model, budget: int = 32 << 20, fan
                 row = batch.slice(i, 1)
                 yield pa.RecordBatch.from_arrays([*(row.column(k) for k in (*KEYS, "piece")), pa.array([model.table(rows_of(row)[0]).tobytes()])], names=[*KEYS, "piece", "table"])
 
-    ends = stored(path_ends(stored(wide.mapInArrow(tabled, f"{keys}, piece bigint, table binary")), fan))
+    # A region of one piece begins and ends as regions do: it needs no table.
+    alone = numbered.where("piece = 0 and last").select(*KEYS, "piece", F.lit(None).cast("binary").alias("entry"), F.lit(0).alias("leave"))
+    tables = wide.where("piece > 0 or not last").mapInArrow(tabled, f"{keys}, piece bigint, table binary")
+    ends = stored(path_ends(stored(tables), fan).select(*KEYS, "piece", "entry", "leave").unionByName(alone))
 
     def found(row: dict, path: np.ndarray) -> Iterator[dict]:
         """What stands between intergenic runs, at its place in the contig."""

@@ -30,10 +30,10 @@ def n_windows(length: Column, window: int) -> Column:
 
 def both_strands(tiles: DataFrame, window: int) -> DataFrame:
     """The tiles as strand 1, and reverse-complemented in reverse order as strand -1."""
-    forward = tiles.withColumn("strand", F.lit(1).cast("byte"))
     turned = (n_windows(F.col("length"), window) - 1 - F.col("win_idx")).cast("int")
-    backward = tiles.withColumn("win_idx", turned).withColumn("seq", reverse_complement(F.col("seq"))).withColumn("strand", F.lit(-1).cast("byte"))
-    return forward.unionByName(backward)
+    back = F.col("strand") == -1
+    both = tiles.withColumn("strand", F.explode(F.array(F.lit(1).cast("byte"), F.lit(-1).cast("byte"))))
+    return both.withColumns({"win_idx": F.when(back, turned).otherwise(F.col("win_idx")), "seq": F.when(back, reverse_complement(F.col("seq"))).otherwise(F.col("seq"))})
 
 
 def kept_range(window: int) -> tuple[Column, Column]:

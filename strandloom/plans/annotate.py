@@ -17,7 +17,7 @@ from strandloom.sources.fasta_ranges import PIECE, windows_of_pieces
 from strandloom.sources.gff import write_gff
 
 WINDOW, FLANK = 30720, 5120
-#: Bases of a region that one task decodes alone: 26 MB of backward pointers.
+#: Bases of a region that one task decodes alone: 105 MB of scores.
 WHOLE = 1 << 18
 #: Least coding score where neither a score nor a lineage is given.
 LEAST_SCORE = 0.5
@@ -95,7 +95,8 @@ def found_regions(pieces: DataFrame, average: float = 0.1, most: float = 0.5, tr
 def parts_of(found: DataFrame, pieces: DataFrame, tracks: tuple[str, ...] = ("probs",)) -> DataFrame:
     """(seq_id, strand, region_start, region_end, start, seq, tracks): what scored pieces have of the regions that they overlap."""
     key = ["seq_id", "strand"]
-    spans = pieces.select(*key, "start", (F.col("start") + F.size(tracks[0])).alias("piece_end"))
+    # A piece has as many letters as places in its tracks, which are dearer to read.
+    spans = pieces.select(*key, "start", (F.col("start") + F.length("seq")).alias("piece_end"))
     pairs = intervals.overlapping(found.select(*key, "region_start", "region_end"), spans, key, ("region_start", "region_end"), ("start", "piece_end"))
     met = pairs.join(pieces.select(*key, "start", "seq", *tracks), [*key, "start"])
     low, high = F.greatest("start", "region_start"), F.least("piece_end", "region_end")

@@ -83,8 +83,8 @@ class DenseScorer:
 def _nested(values: list[np.ndarray]) -> pa.Array:
     """Matrices as a list of lists each."""
     flat, width = np.concatenate([v.ravel() for v in values]), values[0].shape[1]
-    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width), pa.int32()), pa.array(flat))
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(v) for v in values)]), pa.int32()), inner)
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, width, dtype=np.int32)), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(v) for v in values)], dtype=np.int32)), inner)
 
 
 def scored(tiles: DataFrame, scorer: Scorer | TrackScorer, window: int, flank: int, batch: int = 32, tracks: tuple[str, ...] = ("probs",)) -> DataFrame:

@@ -78,7 +78,9 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
     # A table of one or two small files would be cleaned by one or two tasks.
     if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
         docs = docs.repartition(spark.sparkContext.defaultParallelism)
-    return spark.sql(DNA_SQL.replace("{flag}", ""), documents=docs).where("length(seq) > 0")
+    # What DNA_SQL gives: runs of other letters go at once, and only what is left is translated.
+    letters = F.translate(F.regexp_replace("text", "[^ACGTacgt]+", ""), "acgt", "ACGT")
+    return docs.where(F.col("text").rlike("[ACGTacgt]")).select(F.col("doc_id").alias("seq_id"), letters.alias("seq"))
 
 
 def probability_chunks(genome: DataFrame, chunk: int = 3000) -> DataFrame:
