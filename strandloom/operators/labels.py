@@ -56,14 +56,16 @@ def written(intervals: DataFrame, keys: list[str], value: str = "value", order:
 
 
 def last_written(intervals: DataFrame, keys: list[str], value: str = "value", order: str = "write_seq") -> DataFrame:
-    """(keys, pos, value): the spans of `written`, a row for each position."""
-    return written(intervals, keys, value, order).select(*keys, F.explode(F.expr("sequence(start, end - 1)")).alias("pos"), value)
+    """(keys, pos, value): the spans of `written`, a row for each position. As there is one for each in the end, intervals are cut into positions at once, and the last writer of each is an aggregate."""
+    rows = intervals.where("end > start").select(*keys, F.explode(F.expr("sequence(cast(start as bigint), cast(end as bigint) - 1)")).alias("pos"), F.col(value).alias("__value"), F.col(order).alias("__order"))
+    return rows.groupBy(*keys, "pos").agg(F.max_by("__value", "__order").alias(value))
 
 
 def painted(transcripts: DataFrame, exons: DataFrame, cds: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, start, end, class) as disjoint spans: 2 on coding bases, 1 on other exon bases, 3 on the rest of a transcript.
 
-    Counts of open intervals of each kind, by position: one window, no join.
+    Counts of open intervals of each kind, by position: one window, no join. Edges
+    at one place see the same counts, and only the last of them has a span behind it.
     """
     kinds = ("transcript", "exon", "coding")
     edges = None
@@ -72,11 +74,10 @@ def painted(transcripts: DataFrame, exons: DataFrame, cds: DataFrame, keys: list
         own = frame.where("end > start").select(*keys, F.posexplode(F.array("start", "end")).alias("side", "at"))
         own = own.select(*keys, "at", *(step.alias(n) if n == kinds[k] else F.lit(0).alias(n) for n in kinds))
         edges = own if edges is None else edges.unionByName(own)
-    steps = edges.groupBy(*keys, "at").agg(*(F.sum(n).alias(n) for n in kinds))
     by = W.partitionBy(*keys).orderBy("at")
-    now = steps.select(*keys, F.col("at").alias("start"), F.lead("at").over(by).alias("end"), *(F.sum(n).over(by).alias(n) for n in kinds))
+    now = edges.select(*keys, F.col("at").alias("start"), F.lead("at").over(by).alias("end"), *(F.sum(n).over(by.rangeBetween(W.unboundedPreceding, 0)).alias(n) for n in kinds))
     kind = F.when(F.col("coding") > 0, 2).when(F.col("exon") > 0, 1).when(F.col("transcript") > 0, 3)
-    return now.where("end is not null").select(*keys, "start", "end", kind.alias("class")).where("class is not null")
+    return now.where("end > start").select(*keys, "start", "end", kind.alias("class")).where("class is not null")
 
 
 def transition_windows(transcripts: DataFrame, exons: DataFrame, cds: DataFrame, keys: list[str], weights: tuple[int, ...] = (16,) * 6, strand: str | None = None) -> DataFrame:
@@ -92,17 +93,18 @@ def transition_windows(transcripts: DataFrame, exons: DataFrame, cds: DataFrame,
     inner = W.partitionBy(*keys).orderBy("start")
     gaps = exons.withColumn("r", reverse).withColumn("b", F.lead("start").over(inner)).where("b is not null").select(*keys, F.col("end").alias("a"), "b", "r")
 
-    def at(rows: DataFrame, left: tuple[int, int], right: tuple[int, int], first: bool) -> DataFrame:
-        """A window at the left boundary a or the right one b: at the first of the two in reading order, or the second."""
-        here = F.col("r") != F.lit(first)
-        return rows.select(*keys, *(F.when(here, F.col("a") + x).otherwise(F.col("b") + y).alias(n) for n, x, y in zip(("start", "end"), left, right, strict=True)))
-
-    pieces = [at(rows, left, right, first) for rows, left, right in ((ends, (-1, 3), (-3, 1)), (whole, (-1, 1), (-1, 1)), (gaps, (-1, 2), (-2, 1))) for first in (True, False)]
-    out = None
-    for rank, (piece, weight) in enumerate(zip(pieces, weights, strict=True)):
-        rows = piece.select(*keys, F.greatest(F.col("start"), F.lit(0)).cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.lit(weight).alias("value"), F.lit(rank).alias("write_seq"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    def at(rows: DataFrame, left: tuple[int, int], right: tuple[int, int], rank: int) -> DataFrame:
+        """Windows at the left boundary a and the right one b: first that at the first of the two in reading order, then the other."""
+        both = []
+        for k in (0, 1):
+            here = F.col("r") != F.lit(k == 0)
+            ends = (F.when(here, F.col("a") + x).otherwise(F.col("b") + y) for x, y in zip(left, right, strict=True))
+            low, high = (e.cast("long") for e in ends)
+            both.append(F.struct(F.greatest(low, F.lit(0)).cast("long").alias("start"), high.alias("end"), F.lit(weights[rank + k]).alias("value"), F.lit(rank + k).alias("write_seq")))
+        return rows.select(*keys, F.inline(F.array(*both)))
+
+    starts = at(ends, (-1, 3), (-3, 1), 0)
+    return starts.unionByName(at(whole, (-1, 1), (-1, 1), 2)).unionByName(at(gaps, (-1, 2), (-2, 1), 4))
 
 
 def boundary_errors(parts: DataFrame, keys: list[str], order: str = "start") -> DataFrame:
