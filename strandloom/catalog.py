@@ -10,7 +10,7 @@ from strandloom.operators import blocks, experts, genes, intervals, labels, metr
 from strandloom.plans import annotate as plan
 from strandloom.plans import samples, training
 from strandloom.plans.scoring import CompositionScorer, CompositionTracks
-from strandloom.plans.views import CONTIG_LENGTH, CONTIGS_SQL, DNA_SQL, FEATURES_SQL, MODEL_SQL, SERIES_SQL, dna, features, probability_chunks, series, table
+from strandloom.plans.views import CONTIG_LENGTH, CONTIGS_SQL, DNA_SQL, FEATURES_SQL, MODEL_SQL, SERIES_SQL, dna, features, probability_chunks, series, stored_features, table
 from strandloom.plans.views import model_rows as samples_view
 from strandloom.session import new_folder, stored
 from strandloom.sources import fasta, fasta_ranges, gff
@@ -488,7 +488,7 @@ def q_overlap_accept(spark: SparkSession, d: str) -> DataFrame:
     painted AS (SELECT gene_id, pos, arg_max(class, r) AS class FROM marks GROUP BY gene_id, pos)
     SELECT gene_id, class, count(*) AS n, sum(pos)::BIGINT AS checksum FROM painted GROUP BY ALL""")
 def q_paint(spark: SparkSession, d: str) -> DataFrame:
-    parts = features(spark, d)
+    parts = stored_features(spark, d)
     whole = parts.groupBy("gene_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     rows = labels.painted(whole, parts, parts.where("kind <> 'N'"), ["gene_id"])
     n = F.col("end") - F.col("start")
@@ -511,7 +511,7 @@ def q_paint(spark: SparkSession, d: str) -> DataFrame:
     SELECT gene_id, pos, arg_max(value, r) AS value FROM marks GROUP BY gene_id, pos""")
 def q_weights_last_writer(spark: SparkSession, d: str) -> DataFrame:
     """Windows around boundaries on both strands: those of reverse genes are mirrored."""
-    parts = features(spark, d)
+    parts = stored_features(spark, d)
     whole = parts.groupBy("gene_id", "strand").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     windows = labels.transition_windows(whole, parts, parts.where("kind <> 'N'"), ["gene_id"], (16, 17, 18, 19, 20, 21), "strand")
     return labels.last_written(windows, ["gene_id"]).select("gene_id", "pos", "value")

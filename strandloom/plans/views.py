@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandloom.session import stored
+from strandloom.session import spread, stored
 
 SERIES_SQL = """
     SELECT user_id AS key, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS pos, value,
@@ -59,13 +59,22 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """gene_id, child_no, seq_id, strand, start, end, score, kind."""
-    rows = view(spark, sf_dir, FEATURES_SQL, "lineitem", "orders")
-    return rows.withColumnRenamed("start_pos", "start").withColumnRenamed("end_pos", "end")
+    return _parts(spark, sf_dir).withColumnRenamed("start_pos", "start").withColumnRenamed("end_pos", "end")
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FEATURES_SQL with the parts of a gene in one of many small tasks, whatever the size of the tables."""
+    return spark.sql(FEATURES_SQL, lineitem=spread(table(spark, sf_dir, "lineitem"), "l_orderkey"), orders=table(spark, sf_dir, "orders"))
+
+
+def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """features, numbered and joined once for a query that reads them several times, dealt by gene."""
+    return spread(stored(features(spark, sf_dir)), "gene_id")
 
 
 def model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(genome, features) for the label workflow."""
-    parts = view(spark, sf_dir, FEATURES_SQL, "lineitem", "orders")
+    parts = spread(stored(_parts(spark, sf_dir)), "gene_id")
     rows = spark.sql(MODEL_SQL, features=parts).withColumnRenamed("start_at", "start").withColumnRenamed("end_at", "end")
     contigs = spark.sql(CONTIGS_SQL, features=parts)
     # Read many times over; as a view each window would build its whole contig again.

@@ -50,3 +50,13 @@ def stored(df: DataFrame, wide: bool = False) -> DataFrame:
     path = new_folder(spark, "stored")
     df.write.options(**(WIDE if wide else {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that a task holds, about, of a table dealt by `spread`.
+TASK_ROWS = 1 << 18
+
+
+def spread(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
+    """df dealt by keys over as many tasks as hold about `rows` each, those of the session at least: a task's memory does not grow with the table. df is counted first, so it is a table or cheap."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)
