@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandloom.functions.sequence import reverse_complement_strict
-from strandloom.operators import intervals, labels, tiling
-from strandloom.session import stored
+from strandloom.operators import labels, tiling
+from strandloom.session import stored, tasks_for
 from strandloom.sources.fasta import chunks
 from strandloom.sources.gff import with_each_parent
 
@@ -61,8 +61,15 @@ def gene_models(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return able.join(taken, "gene_line"), parts.join(taken, "gene_line", "left_semi"), masks.select("seq_id", "strand", F.col("line_no").alias("gene_line"), "start", "end")
 
 
+def _dealt(models: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables by gene over the same tasks, as many as the parts need."""
+    n = tasks_for(parts)
+    return models.repartition(n, "gene_line"), parts.repartition(n, "gene_line")
+
+
 def utr_totals(models: DataFrame, parts: DataFrame) -> DataFrame:
     """(total_5, total_3, n): untranslated bases before the first and behind the last coding base in reading order, of genes that have both."""
+    models, parts = _dealt(stored(models), stored(parts))
     ends = _coding_ends(parts)
     spans = _painted(models, parts).where("class = 1").join(ends, KEYS)
     left, right = F.greatest(F.least("end", "a") - F.col("start"), F.lit(0)), F.greatest(F.col("end") - F.greatest("start", "b"), F.lit(0))
@@ -82,12 +89,16 @@ def coding_sequence(parts: DataFrame, genome: DataFrame, size: int = 1 << 16) ->
     """Coding parts with their sequence: an equi-join with pieces of contigs, not with whole ones. A coding base beyond its contig has no letter."""
     cds = parts.where("type = 'CDS' and end > start").select(*KEYS, "start", "end").distinct()
     held = chunks(genome, size).select("seq_id", F.col("start").alias("low"), "seq")
-    spans = genome.where("length > 0").select("seq_id", F.explode(F.expr(f"sequence(0L, length - 1, {size}L)")).alias("low"), "length").select("seq_id", "low", F.least(F.col("low") + size, F.col("length")).alias("high"))
-    met = intervals.overlapping(cds, spans, ["seq_id"]).join(held, ["seq_id", "low"])
+    # Pieces are a grid: a part is cut at its lines, and most lie between two of them.
+    cut = cds.where("end > 0").withColumn("low", F.explode(F.expr(f"sequence(cast(greatest(start, 0) as bigint) div {size} * {size}, cast(end as bigint) - 1, {size}L)")))
+    met = cut.join(held, ["seq_id", "low"])
     first = F.greatest("start", "low")
     letters = F.upper(F.substring(F.col("seq"), (first - F.col("low") + 1).cast("int"), (F.least(F.col("end"), F.col("low") + size) - first).cast("int")).cast("string"))
-    each = met.groupBy(*KEYS, "start", "end").agg(F.sort_array(F.collect_list(F.struct(F.col("low").alias("p"), letters.alias("s")))).alias("xs"))
-    return each.select(*KEYS, "start", F.array_join(F.transform("xs", lambda x: x["s"]), "").alias("seq"))
+    # A part that begins behind its contig's end has no letters in the last piece.
+    each, alone = met.select(*KEYS, "start", "end", "low", letters.alias("s")).where("s <> ''"), (F.col("start") >= F.col("low")) & (F.col("end") <= F.col("low") + size)
+    several = each.where(~alone).groupBy(*KEYS, "start", "end").agg(F.sort_array(F.collect_list(F.struct(F.col("low").alias("p"), "s"))).alias("xs"))
+    joined = several.select(*KEYS, "start", F.array_join(F.transform("xs", lambda x: x["s"]), "").alias("seq"))
+    return each.where(alone).select(*KEYS, "start", F.col("s").alias("seq")).unionByName(joined)
 
 
 def error_intervals(models: DataFrame, parts: DataFrame, genome: DataFrame, average_5: int, average_3: int, mask_length: int = MASK_LENGTH) -> DataFrame:
@@ -99,6 +110,7 @@ def error_intervals(models: DataFrame, parts: DataFrame, genome: DataFrame, aver
     frame; 17, 18 overlapping coding parts and exons; 19 untranslated bases
     between coding ones. On the reverse strand left and right change roles.
     """
+    models, parts = _dealt(models, parts)
     back = F.col("strand") == -1
     sequences = stored(coding_sequence(parts, genome))
     codons = labels.codon_errors(sequences.where("strand = 1"), KEYS).unionByName(labels.codon_errors(sequences.where("strand = -1"), KEYS, True))

@@ -56,7 +56,11 @@ def stored(df: DataFrame, wide: bool = False) -> DataFrame:
 TASK_ROWS = 1 << 18
 
 
+def tasks_for(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """As many tasks as hold about `rows` rows of df each, those of the session at least. df is counted, so it is a table or cheap."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def spread(df: DataFrame, *keys: str, rows: int = TASK_ROWS) -> DataFrame:
-    """df dealt by keys over as many tasks as hold about `rows` each, those of the session at least: a task's memory does not grow with the table. df is counted first, so it is a table or cheap."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, -(-df.count() // rows)), *keys)
+    """df dealt by keys over tasks_for it: a task's memory does not grow with the table."""
+    return df.repartition(tasks_for(df, rows), *keys)
