@@ -567,7 +567,7 @@ def q_feature_masks(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_MODELS} SELECT total_5, total_3, n FROM utr")
 def q_utr_lengths(spark: SparkSession, d: str) -> DataFrame:
-    return samples.utr_totals(*samples.transcripts_of(samples_view(spark, d)[1], ("mRNA",)))
+    return samples.utr_totals(samples_view(spark, d)[1])
 
 
 @query(f"""
@@ -578,7 +578,7 @@ def q_error_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Per gene and kind of error, how many bases its intervals mask and from where to where."""
     genome, rows = samples_view(spark, d)
     models, parts, _ = samples.gene_models(rows)
-    mean = labels.average_utr(samples.utr_totals(*samples.transcripts_of(rows, ("mRNA",))), 100).first()
+    mean = labels.average_utr(samples.utr_totals(rows), 100).first()
     wrong = samples.error_intervals(stored(models), stored(parts), genome, mean["average_5"], mean["average_3"], 100)
     return wrong.groupBy("gene_line", "rank").agg(F.sum(F.col("end") - F.col("start")).alias("bases"), F.min("start").alias("first"), F.max("end").alias("last"))
 

@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from strandloom.functions.sequence import reverse_complement_strict
 from strandloom.operators import labels, tiling
@@ -34,31 +35,54 @@ def feature_rows(links: DataFrame) -> DataFrame:
     return with_each_parent(links).select("line_no", F.col("seqid").alias("seq_id"), "type", (F.col("start") - 1).alias("start"), "end", strand.alias("strand"), phase, "id", "parent").where("strand is not null")
 
 
-def transcripts_of(rows: DataFrame, types: tuple[str, ...] = labels.ACCEPTED) -> tuple[DataFrame, DataFrame]:
-    """Each gene's longest transcript of the given types, and the exons and coding parts of it; genes go by their line."""
+#: What a name is looked up by: a hash first, as rows sort slowly by few contigs and long names.
+LINK = ["link", "seq_id", "parent"]
+
+
+def _linked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("link", F.xxhash64("seq_id", "parent"))
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """Transcripts of an accepted type that have bases, with their gene's line and strand."""
     genes = rows.where("type = 'gene'").select("seq_id", F.col("id").alias("parent"), F.col("line_no").alias("gene_line"), F.col("strand").alias("gene_strand"))
-    found = rows.where(F.col("type").isin(*types) & (F.col("end") > F.col("start"))).join(genes, ["seq_id", "parent"])
+    found = _linked(rows.where(F.col("type").isin(*labels.ACCEPTED) & (F.col("end") > F.col("start")))).join(_linked(genes), LINK)
+    return found.select("seq_id", F.col("gene_strand").alias("strand"), "gene_line", "type", "start", "end", "id", "line_no")
+
+
+def _longest(found: DataFrame) -> DataFrame:
+    """Of each gene the longest of those transcripts, by LINK."""
     longest = labels.longest_transcripts(found, "gene_line", F.col("end") - F.col("start"), "line_no")
-    longest = longest.select("seq_id", F.col("gene_strand").alias("strand"), "gene_line", "start", "end", "id")
-    own = longest.select("seq_id", F.col("id").alias("parent"), "strand", "gene_line")
-    parts = rows.where("type in ('exon', 'CDS')").drop("strand").join(own, ["seq_id", "parent"])
-    return longest.drop("id"), parts.select(*KEYS, "type", "start", "end", "phase", "line_no")
+    return _linked(longest.select(*KEYS, "start", "end", F.col("id").alias("parent")))
 
 
-def gene_models(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _parts_of(rows: DataFrame, longest: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Exons and coding parts of those transcripts; with `tasks` dealt over so many by LINK."""
+    own, parts = longest.select(*LINK, "strand", "gene_line"), _linked(rows.where("type in ('exon', 'CDS') and parent is not null").drop("strand"))
+    if tasks is not None:
+        own, parts = own.repartition(tasks, *LINK), parts.repartition(tasks, *LINK)
+    return parts.join(own, LINK).select(*LINK, "strand", "gene_line", "type", "start", "end", "phase", "line_no")
+
+
+def gene_models(rows: DataFrame, found: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(models, parts, masks): accepted transcripts, their parts, and features of which the span is masked.
 
-    Masked are features of the MASKED types, and genes without parts, without an
-    accepted type of transcript, without coding parts, or beginning before the
-    last accepted one ends. Other features are passed over.
+    A gene goes by its line, and its longest transcript counts. Masked are
+    features of the MASKED types, and genes without parts, without an accepted
+    type of transcript, without coding parts, or beginning before the last
+    accepted one ends. Other features are passed over. `found` are the candidates
+    of rows, where they are known. Which genes are taken is known before their
+    parts are looked up, so no other gene's are.
     """
-    longest, parts = transcripts_of(rows)
-    able = longest.join(parts.where("type = 'CDS'").select("gene_line").distinct(), "gene_line", "left_semi")
+    longest = stored(_longest(_candidates(rows) if found is None else found))
+    able = longest.join(_linked(rows.where("type = 'CDS'").select("seq_id", "parent")), LINK, "left_semi")
     taken = labels.accepted(able, ["seq_id", "strand"], order="gene_line").where("accepted").select("gene_line")
     taken = stored(taken)
+    models = longest.join(taken, "gene_line")
     routed = rows.where(F.col("type").isin("gene", *labels.MASKED))
     masks = routed.join(taken.withColumnRenamed("gene_line", "line_no"), "line_no", "left_anti")
-    return able.join(taken, "gene_line"), parts.join(taken, "gene_line", "left_semi"), masks.select("seq_id", "strand", F.col("line_no").alias("gene_line"), "start", "end")
+    parts = _parts_of(rows, models).select(*KEYS, "type", "start", "end", "phase", "line_no")
+    return models.select(*KEYS, "start", "end"), parts, masks.select("seq_id", "strand", F.col("line_no").alias("gene_line"), "start", "end")
 
 
 def _dealt(models: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -67,14 +91,24 @@ def _dealt(models: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return models.repartition(n, "gene_line"), parts.repartition(n, "gene_line")
 
 
-def utr_totals(models: DataFrame, parts: DataFrame) -> DataFrame:
-    """(total_5, total_3, n): untranslated bases before the first and behind the last coding base in reading order, of genes that have both."""
-    models, parts = _dealt(stored(models), stored(parts))
-    ends = _coding_ends(parts)
-    spans = _painted(models, parts).where("class = 1").join(ends, KEYS)
-    left, right = F.greatest(F.least("end", "a") - F.col("start"), F.lit(0)), F.greatest(F.col("end") - F.greatest("start", "b"), F.lit(0))
+def utr_totals(rows: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(total_5, total_3, n): untranslated bases before the first and behind the last coding base in reading order, of genes that have both.
+
+    Of a gene counts the longest mRNA. No base there is a coding one, so they are
+    what exons cover: by start, each exon adds what lies behind the ends of those
+    before it. The window is by gene as parts are dealt for their join.
+    """
+    found = (_candidates(rows) if found is None else found).where("type = 'mRNA'")
+    parts = _parts_of(rows, _longest(found), tasks_for(rows))
+    keys = [*LINK, "strand", "gene_line"]
+    by = W.partitionBy(*keys).orderBy("start")
+    gene, coding = by.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), F.col("type") == "CDS"
+    parts = parts.withColumns({"a": F.min(F.when(coding, F.col("start"))).over(gene), "b": F.max(F.when(coding, F.col("end"))).over(gene)})
+    exons = parts.where("type = 'exon' and end > start and a is not null")
+    spans = exons.withColumn("first", F.greatest("start", F.max("end").over(by.rowsBetween(W.unboundedPreceding, -1))))
+    left, right = F.greatest(F.least("end", "a") - F.col("first"), F.lit(0)), F.greatest(F.col("end") - F.greatest("first", "b"), F.lit(0))
     back = F.col("strand") == -1
-    return labels.utr_lengths(spans.select(*KEYS, F.when(back, right).otherwise(left).alias("utr_5"), F.when(back, left).otherwise(right).alias("utr_3")), KEYS)
+    return labels.utr_lengths(spans.select(*keys, F.when(back, right).otherwise(left).alias("utr_5"), F.when(back, left).otherwise(right).alias("utr_3")), keys)
 
 
 def _coding_ends(parts: DataFrame) -> DataFrame:
@@ -141,8 +175,9 @@ def tracks(rows: DataFrame, genome: DataFrame, weights: tuple[int, ...] = (16,)
 
     A phase interval's value is the phase of its first base in reading order, which is the anchor.
     """
-    models, parts, masks = (stored(f) for f in gene_models(rows))
-    mean = labels.average_utr(utr_totals(*transcripts_of(rows, ("mRNA",))), mask_length).first()
+    found = stored(_candidates(rows))
+    models, parts, masks = (stored(f) for f in gene_models(rows, found))
+    mean = labels.average_utr(utr_totals(rows, found), mask_length).first()
     shifts = labels.transition_windows(models, parts.where("type = 'exon'"), parts.where("type = 'CDS'"), KEYS, weights, "strand")
     wrong = error_intervals(models, parts, genome, mean["average_5"], mean["average_3"], mask_length)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from strandloom.session import spread, stored
 
@@ -72,13 +73,34 @@ def stored_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(stored(features(spark, sf_dir)), "gene_id")
 
 
+def _model_rows(parts: DataFrame) -> DataFrame:
+    """What MODEL_SQL gives, in one pass over parts that are dealt by gene: the first part of a gene brings the gene's own rows along."""
+    gene, kinds = W.partitionBy("gene_id", "seq_id", "strand").orderBy("child_no"), "line_no long, type string, start long, end long, phase int, id string, parent string"
+    whole = gene.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = parts.withColumns({"first": F.row_number().over(gene) == 1, "low": F.min("start_pos").over(whole), "high": F.max("end_pos").over(whole)})
+    n, line = F.col("gene_id"), F.col("gene_id") * 100
+    named = {k: F.concat(F.lit(k), n) for k in "gtu"}
+    none = F.lit(None)
+    second, child = F.col("first") & (n % 5 == 0), F.col("child_no")
+    each = [
+        (F.col("first"), (line, F.when(n % 11 == 0, "pseudogene").otherwise("gene"), F.col("low"), F.col("high") + 1, none, named["g"], none)),
+        (F.col("first"), (line + 1, F.when(n % 13 == 0, "lnc_RNA").otherwise("mRNA"), F.col("low"), F.col("high") + 1, none, named["t"], named["g"])),
+        (second, (line + 2, F.lit("mRNA"), F.col("low"), F.col("low") + 50, none, named["u"], named["g"])),
+        (F.lit(True), (line + 10 + 2 * child, F.lit("exon"), F.col("start_pos"), F.col("end_pos") + 1, none, none, named["t"])),
+        (F.col("kind") != "N", (line + 11 + 2 * child, F.lit("CDS"), F.col("start_pos") + n % 3, F.col("end_pos") + 1, child % 3, none, named["t"])),
+    ]
+    fields = [k.split() for k in kinds.split(", ")]
+    made = F.array(*(F.when(when, F.struct(*(v.cast(kind).alias(name) for v, (name, kind) in zip(values, fields, strict=True)))) for when, values in each))
+    out = rows.select("seq_id", "strand", F.explode(made).alias("x")).where("x is not null")
+    return out.select("x.line_no", "seq_id", "x.type", "x.start", "x.end", "strand", "x.phase", "x.id", "x.parent")
+
+
 def model_rows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(genome, features) for the label workflow."""
-    parts = spread(stored(_parts(spark, sf_dir)), "gene_id")
-    rows = spark.sql(MODEL_SQL, features=parts).withColumnRenamed("start_at", "start").withColumnRenamed("end_at", "end")
-    contigs = spark.sql(CONTIGS_SQL, features=parts)
+    rows = stored(_model_rows(_parts(spark, sf_dir)))
+    contigs = spark.sql(CONTIGS_SQL, features=rows)
     # Read many times over; as a view each window would build its whole contig again.
-    return stored(contigs.select("seq_id", F.col("seq_id").alias("seq_ord"), F.lit(CONTIG_LENGTH).cast("long").alias("length"), F.col("seq").cast("binary").alias("seq"))), stored(rows)
+    return stored(contigs.select("seq_id", F.col("seq_id").alias("seq_ord"), F.lit(CONTIG_LENGTH).cast("long").alias("length"), F.col("seq").cast("binary").alias("seq"))), rows
 
 
 def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
