@@ -449,11 +449,12 @@ def q_gff_trees(spark: SparkSession, d: str) -> DataFrame:
 def q_interval_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Features against the spans of genes, of a hundred genes, and of whole contigs."""
     far = F.col("gene_id") * 1_000_000
-    parts = features(spark, d).select("gene_id", "child_no", "seq_id", (F.col("start") + far).alias("start"), (F.col("end") + far).alias("end"))
-    hundred, none = F.expr("-1 - gene_id div 100"), F.lit(None).cast("long")
-    ends = (F.min("start").alias("low"), F.max("end").alias("high"))
-    spans = parts.groupBy(F.col("gene_id").alias("span"), "seq_id").agg(*ends).unionByName(parts.groupBy(hundred.alias("span"), "seq_id").agg(*ends))
-    spans = spans.unionByName(parts.groupBy("seq_id").agg(F.lit(0).cast("long").alias("low"), F.max("end").alias("high")).withColumn("span", none))
+    parts = stored(features(spark, d).select("gene_id", "child_no", "seq_id", (F.col("start") + far).alias("start"), (F.col("end") + far).alias("end")))
+    none, ends = F.lit(None).cast("long"), (F.min("low").alias("low"), F.max("high").alias("high"))
+    of_genes = stored(parts.groupBy(F.col("gene_id").alias("span"), "seq_id").agg(F.min("start").alias("low"), F.max("end").alias("high")))
+    wider = of_genes.groupBy(F.expr("-1 - span div 100").alias("span"), "seq_id").agg(*ends)
+    whole = of_genes.groupBy("seq_id").agg(F.lit(0).cast("long").alias("low"), F.max("high").alias("high")).withColumn("span", none)
+    spans = of_genes.unionByName(stored(wider.unionByName(whole)))
     pairs = intervals.overlapping(parts, spans, ["seq_id"])
     return pairs.select("gene_id", "child_no", "span", (F.least("end", "high") - F.greatest("start", "low")).alias("shared"))
 

@@ -39,3 +39,18 @@ def test_overlaps_match_brute_force(spark, seed):
     inside = sorted((i, j) for k, i, a, _ in left for m, j, c, d in right if k == m and c <= a < d)
     assert sorted((r["i"], r["j"]) for r in intervals.containing(points, two, ["key"], "at", "low", "high").collect()) == inside
     assert intervals.overlapping(one.limit(0), two, ["key"]).count() == 0
+
+
+def test_pairs_of_any_length_meet_in_few_cells(spark):
+    r = random.Random(4)
+    wide = [("a", k, a, a + r.choice([1, 900, 20_000, 100_000_000, 1 << 40, 1 << 57])) for k, a in enumerate(r.choice([-1, 1]) * r.randrange(1 << r.choice([9, 30, 45, 57])) for _ in range(90))]
+    one, two = (spark.createDataFrame(wide, f"key string, {i} long, {a} long, {b} long").repartition(3) for i, a, b in (("i", "start", "end"), ("j", "low", "high")))
+    wanted = sorted((i, j) for _, i, a, b in wide for _, j, c, d in wide if max(a, c) < min(b, d))
+    few = intervals.FEW
+    try:
+        for intervals.FEW in (0, 12, few):
+            assert sorted((x["i"], x["j"]) for x in intervals.overlapping(one, two, ["key"]).collect()) == wanted and len(wanted) > 500
+    finally:
+        intervals.FEW = few
+    each = intervals.placed(one.withColumn("own", intervals._level(F.col("end") - F.col("start"))), ("start", "end"), "own", [])
+    assert max(x["count"] for x in each.groupBy("i").count().collect()) <= intervals.SPREAD + 1
