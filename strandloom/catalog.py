@@ -900,12 +900,13 @@ def q_fasta_pieces(spark: SparkSession, d: str) -> DataFrame:
 def q_train_rounds(spark: SparkSession, d: str) -> DataFrame:
     """Three rounds on windows of the documents' letters, whose labels follow from each base and the next."""
     tiles = tiling.windows(dna(spark, d), WINDOW, FLANK)
-    place = F.sequence(F.lit(1), F.lit(WINDOW))
-    letters = F.transform(place, lambda i: F.substring(F.col("seq"), i + FLANK, F.lit(2)))
-    ann = F.transform(letters, lambda two: F.when(two.isin("CG", "GC", "CC", "GG"), 2).when(two.startswith("T"), 1).otherwise(0).cast("short"))
-    rows = tiles.withColumn("ann", ann).withColumn("weight", F.transform(letters, lambda two: F.when(two.startswith("X"), 0).otherwise(1).cast("short")))
-    step = F.transform("ann", lambda a, i: (F.coalesce(F.get("ann", i + 1), a) != a).cast("short"))
-    phase = F.transform("ann", lambda a, i: F.when(a == 2, i % 3).otherwise(3).cast("short"))
+    # Digits of whole windows, by strings: a step for each base would take most of the time.
+    letters = F.substring("seq", FLANK + 1, WINDOW + 1)
+    digits = F.substring(F.translate(F.regexp_replace(letters, "[CG](?=[CG])", "2"), "TACGX", "10000"), 1, WINDOW)
+    steps = F.translate(F.regexp_replace(F.translate(digits, "012", "abc"), r"(.)(?=\1|$)", "0"), "abc", "111")
+    shorts = lambda text: F.split(text, "").cast("array<short>")
+    rows = tiles.select("seq_id", "win_idx", "seq", shorts(digits).alias("ann"), shorts(steps).alias("step"), shorts(F.translate(F.substring("seq", FLANK + 1, WINDOW), "ACGTX", "11110")).alias("weight"))
+    step, phase = F.col("step"), F.transform("ann", lambda a, i: F.when(a == 2, i % 3).otherwise(3).cast("short"))
     rows = stored(rows.select("seq_id", F.lit(1).alias("strand"), "win_idx", "seq", "ann", "weight", step.alias("transition"), F.col("weight").alias("transition_mask"), phase.alias("phase")))
     held, used = samples.split(rows, 0.2, 1)
     done = training.train(used, held, new_folder(spark, "training"), FLANK, 4, 3, 0.02)

@@ -28,6 +28,9 @@ _WEIGHTS = "feature int, output int, value double, velocity double"
 _LETTERS = np.zeros((256, 4))
 _LETTERS[[ord(c) for c in "NMWRYKBSDHV"]] = 0.25
 _LETTERS[[ord(c) for c in "ACGT"]] = np.eye(4)
+#: The different rows of that table, and which of them a letter has.
+_KINDS, _KIND_OF = np.unique(_LETTERS, axis=0, return_inverse=True)
+_KIND_OF = _KIND_OF.reshape(-1).astype(np.int16)
 
 
 @dataclass(frozen=True)
@@ -69,28 +72,62 @@ class ContextClassifier:
             out.append(powers / powers.sum(1, keepdims=True))
         return out
 
-    def gradient(self, letters: np.ndarray, labels: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, float]:
-        """The sums over a window's bases of the loss's gradient and of the loss."""
-        n, loss, errors = len(letters) - 2 * self.reach, 0.0, []
-        for task, p, label, weight in zip(self.tasks, self.probabilities(letters), labels, weights, strict=True):
-            of_class = np.array(task.class_weights or (1.0,) * task.classes)
-            w = weight * of_class[label] * task.factor
-            own = np.maximum(p[np.arange(n), label], 1e-300)
-            loss += float(-(np.log(own) * w).sum())
-            error = p * w[:, None]
-            error[np.arange(n), label] -= w
-            errors.append(error)
-        errors = np.hstack(errors)
-        wide = [letters[k : k + n].T @ errors for k in range(2 * self.reach + 1)]
-        return np.vstack([*wide, errors.sum(0)]), loss
+    def _together(self, codes: np.ndarray) -> list[np.ndarray]:
+        """probabilities of many windows of one length, (classes, windows, bases) by task, of _KINDS codes with `reach` more on either side.
+
+        Three neighbours are looked up at once. Nothing depends on which windows are beside one.
+        """
+        wide, n = self.weights[:-1].reshape(2 * self.reach + 1, 4, -1), codes.shape[1] - 2 * self.reach
+        z = np.empty((self.weights.shape[1], len(codes), n))
+        z[:] = self.weights[-1][:, None, None]
+        for k in range(0, len(wide), 3):
+            place, table = np.zeros((len(codes), n), np.int16), np.zeros((1, z.shape[0]))
+            for j in range(k, min(k + 3, len(wide))):
+                place = place * len(_KINDS) + codes[:, j : j + n]
+                table = (table[:, None] + (_KINDS @ wide[j])[None]).reshape(-1, z.shape[0])
+            for out, column in zip(z, np.ascontiguousarray(table.T), strict=True):
+                out += column[place]
+        out = []
+        for part in np.split(z, self.cuts):
+            powers = np.exp(part - part.max(0))
+            out.append(powers / powers.sum(0))
+        return out
+
+    def gradients(self, codes: np.ndarray, labels: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Of each of many windows of one length the sums over its bases of the loss's gradient and of the loss."""
+        loss, errors = np.zeros(len(codes)), []
+        for task, p, label, weight in zip(self.tasks, self._together(codes), labels, weights, strict=True):
+            w = weight * np.array(task.class_weights or (1.0,) * task.classes)[label] * task.factor
+            own = np.maximum(np.take_along_axis(p, label[None], 0)[0], 1e-300)
+            loss -= (np.log(own) * w).sum(1)
+            for k in range(task.classes):
+                errors.append(p[k] * w - np.where(label == k, w, 0.0))
+        each, n = np.ascontiguousarray(np.stack(errors, 2)), codes.shape[1] - 2 * self.reach
+        hot = np.ascontiguousarray(_KINDS[codes].transpose(0, 2, 1))
+        parts = [np.matmul(hot[:, :, k : k + n], each) for k in range(2 * self.reach + 1)]
+        return np.concatenate([*parts, each.sum(1, keepdims=True)], 1), loss
+
+
+#: Bases that are dealt with at once.
+TOGETHER = 1 << 14
 
 
 def _windows(batch: pa.RecordBatch, model: ContextClassifier, flank: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]:
-    """Of each window its letters, and its labels and weights by task."""
-    columns = {c: batch.column(c) for t in model.tasks for c in (t.label, t.weight)}
-    for i, seq in enumerate(batch.column("seq").to_pylist()):
-        one = {c: np.asarray(v[i].values.to_numpy(zero_copy_only=False), np.int64) for c, v in columns.items()}
-        yield model.one_hot(seq, flank), [one[t.label] for t in model.tasks], [one[t.weight] for t in model.tasks]
+    """By groups of windows of one length: codes of their letters with the model's reach, and their labels and weights by task."""
+    texts = [seq.encode("latin-1", "replace") for seq in batch.column("seq").to_pylist()]
+    columns = {c: batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for t in model.tasks for c in (t.label, t.weight)}
+    lengths = batch.column(model.tasks[0].label).value_lengths().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    for n in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == n)
+        step = max(1, TOGETHER // max(n, 1))
+        for k in range(0, len(own), step):
+            some = own[k : k + step]
+            letters = np.frombuffer(b"".join(texts[i] for i in some), np.uint8).reshape(len(some), n + 2 * flank)
+            codes = _KIND_OF[letters[:, flank - model.reach : n + flank + model.reach]]
+            at = starts[some][:, None] + np.arange(n)
+            one = {c: v[at] for c, v in columns.items()}
+            yield codes, [one[t.label] for t in model.tasks], [one[t.weight] for t in model.tasks]
 
 
 def gradient_sums(windows: DataFrame, model: ContextClassifier, flank: int) -> tuple[np.ndarray, float, int]:
@@ -101,11 +138,11 @@ def gradient_sums(windows: DataFrame, model: ContextClassifier, flank: int) -> t
         # Rows beyond the features: the loss, and the bases.
         total = np.zeros((shape[0] + 2, shape[1]), np.int64)
         for batch in batches:
-            for letters, labels, weights in _windows(batch, model, flank):
-                gradient, loss = model.gradient(letters, labels, weights)
-                total[:-2] += np.rint(gradient * 2**SCALE).astype(np.int64)
-                total[-2, 0] += round(loss * 2**SCALE)
-                total[-1, 0] += len(letters) - 2 * model.reach
+            for codes, labels, weights in _windows(batch, model, flank):
+                gradient, loss = model.gradients(codes, labels, weights)
+                total[:-2] += np.rint(gradient * 2**SCALE).astype(np.int64).sum(0)
+                total[-2, 0] += np.rint(loss * 2**SCALE).astype(np.int64).sum()
+                total[-1, 0] += labels[0].size
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)), pa.int32()), *(pa.array(np.ascontiguousarray(total[:, k])) for k in range(shape[1]))], names=["i", *names])
 
     columns = ["seq", *dict.fromkeys(c for t in model.tasks for c in (t.label, t.weight))]
@@ -121,14 +158,19 @@ def confusions(windows: DataFrame, model: ContextClassifier, flank: int) -> Data
     """(task, label, pred, n) over bases with a weight other than 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[tuple[int, int, int], int] = {}
         for batch in batches:
-            rows: dict[tuple[int, int, int], int] = {}
-            for letters, labels, weights in _windows(batch, model, flank):
-                for k, (p, label, weight) in enumerate(zip(model.probabilities(letters), labels, weights, strict=True)):
-                    pairs, n = np.unique(np.stack([label, p.argmax(1)])[:, weight != 0], axis=1, return_counts=True)
-                    for (a, b), m in zip(pairs.T.tolist(), n.tolist(), strict=True):
-                        rows[k, a, b] = rows.get((k, a, b), 0) + m
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int32()) for j in range(3)] + [pa.array(list(rows.values()), pa.int64())], names=["task", "label", "pred", "n"])
+            for codes, labels, weights in _windows(batch, model, flank):
+                for k, (p, label, weight) in enumerate(zip(model._together(codes), labels, weights, strict=True)):
+                    some = weight != 0
+                    if not some.any():
+                        continue
+                    low, found = int(label.min()), (label * len(p) + p.argmax(0))[some]
+                    counts = np.bincount(found - low * len(p))
+                    for x in np.flatnonzero(counts).tolist():
+                        key = (k, low + x // len(p), x % len(p))
+                        rows[key] = rows.get(key, 0) + int(counts[x])
+        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], pa.int32()) for j in range(3)] + [pa.array(list(rows.values()), pa.int64())], names=["task", "label", "pred", "n"])
 
     columns = ["seq", *dict.fromkeys(c for t in model.tasks for c in (t.label, t.weight))]
     return windows.select(*columns).mapInArrow(count, "task int, label int, pred int, n long").groupBy("task", "label", "pred").agg(F.sum("n").alias("n"))

@@ -93,3 +93,16 @@ def test_training_stops_once_nothing_gets_better(spark, tables, tmp_path):
     with pytest.raises(ValueError, match="flank"):
         training.train(*tables, str(tmp_path / "d"), flank=1, reach=REACH)
     assert training.log(spark, str(tmp_path / "d")).count() == 0
+
+
+def test_windows_of_several_lengths_are_dealt_with_together(spark):
+    """Sums over windows do not depend on which are beside one, and a batch is a few steps, not one a window."""
+    rows = [*windows(30, 5), *windows(20, 6, 33), *windows(1, 7, 2)]
+    table, model = spark.createDataFrame(rows, SCHEMA).coalesce(1), training.ContextClassifier(np.random.default_rng(8).normal(size=(21, 10)), REACH)
+    gradient, loss, n = training.gradient_sums(table, model, FLANK)
+    wanted = dense(rows, model.weights)
+    assert np.allclose(gradient, wanted[0], atol=1e-4) and loss == pytest.approx(wanted[1], rel=1e-7) and n == wanted[2] == 30 * 50 + 20 * 33 + 2
+    alone = training.gradient_sums(table.repartition(40), model, FLANK)
+    assert (alone[0] == gradient).all() and alone[1:] == (loss, n)
+    batch = table.toArrow().combine_chunks().to_batches()[0]
+    assert sorted(len(codes) for codes, _, _ in training._windows(batch, model, FLANK)) == [1, 20, 30]
