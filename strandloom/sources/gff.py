@@ -160,15 +160,13 @@ def file_lines(rows: DataFrame, contigs: DataFrame, intron_score: bool = False)
     """
     side = F.when(F.col("strand") == "-", 1).otherwise(0).alias("side")
 
-    def at(kind: int, rank: int, step: int) -> list[Column]:
-        return [F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), F.lit(0).alias("part"), F.lit(step).alias("step")]
-
     body = to_lines(rows).select("seq_ord", side, "gene_no", F.lit(1).alias("kind"), "rank", "part", F.lit(0).alias("step"), "value")
     each = rows.where("rank = 0").select("seq_ord", side, F.col("gene_no"), F.concat(F.lit("g"), F.col("gene_no").cast("string")).alias("g"), F.col("cds_score").cast("string").alias("score"))
     notes = [(-1, 0, F.concat(F.lit("# Start gene "), "g")), (-1, 1, F.concat(F.lit("# The CDS score is "), "score")), (9, 0, F.concat(F.lit("# End gene "), "g")), (9, 1, F.lit("###"))]
     notes += [(-1, 2, F.lit("# The intron score is 0"))] if intron_score else []
-    for rank, step, text in notes:
-        body = body.unionByName(each.select("seq_ord", "side", "gene_no", *at(1, rank, step), text.alias("value")))
+    # All of a gene's notes out of one row: a union of them would make the genes again for each.
+    lines = F.array(*(F.struct(F.lit(rank).alias("rank"), F.lit(0).alias("part"), F.lit(step).alias("step"), text.alias("value")) for rank, step, text in notes))
+    body = body.unionByName(each.select("seq_ord", "side", "gene_no", F.lit(1).alias("kind"), F.inline(lines)))
 
     number = (F.col("seq_ord") + 1).cast("string")
     sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.lit("forward").alias("name")), F.struct(F.lit(1).alias("side"), F.lit("reverse").alias("name")))).alias("s")

@@ -188,3 +188,20 @@ def test_scorers_give_distributions():
     for scorer in (CompositionScorer(), dense):
         p = scorer.score(windows)
         assert p.shape == (2, 240, 5) and np.allclose(p.sum(2), 1)
+
+
+def test_notes_of_a_gene_come_from_one_row(spark):
+    """The genes' rows are made twice, for lines and for notes, not once more for each note."""
+    schema = "seq_id string, seq_ord int, gene_no int, part int, rank int, source string, type string, start long, end long, score string, strand string, phase string, attributes string, cds_score double"
+    rows = spark.createDataFrame([("c", 0, g, 0, k, "s", t, 1, 9, ".", "+", ".", "ID=x", 0.5) for g in (1, 2) for k, t in enumerate(("gene", "transcript", "exon"))], schema)
+    counter = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            counter.add(batch.num_rows)
+            yield batch
+
+    contigs = spark.createDataFrame([("c", 0, 10)], "seq_id string, seq_ord int, length long")
+    lines = gff.file_lines(rows.mapInArrow(count, schema), contigs, intron_score=True).where("kind = 1").collect()
+    assert len(lines) == 2 * (3 + 5) and counter.value <= 2 * rows.count()
+    assert [r["value"] for r in sorted(lines, key=lambda r: r[: len(gff.ORDER)]) if r["gene_no"] == 2 and r["value"].startswith("#")] == ["# Start gene g2", "# The CDS score is 0.5", "# The intron score is 0", "# End gene g2", "###"]
