@@ -18,8 +18,8 @@ at most two a piece; fragments that touch are chained and make one gene.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Protocol
+from collections.abc import Callable, Iterator
+from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strandloom.operators import hmm, hmm_utr
+from strandloom.operators.tracks import PACKED, arrays, unpack
 from strandloom.session import stored
 
 FAN = 64
@@ -35,6 +36,8 @@ FAN = 64
 BROADCAST_ROWS = 20_000
 
 KEYS = ["seq_id", "strand", "region_start"]
+#: Bases of regions that a task decodes, and how many of them it holds at a time, in cells.
+TASK_BASES, HELD_BASES = 1 << 22, 1 << 21
 _RUNS = "array<struct<kind:int,start:bigint,end:bigint,total:double>>"
 
 
@@ -54,6 +57,9 @@ class Model(Protocol):
     def beside(self, order: WindowSpec) -> dict[str, Column]:
         """What a piece needs of the pieces before and behind it, of their own() columns."""
 
+    def neighbours(self, rows: list[dict]) -> list[dict]:
+        """beside() for opened pieces of a region in order."""
+
     def bytes_per_base(self) -> int: ...
 
     def table(self, row: dict) -> np.ndarray: ...
@@ -87,6 +93,9 @@ class CodonModel:
     def beside(self, order: WindowSpec) -> dict[str, Column]:
         return {"carried": F.last("g", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))}
 
+    def neighbours(self, rows: list[dict]) -> list[dict]:
+        return [{"carried": None} for _ in rows]
+
     def bytes_per_base(self) -> int:
         return 8 * (len(hmm.machine(self.min_intron).names) + 10)
 
@@ -125,6 +134,9 @@ class UntranslatedModel:
         left = F.right(F.concat(F.coalesce(F.lag("tail", 2).over(order), none), F.coalesce(F.lag("tail").over(order), none)), F.lit(2))
         return {"left": left, "right": F.coalesce(F.lead("head").over(order), none), "before": F.lag("leaving").over(order)}
 
+    def neighbours(self, rows: list[dict]) -> list[dict]:
+        return [{"left": "", "right": "", "before": None} for _ in rows]
+
     def bytes_per_base(self) -> int:
         return 8 * (len(hmm_utr.machine(*self.machine).names) + 12)
 
@@ -217,13 +229,6 @@ def _given(pieces: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return pieces.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on)
 
 
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    """The rows' arrays by base; those of a row have one length."""
-    at, inner = column.offsets.to_numpy(), column.values.offsets.to_numpy()
-    flat = column.values.values.to_numpy(zero_copy_only=False)
-    return [flat[inner[a] : inner[b]].reshape(b - a, -1).astype(float) for a, b in zip(at[:-1], at[1:], strict=True)]
-
-
 def joined(runs: list[dict]) -> list[Run]:
     """A gene's runs in order, those of one kind that touch as one."""
     out: list[Run] = []
@@ -251,6 +256,114 @@ def chained(genes: DataFrame) -> DataFrame:
     return whole.unionByName(parts.select(*KEYS, F.flatten(F.transform("parts", lambda p: p["runs"])).alias("runs")))
 
 
+def in_order(parts: DataFrame, bases: int) -> DataFrame:
+    """Parts of regions of so many bases in all, a region's parts behind each other in one of many small tasks."""
+    tasks = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bases // TASK_BASES))
+    return parts.repartition(tasks, *KEYS).sortWithinPartitions(*KEYS, "start")
+
+
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """The parts of each region, of rows that are in order."""
+    own: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if own and any(row[k] != own[0][k] for k in KEYS):
+                yield own
+                own = []
+            own.append(row)
+    if own:
+        yield own
+
+
+def _held(regions: Iterator[list[dict]], bases: int = HELD_BASES) -> Iterator[list[list[dict]]]:
+    """Regions in groups of about so many bases, one at least."""
+    now, size = [], 0
+    for region in regions:
+        own = sum(len(part["seq"]) for part in region)
+        if now and size + own > bases:
+            yield now
+            now, size = [], 0
+        now.append(region)
+        size += own
+    if now:
+        yield now
+
+
+def _opened(part: dict, model: Model) -> dict:
+    """A part with its own stretch of the tracks in its cell."""
+    low, high = part["at"], part["at"] + len(part["seq"])
+    return {k: v for k, v in part.items() if k != PACKED} | {k: t[low:high].astype(float) for k, t in zip(model.tracks, unpack(part[PACKED]), strict=True)}
+
+
+def _as_one(region: list[dict], model: Model) -> dict:
+    """A region's parts as one piece."""
+    parts = [_opened(part, model) for part in region]
+    row = {k: parts[0][k] for k in (*KEYS, "start")} | {"seq": "".join(p["seq"] for p in parts), "first": True, "piece": 0, "last": True}
+    row |= {k: np.concatenate([p[k] for p in parts]) for k in model.tracks}
+    return row | model.neighbours([row])[0]
+
+
+def _side_by_side(rows: list, length: Callable[[Any], int], model: Model, budget: int) -> Iterator[list]:
+    """rows, longest first, in groups whose scores fit the budget."""
+    rows = sorted(rows, key=length, reverse=True)
+    while rows:
+        many = max(1, budget // (model.bytes_per_base() * max(1, length(rows[0]))))
+        yield rows[:many]
+        rows = rows[many:]
+
+
+def _between(row: dict, path: np.ndarray, model: Model) -> Iterator[list[dict]]:
+    """What stands between intergenic runs, at its place in the contig."""
+    now: list[dict] = []
+    for kind, a, b, total in [*model.runs(row, path), (0, 0, 0, 0.0)]:
+        if kind:
+            now.append({"kind": kind, "start": row["start"] + a, "end": row["start"] + b, "total": total})
+        elif now:
+            yield now
+            now = []
+
+
+def _batch(rows: list[tuple], model: Model) -> pa.RecordBatch:
+    names = [field.split()[0] for field in model.schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(columns, model.kinds, strict=True)], names=names)
+
+
+def annotate_whole(parts: DataFrame, model: Model, bases: int, budget: int = 32 << 20) -> DataFrame:
+    """The rows of a model's genes over regions of `bases` in all, of which a task can decode each at once.
+
+    parts has KEYS, start, seq, and of a packed piece the cell and the place in it where the part begins.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _held(_regions(batches)):
+            out = []
+            for own in _side_by_side(group, lambda region: sum(len(p["seq"]) for p in region), model, budget):
+                rows = [_as_one(region, model) for region in own]
+                for row, path in zip(rows, model.paths(rows, [0] * len(rows), None), strict=True):
+                    for runs in _between(row, path, model):
+                        out += model.gene(row["seq_id"], row["strand"], joined(runs))
+            yield _batch(out, model)
+
+    return in_order(parts, bases).mapInArrow(work, model.schema)
+
+
+def _unpacked(parts: DataFrame, tracks: tuple[str, ...]) -> DataFrame:
+    """Parts with their own stretch of the tracks as arrays by base."""
+    kept = [*KEYS, "start", "seq"]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns: list[list] = [[] for _ in tracks]
+            for cell, at, seq in zip(*(batch.column(c).to_pylist() for c in (PACKED, "at", "seq")), strict=True):
+                for column, track in zip(columns, unpack(cell), strict=True):
+                    column.append(track[at : at + len(seq)].tolist())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(c, pa.list_(pa.list_(pa.float64()))) for c in columns)], names=[*kept, *tracks])
+
+    rows = parts.select(*kept, "at", PACKED)
+    return rows.mapInArrow(work, ", ".join([*(f"{n} {t}" for n, t in rows.select(*kept).dtypes), *(f"{t} array<array<double>>" for t in tracks)]))
+
+
 _PARTS = pa.schema([
     ("seq_id", pa.string()), ("strand", pa.int8()), ("region_start", pa.int64()), ("left", pa.bool_()), ("right", pa.bool_()),
     ("runs", pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("total", pa.float64())]))),
@@ -261,8 +374,10 @@ def annotate_pieces(pieces: DataFrame, model: Model, budget: int = 32 << 20, fan
     """The rows of a model's genes over regions in pieces (seq_id string, strand, region_start, start, seq, the model's tracks), which follow each other without a gap.
 
     Positions are 0-based, strand-local, ends inclusive. pieces is read three
-    times. Genes may begin in one piece and end in another.
+    times. Genes may begin in one piece and end in another. Packed parts, as annotate_whole takes them, do as well.
     """
+    if PACKED in pieces.columns:
+        pieces = stored(_unpacked(pieces, model.tracks), wide=True)
     keys, narrow = "seq_id string, strand tinyint, region_start bigint", [*KEYS, "start"]
     order = W.partitionBy(*KEYS).orderBy("start")
     known = pieces.select(*narrow, *(c.alias(k) for k, c in model.own().items()))
@@ -273,7 +388,7 @@ def annotate_pieces(pieces: DataFrame, model: Model, budget: int = 32 << 20, fan
 
     def rows_of(batch: pa.RecordBatch, more: tuple[str, ...] = ()) -> list[dict]:
         rows = batch.select([*small, *more, "seq"]).to_pylist()
-        tracks = {k: _arrays(batch.column(k)) for k in model.tracks}
+        tracks = {k: [x.astype(float) for x in arrays(batch.column(k))] for k in model.tracks}
         return [r | {"first": r["piece"] == 0} | {k: tracks[k][i] for k in tracks} for i, r in enumerate(rows)]
 
     def tabled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,15 +403,9 @@ def annotate_pieces(pieces: DataFrame, model: Model, budget: int = 32 << 20, fan
     ends = stored(path_ends(stored(tables), fan).select(*KEYS, "piece", "entry", "leave").unionByName(alone))
 
     def found(row: dict, path: np.ndarray) -> Iterator[dict]:
-        """What stands between intergenic runs, at its place in the contig."""
-        now: list[dict] = []
-        for kind, a, b, total in [*model.runs(row, path), (0, 0, 0, 0.0)]:
-            if kind:
-                now.append({"kind": kind, "start": row["start"] + a, "end": row["start"] + b, "total": total})
-            elif now:
-                left, right = row["piece"] > 0 and now[0]["start"] == row["start"], not row["last"] and now[-1]["end"] == row["start"] + len(path) - 1
-                yield {k: row[k] for k in KEYS} | {"left": left, "right": right, "runs": now}
-                now = []
+        for now in _between(row, path, model):
+            left, right = row["piece"] > 0 and now[0]["start"] == row["start"], not row["last"] and now[-1]["end"] == row["start"] + len(path) - 1
+            yield {k: row[k] for k in KEYS} | {"left": left, "right": right, "runs": now}
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -313,10 +422,7 @@ def annotate_pieces(pieces: DataFrame, model: Model, budget: int = 32 << 20, fan
     parts = stored(_given(wide, ends, [*KEYS, "piece"]).mapInArrow(decoded, f"{keys}, left boolean, right boolean, runs {_RUNS}"))
 
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [field.split()[0] for field in model.schema.split(", ")]
         for batch in batches:
-            out = [row for r in batch.to_pylist() for row in model.gene(r["seq_id"], r["strand"], joined(r["runs"]))]
-            columns = zip(*out, strict=True) if out else [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), k) for v, k in zip(columns, model.kinds, strict=True)], names=names)
+            yield _batch([row for r in batch.to_pylist() for row in model.gene(r["seq_id"], r["strand"], joined(r["runs"]))], model)
 
     return chained(parts).mapInArrow(finished, model.schema)

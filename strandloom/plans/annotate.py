@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from strandloom.operators import genes, hmm, hmm_utr, intervals, packing, regions, spans, tiling
+from strandloom.operators import genes, intervals, packing, regions, spans, tiling
+from strandloom.operators.tracks import PACKED, packed, unpack
 from strandloom.plans.scoring import Scorer, TrackScorer, scored
 from strandloom.session import stored
 from strandloom.sources.fasta_ranges import PIECE, windows_of_pieces
@@ -23,13 +25,14 @@ WHOLE = 1 << 18
 LEAST_SCORE = 0.5
 
 
-def predict(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE) -> DataFrame:
+def predict(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE, cells: bool = False) -> DataFrame:
     """Scored pieces of both strands. Scoring is the dear step: store them before several steps read them.
 
     genome has whole contigs (seq_id, seq), or pieces of `piece` bases (seq_id, seq_ord, length, start, seq) of contigs of any length.
+    With `cells`, a piece's probabilities are one cell of operators.tracks, as the steps behind it take them best.
     """
     cut = windows_of_pieces(genome, window, flank, piece) if "start" in genome.columns else tiling.windows(genome, window, flank)
-    return scored(tiling.both_strands(cut, window), scorer, window, flank)
+    return scored(tiling.both_strands(cut, window), scorer, window, flank, cells=cells)
 
 
 def contigs_of(genome: DataFrame) -> DataFrame:
@@ -62,25 +65,31 @@ def _bins(pieces: DataFrame, most: float, track: str = "probs") -> DataFrame:
     """Bin means of pieces that may begin anywhere: a part of a bin each, summed over pieces.
 
     The genic probability is the sum of all classes but 0, however many there
-    are, which need not be one less that of class 0.
+    are, which need not be one less that of class 0. Of packed pieces the first track counts.
     """
+    track = PACKED if PACKED in pieces.columns else track
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)
-            inner, at = lists.values.offsets.to_numpy(), lists.offsets.to_numpy()
+            own = [unpack(cell)[0] for cell in lists.to_pylist()] if track == PACKED else []
+            at = np.cumsum([0, *map(len, own)]) if track == PACKED else lists.offsets.to_numpy()
             if at[0] == at[-1]:
                 continue
-            flat = lists.values.values.to_numpy(zero_copy_only=False).reshape(-1, inner[1] - inner[0])
+            if track == PACKED:
+                flat = np.concatenate(own)
+            else:
+                inner = lists.values.offsets.to_numpy()
+                flat = lists.values.values.to_numpy(zero_copy_only=False).reshape(-1, inner[1] - inner[0])
             genic = flat[:, 1:].sum(1, dtype=float)
             piece = np.repeat(np.arange(batch.num_rows), np.diff(at))
             place = batch.column(2).to_numpy()[piece] + np.arange(at[0], at[-1]) - at[piece]
             number = place // regions.BIN
             first = np.flatnonzero(np.concatenate([[True], (number[1:] != number[:-1]) | (piece[1:] != piece[:-1])]))
-            own = pa.array(piece[first])
+            row = pa.array(piece[first])
             genic = genic[at[0] : at[-1]]
             sums = [pa.array(number[first]), pa.array(np.add.reduceat(genic, first)), pa.array(np.diff(np.append(first, len(place)))), pa.array(np.add.reduceat((genic > most).astype(np.int64), first))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), *sums], names=["seq_id", "strand", "bin", "total", "n", "high"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), *sums], names=["seq_id", "strand", "bin", "total", "n", "high"])
 
     rows = pieces.select("seq_id", "strand", "start", track).mapInArrow(parts, f"seq_id {dict(pieces.dtypes)['seq_id']}, strand tinyint, bin long, total double, n long, high long")
     return rows.groupBy("seq_id", "strand", "bin").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("high").alias("n_high"))
@@ -104,6 +113,33 @@ def parts_of(found: DataFrame, pieces: DataFrame, tracks: tuple[str, ...] = ("pr
     return met.select("seq_id", "strand", "region_start", "region_end", low.alias("start"), F.substring(F.col("seq"), at, n).alias("seq"), *(F.slice(t, at, n).alias(t) for t in tracks))
 
 
+#: Bases of a contig that pieces and regions meet in, and of all contigs that a task holds.
+CELL, TASK_BASES = 1 << 18, 1 << 24
+
+
+def packed_parts(found: DataFrame, pieces: DataFrame) -> DataFrame:
+    """parts_of packed pieces (KEYS of spans, start, seq, at, packed): cells go along whole, with the place in them where a part begins.
+
+    Pieces move once. Only regions, which are narrow, are there once for each stretch of a contig that they reach into.
+    """
+    key, size = ["seq_id", "strand"], F.lit(CELL)
+
+    def stretches(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / size), F.floor((F.col(high) - 1) / size))).alias("stretch")
+
+    # A contig's first piece knows its length, so this reads no letters.
+    bases = pieces.where("start = 0").agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-bases // TASK_BASES))
+    held = pieces.select(*key, "start", (F.col("start") + F.length("seq")).alias("piece_end"), "seq", PACKED).where("piece_end > start")
+    held = held.select("*", stretches("start", "piece_end")).repartition(tasks, *key, "stretch")
+    asks = found.select(*key, "region_start", "region_end").where("region_end > region_start").select("*", stretches("region_start", "region_end"))
+    once = F.col("stretch") == F.floor(F.greatest("start", "region_start") / size)
+    met = held.join(asks.hint("shuffle_hash"), [*key, "stretch"]).where(once & (F.col("start") < F.col("region_end")) & (F.col("region_start") < F.col("piece_end")))
+    low, high = F.greatest("start", "region_start"), F.least("piece_end", "region_end")
+    at = (low - F.col("start")).cast("int")
+    return met.select(*spans.KEYS, low.alias("start"), F.substring(F.col("seq"), at + 1, (high - low).cast("int")).alias("seq"), at.alias("at"), PACKED)
+
+
 def whole_regions(parts: DataFrame, tracks: tuple[str, ...] = ("probs",)) -> DataFrame:
     """Regions with their sequence and tracks, their parts put together."""
     part = F.struct("start", "seq", *tracks)
@@ -126,29 +162,30 @@ def decode(
 ) -> DataFrame:
     """Feature rows of all genes; contigs has seq_id, seq_ord and length.
 
-    Regions of at most `whole` bases are decoded as one row each, longer ones in
-    the pieces that they overlap. The least coding score, where none or 0 is
+    Regions of at most `whole` bases are decoded at once, longer ones in the
+    pieces that they overlap. The least coding score, where none or 0 is
     given, is the lineage's, and without a lineage LEAST_SCORE.
     """
     score = genes.least_score(min_cds_score, lineage) if lineage else LEAST_SCORE if min_cds_score is None else min_cds_score
-    model = spans.CodonModel(min_cds_length, score, min_intron)
     found = found_regions(pieces, average, most)
-    cds = _decoded(found, pieces, model, lambda short: hmm.annotate_regions(short, min_cds_length, score, min_intron), whole)
+    cds = _decoded(found, pieces, spans.CodonModel(min_cds_length, score, min_intron), whole)
     return genes.gff_rows(checked(_placed(genes.cds_phases(cds, GENE), _numbers(cds)), contigs))
 
 
 GENE = ["seq_id", "strand", "gene_start"]
 
 
-def _decoded(found: DataFrame, pieces: DataFrame, model: spans.Model, at_once: Callable[[DataFrame], DataFrame], whole: int) -> DataFrame:
-    """The model's rows of the regions found: of short ones by at_once, of longer ones in pieces. Stored, as decoding is dear and read more than once."""
+def _decoded(found: DataFrame, pieces: DataFrame, model: spans.Model, whole: int) -> DataFrame:
+    """The model's rows of the regions found: of short ones at once, of longer ones in pieces. Stored, as decoding is dear and read more than once."""
     found = stored(found.withColumn("seq_id", F.col("seq_id").cast("string")))
-    held = pieces.withColumn("seq_id", F.col("seq_id").cast("string"))
+    held = packed(pieces, model.tracks).withColumn("seq_id", F.col("seq_id").cast("string"))
     size = F.col("region_end") - F.col("region_start")
-    rows = at_once(whole_regions(parts_of(found.where(size <= whole), held, model.tracks), model.tracks).repartition("seq_id", "strand", "region_start"))
-    if not found.where(size > whole).isEmpty():
-        rows = rows.unionByName(spans.annotate_pieces(stored(parts_of(found.where(size > whole), held, model.tracks), wide=True), model))
-    return stored(rows)
+    short, long = found.where(size <= whole), found.where(size > whole)
+    bases = short.agg(F.sum(size)).first()[0]
+    rows = [spans.annotate_whole(packed_parts(short, held), model, bases)] if bases else []
+    rows += [] if long.isEmpty() else [spans.annotate_pieces(stored(packed_parts(long, held), wide=True), model)]
+    # Both have the model's columns; without regions there is nothing of either.
+    return stored(reduce(DataFrame.unionByName, rows)) if rows else found.sparkSession.createDataFrame([], model.schema)
 
 
 def _numbers(rows: DataFrame) -> DataFrame:
@@ -164,10 +201,10 @@ def _placed(rows: DataFrame, numbers: DataFrame) -> DataFrame:
 TRACKS = spans.UntranslatedModel.tracks
 
 
-def predict_tracks(genome: DataFrame, scorer: TrackScorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE) -> DataFrame:
+def predict_tracks(genome: DataFrame, scorer: TrackScorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE, cells: bool = False) -> DataFrame:
     """predict, for a scorer of the older model's tracks."""
     cut = windows_of_pieces(genome, window, flank, piece) if "start" in genome.columns else tiling.windows(genome, window, flank)
-    return scored(tiling.both_strands(cut, window), scorer, window, flank, tracks=TRACKS)
+    return scored(tiling.both_strands(cut, window), scorer, window, flank, tracks=TRACKS, cells=cells)
 
 
 def decode_tracks(
@@ -176,9 +213,8 @@ def decode_tracks(
 ) -> DataFrame:
     """decode, by the older model: genes reach over their untranslated regions, exons have lines of their own. Write them with intron_score."""
     score = genes.least_score(min_cds_score, lineage)
-    model = spans.UntranslatedModel(min_cds_length, score, min_intron, cut_codons)
     found = found_regions(pieces, average, most, TRACKS[0])
-    parts = _decoded(found, pieces, model, lambda short: hmm_utr.annotate_regions(short, min_cds_length, score, min_intron, cut_codons), whole)
+    parts = _decoded(found, pieces, spans.UntranslatedModel(min_cds_length, score, min_intron, cut_codons), whole)
     return untranslated_rows(parts, contigs)
 
 
@@ -192,12 +228,12 @@ def untranslated_rows(parts: DataFrame, contigs: DataFrame) -> DataFrame:
 
 def annotate_tracks(genome: DataFrame, scorer: TrackScorer, lineage: str, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE, **thresholds: float | None) -> DataFrame:
     """annotate, by the older model."""
-    return decode_tracks(stored(predict_tracks(genome, scorer, window, flank, piece), wide=window > 4096), contigs_of(genome), lineage, **thresholds)
+    return decode_tracks(stored(predict_tracks(genome, scorer, window, flank, piece, cells=True), wide=window > 4096), contigs_of(genome), lineage, **thresholds)
 
 
 def annotate(genome: DataFrame, scorer: Scorer, window: int = WINDOW, flank: int = FLANK, piece: int = PIECE, **thresholds: float | str | None) -> DataFrame:
     """genome (seq_id, seq_ord, length, seq), or pieces of one, to feature rows; every window is scored once."""
-    return decode(stored(predict(genome, scorer, window, flank, piece), wide=window > 4096), contigs_of(genome), **thresholds)
+    return decode(stored(predict(genome, scorer, window, flank, piece, cells=True), wide=window > 4096), contigs_of(genome), **thresholds)
 
 
 def annotate_to(genome: DataFrame, scorer: Scorer, path: str, **options: float | str | None) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.operators.tiling import kept_range
+from strandloom.operators.tracks import PACKED, pack
 
 
 class Scorer(Protocol):
@@ -87,16 +88,16 @@ def _nested(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(v) for v in values)], dtype=np.int32)), inner)
 
 
-def scored(tiles: DataFrame, scorer: Scorer | TrackScorer, window: int, flank: int, batch: int = 32, tracks: tuple[str, ...] = ("probs",)) -> DataFrame:
+def scored(tiles: DataFrame, scorer: Scorer | TrackScorer, window: int, flank: int, batch: int = 32, tracks: tuple[str, ...] = ("probs",), cells: bool = False) -> DataFrame:
     """(seq_id, strand, length, start, seq, tracks): the contig's own bases of each window on its strand, flanks and padding cut off.
 
-    A scorer of several tracks gives an array for each.
+    A scorer of several tracks gives an array for each; with `cells`, all of a row are one cell of operators.tracks.
     """
     low, high = kept_range(window)
     extra = F.ceil(F.col("length") / window) * window - F.col("length")
     skip = F.when((F.col("strand") == -1) & (F.col("win_idx") == 0), extra).otherwise(0)
     rows = tiles.select("seq_id", "strand", "length", low.alias("start"), (high - low + 1).alias("n"), (skip + flank).cast("long").alias("skip"), "seq")
-    kept = ("seq_id", "strand", "length", "start")
+    kept, names = ("seq_id", "strand", "length", "start"), (PACKED,) if cells else tracks
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -106,8 +107,11 @@ def scored(tiles: DataFrame, scorer: Scorer | TrackScorer, window: int, flank: i
                 found = scorer.score(seqs)
                 found = [p.astype(np.float32) for p in (found if isinstance(found, tuple) else (found,))]
                 cut = [(int(s), int(s) + int(n)) for s, n in zip(part.column("skip").to_pylist(), part.column("n").to_pylist(), strict=True)]
-                columns = [_nested([p[i, a:b] for i, (a, b) in enumerate(cut)]) for p in found]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([s[a:b] for s, (a, b) in zip(seqs, cut, strict=True)]), *columns], names=[*kept, "seq", *tracks])
+                if cells:
+                    columns = [pa.array([pack([p[i, a:b] for p in found]) for i, (a, b) in enumerate(cut)], pa.binary())]
+                else:
+                    columns = [_nested([p[i, a:b] for i, (a, b) in enumerate(cut)]) for p in found]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([s[a:b] for s, (a, b) in zip(seqs, cut, strict=True)]), *columns], names=[*kept, "seq", *names])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(work, f"seq_id {kinds['seq_id']}, strand tinyint, length long, start long, seq string, " + ", ".join(f"{t} array<array<float>>" for t in tracks))
+    return rows.mapInArrow(work, f"seq_id {kinds['seq_id']}, strand tinyint, length long, start long, seq string, " + ", ".join(f"{t} {'binary' if cells else 'array<array<float>>'}" for t in names))
