@@ -161,6 +161,100 @@ def transfer(probabilities: np.ndarray, sequence: str, min_intron: int = 1, floo
     return score.T.copy()
 
 
+class Columns:
+    """Regions, or pieces of them, side by side: a column each, the longest first, and the steps over their bases."""
+
+    def __init__(
+        self, probabilities: list[np.ndarray], sequences: list[str], min_intron: int = 1, floor: float = 0.0, n_as_g: bool = True,
+        entries: list[np.ndarray] | None = None, carried: list[float] | None = None,
+    ) -> None:
+        self.machine = m = machine(min_intron)
+        self.order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+        self.lengths = np.array([len(sequences[i]) for i in self.order], np.int64)
+        self.size = int(self.lengths[0]) if len(self.order) else 0
+        #: The first base that takes a step: a region begins at its first base.
+        self.begin = 1 if entries is None else 0
+        n, size = len(self.order), self.size
+        starts = [m.number[f"start{k}"] for k in range(3)]
+        self.emit = np.full((size, 5, n), -np.inf)
+        self.base = np.full((size, n), 1, np.int8)
+        # What the steps into a start codon's bases and into a GC donor's second cost beside the emission.
+        self.more = np.zeros((size, 4, n))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for column, i in enumerate(self.order if size else []):
+                here = slice(0, self.lengths[column])
+                own, letter = np.log(np.maximum(probabilities[i].astype(float), floor)), _letters(sequences[i])
+                on = np.where(letter >= 0, letter, 1 if n_as_g else 4)
+                self.emit[here, :, column], self.base[here, column] = own, on
+                paid = [start_weight(own[:, m.emits[state]]) for state in starts]
+                seen = np.maximum.accumulate(np.where((letter == 1) & (np.arange(len(letter)) >= self.begin), np.arange(len(letter)), -1))
+                paid[2] = np.where(seen >= 0, paid[2][np.maximum(seen, 0)], -np.inf if carried is None else carried[i])
+                for k, b in enumerate((0, 3, 1)):
+                    self.more[here, k, column] = np.where(on == b, paid[k], 0.0)
+                self.more[here, 3, column] = np.where(on == 2, 1000 * own[:, 4], 0.0)
+        rows = m.lattice.row
+        self.start_rows, self.donor_rows, self.emits = rows[starts], rows[[m.number[f"{g}.D1"] for g in CODING]], m.emits[m.lattice.state]
+        #: The scores before the first step, a row a state.
+        self.scores = np.full((len(m.names), n), -np.inf)
+        if entries is None:
+            self.scores[rows[0]] = 0
+        elif n:
+            self.scores[:] = np.array([entries[i] for i in self.order], float).T[m.lattice.state]
+
+    def live(self, t: int) -> int:
+        """How many columns have a base t."""
+        return int(np.searchsorted(-self.lengths, -t, "left"))
+
+    def step(self, t: int, before: np.ndarray) -> np.ndarray:
+        """The scores behind the base t of those before it, of the columns that have it."""
+        live = before.shape[1]
+        value = self.machine.lattice.best(before, self.base[t, :live])
+        value[self.start_rows] += self.more[t, :3, :live]
+        value[self.donor_rows] += self.more[t, 3, :live]
+        value += np.take(self.emit[t, :, :live], self.emits, axis=0)
+        return value
+
+    def came(self, t: int, before: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The states before the base t on the best paths to those behind it."""
+        return np.maximum(self.machine.lattice.came(before, self.base[t, : before.shape[1]], state)[0], 0)
+
+
+def exits(columns: Columns) -> list[np.ndarray]:
+    """The scores of the states behind each piece, in the order that the pieces were given in; one row of scores is held at a time."""
+    scores = columns.scores
+    for t in range(columns.begin, columns.size):
+        live = columns.live(t)
+        scores[:, :live] = columns.step(t, scores[:, :live])
+    out: list[np.ndarray] = [np.zeros(0)] * len(columns.order)
+    for column, i in enumerate(columns.order):
+        out[i] = scores[columns.machine.lattice.row, column]
+    return out
+
+
+def traced(columns: Columns, ends: list[int] | None = None) -> tuple[list[np.ndarray], list[int]]:
+    """The best path through each column, and the state before it that it comes from; for regions, which begin there, 0."""
+    n, size, begin = len(columns.order), columns.size, columns.begin
+    if not size:
+        return [np.zeros(0, np.int64) for _ in range(n)], [0] * n
+    scores = np.full((size + 1 - begin, *columns.scores.shape), -np.inf)
+    scores[0] = columns.scores
+    # scores[t + 1 - begin] are those behind the base t.
+    for t in range(begin, size):
+        live = columns.live(t)
+        scores[t + 1 - begin, :, :live] = columns.step(t, scores[t - begin, :, :live])
+    path = np.zeros((size, n), np.int64)
+    path[columns.lengths - 1, np.arange(n)] = 0 if ends is None else [ends[i] for i in columns.order]
+    for t in range(size - 1, 0, -1):
+        live = columns.live(t)
+        path[t - 1, :live] = columns.came(t, scores[t - begin, :, :live], path[t, :live])
+    before = np.zeros(n, np.int64) if begin else columns.came(0, scores[0], path[0])
+    paths: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+    came = [0] * n
+    for column, i in enumerate(columns.order):
+        paths[i], came[i] = path[: columns.lengths[column], column].copy(), int(before[column])
+    return paths, came
+
+
 def decode(
     probabilities: list[np.ndarray], sequences: list[str], min_intron: int = 1, floor: float = 0.0, n_as_g: bool = True,
     entries: list[np.ndarray] | None = None, ends: list[int] | None = None, carried: list[float] | None = None,
@@ -174,55 +268,7 @@ def decode(
     region, entries are the states' scores before it and carried is the start
     weight of the last G there; ends is the state that a piece ends in.
     """
-    m = machine(min_intron)
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    lengths = np.array([len(sequences[i]) for i in order])
-    if not len(order) or not lengths[0]:
-        return [np.zeros(0, np.int64) for _ in sequences]
-    n, size, states = len(order), int(lengths[0]), len(m.names)
-    begin = 1 if entries is None else 0
-    starts = [m.number[f"start{k}"] for k in range(3)]
-    emit = np.full((size, 5, n), -np.inf)
-    base = np.full((size, n), 1, np.int8)
-    # What the steps into a start codon's bases and into a GC donor's second cost beside the emission.
-    more = np.zeros((size, 4, n))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        for column, i in enumerate(order):
-            here = slice(0, lengths[column])
-            own, letter = np.log(np.maximum(probabilities[i].astype(float), floor)), _letters(sequences[i])
-            on = np.where(letter >= 0, letter, 1 if n_as_g else 4)
-            emit[here, :, column], base[here, column] = own, on
-            paid = [start_weight(own[:, m.emits[state]]) for state in starts]
-            seen = np.maximum.accumulate(np.where((letter == 1) & (np.arange(len(letter)) >= begin), np.arange(len(letter)), -1))
-            paid[2] = np.where(seen >= 0, paid[2][np.maximum(seen, 0)], -np.inf if carried is None else carried[i])
-            for k, b in enumerate((0, 3, 1)):
-                more[here, k, column] = np.where(on == b, paid[k], 0.0)
-            more[here, 3, column] = np.where(on == 2, 1000 * own[:, 4], 0.0)
-    steps, rows = m.lattice, m.lattice.row
-    start_rows, donor_rows, emits = rows[starts], rows[[m.number[f"{g}.D1"] for g in CODING]], m.emits[m.lattice.state]
-    scores = np.full((size + 1 - begin, states, n), -np.inf)
-    if entries is None:
-        scores[0, rows[0]] = 0
-    else:
-        scores[0] = np.array([entries[i] for i in order], float).T[steps.state]
-    # scores[t + 1 - begin] are those behind the base t.
-    for t in range(begin, size):
-        live = int(np.searchsorted(-lengths, -t, "left"))
-        value = steps.best(scores[t - begin, :, :live], base[t, :live])
-        value[start_rows] += more[t, :3, :live]
-        value[donor_rows] += more[t, 3, :live]
-        value += np.take(emit[t, :, :live], emits, axis=0)
-        scores[t + 1 - begin, :, :live] = value
-    path = np.zeros((size, n), np.int64)
-    path[lengths - 1, np.arange(n)] = 0 if ends is None else [ends[i] for i in order]
-    for t in range(size - 1, 0, -1):
-        live = int(np.searchsorted(-lengths, -t, "left"))
-        came, _ = steps.came(scores[t - begin, :, :live], base[t, :live], path[t, :live])
-        path[t - 1, :live] = np.maximum(came, 0)
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-    for column, i in enumerate(order):
-        out[i] = path[: lengths[column], column].copy()
-    return out
+    return traced(Columns(probabilities, sequences, min_intron, floor, n_as_g, entries, carried), ends)[0]
 
 
 Run = tuple[int, int, int, float]  # kind, first and last position, sum of the emitted probabilities

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from strandloom.operators.hmm import traced
 from strandloom.operators.lattice import Lattice
 
 FLOOR = 1e-64
@@ -192,6 +193,62 @@ def transfer(classes: np.ndarray, changes: np.ndarray, phases: np.ndarray, seque
     return score.T.copy()
 
 
+class Columns:
+    """Regions, or pieces of them, side by side, as operators.hmm.Columns has them."""
+
+    def __init__(
+        self, classes: list[np.ndarray], changes: list[np.ndarray], phases: list[np.ndarray], sequences: list[str], min_intron: int = 1, cut_codons: bool = False,
+        entries: list[np.ndarray] | None = None, beside: list[Beside] | None = None,
+    ) -> None:
+        self.machine = m = machine(min_intron, cut_codons)
+        self.order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
+        self.lengths = np.array([len(sequences[i]) for i in self.order], np.int64)
+        self.size = int(self.lengths[0]) if len(self.order) else 0
+        self.begin = 1 if entries is None else 0
+        n, size, self.closed = len(self.order), self.size, float(np.log(FLOOR))
+        # Seven numbers a base, whatever the number of states, and the chances of the step onto a base.
+        self.emit, self.chances, self.context = np.zeros((size, 7, n)), np.zeros((size, 2, n)), np.zeros((size, n), np.int64)
+        for column, i in enumerate(self.order if size else []):
+            own, here = beside[i] if beside else Beside(), slice(0, self.lengths[column])
+            self.emit[here, :6, column] = _by_class(classes[i], phases[i])
+            self.chances[here, :, column] = np.log(np.maximum(np.concatenate([[own.changes], changes[i][:-1, :2]]).astype(float), FLOOR))
+            self.context[here, column] = contexts(sequences[i], own.left, own.right)
+        self.emit[:, 6] = self.emit[:, INTRON] * RARE
+        self.emits = np.where(m.times == RARE, 6, m.emits)[m.lattice.state]
+        self.scores = np.full((len(m.names), n), -np.inf)
+        if entries is None:
+            self.scores[m.lattice.row[0]] = 0
+        elif n:
+            self.scores[:] = np.array([entries[i] for i in self.order], float).T[m.lattice.state]
+        self.both = np.empty((2 * len(m.names), n))
+
+    def live(self, t: int) -> int:
+        """How many columns have a base t."""
+        return int(np.searchsorted(-self.lengths, -t, "left"))
+
+    def step(self, t: int, before: np.ndarray) -> np.ndarray:
+        """The scores behind the base t of those before it, of the columns that have it."""
+        states, live = before.shape
+        np.add(before, self.chances[t, 0, :live], out=self.both[:states, :live])
+        np.add(before, self.chances[t, 1, :live], out=self.both[states:, :live])
+        value = self.machine.lattice.best(self.both[:, :live], self.context[t, :live])
+        np.maximum(value, before.max(0) + self.closed, out=value)
+        value += np.take(self.emit[t, :, :live], self.emits, axis=0)
+        return value
+
+    def came(self, t: int, before: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """The states before the base t on the best paths to those behind it."""
+        live = before.shape[1]
+        came, allowed = self.machine.lattice.came(before, self.context[t, :live], state, self.chances[t, :, :live])
+        forced = before.max(0) + self.closed
+        some = np.flatnonzero(forced >= allowed)
+        if len(some):
+            # Of equals, the lower number.
+            first = before[self.machine.lattice.row][:, some].argmax(0)
+            came[some] = np.where((forced[some] > allowed[some]) | (first < came[some]), first, came[some])
+        return came
+
+
 def decode(
     classes: list[np.ndarray], changes: list[np.ndarray], phases: list[np.ndarray], sequences: list[str], min_intron: int = 1, cut_codons: bool = False,
     entries: list[np.ndarray] | None = None, ends: list[int] | None = None, beside: list[Beside] | None = None,
@@ -203,57 +260,7 @@ def decode(
     the states' scores before it, ends the state that it ends in, and beside
     what its first and last bases need.
     """
-    m = machine(min_intron, cut_codons)
-    order = sorted(range(len(sequences)), key=lambda i: -len(sequences[i]))
-    lengths = np.array([len(sequences[i]) for i in order], np.int64)
-    if not len(order) or not lengths[0]:
-        return [np.zeros(0, np.int64) for _ in sequences]
-    n, size, states, closed = len(order), int(lengths[0]), len(m.names), float(np.log(FLOOR))
-    begin = 1 if entries is None else 0
-    # Seven numbers a base, whatever the number of states, and the chances of the step onto a base.
-    emit, step, context = np.zeros((size, 7, n)), np.zeros((size, 2, n)), np.zeros((size, n), np.int64)
-    for column, i in enumerate(order):
-        own, here = beside[i] if beside else Beside(), slice(0, lengths[column])
-        emit[here, :6, column] = _by_class(classes[i], phases[i])
-        step[here, :, column] = np.log(np.maximum(np.concatenate([[own.changes], changes[i][:-1, :2]]).astype(float), FLOOR))
-        context[here, column] = contexts(sequences[i], own.left, own.right)
-    emit[:, 6] = emit[:, INTRON] * RARE
-    steps = m.lattice
-    emits = np.where(m.times == RARE, 6, m.emits)[steps.state]
-    scores, most = np.full((size + 1 - begin, states, n), -np.inf), np.full((size + 1 - begin, n), -np.inf)
-    if entries is None:
-        scores[0, steps.row[0]] = 0
-    else:
-        scores[0] = np.array([entries[i] for i in order], float).T[steps.state]
-    # scores[t + 1 - begin] are those behind the base t, most the best of them.
-    most[0] = scores[0].max(0)
-    both = np.empty((2 * states, n))
-    for t in range(begin, size):
-        live = int(np.searchsorted(-lengths, -t, "left"))
-        before = scores[t - begin, :, :live]
-        np.add(before, step[t, 0, :live], out=both[:states, :live])
-        np.add(before, step[t, 1, :live], out=both[states:, :live])
-        value = steps.best(both[:, :live], context[t, :live])
-        np.maximum(value, most[t - begin, :live] + closed, out=value)
-        value += np.take(emit[t, :, :live], emits, axis=0)
-        scores[t + 1 - begin, :, :live] = value
-        most[t + 1 - begin, :live] = value.max(0)
-    path = np.zeros((size, n), np.int64)
-    path[lengths - 1, np.arange(n)] = 0 if ends is None else [ends[i] for i in order]
-    for t in range(size - 1, 0, -1):
-        live = int(np.searchsorted(-lengths, -t, "left"))
-        came, allowed = steps.came(scores[t - begin, :, :live], context[t, :live], path[t, :live], step[t, :, :live])
-        forced = most[t - begin, :live] + closed
-        some = np.flatnonzero(forced >= allowed)
-        if len(some):
-            # Of equals, the lower number.
-            first = scores[t - begin][steps.row][:, some].argmax(0)
-            came[some] = np.where((forced[some] > allowed[some]) | (first < came[some]), first, came[some])
-        path[t - 1, :live] = came
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-    for column, i in enumerate(order):
-        out[i] = path[: lengths[column], column].copy()
-    return out
+    return traced(Columns(classes, changes, phases, sequences, min_intron, cut_codons, entries, beside), ends)[0]
 
 
 def runs_of(states: np.ndarray, coding: np.ndarray, sequence: str, min_intron: int = 1, cut_codons: bool = False) -> list[tuple[int, int, int, float]]:

@@ -1,6 +1,11 @@
 """Decoding of regions in pieces: bounded memory, and one region over many tasks.
 
-A decoder's step is linear in (max, +). So each piece of a region has a table of
+A region of a few pieces is decoded by one task, piece after piece: forward, the
+scores at every piece's edge are kept and nothing else; backward, each piece is
+decoded from those with the state that the piece behind it comes from. Many
+regions go side by side, and paths are those of the whole recurrence bit by bit.
+
+Longer regions are dealt over tasks. A decoder's step is linear in (max, +). So each piece of a region has a table of
 the best scores from every state before it to every state at its end, whoever
 computes it; tables of FAN neighbours multiply into one, level by level, until a
 region is one. On the way down every table learns the scores that its part
@@ -28,10 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from strandloom.operators import hmm, hmm_utr
-from strandloom.operators.tracks import PACKED, arrays, unpack
+from strandloom.operators.tracks import PACKED, arrays, packed, unpack
 from strandloom.session import stored
 
 FAN = 64
+#: Bases of a region that one task decodes piece after piece, in up to FAN pieces.
+ALONE = 1 << 18
 #: Rows of what pieces learn from their region that are sent to all tasks; more are joined by key. One has a number for each state.
 BROADCAST_ROWS = 20_000
 
@@ -57,14 +64,17 @@ class Model(Protocol):
     def beside(self, order: WindowSpec) -> dict[str, Column]:
         """What a piece needs of the pieces before and behind it, of their own() columns."""
 
-    def neighbours(self, rows: list[dict]) -> list[dict]:
-        """beside() for opened pieces of a region in order."""
+    #: beside() for a region's first piece, and for the piece behind an opened one; `right`, the first base behind a piece, is given apart.
+    outset: dict
+
+    def after(self, row: dict) -> dict: ...
 
     def bytes_per_base(self) -> int: ...
 
     def table(self, row: dict) -> np.ndarray: ...
 
-    def paths(self, rows: list[dict], ends: list[int], entries: list[np.ndarray] | None) -> list[np.ndarray]: ...
+    def columns(self, rows: list[dict], entries: list[np.ndarray] | None) -> hmm.Columns | hmm_utr.Columns:
+        """Pieces side by side; entries are the states' scores before them, none for those that begin their regions."""
 
     def runs(self, row: dict, path: np.ndarray) -> list[Run]: ...
 
@@ -76,6 +86,7 @@ class CodonModel:
     """The decoder of operators.hmm over five class probabilities a base (probs)."""
 
     tracks, schema, kinds = ("probs",), hmm.GENES, hmm.GENE_KINDS
+    outset = {"carried": None}
 
     def __init__(self, min_length: int = 60, min_score: float = 0.5, min_intron: int = 1, min_span: int = 200) -> None:
         self.filters, self.min_intron = (min_length, min_score, min_span), min_intron
@@ -93,8 +104,11 @@ class CodonModel:
     def beside(self, order: WindowSpec) -> dict[str, Column]:
         return {"carried": F.last("g", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))}
 
-    def neighbours(self, rows: list[dict]) -> list[dict]:
-        return [{"carried": None} for _ in rows]
+    def after(self, row: dict) -> dict:
+        # The base at which a region begins takes no step.
+        at = row["seq"].upper().rfind("G")
+        m = hmm.machine()
+        return {"carried": float(row["probs"][at, m.emits[m.number["start2"]]]) if at >= row["first"] else row["carried"]}
 
     def bytes_per_base(self) -> int:
         return 8 * (len(hmm.machine(self.min_intron).names) + 10)
@@ -106,9 +120,9 @@ class CodonModel:
     def table(self, row: dict) -> np.ndarray:
         return hmm.transfer(row["probs"], row["seq"], self.min_intron, carried=self._weight(row), first=row["first"])
 
-    def paths(self, rows: list[dict], ends: list[int], entries: list[np.ndarray] | None) -> list[np.ndarray]:
+    def columns(self, rows: list[dict], entries: list[np.ndarray] | None) -> hmm.Columns:
         within = {} if entries is None else {"entries": entries, "carried": [self._weight(r) for r in rows]}
-        return hmm.decode([r["probs"] for r in rows], [r["seq"] for r in rows], self.min_intron, ends=ends, **within)
+        return hmm.Columns([r["probs"] for r in rows], [r["seq"] for r in rows], self.min_intron, **within)
 
     def runs(self, row: dict, path: np.ndarray) -> list[Run]:
         return hmm.runs_of(path, row["probs"], self.min_intron)
@@ -122,6 +136,7 @@ class UntranslatedModel:
     """The decoder of operators.hmm_utr over probabilities of classes, of changes and of places in the codon."""
 
     tracks, schema, kinds = ("classes", "changes", "phases"), hmm_utr.PARTS, hmm_utr.PART_KINDS
+    outset = {"left": "", "before": None}
 
     def __init__(self, min_length: int = 60, min_score: float = 0.5, min_intron: int = 1, cut_codons: bool = False) -> None:
         self.filters, self.machine = (min_length, min_score), (min_intron, cut_codons)
@@ -134,8 +149,8 @@ class UntranslatedModel:
         left = F.right(F.concat(F.coalesce(F.lag("tail", 2).over(order), none), F.coalesce(F.lag("tail").over(order), none)), F.lit(2))
         return {"left": left, "right": F.coalesce(F.lead("head").over(order), none), "before": F.lag("leaving").over(order)}
 
-    def neighbours(self, rows: list[dict]) -> list[dict]:
-        return [{"left": "", "right": "", "before": None} for _ in rows]
+    def after(self, row: dict) -> dict:
+        return {"left": (row["left"] + row["seq"])[-2:], "before": row["changes"][-1, :2].tolist()}
 
     def bytes_per_base(self) -> int:
         return 8 * (len(hmm_utr.machine(*self.machine).names) + 12)
@@ -146,9 +161,9 @@ class UntranslatedModel:
     def table(self, row: dict) -> np.ndarray:
         return hmm_utr.transfer(row["classes"], row["changes"], row["phases"], row["seq"], *self.machine, beside=self._beside(row), first=row["first"])
 
-    def paths(self, rows: list[dict], ends: list[int], entries: list[np.ndarray] | None) -> list[np.ndarray]:
-        columns = ([r[k] for r in rows] for k in (*self.tracks, "seq"))
-        return hmm_utr.decode(*columns, *self.machine, entries=entries, ends=ends, beside=[self._beside(r) for r in rows])
+    def columns(self, rows: list[dict], entries: list[np.ndarray] | None) -> hmm_utr.Columns:
+        tracks = ([r[k] for r in rows] for k in (*self.tracks, "seq"))
+        return hmm_utr.Columns(*tracks, *self.machine, entries=entries, beside=[self._beside(r) for r in rows])
 
     def runs(self, row: dict, path: np.ndarray) -> list[Run]:
         return hmm_utr.runs_of(path, hmm_utr.coding_probabilities(row["classes"], row["phases"]), row["seq"], *self.machine)
@@ -299,8 +314,7 @@ def _as_one(region: list[dict], model: Model) -> dict:
     """A region's parts as one piece."""
     parts = [_opened(part, model) for part in region]
     row = {k: parts[0][k] for k in (*KEYS, "start")} | {"seq": "".join(p["seq"] for p in parts), "first": True, "piece": 0, "last": True}
-    row |= {k: np.concatenate([p[k] for p in parts]) for k in model.tracks}
-    return row | model.neighbours([row])[0]
+    return row | model.outset | {"right": ""} | {k: np.concatenate([p[k] for p in parts]) for k in model.tracks}
 
 
 def _side_by_side(rows: list, length: Callable[[Any], int], model: Model, budget: int) -> Iterator[list]:
@@ -312,15 +326,22 @@ def _side_by_side(rows: list, length: Callable[[Any], int], model: Model, budget
         rows = rows[many:]
 
 
-def _between(row: dict, path: np.ndarray, model: Model) -> Iterator[list[dict]]:
-    """What stands between intergenic runs, at its place in the contig."""
+def _placed(row: dict, path: np.ndarray, model: Model) -> list[dict]:
+    """The runs of a decoded piece at their places in the contig."""
+    return [{"kind": kind, "start": row["start"] + a, "end": row["start"] + b, "total": total} for kind, a, b, total in model.runs(row, path)]
+
+
+def _between(runs: list[dict]) -> Iterator[list[dict]]:
+    """What stands between intergenic runs."""
     now: list[dict] = []
-    for kind, a, b, total in [*model.runs(row, path), (0, 0, 0, 0.0)]:
-        if kind:
-            now.append({"kind": kind, "start": row["start"] + a, "end": row["start"] + b, "total": total})
+    for run in runs:
+        if run["kind"]:
+            now.append(run)
         elif now:
             yield now
             now = []
+    if now:
+        yield now
 
 
 def _batch(rows: list[tuple], model: Model) -> pa.RecordBatch:
@@ -340,14 +361,49 @@ def annotate_whole(parts: DataFrame, model: Model, bases: int, budget: int = 32
             out = []
             for own in _side_by_side(group, lambda region: sum(len(p["seq"]) for p in region), model, budget):
                 rows = [_as_one(region, model) for region in own]
-                for row, path in zip(rows, model.paths(rows, [0] * len(rows), None), strict=True):
-                    for runs in _between(row, path, model):
+                for row, path in zip(rows, hmm.traced(model.columns(rows, None))[0], strict=True):
+                    for runs in _between(_placed(row, path, model)):
                         out += model.gene(row["seq_id"], row["strand"], joined(runs))
             yield _batch(out, model)
 
     return in_order(parts, bases).mapInArrow(work, model.schema)
 
 
+def annotate_chains(parts: DataFrame, model: Model, bases: int, budget: int = 32 << 20) -> DataFrame:
+    """annotate_whole, with the scores of a single piece of each region at a time: region by region its pieces are decoded one after the other."""
+
+    def pieces(regions: list[list[dict]], k: int) -> Iterator[tuple[list[list[dict]], list[dict], hmm.Columns | hmm_utr.Columns]]:
+        for own in _side_by_side(regions, lambda region: len(region[k]["seq"]), model, budget):
+            rows = [_opened(region[k], model) | {"first": k == 0} for region in own]
+            yield own, rows, model.columns(rows, [r["entry"] for r in rows] if k else None)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _held(_regions(batches)):
+            for region in group:
+                region[0] |= model.outset
+                region[-1] |= {"leave": 0, "right": ""}
+                for part, behind in zip(region[:-1], region[1:], strict=True):
+                    part["right"] = behind["seq"][:1]
+            most = max(map(len, group))
+            for k in range(most - 1):
+                for own, rows, columns in pieces([r for r in group if len(r) > k + 1], k):
+                    for region, row, scores in zip(own, rows, hmm.exits(columns), strict=True):
+                        region[k + 1] |= {"entry": scores} | model.after(row)
+            for k in reversed(range(most)):
+                for own, rows, columns in pieces([r for r in group if len(r) > k], k):
+                    for region, row, path, came in zip(own, rows, *hmm.traced(columns, [r["leave"] for r in rows]), strict=True):
+                        region[k] = {"runs": _placed(row, path, model)} | {name: row[name] for name in KEYS}
+                        if k:
+                            region[k - 1]["leave"] = came
+            out = []
+            for region in group:
+                for runs in _between([run for part in region for run in part["runs"]]):
+                    out += model.gene(region[0]["seq_id"], region[0]["strand"], joined(runs))
+            yield _batch(out, model)
+
+    return in_order(parts, bases).mapInArrow(work, model.schema)
+
+
 def _unpacked(parts: DataFrame, tracks: tuple[str, ...]) -> DataFrame:
     """Parts with their own stretch of the tracks as arrays by base."""
     kept = [*KEYS, "start", "seq"]
@@ -370,14 +426,26 @@ _PARTS = pa.schema([
 ])
 
 
-def annotate_pieces(pieces: DataFrame, model: Model, budget: int = 32 << 20, fan: int = FAN) -> DataFrame:
+def annotate_pieces(pieces: DataFrame, model: Model, budget: int = 32 << 20, fan: int = FAN, alone: int = ALONE) -> DataFrame:
     """The rows of a model's genes over regions in pieces (seq_id string, strand, region_start, start, seq, the model's tracks), which follow each other without a gap.
 
     Positions are 0-based, strand-local, ends inclusive. pieces is read three
-    times. Genes may begin in one piece and end in another. Packed parts, as annotate_whole takes them, do as well.
+    times; packed parts, as annotate_whole takes them, do as well. Regions of at
+    most `fan` pieces and `alone` bases are decoded by a task each.
     """
-    if PACKED in pieces.columns:
-        pieces = stored(_unpacked(pieces, model.tracks), wide=True)
+    if PACKED not in pieces.columns:
+        pieces = packed(pieces, model.tracks).withColumn("at", F.lit(0))
+    far = (F.col("n") > fan) | (F.col("bases") > alone)
+    sizes = stored(pieces.groupBy(*KEYS).agg(F.count("*").alias("n"), F.sum(F.length("seq")).alias("bases")))
+    near, long = sizes.where(~far).agg(F.coalesce(F.sum("bases"), F.lit(0))).first()[0], sizes.where(far).select(*KEYS)
+    many = long.count()
+    long = F.broadcast(long) if many <= BROADCAST_ROWS else long
+    short = annotate_chains(pieces.join(long, KEYS, "left_anti") if many else pieces, model, near, budget)
+    return short.unionByName(_by_tables(stored(_unpacked(pieces.join(long, KEYS, "left_semi"), model.tracks), wide=True), model, budget, fan))
+
+
+def _by_tables(pieces: DataFrame, model: Model, budget: int, fan: int) -> DataFrame:
+    """annotate_pieces by tables of scores, for regions of any number of pieces; their tracks are arrays. pieces is read three times."""
     keys, narrow = "seq_id string, strand tinyint, region_start bigint", [*KEYS, "start"]
     order = W.partitionBy(*KEYS).orderBy("start")
     known = pieces.select(*narrow, *(c.alias(k) for k, c in model.own().items()))
@@ -403,7 +471,7 @@ def annotate_pieces(pieces: DataFrame, model: Model, budget: int = 32 << 20, fan
     ends = stored(path_ends(stored(tables), fan).select(*KEYS, "piece", "entry", "leave").unionByName(alone))
 
     def found(row: dict, path: np.ndarray) -> Iterator[dict]:
-        for now in _between(row, path, model):
+        for now in _between(_placed(row, path, model)):
             left, right = row["piece"] > 0 and now[0]["start"] == row["start"], not row["last"] and now[-1]["end"] == row["start"] + len(path) - 1
             yield {k: row[k] for k in KEYS} | {"left": left, "right": right, "runs": now}
 
@@ -415,7 +483,7 @@ def annotate_pieces(pieces: DataFrame, model: Model, budget: int = 32 << 20, fan
                 rows, out = rows_of(whole.slice(begin, many), ("entry", "leave")), []
                 for own in ([r for r in rows if r["first"]], [r for r in rows if not r["first"]]):
                     entries = None if own and own[0]["first"] else [np.frombuffer(r["entry"], float) for r in own]
-                    for row, path in zip(own, model.paths(own, [r["leave"] for r in own], entries), strict=True):
+                    for row, path in zip(own, hmm.traced(model.columns(own, entries), [r["leave"] for r in own])[0], strict=True):
                         out += found(row, path)
                 yield pa.RecordBatch.from_pylist(out, _PARTS)
 

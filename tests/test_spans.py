@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandloom.operators import hmm, spans
 
@@ -102,5 +103,36 @@ def test_genes_of_the_older_model_in_pieces_equal_those_of_whole_regions(spark,
     assert plain(got) == plain(wanted) and len(wanted) >= 5
 
 
+@pytest.mark.parametrize("size", [1, 7, 100])
+def test_regions_of_some_pieces_need_no_tables(spark, monkeypatch, size):
+    """Tables cost some 15 times a path; a region of up to `fan` pieces is decoded piece after piece, either model, and its scores are those of the whole."""
+    monkeypatch.setattr(spans, "path_ends", lambda frame, fan, ends=spans.path_ends: ends(frame.where(F.raise_error(F.lit("a table")).isNull()), fan))
+    whole = [r for r in regions() if r[0]] if size > 1 else [(a, b, c, s[:300], p[:300]) for a, b, c, s, p in regions()[:2]]
+    wanted = hmm.annotate_regions(spark.createDataFrame(whole, "seq_id string, strand tinyint, region_start long, seq string, probs array<array<double>>"), 12, 0.1, min_span=12).collect()
+    cut = [(i, s, at, at + k, seq[k : k + size], p[k : k + size]) for i, s, at, seq, p in whole for k in range(0, len(seq), size)]
+    got = spans.annotate_pieces(spark.createDataFrame(cut, SCHEMA).repartition(5), spans.CodonModel(12, 0.1, min_span=12), fan=1000).collect()
+
+    def plain(rows, n):
+        return sorted((*r[:n], round(r["score"] or 0, 9), round(r["cds_score"], 9)) for r in rows)
+
+    assert plain(got, 5) == plain(wanted, 5) and wanted
+    parts = [older.gene(s, at)[:4] for s, at in ((("GT", "AG"), 15), (("AT", "AC"), 17), (("GC", "AG"), 16))]
+    seq, classes, changes, phases = "".join(p[0] for p in parts), *(np.concatenate([p[k] for p in parts]).tolist() for k in (1, 2, 3))
+    tracks = "seq string, classes array<array<double>>, changes array<array<double>>, phases array<array<double>>"
+    wanted = older.hmm.annotate_regions(spark.createDataFrame([("c", -1, 50, seq, classes, changes, phases)], f"seq_id string, strand tinyint, region_start long, {tracks}"), 30, 0.2).collect()
+    cut = [("c", -1, 50, 50 + k, *(x[k : k + size] for x in (seq, classes, changes, phases))) for k in range(0, len(seq), size)]
+    pieces = spark.createDataFrame(cut, f"seq_id string, strand tinyint, region_start long, start long, {tracks}").repartition(3)
+    assert plain(spans.annotate_pieces(pieces, spans.UntranslatedModel(30, 0.2), fan=1000).collect(), 6) == plain(wanted, 6) and wanted
+
+
+def test_scores_behind_pieces_are_those_of_the_whole_to_the_bit():
+    seq, p = random_case(90, 11, "ACGTN")
+    whole, scores, m = hmm.exits(hmm.Columns([p], [seq]))[0], None, hmm.machine()
+    for k in range(0, 90, 13):
+        within = {"entries": [scores], "carried": [carried(seq, p, k, m)]} if k else {}
+        scores = hmm.exits(hmm.Columns([p[k : k + 13]], [seq[k : k + 13]], **within))[0]
+    assert np.array_equal(scores, whole)
+
+
 def test_no_pieces_give_no_genes(spark):
     assert spans.annotate_pieces(spark.createDataFrame([], SCHEMA), spans.CodonModel()).collect() == []
