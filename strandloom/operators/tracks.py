@@ -8,6 +8,7 @@ numbers alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 #: The column of cells.
 PACKED = "packed"
+_CODEC = pa.Codec("zstd", compression_level=1)
 
 
 def pack(tracks: list[np.ndarray]) -> bytes:
@@ -23,16 +25,17 @@ def pack(tracks: list[np.ndarray]) -> bytes:
     kind = np.dtype(np.result_type(*tracks)).newbyteorder("<")
     rows = np.ascontiguousarray(np.concatenate(tracks, 1).astype(kind, copy=False))
     head = np.array([len(tracks), len(rows), kind.itemsize, *(t.shape[1] for t in tracks)], "<i4").tobytes()
-    return head + pa.Codec("zstd", compression_level=1).compress(rows.tobytes(), asbytes=True)
+    return head + _CODEC.compress(rows.tobytes(), asbytes=True)
 
 
 def unpack(cell: bytes) -> list[np.ndarray]:
     """What pack was given."""
     many, rows, size = np.frombuffer(cell, "<i4", 3).tolist()
     widths = np.frombuffer(cell, "<i4", many, 12).tolist()
-    data = pa.Codec("zstd").decompress(pa.py_buffer(cell).slice(12 + 4 * many), rows * sum(widths) * size)
+    data = _CODEC.decompress(pa.py_buffer(cell).slice(12 + 4 * many), rows * sum(widths) * size)
     whole = np.frombuffer(data, f"<f{size}").reshape(rows, sum(widths))
-    return np.split(whole, np.cumsum(widths)[:-1], axis=1)
+    ends = list(accumulate(widths))
+    return [whole[:, end - width : end] for width, end in zip(widths, ends, strict=True)]
 
 
 def arrays(column: pa.Array) -> list[np.ndarray]:
